@@ -19,6 +19,7 @@ from .quality_rules import QUALITY_SQL, quality_metrics
 from .simhash import near_duplicates
 from .token_count import token_counts
 from .toxicity import toxicity_scores
+from .warc import WARC_SQL, archive_round_trip
 
 
 def vocabulary(name: str) -> str:
@@ -62,6 +63,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
@@ -74,7 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_token_counts": op8_token_counts,
+    "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {"op5_quality_rules": QUALITY_SQL}
+ORACLES: dict[str, str] = {"op5_quality_rules": QUALITY_SQL, "op9_warc": WARC_SQL}
