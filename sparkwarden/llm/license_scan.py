@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +30,8 @@ DRIFT = 4
 SHARE = 0.6
 #: Templates are small fixed texts; their k-gram table is broadcast only below this many rows.
 MAX_TEMPLATE_GRAMS = 200_000
+#: Texts whose hashes a task holds at a time: a bound on memory.
+TEXTS_AT_ONCE = 128
 #: Word hashes kept per Python worker: a bound on memory, not on texts.
 KEPT = 500_000
 
@@ -141,14 +143,18 @@ def spans(docs: DataFrame, templates: tuple[Template, ...] = BASE + LICENSES) ->
     spark = docs.sparkSession
     ship(spark)
 
-    @F.pandas_udf("array<long>")
-    def grams(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            w = [word_hashes(t) for t in texts]
-            yield pd.Series([np.concatenate((rolling(x, SHORT), rolling(x, LONG), [END, len(x)])) for x in w])
-
-    rows = dealt(docs, "doc_id", "text").select("doc_id", text_of().alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("digest"), grams("text").alias("grams"))
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(at, TEXTS_AT_ONCE)
+                w = [word_hashes(t) for t in part.column("text").to_pylist()]
+                values = [np.concatenate((rolling(x, SHORT), rolling(x, LONG), [END, len(x)])) for x in w]
+                offsets = np.concatenate(([0], np.cumsum([len(v) for v in values])))
+                listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values), pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), listed], ["doc_id", "digest", "grams"])
+
+    rows = dealt(docs, "doc_id", "text").select("doc_id", text_of().alias("text")).withColumn("digest", F.xxhash64("text"))
+    rows = rows.mapInArrow(grams, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest long, grams array<long>")
     # Every rolling hash meets the template positions of the same hash.
     n_words = F.element_at("grams", -1)
     grams_at = rows.select("doc_id", "digest", n_words.alias("n"), F.posexplode(F.slice("grams", 1, F.size("grams") - 1)).alias("i", "gram"))
