@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import bpe_round_trip
+from .context_tree import context_tree_scores
 from .fingerprint import edited_likeness
 from .license_scan import license_scan
 from .mixing import mix
@@ -35,6 +36,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -72,6 +77,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_context_tree": op1_context_tree,
     "op2_fingerprints": op2_fingerprints,
     "op3_mixing": op3_mixing,
     "op4_license_scan": op4_license_scan,
