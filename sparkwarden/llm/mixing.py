@@ -121,3 +121,17 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MA
 def mix(docs: DataFrame, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document; see mixed."""
     return mixed(docs, **how).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """docs with every row as often as the mix takes it, to the nearest whole number.
+
+    Only at a ring's cut does a row's share of words differ from a whole number.  Rows
+    that are equal in doc_id, source and text share what they are taken.
+    """
+    seed = how.get("seed", SEED)
+    plan = mixed(docs, **how).groupBy("doc_id", "source", "draw").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    plan = plan.where("size > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("draw").alias("__draw"), F.round(F.col("taken") / F.col("size")).cast("int").alias("__copies")).where("__copies > 0")
+    rows = docs.withColumn("__own", F.xxhash64(F.lit(seed), "doc_id", text_of()))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__own") == F.col("__draw"))
+    return rows.join(plan, same).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), "__copies")).alias("__copy")).drop("__copy")

@@ -107,10 +107,9 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int
     """Each rule's cost and selectivity on the sample (the rows of least id hash), best first."""
     rows = dealt(docs, "doc_id", "text").select("doc_id", text_of().alias("text"))
     sample = stored(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("text"), "quality-sample")
-    sample = sample.withColumn("words", words_of(F.col("text")))
     out = []
     for rule in rules:
-        one = sample.agg(F.count("*"), F.count_if(rule.rejects(F.col("text"), F.col("words"))))
+        one = sample.agg(F.count("*"), F.count_if(let(words_of(F.col("text")), lambda words: rule.rejects(F.col("text"), words))))
         took = []
         for _ in range(2):  # the first also compiles
             began = time.perf_counter()
@@ -162,11 +161,10 @@ def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     Rules run as a cascade in the estimated order.  Null texts count as empty.
     """
     order = [e.rule for e in estimate(docs, rules)]
-    name = "__words"
-    while name in docs.columns:
-        name += "_"
     text = text_of()
-    return docs.withColumn(name, words_of(text)).where(cascade(order, text, F.col(name)).isNull()).drop(name)
+    # Bound within the expression: as a column of its own the split would be copied into
+    # every use when the filter is pushed down.
+    return docs.where(let(words_of(text), lambda words: cascade(order, text, words)).isNull())
 
 
 #: DuckDB SQL for quality_metrics over the documents table.

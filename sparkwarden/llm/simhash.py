@@ -141,7 +141,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _linked(anchor: np.ndarray, prints: np.ndarray, home: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+def _linked(anchor: np.ndarray, prints: np.ndarray, home: np.ndarray, node: np.ndarray, check: np.ndarray, threshold: int, check_bits: int) -> pd.DataFrame:
     """Links within whole anchor groups; rows are sorted by anchor."""
     first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     size = np.diff(np.append(first, len(anchor)))
@@ -156,44 +156,63 @@ def _linked(anchor: np.ndarray, prints: np.ndarray, home: np.ndarray, threshold:
         h, m = homes[at:stop], n[at:stop]
         left = np.repeat(h, m)
         right = np.arange(m.sum()) - np.repeat(m.cumsum() - m, m) + np.repeat(first[group[h]], m)
-        near = (np.bitwise_count(prints[left] ^ prints[right]) <= threshold) & (prints[left] != prints[right])
-        out += _forest(prints[left[near]], prints[right[near]])
+        near = (np.bitwise_count(prints[left] ^ prints[right]) <= threshold) & (node[left] != node[right])
+        left, right = left[near], right[near]
+        if check_bits < 64:
+            near = np.bitwise_count(check[left] ^ check[right]) <= check_bits
+            left, right = left[near], right[near]
+        out += _forest(node[left], node[right])
         at = stop
-    return out
+    return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
 
 
-def links(prints: DataFrame, threshold: int) -> DataFrame:
-    """Distinct fingerprints (column fingerprint: long) -> a, b: links that join all
-    fingerprints which chains of differences of at most threshold bits connect.
+def links(prints: DataFrame, threshold: int, check_bits: int = 64) -> DataFrame:
+    """Distinct rows (node, fingerprint, check: long) -> a, b: links that join all nodes
+    which chains of differences of at most threshold bits connect (and, with check_bits
+    under 64, of at most so many bits in the second fingerprint).
 
     Within an anchor's group a spanning forest stands for all pairs.
     """
     spark = prints.sparkSession
     ship(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    checked = check_bits < 64
+    columns = ["anchor", "fingerprint", "home"] + (["node", "check"] if checked else [])
 
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            all_prints = rows["fingerprint"].to_numpy(np.int64).view(np.uint64)
-            for at in range(0, len(all_prints), 4096):
-                p = all_prints[at : at + 4096]
-                row, anchor, home = anchors(p, threshold)
-                yield pd.DataFrame({"anchor": anchor, "fingerprint": p[row].view(np.int64), "home": home})
+            for at in range(0, len(rows), 4096):
+                part = rows.iloc[at : at + 4096]
+                p = part["fingerprint"].to_numpy(np.int64)
+                row, anchor, home = anchors(p.view(np.uint64), threshold)
+                out = {"anchor": anchor, "fingerprint": p[row], "home": home}
+                if checked:
+                    out |= {c: part[c].to_numpy(np.int64)[row] for c in ("node", "check")}
+                yield pd.DataFrame(out)
+
+    def linked(part: list[np.ndarray]) -> pd.DataFrame:
+        anchor, p, home, *more = part
+        node, check = more or (p.view(np.int64), p)
+        return _linked(anchor, p, home, node, check.view(np.uint64), threshold, check_bits)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for rows in batches:
-            part = [rows["anchor"].to_numpy(np.int32), rows["fingerprint"].to_numpy(np.int64).view(np.uint64), rows["home"].to_numpy(bool)]
+            if not len(rows):
+                continue
+            part = [rows[c].to_numpy() for c in columns]
+            part[1] = part[1].astype(np.int64).view(np.uint64)
             if held is not None:
                 part = [np.concatenate(x) for x in zip(held, part)]
-            cut = int(np.searchsorted(part[0], part[0][-1])) if len(part[0]) else 0
+            cut = int(np.searchsorted(part[0], part[0][-1]))
             held = [x[cut:] for x in part]
             if cut:
-                yield pd.DataFrame(_linked(*[x[:cut] for x in part], threshold), columns=["a", "b"]).astype("uint64").astype("int64")
-        if held is not None and len(held[0]):
-            yield pd.DataFrame(_linked(*held, threshold), columns=["a", "b"]).astype("uint64").astype("int64")
+                yield linked([x[:cut] for x in part])
+        if held is not None:
+            yield linked(held)
 
-    spread = prints.select("fingerprint").mapInPandas(replicate, "anchor int, fingerprint long, home boolean")
+    given = prints.select("fingerprint", "node", "check") if checked else prints.select("fingerprint")
+    spread = given.mapInPandas(replicate, "anchor int, fingerprint long, home boolean" + ", node long, check long" * checked)
     return spread.repartition(n, "anchor").sortWithinPartitions("anchor").mapInPandas(compare, "a long, b long")
 
 
@@ -220,8 +239,71 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2) -> Data
     """
     prints = stored(simhashes(docs, words), "simhash")
     firsts = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
-    groups = connected_components(links(firsts.select("fingerprint"), threshold))
+    groups = connected_components(links(firsts, threshold))
     joined = firsts.join(groups.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", "first", F.coalesce("component", "fingerprint").alias("component"))
     least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
     known = joined.join(least, "component").select("fingerprint", "component_id")
     return prints.join(known, "fingerprint").select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: The filter's shingles and likeness, its bits over single words, and the bits over
+#: shingles beyond which a pair is not looked at more closely.
+FILTER_WORDS, LIKENESS, FILTER_BITS, CHECK_BITS = 5, 0.8, 2, 14
+
+
+def _shingle_set(text: str, words: int) -> np.ndarray:
+    found = text.encode("utf-8", "replace").lower().split()
+    k = min(words, len(found))
+    return np.unique(np.fromiter([xxhash.xxh3_64_intdigest(b" ".join(found[i : i + k])) for i in range(len(found) - k + 1 if k else 0)], np.uint64)).view(np.int64)
+
+
+def near_duplicate_filter(docs: DataFrame, words: int = FILTER_WORDS, likeness: float = LIKENESS) -> DataFrame:
+    """docs without near copies: of each group the row of least doc_id stays.
+
+    Candidates are pairs whose SimHashes over word counts differ in at most FILTER_BITS
+    bits, found at covering anchors, and whose SimHashes over word shingles are not far
+    apart; each link is then checked by the exact Jaccard likeness of the word-shingle
+    sets.  Texts with the same words are copies at once.  Texts without words are copies of
+    each other; rows that repeat an id and its text stay once; null ids come last.
+    """
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("node long, fingerprint long, check long")
+    def prints_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = [(xxhash.xxh3_64_intdigest(b" ".join(t.encode("utf-8", "replace").lower().split())), word_simhash(t), shingle_simhash(t, words)) for t in texts]
+            yield pd.DataFrame(np.array(rows, np.uint64).reshape(-1, 3).view(np.int64), columns=["node", "fingerprint", "check"])
+
+    @F.pandas_udf("long")
+    def node_of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([xxhash.xxh3_64_intdigest(b" ".join(t.encode("utf-8", "replace").lower().split())) for t in texts], np.uint64).view(np.int64))
+
+    @F.pandas_udf("array<long>")
+    def set_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([_shingle_set(t, words) for t in texts])
+
+    rows = stored(dealt(docs, "doc_id", "text").select("doc_id", prints_of(text_of()).alias("p")).select("doc_id", "p.*"), "near-prints")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fingerprint").alias("fingerprint"), F.first("check").alias("check"), F.count("*").alias("n"))
+    pairs = stored(links(nodes, FILTER_BITS, CHECK_BITS).distinct(), "near-pairs")
+    # Exact check of the links, on the texts that have one.
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    holders = nodes.join(ends, "node").select(F.col("first").alias("doc_id"), "node")
+    texts = dealt(docs, "doc_id", "text").withColumn("text", text_of()).join(holders, "doc_id")
+    sets = texts.select("node", set_of("text").alias("s"), node_of("text").alias("own")).where("own = node").select("node", "s").dropDuplicates(["node"])
+    sets = stored(sets, "near-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    near = both.where(shared >= likeness * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    groups = connected_components(near)
+    known = nodes.join(groups, "node", "left").select("node", "first", "n", F.coalesce("component", "node").alias("component"))
+    heads = known.groupBy("component").agg(F.min("first").alias("head"), F.sum("n").alias("rows"))
+    losers = rows.join(known.join(heads.where("rows > 1"), "component").select("node", "head"), "node").where(~F.col("doc_id").eqNullSafe(F.col("head"))).select(F.col("doc_id").alias("lost"), F.col("node").alias("lost_node")).distinct()
+    losers = stored(losers, "near-lost")
+    name = "__node"
+    while name in docs.columns:
+        name += "_"
+    kept = docs.withColumn(name, node_of(text_of()))
+    kept = kept.join(losers, kept["doc_id"].eqNullSafe(losers["lost"]) & (kept[name] == losers["lost_node"]), "left_anti")
+    if not rows.groupBy("doc_id", "node").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", name])
+    return kept.drop(name)

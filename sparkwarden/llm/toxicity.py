@@ -185,35 +185,41 @@ def platt(signals: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple
     return (float(b[0]), float(b[1])) if b[0] > 0 else (1.0, 0.0)
 
 
+def finder(terms: dict[str, int]):
+    """A function from a whole text to its chosen features and their counts."""
+    whole = {t for t in terms if not t.startswith("^")}
+    stems = {t[1:]: t for t in terms if t.startswith("^")}
+    lengths = sorted({len(s) for s in stems})
+    hot: dict[str, tuple[int, ...]] = {}
+
+    def of(w: str) -> tuple[int, ...]:
+        out = [terms[w]] if w in whole else []
+        out += [terms[stems[w[:k]]] for k in lengths if len(w) > k and w[:k] in stems]
+        if len(hot) > 200_000:
+            hot.clear()
+        hot[w] = found = tuple(out)
+        return found
+
+    def find(text: str) -> tuple[list[int], list[int]]:
+        n: Counter = Counter()
+        for w in _WORD.findall(text.lower()):
+            got = hot.get(w)
+            for t in of(w) if got is None else got:
+                n[t] += 1
+        keys = sorted(n)
+        return keys, [n[k] for k in keys]
+
+    return find
+
+
 def _found(rows: DataFrame, terms: dict[str, int]) -> DataFrame:
-    """Each row's chosen features: terms (array of int) and counts, from whole texts."""
+    """Each row's chosen features instead of its text: terms (array of int) and counts."""
 
     @F.pandas_udf("terms array<int>, counts array<int>")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        whole = {t for t in terms if not t.startswith("^")}
-        stems = {t[1:]: t for t in terms if t.startswith("^")}
-        lengths = sorted({len(s) for s in stems})
-        hot: dict[str, tuple[int, ...]] = {}
-
-        def of(w: str) -> tuple[int, ...]:
-            out = [terms[w]] if w in whole else []
-            out += [terms[stems[w[:k]]] for k in lengths if len(w) > k and w[:k] in stems]
-            if len(hot) > 200_000:
-                hot.clear()
-            hot[w] = out = tuple(out)
-            return out
-
+        find = finder(terms)
         for texts in batches:
-            made = []
-            for text in texts:
-                n: Counter = Counter()
-                for w in _WORD.findall(text.lower()):
-                    got = hot.get(w)
-                    for t in of(w) if got is None else got:
-                        n[t] += 1
-                keys = sorted(n)
-                made.append((keys, [n[k] for k in keys]))
-            yield pd.DataFrame(made, columns=["terms", "counts"])
+            yield pd.DataFrame([find(t) for t in texts], columns=["terms", "counts"])
 
     return rows.select("*", found("text").alias("f")).drop("text").select("*", "f.*").drop("f")
 
@@ -325,3 +331,28 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLE
 
     out = every.select("doc_id", held_out().alias("held_out"), scored("terms", "counts").alias("s")).select("doc_id", "held_out", "s.score", "s.evidence")
     return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "evidence")
+
+
+def toxicity_filter(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that score under threshold.  No shuffle of texts."""
+    model, _ = fit(docs, labels, limit)
+    if model is None:
+        return docs
+
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find = finder(model.terms)
+        known: dict = {}
+        for texts in batches:
+            out = []
+            for text in texts:
+                terms, counts = find(text)
+                key = (tuple(terms), tuple(counts))
+                if key not in known:
+                    if len(known) > 50_000:
+                        known.clear()
+                    known[key] = model.score(np.array(terms, np.int64), np.array(counts, float))[0] < threshold
+                out.append(known[key])
+            yield pd.Series(out, dtype=bool)
+
+    return docs.where(clean(text_of()))
