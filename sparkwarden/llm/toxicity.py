@@ -236,8 +236,9 @@ def _examples(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[list, dic
     """
     rows = dealt(docs, "doc_id", "text").where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", text_of().alias("text"))
     marks = dealt(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.avg(F.col("toxic").cast("double")).alias("toxic"))
-    labelled = rows.join(marks, "doc_id")
-    texts = labelled.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), (F.avg("toxic") > 0.5).alias("toxic"), F.count("*").alias("n"))
+    # Digests, not texts, are shuffled.
+    labelled = rows.select("doc_id", F.sha2("text", 256).alias("digest")).join(marks, "doc_id")
+    texts = labelled.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), (F.avg("toxic") > 0.5).alias("toxic"), F.count("*").alias("n"))
     texts = stored(texts, "toxicity-labelled")
     sizes = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     draw = [F.xxhash64(F.lit("toxicity"), "digest"), "digest"]
