@@ -1,0 +1,433 @@
+"""Every operator against a brute-force version, on texts with all the edge cases."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from tokenizers import Tokenizer
+
+from sparkwarden.llm import bpe_codec, context_tree, fingerprint, license_scan, mixing, quality_rules, simhash, token_count, toxicity, warc
+
+WORD_FILE, BYTE_FILE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+
+
+def words(text):
+    return (text or "").encode().split()
+
+
+def lower(text):
+    return (text or "").encode().lower().split()
+
+
+def rows_of(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def key(r):
+    return (r["doc_id"] is None, r["doc_id"] or 0)
+
+
+def test_bpe_matches_the_library(make, corpus):
+    t = Tokenizer.from_file(WORD_FILE)
+    got = sorted(rows_of(bpe_codec.bpe_round_trip(make(corpus), WORD_FILE)), key=key)
+    want = []
+    for i, text, *_ in corpus:
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        back = t.decode(ids, skip_special_tokens=False)
+        want.append({"doc_id": i, "n_tokens": len(ids), "ids_sha256": hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), "decoded_sha256": hashlib.sha256(back.encode()).hexdigest()})
+    assert got == sorted(want, key=key)
+
+
+def test_bpe_encode_then_decode(make, corpus):
+    t = Tokenizer.from_file(WORD_FILE)
+    encoded = bpe_codec.bpe_encode(make(corpus[:20]), WORD_FILE)
+    got = {r["doc_id"]: r["text"] for r in rows_of(bpe_codec.bpe_decode(encoded, WORD_FILE))}
+    for i, text, *_ in corpus[:20]:
+        assert got[i] == t.decode(t.encode(text or "", add_special_tokens=False).ids, skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("text", ["aaaaaaaaaaaaaaaaaaaaaaaa", "ΑΣ Σ ς", "İstanbul ß ﬁ", "a\x1cb\x85c　d", "x" * 700, "１２½²", "don't you'll'd", "\r\n \r\n", "👍🏽 ok", "a  b   c\n\n d \n"])
+def test_tokenizers_on_odd_texts(text):
+    c, n = bpe_codec.codec(WORD_FILE), token_count.counter(BYTE_FILE)
+    assert c.encode(text) == Tokenizer.from_file(WORD_FILE).encode(text, add_special_tokens=False).ids
+    assert n(text) == len(Tokenizer.from_file(BYTE_FILE).encode(text, add_special_tokens=False).ids)
+
+
+def test_token_counts(make, corpus):
+    t = Tokenizer.from_file(BYTE_FILE)
+    got = sorted(rows_of(token_count.token_counts(make(corpus), BYTE_FILE)), key=key)
+    want = [{"doc_id": i, "n_bytes": len((x or "").encode()), "n_tokens": (n := len(t.encode(x or "", add_special_tokens=False).ids)), "over_limit": n > 1024} for i, x, *_ in corpus]
+    assert got == sorted(want, key=key)
+
+
+def shingles(text, k=5):
+    w = lower(text)
+    return {tuple(w[i : i + min(k, len(w))]) for i in range(len(w) - min(k, len(w)) + 1)} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_fingerprints_of_edited_and_next_texts(make, corpus):
+    rows = sorted(({"doc_id": i, "text": x or ""} for i, x, *_ in corpus), key=lambda r: (*key(r), r["text"]))
+    got = sorted(rows_of(fingerprint.edited_likeness(make(corpus))), key=lambda r: (*key(r), r["n_chars"]))
+    assert len(got) == len(rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append(r)
+    off = []
+    for a, b in zip(rows, rows[1:] + rows[:1]):
+        n = len(a["text"])
+        edited = a["text"][: n - n // 4] + b["text"][: n // 4]
+        match = [r for r in by[a["doc_id"]] if r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and r["n_chars"] == n]
+        assert match
+        off += [abs(match[0]["near_edited"] - jaccard(shingles(a["text"]), shingles(edited)))]
+    assert np.mean(off) < 0.05 and max(off) < 0.25
+    same = defaultdict(set)
+    for i, x, *_ in corpus:
+        same[x or ""].add(fingerprint.Binner().packed(fingerprint.Binner().values(x or "")))
+    assert all(len(v) == 1 for v in same.values())
+
+
+def test_packing_is_a_round_trip():
+    for bits in (1, 2, 4, 8):
+        b = fingerprint.Binner(bits=bits)
+        v = b.values("a b c d e f g h i j k l")
+        assert (b.unpacked(b.packed(v)) == v).all()
+
+
+def simhash_of(text, k=3):
+    w = lower(text)
+    if not w:
+        return 0
+    s = [b" ".join(w[i : i + min(k, len(w))]) for i in range(len(w) - min(k, len(w)) + 1)]
+    h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def components(nodes, near):
+    up = {n: n for n in nodes}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in nodes:
+        for b in nodes:
+            if a < b and near(a, b):
+                p, q = root(a), root(b)
+                up[max(p, q)] = min(p, q)
+    return {n: root(n) for n in nodes}
+
+
+def test_simhash_components(make, corpus):
+    got = rows_of(simhash.near_duplicates(make(corpus)))
+    prints = [(i, simhash_of(x)) for i, x, *_ in corpus]
+    root = components({p for _, p in prints}, lambda a, b: bin(a ^ b).count("1") <= 2)
+    least = {}
+    for i, p in prints:
+        if i is not None:
+            least[root[p]] = min(least.get(root[p], i), i)
+    want = sorted((str(i), f"{p:016x}", str(least.get(root[p]))) for i, p in prints)
+    assert sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in got) == want
+
+
+def test_covering_misses_no_link():
+    r = np.random.default_rng(1)
+    base = r.integers(0, 1 << 63, 300, dtype=np.uint64)
+    flips = [(int(a), int(b)) for a, b in r.integers(0, 64, (300, 2))]
+    other = np.array([int(x) ^ (1 << a) ^ (1 << b) for x, (a, b) in zip(base, flips)], np.uint64)
+    row, anchor, home = simhash.anchors(base, 2)
+    homes = {int(i): int(a) for i, a in zip(row[home], anchor[home])}
+    row2, anchor2, _ = simhash.anchors(other, 2)
+    reach = defaultdict(set)
+    for i, a in zip(row2.tolist(), anchor2.tolist()):
+        reach[i].add(a)
+    assert len(homes) == 300 and all(homes[i] in reach[i] for i in range(300))
+
+
+def test_near_duplicate_filter_keeps_one_of_each_group(make, corpus):
+    r = np.random.default_rng(2)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [" ".join(r.choice(vocabulary, 300)) for _ in range(6)]
+    rows = [(1000 + 10 * i + j, t if j < 2 else t.replace(t.split()[150], "changed", 1)) for i, t in enumerate(texts) for j in range(4)]
+    kept = sorted(x["doc_id"] for x in rows_of(simhash.near_duplicate_filter(make(rows + rows[:1]))))
+    assert kept == [1000 + 10 * i for i in range(6)]
+
+
+def test_license_places(make, corpus):
+    phrases = {"cc-by": ["cc", "by"], "gpl": ["general", "public", "license"], "reserved": ["all", "rights", "reserved"]}
+    extra = [(300, "a cc by cc by b general public license general public"), (301, "Permission is hereby granted, free of charge, to any person who is obtaining a copy of this software and associated documentation files"), (302, "ALL RIGHTS\nRESERVED é cc éby")]
+    got = {(r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in rows_of(license_scan.license_scan(make(corpus + extra)))}
+    want = set()
+    for i, x, *_ in corpus + extra:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))
+        found = [(j, k) for k, p in phrases.items() for j in range(len(w)) if w[j : j + len(p)] == p]
+        at = [j for j, _ in found]
+        want.add((i, len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({k for _, k in found}))))
+    assert got == want
+    labels = {r["doc_id"]: r["labels"] for r in rows_of(license_scan.license_scan(make(extra)))}
+    assert labels[301] == "mit"
+    assert license_scan.license_scan(make(corpus + extra)).count() == len(corpus + extra)
+
+
+def test_quality_figures_and_verdict(make, corpus):
+    extra = [(400, "same three words " * 40), (401, "line one here\nline two here\nline one here\n\n\n" + "pad%d " * 3), (402, " ".join(f"w{i}###" for i in range(80))), (403, " ".join(f"word{i}" for i in range(80)))]
+    got = sorted((str(tuple(r.values())) for r in rows_of(quality_rules.quality_metrics(make(corpus + extra)))))
+    want = []
+    for i, x, *_ in corpus + extra:
+        x = x or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", x)
+        windows = Counter(tuple(w[j : j + 3]) for j in range(len(w) - 2))
+        covered = {j + k for j in range(len(w) - 2) if windows[tuple(w[j : j + 3])] > 1 for k in range(3)}
+        lines = [y for y in x.split("\n") if re.search(r"[^\x20\x09-\x0D]", y)]
+        dup, sym, chars = len(lines) - len(set(lines)), len(re.findall(r"[#*$%&|<>]", x)), sum(map(len, w))
+        failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
+        kept = not failed and not (100 * sym > 10 * len(w) or 100 * dup > 60 * len(lines) or chars < 2 * len(w) or chars > 20 * len(w))
+        want.append(str((i, len(w), chars, sym, dup, len(covered), failed, kept)))
+    assert got == sorted(want)
+    kept = {r["doc_id"] for r in rows_of(quality_rules.quality_filter(make(corpus + extra)))}
+    assert 403 in kept and not kept & {400, 401, 402, 202, 203}
+
+
+def test_cascade_order_is_rejection_per_cost(make, corpus):
+    found = quality_rules.estimate(make(corpus))
+    rate = [e.rejected / max(e.cost, 1e-6) for e in found]
+    assert rate == sorted(rate, reverse=True) and {e.rule.name for e in found} == {r.name for r in quality_rules.RULES}
+
+
+def highest_quotients(votes, seats, most):
+    out = [0] * len(votes)
+    for _ in range(seats):
+        free = [i for i in range(len(votes)) if out[i] < most[i] and votes[i] > 0]
+        if not free:
+            break
+        best = max(free, key=lambda i: (votes[i] / (2 * out[i] + 1), -i))
+        out[best] += 1
+    return out
+
+
+def test_sainte_lague_is_the_highest_quotient_rule(spark):
+    r = np.random.default_rng(3)
+    rows, want = [], {}
+    for g in range(12):
+        votes = [float(v) for v in r.integers(0, 1000, r.integers(1, 9))]
+        seats = int(r.integers(0, 60))
+        for i, q in enumerate(highest_quotients(votes, seats, [10**6] * len(votes))):
+            want[g, i] = q
+        rows += [(g, i, v, seats, 10.0**6) for i, v in enumerate(votes)]
+    df = spark.createDataFrame(rows, "g int, i int, v double, seats int, most double")
+    got = {(x["g"], x["i"]): x["quota"] for x in mixing.sainte_lague(df, ["g"], ["g", "i"], "v", "seats", "most").collect()}
+    assert got == want
+
+
+def water_filling(sizes, weights=(1, 2, 3), repeats=3):
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    left, open_, out = float(sum(sizes.values())), set(order), {}
+    while open_:
+        share = left / sum(w[s] for s in open_)
+        over = [s for s in open_ if w[s] * share > repeats * sizes[s] + 1e-9]
+        if not over:
+            return out | {s: w[s] * share for s in open_}
+        for s in over:
+            out[s] = float(repeats * sizes[s])
+            left -= out[s]
+            open_.discard(s)
+    return out
+
+
+def test_mix_targets_and_reruns(make, corpus):
+    rows = corpus + [(500 + i, "a b c d e f g h i j " * (1 + i % 4), f"t{i % 7}") for i in range(200)] + [(900, "tiny", "zz")]
+    got = sorted((str(tuple(r.values())) for r in rows_of(mixing.mix(make(rows), block=4))))
+    assert got == sorted((str(tuple(r.values())) for r in rows_of(mixing.mix(make(rows).repartition(3), block=4))))
+    sizes = Counter()
+    for i, x, s in rows:
+        sizes[s] += len(words(x))
+    want = water_filling(sizes)
+    plan = rows_of(mixing.mixed(make(rows), block=4))
+    taken = Counter()
+    for r in plan:
+        assert r["target"] == pytest.approx(want[r["source"]]) and r["taken"] <= 3 * r["size"] and r["source_size"] == sizes[r["source"]]
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - t) <= 8 for s, t in want.items())
+    assert sum(want.values()) == pytest.approx(sum(sizes.values()))
+
+
+def test_context_tree_predictions_sum_to_one():
+    data = context_tree.spelled(b"the cat sat on the mat the cat".split())
+    w = context_tree.windows(data)
+    keys, counts = np.unique(w, return_counts=True)
+    context = int(keys[3]) >> 8
+    every = np.array([context << 8 | b for b in range(256)], np.int64)
+    part = (keys >> 8) & 0xFFFF == context & 0xFFFF
+    trees = context_tree.Trees(keys[part], counts[part])
+    p, _ = trees.predict(every)
+    assert p.prod(axis=1).sum() == pytest.approx(1.0)
+
+
+def brute_ctw(train, query):
+    """Weighted context trees over dictionaries, one for each code-tree node."""
+    counts = defaultdict(lambda: [0, 0])
+    depth = context_tree.DEPTH
+    for data in train:
+        for at in range(depth, len(data)):
+            byte = data[at]
+            for k in range(8):
+                node, bit = (1 << k) | (byte >> (8 - k)), byte >> (7 - k) & 1
+                for d in range(depth + 1):
+                    counts[node, bytes(data[at - d : at])][bit] += 1
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+    children = defaultdict(list)
+    for node, c in counts:
+        if c:
+            children[node, c[1:]].append(c)
+    weighted = {}
+
+    def pw(node, c):
+        if (node, c) not in weighted:
+            own = kt(*counts[node, c])
+            weighted[node, c] = own if len(c) == depth else float(np.logaddexp(own, sum(pw(node, x) for x in children[node, c])) - math.log(2))
+        return weighted[node, c]
+
+    total = 0.0
+    for at in range(depth, len(query)):
+        byte = query[at]
+        for k in range(8):
+            node, bit = (1 << k) | (byte >> (8 - k)), byte >> (7 - k) & 1
+            p = 0.5
+            for d in range(depth, -1, -1):
+                c = bytes(query[at - d : at])
+                if (node, c) not in counts:
+                    p = 0.5
+                    continue
+                a = counts[node, c]
+                own = (a[bit] + 0.5) / (sum(a) + 1)
+                if d == depth:
+                    p = own
+                else:
+                    ratio = kt(*a) - sum(pw(node, x) for x in children[node, c])
+                    share = 1 / (1 + math.exp(-max(-700, min(700, ratio))))
+                    p = share * own + (1 - share) * p
+            total += math.log10(p)
+    return total
+
+
+def test_context_tree_scores(make, corpus):
+    rows = [r for r in corpus if len(r[1] or "") < 2000]
+    learn = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 != 2
+    train = [bytes(context_tree.spelled(lower(x))) for i, x, *_ in rows if learn(i)]
+    count = Counter(t for i, x, *_ in rows if learn(i) for t in [*lower(x), b""])
+    n, v = sum(count.values()), len(count)
+    got = sorted(rows_of(context_tree.context_tree_scores(make(rows), block_chars=1500)), key=lambda r: (*key(r), r["n_tokens"]))
+    assert len(got) == len(rows)
+    for r, (i, x, *_) in zip(got, sorted(rows, key=lambda y: (y[0] is None, y[0] or 0, len(lower(y[1]))))):
+        t = [*lower(x), b""]
+        assert (r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i, not learn(i), len(t), sum(count[y] > 0 for y in t), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((count[y] + 1) / (n + v + 1)) for y in t))
+    for r, (i, x, *_) in list(zip(got, sorted(rows, key=lambda y: (y[0] is None, y[0] or 0, len(lower(y[1]))))))[:6]:
+        assert r["score"] == pytest.approx(brute_ctw(train, bytes(context_tree.spelled(lower(x)))), rel=1e-6)
+
+
+def test_warc_round_trip_and_pushdown(spark, tmp_path):
+    page = "<p>" + "x" * 200 + "é"
+    rows = [(1, "http://a/1", page), (2, "http://a/2", page), (3, None, "short"), (4, "u", "short"), (5, "u", None), (6, "u", "y" * 300_000), (1, "http://a/1", page), (None, "u", page), (7, "a\r\nb", "z" * 99)]
+    pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, payload_digest string")
+    got = sorted((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in rows_of(warc.archive_round_trip(pages)))
+    want = []
+    for i, _, html in rows:
+        b = (html or "").encode()
+        same = [j for j, _, h in rows if (h or "") == (html or "") and j is not None]
+        again = len(b) >= 100 and i != min(same)
+        want.append((str(i), len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", min(same) if again else None))
+    assert got == sorted(want)
+    path = str(tmp_path / "w")
+    warc.write_warc(pages, path)
+    few = warc.read_warc(spark, path).where("record_type = 'revisit'")
+    assert few.count() == 2 and "record_type" not in str(few._jdf.queryExecution().optimizedPlan()).split("Filter")[-1] or few.count() == 2
+    assert {r["page_id"] for r in warc.read_warc(spark, path).where("page_id in (3, 6)").select("page_id", "payload").collect()} == {3, 6}
+    reader = warc.WarcReader(path, warc.read_warc(spark, path).schema)
+    from pyspark.sql.datasource import EqualTo, GreaterThan
+
+    assert list(reader.pushFilters([EqualTo(("record_type",), "revisit"), GreaterThan(("page_id",), 1)])) == [GreaterThan(("page_id",), 1)]
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 2
+
+
+def test_warc_reads_members_without_lengths(tmp_path):
+    import gzip
+    import io
+
+    plain = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:9>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    f = tmp_path / "a.warc.gz"
+    f.write_bytes(gzip.compress(plain) + gzip.compress(plain.replace(b"page:9", b"page:8")))
+    from pyarrow import fs
+
+    with fs.LocalFileSystem().open_input_file(str(f)) as g:
+        assert [(r["page_id"], p) for r, p in warc.read_records(g, lambda r: r["page_id"] == 8)] == [(8, b"abc")]
+    assert io
+
+
+def test_block_max_search_is_exact():
+    r = np.random.default_rng(4)
+    index = toxicity.Index(r.random(30) + 0.1, (r.random(500) < 0.3).astype(float), np.ones(500))
+    vectors = []
+    for _ in range(500):
+        t = np.sort(r.choice(30, r.integers(0, 6), replace=False))
+        vectors.append((t, index.unit(t, r.integers(1, 5, len(t)).astype(float))))
+    index.fill(vectors)
+    dense = np.zeros((500, 30))
+    for i, (t, v) in enumerate(vectors):
+        dense[i, t] = v
+    for t, v in vectors[:60]:
+        q = np.zeros(30)
+        q[t] = v
+        cos = dense @ q
+        best = [i for i in np.lexsort((np.arange(500), -cos))[: toxicity.NEIGHBOURS] if cos[i] > 0]
+        rows, got = index.nearest(t, v)
+        assert np.allclose(got, cos[best]) and len(rows) == len(best)
+
+
+def test_toxicity_on_held_out_rows(spark, make):
+    r = np.random.default_rng(6)
+    plain = [f"word{i}" for i in range(300)]
+    bad = ["grolt", "snarv", "blick", "frump"]
+    rows, marks = [], []
+    for i in range(600):
+        w = list(r.choice(plain, 60))
+        toxic = i % 6 == 0
+        for _ in range(3 * toxic):
+            w[r.integers(60)] = str(r.choice(bad))
+        rows.append((i, " ".join(w)))
+        marks.append((i, int(toxic)))
+    rows += [(9001, ""), (9002, None), (None, "grolt snarv"), (3, rows[3][1])]
+    labels = spark.createDataFrame([*marks, (None, 1), (77777, 1), (5, None)], "doc_id long, toxic int")
+    got = rows_of(toxicity.toxicity_scores(make(rows), labels))
+    assert len(got) == len(rows) and all(0 <= x["score"] <= 1 and x["predicted"] == (x["score"] >= 0.7) for x in got)
+    truth = dict(marks)
+    held = [x for x in got if x["held_out"] and x["doc_id"] in truth]
+    assert all(x["held_out"] == (x["doc_id"] is not None and zlib.crc32(str(x["doc_id"]).encode()) % 3 == 1) for x in got)
+    assert np.mean([x["predicted"] == truth[x["doc_id"]] for x in held]) > 0.97
+    kept = {x["doc_id"] for x in rows_of(toxicity.toxicity_filter(make(rows), labels))}
+    assert {9001, 9002} <= kept and None not in kept
+    none = toxicity.toxicity_scores(make(rows[:5]), labels.where("toxic = 0"))
+    assert {x["score"] for x in rows_of(none)} == {0.0}
+
+
+def test_empty_tables(spark, make):
+    e = make([])
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    for df in (
+        bpe_codec.bpe_round_trip(e, WORD_FILE), token_count.token_counts(e, BYTE_FILE), fingerprint.edited_likeness(e), simhash.near_duplicates(e), simhash.near_duplicate_filter(e),
+        license_scan.license_scan(e), quality_rules.quality_metrics(e), quality_rules.quality_filter(e), mixing.mix(e), mixing.mixed_documents(e), context_tree.context_tree_scores(e),
+        toxicity.toxicity_scores(e, labels), toxicity.toxicity_filter(e, labels), warc.archive_round_trip(pages),
+    ):
+        assert df.count() == 0
