@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 FACTS = "imports array<string>, symbols array<struct<kind: string, name: string, lineno: int>>, main_guard boolean, ast_error string"
 TREE = (
     "functions array<struct<name: string, qualname: string, lineno: int>>, classes array<struct<name: string, qualname: string, lineno: int>>, "
@@ -84,23 +86,22 @@ def _tree_facts(content: bytes | None) -> dict:
     return out
 
 
-@F.pandas_udf(FACTS)
-def _module_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _facts_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for contents in batches:
         yield pd.DataFrame([_module_facts(c) for c in contents], columns=["imports", "symbols", "main_guard", "ast_error"])
 
 
-@F.pandas_udf(TREE)
-def _tree_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _trees_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for contents in batches:
         yield pd.DataFrame([_tree_facts(c) for c in contents], columns=["functions", "classes", "imports", "calls", "config_references", "ast_error"])
 
 
 def module_facts(content: Column) -> Column:
     """Top-level imports, symbols, main guard and error of a Python source."""
-    return _module_udf(content)
+    return F.pandas_udf(_facts_of, FACTS)(content)
 
 
 def analyze(files: DataFrame) -> DataFrame:
     """files (path, content) -> file_path and full-tree facts, one row a Python file."""
-    return files.where(F.lower("path").endswith(".py")).select(F.col("path").alias("file_path"), _tree_udf("content").alias("t")).select("file_path", "t.*")
+    ship(files.sparkSession)
+    return files.where(F.lower("path").endswith(".py")).select(F.col("path").alias("file_path"), F.pandas_udf(_trees_of, TREE)("content").alias("t")).select("file_path", "t.*")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import profiles as P
 from ..functions import columns as C
+from ..shipping import ship
 from .pyast import module_facts
 
 
@@ -26,6 +27,7 @@ def scan_files(spark: SparkSession, root: str, skip_dirs: tuple[str, ...] = P.SK
 
 def build_manifest(files: DataFrame, explicit: tuple[str, ...] = ()) -> DataFrame:
     """files (path, size, content) -> manifest rows; only Python files are parsed."""
+    ship(files.sparkSession)
     is_py = C.language(F.col("path")) == "python"
     facts = module_facts(F.when(is_py, F.col("content")))
     rows = files.select("path", "size", F.sha2("content", 256).alias("sha256"), C.language(F.col("path")).alias("language"), C.module_name(F.col("path")).alias("module"), facts.alias("f"))
