@@ -38,7 +38,7 @@ def run_audit(spark: SparkSession, root: str, trace: DataFrame | None = None, mo
     if last < 2:
         return out
     static = stored(pyast.analyze(files), "static")
-    out["summary"]["static"] = static.agg(F.sum(F.size("functions")).alias("functions"), F.sum(F.size("classes")).alias("classes"), F.sum(F.size("calls")).alias("calls"), F.count_if("ast_error <> ''").alias("errors")).first().asDict()
+    out["summary"]["static"] = static.agg(F.sum(F.size("functions")).alias("functions"), F.sum(F.size("classes")).alias("classes"), F.sum(F.size("calls")).alias("calls"), F.count_if(F.col("ast_error") != "").alias("errors")).first().asDict()
     if last < 3:
         return out
     nodes, edges = build_graph.build_graph(static, files.select("path"))

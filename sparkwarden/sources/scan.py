@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from pathlib import Path
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,18 +16,45 @@ from ..shipping import ship
 from .pyast import module_facts
 
 
+def _filesystem(root: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(root if "://" in root else Path(root).absolute().as_uri())
+
+
+def list_files(root: str, skip_dirs: tuple[str, ...] = P.SKIP_DIRS, skip_suffixes: tuple[str, ...] = P.SKIP_SUFFIXES) -> list[tuple[str, int]]:
+    """Relative path and size of every file; skipped folders are never listed.
+
+    Spark's own file sources leave out empty files and names that begin with an underscore,
+    which source trees have.
+    """
+    files, top = _filesystem(root)
+    todo, out = [top], []
+    while todo:
+        for f in files.get_file_info(fs.FileSelector(todo.pop())):
+            if f.type == fs.FileType.Directory:
+                if f.base_name not in skip_dirs:
+                    todo.append(f.path)
+            elif not f.base_name.lower().endswith(skip_suffixes):
+                out.append((f.path[len(top) :].lstrip("/"), f.size))
+    return sorted(out)
+
+
 def scan_files(spark: SparkSession, root: str, skip_dirs: tuple[str, ...] = P.SKIP_DIRS, skip_suffixes: tuple[str, ...] = P.SKIP_SUFFIXES) -> DataFrame:
     """path (relative to root), size, content of all files but those below skipped folders or
-    with a skipped suffix."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").split("://")[-1].split(":")[-1]
-    path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), f"^/*{base.lstrip('/')}/", "")
-    rows = files.select(path.alias("path"), F.col("length").alias("size"), "content")
-    inside = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
-    bad_suffix = F.lit(False)
-    for s in skip_suffixes:
-        bad_suffix = bad_suffix | F.lower("path").endswith(s)
-    return rows.where(~F.arrays_overlap(inside, C.any_of(skip_dirs)) & ~bad_suffix)
+    with a skipped suffix.  Names are listed on the driver, contents read by the executors."""
+    listed = spark.createDataFrame(list_files(root, skip_dirs, skip_suffixes), "path string, size long")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, top = _filesystem(root)
+        for rows in batches:
+            for at in range(0, len(rows), 64):
+                part = rows.iloc[at : at + 64]
+                contents = []
+                for p in part["path"]:
+                    with files.open_input_stream(f"{top}/{p}", compression=None) as f:
+                        contents.append(f.read())
+                yield part.assign(content=contents)
+
+    return listed.mapInPandas(read, "path string, size long, content binary")
 
 
 def build_manifest(files: DataFrame, explicit: tuple[str, ...] = ()) -> DataFrame:
