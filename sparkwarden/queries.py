@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from . import profiles as P
 from .functions import columns as C
-from .operators import evidence, graph, pairs, ranking, resolve, rules, sequence, similarity
+from .operators import evidence, graph, pairs, ranking, resolve, rules, sequence, similarity, traces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -552,3 +552,78 @@ def probe_priorities(spark, d):
     r = evidence.reference_counts(edges(spark, d)).withColumns({"hits": F.lit(0), "preferred": F.lit(False), "kind": F.lit("file"), "unexplored": F.col("outbound")})
     seeds = ranking.seed_priority(r).withColumnRenamed("priority", "seed")
     return ranking.probe_priority(seeds).select("node_id", "seed", F.col("priority").alias("probe"))
+
+
+CALLS_SQL = f"""{TRACE_SQL}, k AS (SELECT run_id, seq, event, event_type AS node_id, coalesce(lag(event_type) OVER (PARTITION BY run_id ORDER BY seq), '') AS caller FROM t)"""
+
+
+def _calls(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("run_id").orderBy("seq")
+    return trace(spark, d).select("run_id", "seq", "event", F.col("event_type").alias("node_id"), F.coalesce(F.lag("event_type").over(w), F.lit("")).alias("caller"), F.lit(1).alias("depth"))
+
+
+@query(f"""WITH {CALLS_SQL}, c AS (SELECT run_id, count(*) AS events, count(*) FILTER (event = 'call') AS calls, count(*) FILTER (event = 'import') AS imports, count(DISTINCT node_id) FILTER (event = 'call') AS nodes FROM k GROUP BY 1)
+SELECT run_id, events, calls, imports, nodes, CASE WHEN run_id % 11 = 0 AND events > 0 THEN 'PARTIAL_SUCCESS' WHEN run_id % 7 = 0 THEN 'CRASHED' WHEN calls > 0 THEN 'CALL_ACTIVITY' WHEN imports > 0 THEN 'IMPORT_ONLY' WHEN events = 0 THEN 'NO_OP' ELSE 'NO_CALL_ACTIVITY' END AS label FROM c""")
+def run_labels(spark, d):
+    c = traces.run_counters(_calls(spark, d)).drop("max_depth")
+    return c.withColumn("label", traces.run_label(F.col("run_id") % 11 == 0, F.when(F.col("run_id") % 7 == 0, 1).otherwise(0), F.col("calls"), F.col("imports"), F.col("events")))
+
+
+@query(f"WITH {CALLS_SQL} SELECT count(DISTINCT run_id) AS runs, count(*) AS events, count(*) FILTER (event = 'call') AS calls, count(DISTINCT node_id) FILTER (event = 'call') AS nodes, count(DISTINCT caller || '>' || node_id) FILTER (event = 'call' AND caller <> '') AS edges FROM k")
+def trace_summary(spark, d):
+    return traces.trace_summary(_calls(spark, d))
+
+
+@query(f"WITH {CALLS_SQL} SELECT DISTINCT caller AS source, node_id AS target FROM k WHERE event = 'call' AND caller <> ''")
+def flow_edges(spark, d):
+    return traces.flow_edges(_calls(spark, d))
+
+
+@query("""WITH o AS (SELECT s_suppkey, s_suppkey % 60 AS calls, s_suppkey % 3 AS imports, s_suppkey % 12 AS u, s_suppkey % 5 AS depth, s_suppkey % 2 AS local, s_suppkey % 400 AS nodes, s_suppkey % 9 AS hit FROM supplier)
+SELECT s_suppkey, array_to_string(list_concat(CASE WHEN calls <= 0 AND imports > 0 THEN ['only_imports'] ELSE [] END, CASE WHEN calls < least(50, greatest(10, u)) THEN ['few_calls'] ELSE [] END, CASE WHEN u < least(10, greatest(3, ceil(0.03::DOUBLE * greatest(1, nodes)))) THEN ['few_callees'] ELSE [] END,
+  CASE WHEN depth < 3 THEN ['shallow_calls'] ELSE [] END, CASE WHEN local < 1 THEN ['no_local_calls'] ELSE [] END, CASE WHEN calls > 0 AND hit = 0 THEN ['no_hits_in_graph'] ELSE [] END, CASE WHEN hit::DOUBLE / greatest(1, nodes) < 0.02 THEN ['low_coverage'] ELSE [] END,
+  CASE WHEN (hit + 1)::DOUBLE / greatest(1, nodes) < 0.05 THEN ['low_reach'] ELSE [] END, CASE WHEN calls > 0 AND u > 0 AND hit = 0 THEN ['no_overlap'] ELSE [] END), ',') AS issues FROM o""")
+def runtime_gate(spark, d):
+    k = F.col("s_suppkey")
+    row = table(spark, d, "supplier").select(k, (k % 60).alias("calls"), (k % 3).alias("imports"), (k % 12).alias("unique"), (k % 5).alias("depth"), (k % 2).alias("local"), (k % 400).alias("nodes"), (k % 9).alias("hit_nodes"))
+    row = row.withColumns({"reached": F.col("hit_nodes") + 1, "static_edges": F.col("calls"), "runtime_edges": F.col("unique"), "shared_edges": F.col("hit_nodes")})
+    return traces.runtime_gate(row).select("s_suppkey", F.array_join("issues", ",").alias("issues"))
+
+
+@query("""WITH p AS (SELECT page_id, string_split(replace(regexp_replace(lower(url), '[_.\\-\\\\]', '/', 'g'), ':', '/'), '/') AS w FROM pages)
+SELECT page_id, CASE WHEN list_has_any(w, ['api', 'rest', 'http', 'web']) THEN 'api' WHEN list_has_any(w, ['cli', 'command', 'commands', 'cmd']) THEN 'cli' WHEN list_has_any(w, ['job', 'jobs', 'worker', 'workers', 'scheduler', 'cron', 'background', 'queue', 'queues', 'task', 'tasks']) THEN 'background' ELSE 'other' END AS domain FROM p""")
+def entrypoint_domains(spark, d):
+    return table(spark, d, "pages").select("page_id", traces.entrypoint_domain(F.col("url")).alias("domain"))
+
+
+@query(f"""WITH {EDGES_SQL}, rev AS (SELECT DISTINCT target AS source, source AS target FROM g WHERE type = 'CALL'), o AS (SELECT source AS target, count(*) AS o FROM rev GROUP BY 1)
+SELECT source, rev.target, row_number() OVER (PARTITION BY source ORDER BY coalesce(o, 0) DESC, rev.target)::INT AS rank FROM rev LEFT JOIN o USING (target) QUALIFY rank <= 8""")
+def call_neighbours(spark, d):
+    e = edges(spark, d)
+    return traces.neighbours(e.select(F.col("target").alias("source"), F.col("source").alias("target"), "type"))
+
+
+@query("SELECT p_name AS path, count(DISTINCT p_partkey) AS ids FROM part GROUP BY 1 HAVING count(DISTINCT p_partkey) > 1")
+def identity_collisions(spark, d):
+    return traces.identity_collisions(table(spark, d, "part").select(F.col("p_partkey").alias("node_id"), F.col("p_name").alias("path")))
+
+
+@query("""WITH l AS (SELECT p_brand AS f, p_type AS t FROM part), b AS (SELECT sum(n * (n - 1) / 2) AS p FROM (SELECT count(*) AS n FROM l GROUP BY f, t)), x AS (SELECT sum(n * (n - 1) / 2) AS f FROM (SELECT count(*) AS n FROM l GROUP BY f)), y AS (SELECT sum(n * (n - 1) / 2) AS t FROM (SELECT count(*) AS n FROM l GROUP BY t)),
+z AS (SELECT p::DOUBLE / f AS p, p::DOUBLE / t AS r FROM b, x, y) SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1 FROM z""")
+def pairwise_f1(spark, d):
+    return traces.pairwise_f1(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("found"), F.col("p_type").alias("truth")))
+
+
+@query("""WITH p AS (SELECT source || '/' || lang || '/' || doc_id AS path, source AS folder FROM documents), f AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY path) AS k FROM p)
+SELECT folder, count(*) AS files, string_agg(path, ',' ORDER BY path) FILTER (k <= 20) AS sample FROM f GROUP BY 1""")
+def directory_coverage(spark, d):
+    docs = table(spark, d, "documents").select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"))
+    return traces.directory_coverage(docs).withColumn("sample", F.array_join("sample", ","))
+
+
+@query("""WITH s AS (SELECT DISTINCT o_custkey AS id, o_orderpriority || (o_orderkey % 4) AS name FROM orders), n AS (SELECT id, count(*) AS n, string_agg(name, ' ' ORDER BY name) AS t FROM s GROUP BY 1 HAVING count(*) >= 5),
+c AS (SELECT min(id) AS id, any_value(n) AS n FROM n GROUP BY t), k AS (SELECT s.* FROM s JOIN c USING (id)), p AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM k x JOIN k y ON x.name = y.name AND x.id < y.id GROUP BY ALL)
+SELECT a, b, shared::INT AS shared, round(shared::DOUBLE / (ca.n + cb.n - shared), 6) AS jaccard FROM p JOIN c ca ON ca.id = a JOIN c cb ON cb.id = b WHERE shared >= 5 AND shared::DOUBLE / (ca.n + cb.n - shared) >= 0.6""")
+def shared_names(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("file"), F.concat(F.col("o_orderpriority"), (F.col("o_orderkey") % 4).cast("string")).alias("name"))
+    return traces.shared_names(o).select("a", "b", "shared", F.round("jaccard", 6).alias("jaccard"))
