@@ -420,14 +420,16 @@ def depth_fold(spark, d):
     return sequence.call_depths(t)
 
 
-@query("""WITH m AS (SELECT DISTINCT split_part(regexp_replace(url, '^https?://', ''), '/', 1) AS module FROM pages WHERE page_id % 3 = 0),
-q AS (SELECT page_id AS id, replace(regexp_replace(regexp_replace(url, '^https?://', ''), '[?].*$', ''), '/', ' ') AS name FROM pages)
-SELECT id, name, CASE WHEN split_part(name, ' ', 1) IN (SELECT module FROM m) THEN split_part(name, ' ', 1) END AS path FROM q""")
+@query("""WITH q AS (SELECT page_id AS id, replace(regexp_replace(regexp_replace(url, '^https?://', ''), '[?].*$', ''), '/', ' ') AS name FROM pages)
+SELECT id, name, split_part(name, ' ', 1) || CASE WHEN split_part(name, ' ', 2) <> '' THEN ' ' || split_part(name, ' ', 2) ELSE '' END AS path FROM q""")
 def prefix_join(spark, d):
     p = table(spark, d, "pages")
-    bare = F.regexp_replace("url", "^https?://", "")
-    index = p.where("page_id % 3 = 0").select(F.split(bare, "/")[0].alias("module")).distinct().withColumn("path", F.col("module"))
-    names = p.select(F.col("page_id").alias("id"), F.translate(F.regexp_replace(bare, "[?].*$", ""), "/", " ").alias("name"))
+    name = F.translate(F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?].*$", ""), "/", " ")
+    names = p.select(F.col("page_id").alias("id"), name.alias("name"))
+    parts = F.split("name", " ")
+    # Every host and every host with its first folder is a module.
+    modules = F.array_compact(F.array(F.get(parts, F.lit(0)), F.when(F.get(parts, F.lit(1)) != "", F.array_join(F.slice(parts, 1, 2), " "))))
+    index = names.select(F.explode(modules).alias("module")).distinct().withColumn("path", F.col("module"))
     return resolve.longest_prefix(names, index, " ")
 
 
