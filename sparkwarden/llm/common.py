@@ -2,35 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.tables import scratch, shared_dir, stored  # noqa: F401
+from ..operators.tables import scratch, stored  # noqa: F401
+from ..shipping import ship  # noqa: F401
 
 #: The separators of the contracts' word classes, as a Java regular expression class.
 SPACE = r"[ \t-\r]"
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers (once per application)."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    out = Path(tempfile.mkdtemp(prefix="ship-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(p.relative_to(root.parent)))
-    sc.addPyFile(str(out))
-    _shipped.add(sc.applicationId)
-
-
 def text_of(column: str = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))
