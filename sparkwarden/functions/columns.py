@@ -77,17 +77,23 @@ def owner(path: Column) -> Column:
     """First path segment, or the first two below the roots that hold many owners."""
     s = segments(path)
     two = F.get(s, F.lit(0)).isin(*P.TWO_SEGMENT_OWNERS)
-    return F.when(F.size(s) == 0, "").otherwise(F.array_join(F.slice(s, 1, F.when(two, 2).otherwise(1)), "/"))
+    return F.when(F.size(s) == 0, "global").otherwise(F.array_join(F.slice(s, 1, F.when(two, 2).otherwise(1)), "/"))
+
+
+def context(path: Column, generic: tuple[str, ...] = P.GENERIC_SEGMENTS) -> Column:
+    """The first two path segments that are not generic, else global."""
+    named = F.filter(segments(path), lambda x: ~x.isin(*generic))
+    return F.when(F.size(named) == 0, "global").otherwise(F.array_join(F.slice(named, 1, 2), "/"))
 
 
 def is_service(path: Column) -> Column:
     s = segments(path)
-    return F.arrays_overlap(s, any_of(("service", "services"))) | F.coalesce(F.element_at(s, -1).endswith("service.py"), F.lit(False))
+    return F.array_contains(s, "services") | F.coalesce(F.get(s, F.size(s) - 1).endswith("service.py"), F.lit(False))
 
 
 def is_adapter(path: Column) -> Column:
     s = segments(path)
-    return F.arrays_overlap(s, any_of(("adapter", "adapters"))) | F.coalesce(F.element_at(s, -1).endswith("adapter.py"), F.lit(False))
+    return F.arrays_overlap(s, any_of(("adapter", "adapters"))) | F.coalesce(F.get(s, F.size(s) - 1).endswith("adapter.py"), F.lit(False))
 
 
 def is_persistence(path: Column) -> Column:
@@ -141,3 +147,54 @@ def entrypoint_reasons(path: Column, explicit: Column, main_guard: Column, symbo
             F.when(F.array_contains(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), "scripts"), "scripts_directory"),
         )
     )
+
+
+def file_name(path: Column) -> Column:
+    return F.coalesce(F.substring_index(F.lower(normalize_path(path)), "/", -1), F.lit(""))
+
+
+def is_test(path: Column) -> Column:
+    p, name = F.lower(normalize_path(path)), file_name(path)
+    return p.startswith("tests/") | name.startswith("test_") | name.endswith("_test.py")
+
+
+def is_excluded_seed(path: Column) -> Column:
+    """Paths that never seed a scenario: none, generated, installed, package and test files."""
+    p = F.lower(normalize_path(path))
+    return (p == "") | p.startswith("<") | p.rlike("(site|dist)-packages/") | p.endswith("/__init__.py") | p.rlike("(^|/)(tests/|test_)") | p.endswith("_test.py")
+
+
+def is_private(name: Column) -> Column:
+    n = F.trim(F.coalesce(name, F.lit("")))
+    return (n == "") | n.startswith("_") | n.startswith("test")
+
+
+def imports_any(imports: Column, packages: tuple[str, ...]) -> Column:
+    """Whether an import is one of the packages or below one."""
+    return F.coalesce(F.exists(imports, lambda i: F.substring_index(i, ".", 1).isin(*packages)), F.lit(False))
+
+
+def is_web_router(imports: Column) -> Column:
+    return imports_any(imports, P.WEB_PACKAGES)
+
+
+def is_cli_module(path: Column, imports: Column) -> Column:
+    return F.contains(file_name(path), F.lit("cli")) | F.lower(normalize_path(path)).startswith("scripts/") | imports_any(imports, P.CLI_PACKAGES)
+
+
+def is_below(path: Column, roots: tuple[str, ...]) -> Column:
+    """Whether a path, or the path of a node id, is below one of the roots."""
+    bare = F.regexp_replace(F.regexp_replace(normalize_path(path), "^canonical://[^/]+/", ""), "^[a-z]+:", "")
+    out = F.lit(False)
+    for r in roots:
+        out = out | bare.startswith(r.rstrip("/") + "/")
+    return out
+
+
+def file_category(path: Column, package: str, domains: tuple[str, ...]) -> Column:
+    """Taxonomy of a repository's files: package_root, domain, misplaced, tooling or orphan."""
+    parts = F.split(path, "/")
+    top, second = F.get(parts, F.lit(0)), F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
+    root = (F.size(parts) == 2) & second.isin("__init__.py", "__main__.py", "cli.py")
+    inside = F.when(root, "package_root").when(second.isin(*domains), "domain").otherwise("misplaced")
+    return F.when(top == package, inside).when(top == "tests", "domain").when(top == "tools", "tooling").otherwise("orphan")

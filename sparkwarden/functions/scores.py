@@ -147,3 +147,24 @@ def all_or_nothing(scores: Sequence[float]) -> float:
 
 def band(score: float, passed: float, degraded: float) -> str:
     return "PASS" if score >= passed else "DEGRADED" if score >= degraded else "FAIL"
+
+
+def report_scores(structure: Sequence[float], intent: Sequence[float], behaviour: Sequence[float]) -> dict[str, float]:
+    """Means of the three structural, intent and behavioural inputs."""
+    mean = lambda v: c01(sum(v) / len(v)) if v else 0.0
+    return {"structure": mean(structure), "intent": mean(intent), "behaviour": mean(behaviour)}
+
+
+def redundancy(duplicates: int, collisions: int, cross_context: int, high_overlap: int) -> float:
+    return c01(1 - min(1.0, 0.12 * duplicates + 0.12 * collisions + 0.08 * cross_context + 0.05 * high_overlap))
+
+
+def architectural_quality(intent: float, structure: float, violation_ratio: float, crossing_ratio: float, direct: int) -> float:
+    penalty = min(1.0, 0.55 * c01(violation_ratio) + 0.30 * c01(crossing_ratio) + min(0.15, 0.03 * direct))
+    return c01(0.60 * intent + 0.40 * structure - penalty)
+
+
+def design_quality(intent: float, structure: float, execution: float, confirmed: bool, signals: int) -> float:
+    intent_first = c01(0.70 * intent + 0.30 * execution)
+    structure_first = c01(0.65 * structure + 0.35 * execution)
+    return c01(0.40 * intent_first + 0.35 * structure_first + 0.25 * (1.0 if confirmed else c01(signals / 4)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import profiles as P
+from ..functions.columns import is_test
 
 
 def top_per_group(rows: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
@@ -93,3 +94,37 @@ def probe_priority(rows: DataFrame) -> DataFrame:
         + F.when(F.col("preferred"), 18.0).otherwise(0.0) + kind + F.when(degree <= 1, 10.0).otherwise(0.0)
     )
     return rows.withColumn("priority", F.round(p, 3))
+
+
+def focused_entrypoints(rows: DataFrame, limit: int) -> DataFrame:
+    """rows (path, category, score) -> path, category, score: the stratified choice.
+
+    First the best non-test path of every preferred category, in their order; then the rest
+    by score, with at most two scripts in all and tests only while fewer than three are
+    chosen; all rows if they are no more than the limit.  Once three are chosen no test
+    follows, so the number of admissible rows before a row decides, and windows replace the
+    greedy loop.  The table has one row an entrypoint.
+    """
+    limit = max(1, limit)
+    by_score = [F.desc("score"), F.col("path")]
+    place = F.lit(len(P.PREFERRED_CATEGORIES))
+    for i, c in reversed(list(enumerate(P.PREFERRED_CATEGORIES))):
+        place = F.when(F.col("category") == c, i).otherwise(place)
+    whole = Window.partitionBy()
+    r = rows.withColumn("place", place).withColumn("test", is_test(F.col("path"))).withColumn("all", F.count("*").over(whole))
+    best = F.row_number().over(Window.partitionBy("category", "test").orderBy(*by_score))
+    r = r.withColumn("lead", ~F.col("test") & (F.col("place") < len(P.PREFERRED_CATEGORIES)) & (best == 1))
+    r = r.withColumn("turn", F.when(F.col("lead"), F.row_number().over(Window.partitionBy("lead").orderBy("place"))))
+    r = r.withColumn("lead", F.coalesce(F.col("turn") <= limit, F.lit(False)))
+    chosen = F.sum(F.col("lead").cast("int")).over(whole)
+    scripts = F.sum((F.col("lead") & (F.col("category") == "script_file")).cast("int")).over(whole)
+    r = r.withColumn("chosen", chosen).withColumn("scripts", scripts)
+    script_turn = F.row_number().over(Window.partitionBy("lead", "category").orderBy(*by_score)) + F.col("scripts")
+    r = r.withColumn("open", ~F.col("lead") & ((F.col("category") != "script_file") | (script_turn <= 2)))
+    before = F.sum(F.col("open").cast("int")).over(Window.orderBy(*by_score).rowsBetween(Window.unboundedPreceding, -1))
+    r = r.withColumn("before", F.col("chosen") + F.coalesce(before, F.lit(0)))
+    # Of the admissible rows tests fall out from the third choice on.
+    r = r.withColumn("open", F.col("open") & ((F.col("category") != "test_file") | (F.col("before") < 3)))
+    taken = F.sum(F.col("open").cast("int")).over(Window.orderBy(*by_score).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    r = r.withColumn("taken", F.col("chosen") + taken)
+    return r.where((F.col("all") <= limit) | F.col("lead") | (F.col("open") & (F.col("taken") <= limit))).select("path", "category", "score")

@@ -63,6 +63,11 @@ LAYER_SEGMENTS = {
 PERSISTENCE_SEGMENTS = ("repository", "repositories", "store", "storage", "db", "database", "sql", "cache")
 PERSISTENCE_SUFFIXES = ("repository.py", "store.py", "storage.py", "db.py")
 CONTRACT_SEGMENTS = ("contract", "contracts", "interface", "interfaces", "event", "events", "schema", "schemas")
+GENERIC_SEGMENTS = ("apps", "archive", "config", "output", "scripts", "src", "state", "tests")
+WEB_PACKAGES = ("fastapi", "flask", "starlette", "django", "sanic", "quart", "aiohttp")
+CLI_PACKAGES = ("argparse", "click", "typer", "fire", "docopt", "cmd")
+#: Categories whose best entrypoint is chosen first, in this order.
+PREFERRED_CATEGORIES = ("explicit_config", "web_router", "main_guard", "manifest_entrypoint", "cli_definition", "filename_heuristic", "script_file")
 TWO_SEGMENT_OWNERS = ("apps", "src", "tests")
 
 #: Substrings that name a role; the first role in this order wins.

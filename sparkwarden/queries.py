@@ -283,7 +283,7 @@ f AS (SELECT *, {_layer_sql('source_path')} AS sl, {_layer_sql('target_path')} A
   string_split(lower(source_path), '/') AS ss, string_split(lower(target_path), '/') AS ts FROM e),
 v AS (
   SELECT 'LAYER_DIRECTION_VIOLATION' AS rule_id, 'HIGH' AS severity, * FROM f WHERE tl <> 'unknown' AND ({' OR '.join(f"(sl = '{k}' AND tl NOT IN ({', '.join(repr(x) for x in a)}))" for k, a in P.ALLOWED_LAYERS.items() if k != 'unknown')})
-  UNION ALL SELECT 'SERVICE_IMPORTS_ADAPTER', 'MEDIUM', * FROM f WHERE (list_has_any(ss, ['service', 'services']) OR ss[-1] LIKE '%service.py') AND (list_has_any(ts, ['adapter', 'adapters']) OR ts[-1] LIKE '%adapter.py')
+  UNION ALL SELECT 'SERVICE_IMPORTS_ADAPTER', 'MEDIUM', * FROM f WHERE (list_contains(ss, 'services') OR ss[-1] LIKE '%service.py') AND (list_has_any(ts, ['adapter', 'adapters']) OR ts[-1] LIKE '%adapter.py')
   UNION ALL SELECT 'DIRECT_STATE_CHANGE_BYPASSES_ORCHESTRATOR', 'MEDIUM', * FROM f WHERE sl = 'api' AND (list_has_any(ts, {list(P.PERSISTENCE_SEGMENTS)}) OR {' OR '.join(f"ts[-1] LIKE '%{x}'" for x in P.PERSISTENCE_SUFFIXES)}) AND NOT list_contains(ss, 'orchestrator')
   UNION ALL SELECT 'OWNERSHIP_BOUNDARY_CROSSING', 'LOW', * FROM f WHERE so <> '' AND tw <> '' AND so <> tw AND NOT list_has_any(ss, {list(P.CONTRACT_SEGMENTS)}) AND NOT list_has_any(ts, {list(P.CONTRACT_SEGMENTS)}))"""
 
@@ -629,3 +629,18 @@ SELECT a, b, shared::INT AS shared, round(shared::DOUBLE / (ca.n + cb.n - shared
 def shared_names(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("file"), F.concat(F.col("o_orderpriority"), (F.col("o_orderkey") % 4).cast("string")).alias("name"))
     return traces.shared_names(o).select("a", "b", "shared", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query("""WITH p AS (SELECT p_partkey, (['tests/a.py', 'src/x/test_b.py', 'lib/site-packages/c.py', 'scripts/cli_run.py', 'pkg/__init__.py', 'pkg/core/d.py', 'tools/e.py', 'pkg/odd/f_test.py', '<string>'])[p_partkey % 9 + 1] AS path, (['fastapi.routing', 'os', 'click', 'flask'])[p_size % 4 + 1] AS imp FROM part),
+q AS (SELECT *, regexp_extract(path, '[^/]*$') AS name FROM p)
+SELECT p_partkey, path LIKE 'tests/%' OR name LIKE 'test\\_%' ESCAPE '\\' OR name LIKE '%\\_test.py' ESCAPE '\\' AS is_test,
+  path LIKE '<%' OR path LIKE '%site-packages/%' OR path LIKE '%/\\_\\_init\\_\\_.py' ESCAPE '\\' OR path LIKE 'tests/%' OR path LIKE '%/test\\_%' ESCAPE '\\' OR path LIKE '%\\_test.py' ESCAPE '\\' AS excluded,
+  imp IN ('fastapi.routing', 'flask') AS web, name LIKE '%cli%' OR path LIKE 'scripts/%' OR imp = 'click' AS cli,
+  CASE path WHEN 'tests/a.py' THEN 'domain' WHEN 'tools/e.py' THEN 'tooling' WHEN 'pkg/__init__.py' THEN 'package_root' WHEN 'pkg/core/d.py' THEN 'domain' WHEN 'pkg/odd/f_test.py' THEN 'misplaced' ELSE 'orphan' END AS category FROM q""")
+def path_predicates(spark, d):
+    p = table(spark, d, "part")
+    paths = ("tests/a.py", "src/x/test_b.py", "lib/site-packages/c.py", "scripts/cli_run.py", "pkg/__init__.py", "pkg/core/d.py", "tools/e.py", "pkg/odd/f_test.py", "<string>")
+    path = F.element_at(F.array(*[F.lit(x) for x in paths]), (F.col("p_partkey") % 9 + 1).cast("int"))
+    imports = F.array(F.element_at(F.array(*[F.lit(x) for x in ("fastapi.routing", "os", "click", "flask")]), F.col("p_size") % 4 + 1))
+    rows = p.select("p_partkey", path.alias("path"), imports.alias("imports"))
+    return rows.select("p_partkey", C.is_test(F.col("path")).alias("is_test"), C.is_excluded_seed(F.col("path")).alias("excluded"), C.is_web_router(F.col("imports")).alias("web"), C.is_cli_module(F.col("path"), F.col("imports")).alias("cli"), C.file_category(F.col("path"), "pkg", ("core",)).alias("category"))

@@ -190,3 +190,34 @@ def test_partitioning_does_not_matter(spark):
     want = sorted(map(tuple, evidence.heat(nodes, edges, trace, reach).collect()))
     for n in (1, 7):
         assert sorted(map(tuple, evidence.heat(nodes.repartition(n), edges.repartition(n).orderBy(F.desc("type")), trace, reach).collect())) == want
+
+
+def greedy(rows, limit):
+    """The stratified choice as a loop."""
+    from sparkwarden import profiles as P
+
+    rows = sorted(rows, key=lambda r: (-r[2], r[0]))
+    test = lambda p: p.startswith("tests/") or p.split("/")[-1].startswith("test_")
+    if len(rows) <= limit:
+        return set(rows)
+    out = []
+    for c in P.PREFERRED_CATEGORIES:
+        best = [r for r in rows if r[1] == c and not test(r[0])]
+        if best and len(out) < limit:
+            out.append(best[0])
+    for r in rows:
+        if len(out) >= limit:
+            break
+        if r in out or (r[1] == "script_file" and sum(x[1] == "script_file" for x in out) >= 2) or (r[1] == "test_file" and len(out) >= 3):
+            continue
+        out.append(r)
+    return set(out)
+
+
+def test_stratified_choice_is_the_greedy_one(spark):
+    r = random.Random(9)
+    for limit in (1, 3, 5, 9):
+        kinds = ["explicit_config", "main_guard", "script_file", "test_file", "web_router", "unknown"][: r.randint(2, 6)]
+        rows = [(("tests/" if k == "test_file" and i % 2 else "") + f"p{i:02d}.py", k, float(r.randint(0, 6))) for i, k in ((i, r.choice(kinds)) for i in range(14))]
+        got = {tuple(x) for x in ranking.focused_entrypoints(spark.createDataFrame(rows, "path string, category string, score double"), limit).collect()}
+        assert got == greedy(rows, limit)
