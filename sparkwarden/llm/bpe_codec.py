@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -199,6 +200,19 @@ def _written(path: str) -> _Kept:
     return _Kept(stretch)
 
 
+@lru_cache(maxsize=4)
+def _known_ids(path: str) -> _Kept:
+    """Stretch to its ids; pretokens are kept apart."""
+    c = codec(path)
+    words = _Kept(lambda p: tuple(c.encode_word(spelled(p))))
+
+    def stretch(s: str) -> tuple[int, ...]:
+        found = c.pretokens(s)
+        return words[found[0]] if len(found) == 1 else tuple([i for p in found for i in words[p]])
+
+    return _Kept(stretch)
+
+
 def bpe_encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Every whole text's ids: doc_id, ids (array of int).
 
@@ -210,8 +224,19 @@ def bpe_encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(vocabulary)
+        get = _known_ids(vocabulary).__getitem__
         for texts in batches:
-            yield pd.Series([c.encode(t) for t in texts])
+            out = []
+            for t in texts:
+                row: list[int] = []
+                for special, part in c.parts(t):
+                    if special:
+                        row.append(c.table.added[part])
+                    else:
+                        for found in map(get, c.stretches(part)):
+                            row += found
+                out.append(np.array(row, np.int32))
+            yield pd.Series(out)
 
     return dealt(docs, "doc_id", "text").select("doc_id", ids(text_of()).alias("ids"))
 
