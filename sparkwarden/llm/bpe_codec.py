@@ -36,6 +36,8 @@ from .vocab import Merges, merges, spelled
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 NOT_WHITE = re.compile(f"[^{WHITE}]+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Encoded stretches kept per Python worker beside other stages' memory: a bound, not on texts.
+KEPT_IDS = 250_000
 NEVER = 1 << 60
 
 
@@ -204,13 +206,13 @@ def _written(path: str) -> _Kept:
 def _known_ids(path: str) -> _Kept:
     """Stretch to its ids; pretokens are kept apart."""
     c = codec(path)
-    words = _Kept(lambda p: tuple(c.encode_word(spelled(p))))
+    words = _Kept(lambda p: tuple(c.encode_word(spelled(p))), KEPT_IDS)
 
     def stretch(s: str) -> tuple[int, ...]:
         found = c.pretokens(s)
         return words[found[0]] if len(found) == 1 else tuple([i for p in found for i in words[p]])
 
-    return _Kept(stretch)
+    return _Kept(stretch, KEPT_IDS)
 
 
 def bpe_encode(docs: DataFrame, vocabulary: str) -> DataFrame:

@@ -66,12 +66,12 @@ def merged_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
 class _Kept(dict):
     """A table that computes what it misses and starts anew when full."""
 
-    def __init__(self, compute):
-        self.compute = compute
+    def __init__(self, compute, most: int = KEPT):
+        self.compute, self.most = compute, most
 
     def __missing__(self, key: str):
         value = self.compute(key)
-        if len(self) >= KEPT:
+        if len(self) >= self.most:
             self.clear()
         self[key] = value
         return value
