@@ -19,8 +19,9 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.components import connected_components
 from .common import dealt, ship, stored, text_of
@@ -247,8 +248,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 2) -> Data
 
 
 #: The filter's shingles and likeness, its bits over single words, and the bits over
-#: shingles beyond which a pair is not looked at more closely.
+#: shingles beyond which the first pass does not link a pair.
 FILTER_WORDS, LIKENESS, FILTER_BITS, CHECK_BITS = 5, 0.8, 2, 14
+#: Shingles whose hash is less than this (three in eight) are counted first.
+SAMPLE = np.uint64(3 << 61)
+
+
+def _node(text: str) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(text.encode("utf-8", "replace").lower().split()))).astype(np.int64))
 
 
 def _shingle_set(text: str, words: int) -> np.ndarray:
@@ -257,43 +264,118 @@ def _shingle_set(text: str, words: int) -> np.ndarray:
     return np.unique(np.fromiter([xxhash.xxh3_64_intdigest(b" ".join(found[i : i + k])) for i in range(len(found) - k + 1 if k else 0)], np.uint64)).view(np.int64)
 
 
+def _least_shared(size: Column, likeness: float) -> Column:
+    """The fewest elements that a set of this size shares with any set so much like it."""
+    return F.ceil(F.lit(likeness) * size - 1e-6)
+
+
+def _with_company(rows: DataFrame, nodes: DataFrame, likeness: float) -> DataFrame:
+    """rows (node, sample), nodes (node, size) -> node: all that can have a near copy.
+
+    A set lacks at most size - least shared of its shingles in its near copy, so of its
+    sampled ones all but so many occur in another set too.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [(rows["token"].to_numpy(np.int64), rows["node"].to_numpy(np.int64)) for rows in batches if len(rows)]
+        if not parts:
+            return
+        token, node = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(token, kind="stable")
+        token, node = token[order], node[order]
+        same = token[1:] == token[:-1]
+        found = np.zeros(len(token), bool)
+        found[1:] |= same
+        found[:-1] |= same
+        which, count = np.unique(node[found], return_counts=True)
+        yield pd.DataFrame({"node": which, "met": count})
+
+    once = rows.dropDuplicates(["node"])
+    counts = once.select("node", F.explode("sample").alias("token")).repartition(n, "token").mapInPandas(met, "node long, met long").groupBy("node").agg(F.sum("met").alias("met"))
+    sampled = once.select("node", F.size("sample").alias("sampled"))
+    joined = nodes.select("node", "size").where("size > 0").join(sampled, "node").join(counts, "node", "left")
+    return joined.where(F.coalesce("met", F.lit(0)) >= F.col("sampled") - (F.col("size") - _least_shared(F.col("size"), likeness))).select("node")
+
+
+def _prefixes(sets: DataFrame, likeness: float) -> DataFrame:
+    """sets (node, s) -> node, size, token, after: of each set's shingles from rare to
+    frequent the first size - least shared + 1, without those that no other set has.  Two
+    sets of the likeness share one of them; after is the number of shingles behind it."""
+    listed = sets.select("node", F.size("s").alias("size"), F.explode("s").alias("token"))
+    often = listed.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    met = listed.join(often, "token")
+    own = Window.partitionBy("node")
+    placed = met.withColumn("place", F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "token")))
+    kept = placed.where(F.col("place") <= F.col("size") - _least_shared(F.col("size"), likeness) + 1)
+    return stored(kept.select("node", "size", "token", (F.col("size") - F.col("place")).alias("after")), "near-prefixes")
+
+
+def _across(prefixes: DataFrame, groups: DataFrame, likeness: float) -> DataFrame:
+    """Every pair a, b of nodes in different groups (node, component) that share a prefix
+    shingle and can have the likeness.  A shingle's largest group meets only its others."""
+    rows = prefixes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = stored(rows, "near-members")
+    main = rows.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("groups"))
+    rows = rows.join(main.where("groups > 1").select("token", F.col("most.component").alias("main")), "token")
+    side = lambda x: [F.col("node").alias(x), F.col("size").alias(f"n{x}"), F.col("after").alias(f"l{x}"), F.col("component").alias(f"c{x}")]
+    a = rows.where("component <> main").select("token", *side("a"))
+    b = rows.select("token", (F.col("component") == F.col("main")).alias("in_main"), *side("b"))
+    # Behind the first shingle that two sets share lie all the others.
+    enough = 1 + F.least("la", "lb") >= F.lit(likeness / (1 + likeness)) * (F.col("na") + F.col("nb")) - 1e-6
+    like = (F.col("na") >= likeness * F.col("nb") - 1e-6) & (F.col("nb") >= likeness * F.col("na") - 1e-6)
+    met = a.join(b, "token").where((F.col("in_main") | (F.col("a") < F.col("b"))) & (F.col("ca") != F.col("cb")) & like & enough)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicate_filter(docs: DataFrame, words: int = FILTER_WORDS, likeness: float = LIKENESS) -> DataFrame:
     """docs without near copies: of each group the row of least doc_id stays.
 
-    Candidates are pairs whose SimHashes over word counts differ in at most FILTER_BITS
-    bits, found at covering anchors, and whose SimHashes over word shingles are not far
-    apart; each link is then checked by the exact Jaccard likeness of the word-shingle
-    sets.  Texts with the same words are copies at once.  Texts without words are copies of
+    Groups are those that chains of pairs with at least the likeness (Jaccard, of the
+    word-shingle sets) connect, without exception.  First come links between texts whose
+    SimHashes over word counts differ in at most FILTER_BITS bits, found at covering
+    anchors, each checked exactly; then a prefix filter over the shingle sets gives every
+    other pair that can have the likeness and is not yet in one group, checked likewise.
+    Texts with the same words are copies at once.  Texts without words are copies of
     each other; rows that repeat an id and its text stay once; null ids come last.
     """
     ship(docs.sparkSession)
 
-    @F.pandas_udf("node long, fingerprint long, check long")
-    def prints_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("node long, size int, sample array<long>")
+    def samples_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for t in texts:
+                s = _shingle_set(t, words)
+                rows.append((_node(t), len(s), s[s.view(np.uint64) < SAMPLE]))
+            yield pd.DataFrame(rows, columns=["node", "size", "sample"])
+
+    @F.pandas_udf("node long, fingerprint long, check long, s array<long>")
+    def sets_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            rows = [(xxhash.xxh3_64_intdigest(b" ".join(t.encode("utf-8", "replace").lower().split())), word_simhash(t), shingle_simhash(t, words)) for t in texts]
-            yield pd.DataFrame(np.array(rows, np.uint64).reshape(-1, 3).view(np.int64), columns=["node", "fingerprint", "check"])
+            rows = [(_node(t), np.uint64(word_simhash(t)).astype(np.int64), np.uint64(shingle_simhash(t, words)).astype(np.int64), _shingle_set(t, words)) for t in texts]
+            yield pd.DataFrame(rows, columns=["node", "fingerprint", "check", "s"])
 
     @F.pandas_udf("long")
     def node_of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([xxhash.xxh3_64_intdigest(b" ".join(t.encode("utf-8", "replace").lower().split())) for t in texts], np.uint64).view(np.int64))
-
-    @F.pandas_udf("array<long>")
-    def set_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([_shingle_set(t, words) for t in texts])
-
-    rows = stored(dealt(docs, "doc_id", "text").select("doc_id", prints_of(text_of()).alias("p")).select("doc_id", "p.*"), "near-prints")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fingerprint").alias("fingerprint"), F.first("check").alias("check"), F.count("*").alias("n"))
-    pairs = stored(links(nodes, FILTER_BITS, CHECK_BITS).distinct(), "near-pairs")
-    # Exact check of the links, on the texts that have one.
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    holders = nodes.join(ends, "node").select(F.col("first").alias("doc_id"), "node")
+        return pd.Series([_node(t) for t in texts], dtype=np.int64)
+
+    rows = stored(dealt(docs, "doc_id", "text").select("doc_id", samples_of(text_of()).alias("p")).select("doc_id", "p.*"), "near-samples")
+    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.count("*").alias("n")), "near-nodes")
+    some = _with_company(rows.select("node", "sample"), nodes, likeness)
+    holders = nodes.join(some, "node").select(F.col("first").alias("doc_id"), "node")
     texts = dealt(docs, "doc_id", "text").withColumn("text", text_of()).join(holders, "doc_id")
-    sets = texts.select("node", set_of("text").alias("s"), node_of("text").alias("own")).where("own = node").select("node", "s").dropDuplicates(["node"])
+    sets = texts.select("node", sets_of("text").alias("p")).where("node = p.node").select("p.*").dropDuplicates(["node"])
     sets = stored(sets, "near-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    near = both.where(shared >= likeness * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        return both.where(shared >= likeness * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+    close = stored(checked(links(sets.select("node", "fingerprint", "check"), FILTER_BITS, CHECK_BITS).distinct()), "near-close")
+    far = _across(_prefixes(sets.select("node", "s"), likeness), connected_components(close), likeness)
+    near = close.union(checked(far))
     groups = connected_components(near)
     known = nodes.join(groups, "node", "left").select("node", "first", "n", F.coalesce("component", "node").alias("component"))
     heads = known.groupBy("component").agg(F.min("first").alias("head"), F.sum("n").alias("rows"))

@@ -163,6 +163,27 @@ def test_near_duplicate_filter_keeps_one_of_each_group(make, corpus):
     assert kept == [1000 + 10 * i for i in range(6)]
 
 
+def kept_by_brute_force(rows):
+    sets = {i: shingles(x, 5) for i, x in rows}
+    root = components(sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    return sorted(set(root.values()))
+
+
+def test_near_duplicate_filter_finds_copies_of_other_word_prints(make):
+    r = np.random.default_rng(4)
+    rows = []
+    while len(rows) < 40:
+        w = [f"w{x}" for x in r.integers(0, 900, 100)]
+        other = list(w)
+        other[30], other[60] = "changed", "edited"
+        a, b = " ".join(w), " ".join(other)
+        if bin(simhash.word_simhash(a) ^ simhash.word_simhash(b)).count("1") > 2:
+            assert 0.8 <= jaccard(shingles(a, 5), shingles(b, 5)) <= 0.85
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    kept = sorted(x["doc_id"] for x in rows_of(simhash.near_duplicate_filter(make(rows))))
+    assert kept == kept_by_brute_force(rows) == list(range(0, 40, 2))
+
+
 def test_license_places(make, corpus):
     phrases = {"cc-by": ["cc", "by"], "gpl": ["general", "public", "license"], "reserved": ["all", "rights", "reserved"]}
     extra = [(300, "a cc by cc by b general public license general public"), (301, "Permission is hereby granted, free of charge, to any person who is obtaining a copy of this software and associated documentation files"), (302, "ALL RIGHTS\nRESERVED é cc éby")]
