@@ -363,9 +363,11 @@ def near_duplicate_filter(docs: DataFrame, words: int = FILTER_WORDS, likeness:
     rows = stored(dealt(docs, "doc_id", "text").select("doc_id", samples_of(text_of()).alias("p")).select("doc_id", "p.*"), "near-samples")
     nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.count("*").alias("n")), "near-nodes")
     some = _with_company(rows.select("node", "sample"), nodes, likeness)
-    holders = nodes.join(some, "node").select(F.col("first").alias("doc_id"), "node")
-    texts = dealt(docs, "doc_id", "text").withColumn("text", text_of()).join(holders, "doc_id")
-    sets = texts.select("node", sets_of("text").alias("p")).where("node = p.node").select("p.*").dropDuplicates(["node"])
+    holders = nodes.join(some, "node").select(F.col("first").alias("holder"), F.col("node").alias("held"))
+    # A node's text is in the row of its least doc_id, or where all are null in any of its rows.
+    texts = dealt(docs, "doc_id", "text").select("doc_id", text_of().alias("text"), node_of(text_of()).alias("own"))
+    texts = texts.join(holders, texts["doc_id"].eqNullSafe(holders["holder"]) & (texts["own"] == holders["held"])).select("text", "own")
+    sets = texts.select(sets_of("text").alias("p")).select("p.*").dropDuplicates(["node"])
     sets = stored(sets, "near-sets")
 
     def checked(pairs: DataFrame) -> DataFrame:
@@ -378,8 +380,11 @@ def near_duplicate_filter(docs: DataFrame, words: int = FILTER_WORDS, likeness:
     near = close.union(checked(far))
     groups = connected_components(near)
     known = nodes.join(groups, "node", "left").select("node", "first", "n", F.coalesce("component", "node").alias("component"))
-    heads = known.groupBy("component").agg(F.min("first").alias("head"), F.sum("n").alias("rows"))
-    losers = rows.join(known.join(heads.where("rows > 1"), "component").select("node", "head"), "node").where(~F.col("doc_id").eqNullSafe(F.col("head"))).select(F.col("doc_id").alias("lost"), F.col("node").alias("lost_node")).distinct()
+    # Of a group the least id's row stays; the node tells rows of one id (or without one) apart.
+    heads = known.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", F.col("node").alias("head_node"))).alias("h"), F.sum("n").alias("rows"))
+    heads = heads.where("rows > 1").select("component", F.col("h.first").alias("head"), "h.head_node")
+    stays = F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("node") == F.col("head_node"))
+    losers = rows.join(known.join(heads, "component").select("node", "head", "head_node"), "node").where(~stays).select(F.col("doc_id").alias("lost"), F.col("node").alias("lost_node")).distinct()
     losers = stored(losers, "near-lost")
     name = "__node"
     while name in docs.columns:

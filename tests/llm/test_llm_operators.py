@@ -184,6 +184,31 @@ def test_near_duplicate_filter_finds_copies_of_other_word_prints(make):
     assert kept == kept_by_brute_force(rows) == list(range(0, 40, 2))
 
 
+def test_near_duplicate_filter_joins_through_any_member(make):
+    r = np.random.default_rng(6)
+    rows = []
+    for i in range(0, 45, 3):  # equal word prints; the outer two are under 0.8, both over 0.8 to the third
+        w = [f"w{x}" for x in r.integers(0, 900, 100)]
+        one, two = list(w), list(w)
+        one[20], one[21] = w[21], w[20]
+        two[70], two[71] = w[71], w[70]
+        family = [" ".join(x) for x in (one, two, w)]
+        assert [jaccard(shingles(family[a], 5), shingles(family[b], 5)) >= 0.8 for a, b in ((0, 1), (0, 2), (1, 2))] == [False, True, True]
+        rows += [(i + k, x) for k, x in enumerate(family)]
+    kept = sorted(x["doc_id"] for x in rows_of(simhash.near_duplicate_filter(make(rows))))
+    assert kept == kept_by_brute_force(rows) == list(range(0, 45, 3))
+
+
+def test_near_duplicate_filter_without_ids(make):
+    w = [f"w{x}" for x in np.random.default_rng(8).integers(0, 900, 100)]
+    near = w[:50] + ["changed"] + w[51:]
+    rows = [(1, " ".join(w)), (None, " ".join(near)), (None, "another text that has no copy at all"), (None, " ".join(near))]
+    other = [f"v{x}" for x in range(100)]
+    rows += [(None, " ".join(other)), (None, " ".join(other[:99]))]
+    kept = sorted((str(x["doc_id"]), x["text"]) for x in rows_of(simhash.near_duplicate_filter(make(rows))))
+    assert kept[:2] == [("1", rows[0][1]), ("None", rows[2][1])] and len(kept) == 3
+
+
 def test_license_places(make, corpus):
     phrases = {"cc-by": ["cc", "by"], "gpl": ["general", "public", "license"], "reserved": ["all", "rights", "reserved"]}
     extra = [(300, "a cc by cc by b general public license general public"), (301, "Permission is hereby granted, free of charge, to any person who is obtaining a copy of this software and associated documentation files"), (302, "ALL RIGHTS\nRESERVED é cc éby")]
