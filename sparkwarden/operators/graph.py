@@ -1,17 +1,21 @@
 """Iterative graph operators: loops of joins whose state is a table in shared storage.
 
 Every round reads the state that the round before wrote, so plans stay short and a lost
-executor costs one round at most.  A loop ends when a count no longer changes.
+executor costs one round at most.  A loop ends when its state no longer changes; each of
+its rounds adds, removes or settles a node, so it always ends.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .tables import stored
 
+#: Rounds of longest_path, which cycles would keep going.
 MAX_ROUNDS = 1024
 
 
@@ -24,7 +28,7 @@ def reach(edges: DataFrame, starts: DataFrame, nodes: DataFrame | None = None) -
     links = stored(edges.select("source", "target").distinct(), "links")
     seen = stored(seed.withColumn("depth", F.lit(0)), "reach")
     frontier = seen
-    for depth in range(1, MAX_ROUNDS):
+    for depth in count(1):
         found = frontier.join(links, frontier.node_id == links.source).select(F.col("target").alias("node_id")).distinct()
         frontier = stored(found.join(seen, "node_id", "left_anti").withColumn("depth", F.lit(depth)), "reach")
         if frontier.isEmpty():
@@ -41,7 +45,7 @@ def peel(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     alive = stored(nodes.select("node_id").distinct(), "peel")
     links = stored(edges.select("source", "target").distinct(), "links")
     n = alive.count()
-    for _ in range(MAX_ROUNDS):
+    while True:
         links = links.join(alive, links.source == alive.node_id, "left_semi")
         alive = stored(alive.join(links.select(F.col("target").alias("node_id")).distinct(), "node_id", "left_semi"), "peel")
         left = alive.count()
@@ -78,10 +82,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     rest = stored(nodes.select("node_id").distinct(), "scc")
     links = stored(edges.select("source", "target").where("source <> target").distinct(), "links")
     done: list[DataFrame] = []
-    for _ in range(MAX_ROUNDS):
-        n = rest.count()
-        if n == 0:
-            break
+    while not rest.isEmpty():
         live = peel(rest, links)
         live = peel(live, links.select(F.col("target").alias("source"), F.col("source").alias("target")).join(live.withColumnRenamed("node_id", "source"), "source", "left_semi"))
         done.append(stored(rest.join(live, "node_id", "left_anti").withColumn("component", F.col("node_id")), "scc-done"))
@@ -89,7 +90,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         links = stored(inside.select("source", "target"), "links")
         colour = stored(live.withColumn("colour", F.col("node_id")), "colour")
         mark = None
-        for _ in range(MAX_ROUNDS):
+        while True:
             pushed = colour.join(links, colour.node_id == links.source).select(F.col("target").alias("node_id"), "colour").union(colour)
             colour = stored(pushed.groupBy("node_id").agg(F.min("colour").alias("colour")), "colour")
             now = colour.agg(F.sum(F.xxhash64("node_id", "colour").cast("decimal(38,0)"))).first()[0]

@@ -221,3 +221,16 @@ def test_stratified_choice_is_the_greedy_one(spark):
         rows = [(("tests/" if k == "test_file" and i % 2 else "") + f"p{i:02d}.py", k, float(r.randint(0, 6))) for i, k in ((i, r.choice(kinds)) for i in range(14))]
         got = {tuple(x) for x in ranking.focused_entrypoints(spark.createDataFrame(rows, "path string, category string, score double"), limit).collect()}
         assert got == greedy(rows, limit)
+
+
+def test_graph_loops_go_as_deep_as_the_graph(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MAX_ROUNDS", 4)
+    nodes = list(range(18))
+    chain = [(i, i + 1) for i in range(8)]
+    ring = [(i, i + 1) for i in range(9, 17)] + [(17, 9)]
+    n, e = frames(spark, nodes, chain + ring)
+    got = {r.node_id: r.depth for r in graph.reach(e, n.where("node_id in (0, 9)")).collect()}
+    assert got == {i: i if i < 9 else i - 9 for i in nodes}
+    assert {r.node_id for r in graph.peel(n, e).collect()} == set(range(9, 18))
+    strong = {r.node_id: r.component for r in graph.strong_components(n, e).collect()}
+    assert strong == {i: i if i < 9 else 9 for i in nodes}
