@@ -116,9 +116,21 @@ def directory_coverage(files: DataFrame, k: int = 20) -> DataFrame:
     return counts.join(few, "folder")
 
 
+def _public_names(symbols: DataFrame) -> DataFrame:
+    return symbols.where(~F.col("name").startswith("_")).groupBy(F.col("file").alias("id")).agg(F.collect_set("name").alias("tokens"))
+
+
 def shared_names(symbols: DataFrame, min_shared: int = 5, min_jaccard: float = 0.6) -> DataFrame:
-    """symbols (file, name) -> a, b, shared, jaccard: files whose public function names overlap."""
+    """symbols (file, name) -> a, b, shared, jaccard: files whose public function names overlap.
+    Files with the same names stand as their least one; shared_name_members tells which."""
     from .similarity import similar_pairs
 
-    public = symbols.where(~F.col("name").startswith("_")).groupBy(F.col("file").alias("id")).agg(F.collect_set("name").alias("tokens"))
-    return similar_pairs(public, min_jaccard, min_shared)
+    return similar_pairs(_public_names(symbols), min_jaccard, min_shared)
+
+
+def shared_name_members(symbols: DataFrame, min_shared: int = 5, min_jaccard: float = 0.6) -> DataFrame:
+    """symbols (file, name) -> id, rep, same, links: every file, those with the same public
+    names, and how many pairs of shared_names it is in."""
+    from .similarity import set_members
+
+    return set_members(_public_names(symbols), shared_names(symbols, min_shared, min_jaccard), min_shared)

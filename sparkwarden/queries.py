@@ -351,6 +351,13 @@ def jaccard_pairs(spark, d):
     return similarity.similar_pairs(_document_tokens(spark, d)).select("a", "b", "shared", F.round("jaccard", 6).alias("jaccard"))
 
 
+@query(f"""WITH {SETS_SQL}, m AS (SELECT id, min(id) OVER (PARTITION BY s) AS rep, count(*) OVER (PARTITION BY s) AS same FROM z),
+l AS (SELECT rep, count(*) AS links FROM (SELECT a AS rep FROM pr UNION ALL SELECT b FROM pr) GROUP BY 1) SELECT id, rep, same, coalesce(links, 0) AS links FROM m LEFT JOIN l USING (rep)""")
+def jaccard_members(spark, d):
+    sets = _document_tokens(spark, d)
+    return similarity.set_members(sets, similarity.similar_pairs(sets))
+
+
 @query(None)
 def clusters(spark, d):
     return similarity.clusters(_document_tokens(spark, d))
@@ -631,6 +638,16 @@ def shared_names(spark, d):
     return traces.shared_names(o).select("a", "b", "shared", F.round("jaccard", 6).alias("jaccard"))
 
 
+@query("""WITH s AS (SELECT DISTINCT o_custkey AS id, o_orderpriority || (o_orderkey % 4) AS name FROM orders), n AS (SELECT id, count(*) AS n, string_agg(name, ' ' ORDER BY name) AS t FROM s GROUP BY 1 HAVING count(*) >= 5),
+m AS (SELECT id, n, min(id) OVER (PARTITION BY t) AS rep, count(*) OVER (PARTITION BY t) AS same FROM n), c AS (SELECT id, n FROM m WHERE id = rep), k AS (SELECT s.* FROM s JOIN c USING (id)),
+p AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM k x JOIN k y ON x.name = y.name AND x.id < y.id GROUP BY ALL),
+j AS (SELECT a, b FROM p JOIN c ca ON ca.id = a JOIN c cb ON cb.id = b WHERE shared >= 5 AND shared::DOUBLE / (ca.n + cb.n - shared) >= 0.6),
+l AS (SELECT rep, count(*) AS links FROM (SELECT a AS rep FROM j UNION ALL SELECT b FROM j) GROUP BY 1) SELECT id, rep, same, coalesce(links, 0) AS links FROM m LEFT JOIN l USING (rep)""")
+def shared_name_members(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("file"), F.concat(F.col("o_orderpriority"), (F.col("o_orderkey") % 4).cast("string")).alias("name"))
+    return traces.shared_name_members(o)
+
+
 @query("""WITH p AS (SELECT p_partkey, (['tests/a.py', 'src/x/test_b.py', 'lib/site-packages/c.py', 'scripts/cli_run.py', 'pkg/__init__.py', 'pkg/core/d.py', 'tools/e.py', 'pkg/odd/f_test.py', '<string>'])[p_partkey % 9 + 1] AS path, (['fastapi.routing', 'os', 'click', 'flask'])[p_size % 4 + 1] AS imp FROM part),
 q AS (SELECT *, regexp_extract(path, '[^/]*$') AS name FROM p)
 SELECT p_partkey, path LIKE 'tests/%' OR name LIKE 'test\\_%' ESCAPE '\\' OR name LIKE '%\\_test.py' ESCAPE '\\' AS is_test,

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkwarden.functions import columns as C
-from sparkwarden.operators import components, evidence, graph, pairs, ranking, resolve, rules, sequence, similarity
+from sparkwarden.operators import components, evidence, graph, pairs, ranking, resolve, rules, sequence, similarity, traces
 
 
 def random_graph(seed, n=24, m=30):
@@ -234,3 +234,11 @@ def test_graph_loops_go_as_deep_as_the_graph(spark, monkeypatch):
     assert {r.node_id for r in graph.peel(n, e).collect()} == set(range(9, 18))
     strong = {r.node_id: r.component for r in graph.strong_components(n, e).collect()}
     assert strong == {i: i if i < 9 else 9 for i in nodes}
+
+
+def test_equal_sets_stay_in_the_result(spark):
+    names = {"a": "pqrst", "b": "tsrqp", "c": "pqrstu", "d": "vwxyz", "e": "zyxwv", "f": "12345"}
+    symbols = spark.createDataFrame([(f, n) for f, x in names.items() for n in x], "file string, name string")
+    assert {(r.a, r.b) for r in traces.shared_names(symbols).collect()} == {("a", "c")}
+    got = {tuple(r) for r in traces.shared_name_members(symbols).collect()}
+    assert got == {("a", "a", 2, 1), ("b", "a", 2, 1), ("c", "c", 1, 1), ("d", "d", 2, 0), ("e", "d", 2, 0), ("f", "f", 1, 0)}
