@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import forget, stored
 
 MAX_ROUNDS = 60
 
@@ -43,8 +43,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     given = stored(edges.select("a", "b").where("a is not null and b is not null").distinct(), "cc")
     loops, links = given.where("a = b").select("a"), given.where("a <> b")
     mark = None
+    before = None
     for _ in range(MAX_ROUNDS):
         links = stored(_small_star(_large_star(links)), "cc")
+        forget(before)
+        before = links
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == tuple(now):
             break
