@@ -1,172 +1,173 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Features are words and their leading letters.  Labelled training rows, up to a stated
-number of each class, choose the features: greedily, those that are much more frequent
-in toxic than in clean examples, until every toxic example has several.  Inverse document
-frequencies count all documents.  The examples' unit vectors form an inverted index in
-blocks of neighbouring examples, with each term's greatest weight a block; a query visits
-blocks in order of their upper bounds and stops when no unvisited block can still hold
-one of its nearest neighbours, so the neighbours are exact.  Their votes, weighted by
-cosine, are calibrated on the examples themselves, each left out of its own search.
+Labelled training rows, up to a stated number of each class, are the examples.  All their
+words are terms.  A term's weight is its inverse document frequency over all documents times
+its relevance, the size of its log odds between toxic and clean examples (supervised term
+weighting, Debole and Sebastiani 2003): without it the invented or rare words of a text
+outweigh the few that the label is about.  The examples' unit vectors form an inverted index
+in blocks of similar examples, with each term's greatest weight in a block.  A query visits
+blocks in order of their upper bounds and stops when no unvisited block can still hold one of
+its nearest neighbours, so the neighbours are exact.  Their votes, weighted by cosine, are
+calibrated on the examples themselves, each left out of its own search.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import dealt, ship, stored, text_of
+from .common import dealt, forget, ship, stored, text_of
 
-#: Most labelled examples of each class that the index holds (those of least id hash).
-MAX_EXAMPLES = 2000
-#: Leading letters of a word that are features besides the word.
-STEMS = (4, 5)
-#: Features wanted for each toxic example, least toxic examples of a feature, and how
-#: much likelier a toxic example has it than a clean one.
-COVER, SUPPORT, LIFT = 8, 3, 30.0
+#: Most labelled example texts of each class that the index holds (those of least hash), and
+#: most characters of them together in a class: the bound on the model's size.
+MAX_EXAMPLES, MAX_CHARS = 2000, 16_000_000
 #: Neighbours that vote, and examples in a block of the index.
 NEIGHBOURS, BLOCK = 16, 64
+#: A term in more than one of so many examples is a common one of the index.
+COMMON = 32
 THRESHOLD = 0.7
 
 _WORD = re.compile(r"[^\W_]+")
 
 
-def features(text: str) -> Counter:
-    """Words in lower case and, behind a mark, their leading letters."""
-    words = Counter(_WORD.findall(text.lower()))
-    out: Counter = Counter(words)
-    for w, n in words.items():
-        for k in STEMS:
-            if len(w) > k:
-                out["^" + w[:k]] += n
-    return out
-
-
-def chosen(examples: list[tuple[int, list[str]]], n_toxic: int, n_clean: int, clean_counts: dict[str, int]) -> list[str]:
-    """Greedy cover: the feature that helps most toxic examples still short of COVER
-    features, again and again.  A group of near copies thus yields few features."""
-    has: dict[str, set[int]] = defaultdict(set)
-    for i, (_, terms) in enumerate(examples):
-        for t in terms:
-            has[t].add(i)
-    good = {}
-    for t, rows in has.items():
-        rate = (clean_counts.get(t, 0) + 0.5) / (n_clean + 1)
-        if len(rows) >= min(SUPPORT, max(1, n_toxic // 8)) and len(rows) / max(1, n_toxic) >= LIFT * rate:
-            good[t] = rows
-    need = [COVER] * len(examples)
-    out: list[str] = []
-    gain = {t: len(r) for t, r in good.items()}
-    while gain:
-        # Gains only shrink: re-count the best until it stays the best.
-        t = max(gain, key=lambda x: (gain[x], x))
-        now = sum(need[i] > 0 for i in good[t])
-        if now < min(SUPPORT, max(1, n_toxic // 8)):
-            if now == gain[t]:
-                break
-            gain[t] = now
-            if now == 0:
-                del gain[t]
-            continue
-        if now < gain[t]:
-            gain[t] = now
-            continue
-        out.append(t)
-        del gain[t]
-        for i in good[t]:
-            need[i] -= 1
-    return sorted(out)
+def words(text: str) -> Counter:
+    """Words in lower case, with their counts."""
+    return Counter(_WORD.findall(text.lower()))
+
+
+def term_counts(text: str, terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The text's terms, ascending, and their counts."""
+    found = _WORD.findall(text.lower())
+    at = np.fromiter(map(terms.get, found, repeat(-1)), np.int64, len(found))
+    at.sort()
+    at = at[np.searchsorted(at, 0) :]
+    edges = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1], [True]))) if len(at) else np.zeros(1, np.int64)
+    return at[edges[:-1]], np.diff(edges)
+
+
+def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All integers of the ranges, one range after another, and the ranges' sizes."""
+    n = stop - start
+    return np.repeat(start - (n.cumsum() - n), n) + np.arange(n.sum()), n
 
 
 @dataclass
 class Index:
-    """Block-max inverted index over unit vectors of examples."""
+    """Block-max inverted index over unit vectors of examples.
 
-    weights: np.ndarray  # inverse document frequency a term
-    labels: np.ndarray
-    votes: np.ndarray  # how many labelled rows an example stands for
-    starts: list[np.ndarray] = field(default_factory=list)  # by term and block: range of its postings
-    rows: list[np.ndarray] = field(default_factory=list)  # by term: examples
-    values: list[np.ndarray] = field(default_factory=list)  # by term: weights in the examples' unit vectors
-    tops: np.ndarray | None = None  # by term and block: greatest value
-
-    def fill(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> Index:
-        terms, n = len(self.weights), len(vectors)
-        blocks = max(1, -(-n // BLOCK))
-        rows: list[list[int]] = [[] for _ in range(terms)]
-        values: list[list[float]] = [[] for _ in range(terms)]
-        for i, (t, v) in enumerate(vectors):
-            for a, b in zip(t.tolist(), v.tolist()):
-                rows[a].append(i)
-                values[a].append(b)
-        self.tops = np.zeros((terms, blocks))
-        edges = np.arange(blocks + 1) * BLOCK
-        for t in range(terms):
-            r, v = np.array(rows[t], np.int64), np.array(values[t], float)
-            self.rows.append(r)
-            self.values.append(v)
-            self.starts.append(np.searchsorted(r, edges))
-            np.maximum.at(self.tops[t], r // BLOCK, v)
-        return self
+    A rare term has a list of postings, first[t] to first[t + 1]: example and value.  A common
+    term (in one example of COMMON or more) has its values by block instead, and the greatest
+    of each block.  A query adds up its rare terms' postings; with the common terms' greatest
+    values they bound every block from above.
+    """
+
+    weights: np.ndarray
+    size: int
+    first: np.ndarray
+    row: np.ndarray
+    value: np.ndarray
+    common: np.ndarray  # by term: its place among the common ones, or -1
+    top: np.ndarray  # by common term and block
+    cells: np.ndarray  # by block, common term and example of the block
+
+    @classmethod
+    def of(cls, weights: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> Index:
+        """vectors: terms and values of each example, in the order of the blocks."""
+        size = len(vectors)
+        blocks = size // BLOCK + 1
+        term = np.concatenate([t for t, _ in vectors]) if size else np.empty(0, np.int64)
+        value = np.concatenate([v for _, v in vectors]).astype(np.float32) if size else np.empty(0, np.float32)
+        row = np.repeat(np.arange(size), [len(t) for t, _ in vectors])
+        n = np.bincount(term, minlength=len(weights))
+        often = np.flatnonzero(n >= max(BLOCK // 2, size // COMMON))
+        common = np.full(len(weights), -1)
+        common[often] = np.arange(len(often))
+        here = common[term] >= 0
+        cells = np.zeros((blocks, len(often), BLOCK), np.float32)
+        cells[row[here] // BLOCK, common[term[here]], row[here] % BLOCK] = value[here]
+        term, row, value = term[~here], row[~here], value[~here]
+        order = np.lexsort((row, term))
+        first = np.searchsorted(term[order], np.arange(len(weights) + 1))
+        return cls(weights, size, first, row[order].astype(np.int32), value[order], common, cells.max(axis=2).T.copy(), cells)
 
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """A unit vector's values: (1 + ln tf) idf, to length 1."""
+        """A unit vector's values: (1 + ln tf) times the term's weight, to length 1."""
         v = (1 + np.log(counts)) * self.weights[terms]
         return v / max(np.sqrt(v @ v), 1e-12)
 
     def nearest(self, terms: np.ndarray, v: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Exact top k by cosine, ties to the lesser example: examples and cosines."""
-        bounds = v @ self.tops[terms]
-        found_rows, found = np.empty(0, np.int64), np.empty(0)
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or (len(found) == k and bounds[block] < found[-1] - 1e-12):
+        """Exact top k by cosine, ties to the example that stands first: examples and cosines."""
+        posting, n = _ranges(self.first[terms], self.first[terms + 1])
+        blocks = len(self.cells)
+        rare = np.bincount(self.row[posting], np.repeat(v, n) * self.value[posting], blocks * BLOCK).reshape(blocks, BLOCK)
+        often = self.common[terms]
+        w = v[often >= 0].astype(np.float32)
+        often = often[often >= 0]
+        bounds = rare.max(axis=1) + w @ self.top[often]
+        order = np.argsort(-bounds, kind="stable")
+        rows, found = np.empty(0, np.int64), np.empty(0)
+        at, step = 0, 4
+        while at < blocks:
+            least = found[-1] - 1e-5 if len(found) == k else 0.0
+            now = order[at : at + step]
+            now = now[(bounds[now] > 0) & (bounds[now] >= least)]
+            if not len(now):
                 break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), v.tolist()):
-                a, b = self.starts[t][block], self.starts[t][block + 1]
-                scores[self.rows[t][a:b] - block * BLOCK] += w * self.values[t][a:b]
-            hit = np.flatnonzero(scores > 0)
-            hit = hit[hit + block * BLOCK != but]
-            found_rows = np.concatenate((found_rows, hit + block * BLOCK))
-            found = np.concatenate((found, scores[hit]))
-            order = np.lexsort((found_rows, -found))[:k]
-            found_rows, found = found_rows[order], found[order]
-        return found_rows, found
+            scores = (rare[now] + w @ self.cells[now[:, None], often]).ravel()
+            hit = np.flatnonzero((scores > 0) & (scores >= least))
+            places = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()[hit]
+            rows, found = np.concatenate((rows, places)), np.concatenate((found, scores[hit]))
+            rows, found = rows[rows != but], found[rows != but]
+            best = np.lexsort((rows, -found))[:k]
+            rows, found = rows[best], found[best]
+            at, step = at + step, blocks
+        return rows, found
 
 
 @dataclass
 class Model:
-    """Features, index and calibration; small: bounded by the number of examples."""
+    """Terms, index, votes and calibration; bounded by the examples."""
 
     terms: dict[str, int]
     index: Index
     ids: list[int]
+    labels: np.ndarray
+    votes: np.ndarray  # how many labelled texts an example stands for, about one on average
     prior: float
     slope: float = 1.0
     offset: float = 0.0
 
-    def signal(self, terms: np.ndarray, counts: np.ndarray, but: int = -1) -> tuple[float, list[tuple[int, float]]]:
-        """Log odds of the distance-weighted vote, shrunk to the prior; the neighbours."""
-        t, w = 1e-9, 1e-9
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The text's terms and their values; words that no example has are no terms."""
+        terms, counts = term_counts(text, self.terms)
+        return terms, self.index.unit(terms, counts)
+
+    def signal(self, terms: np.ndarray, v: np.ndarray, but: int = -1) -> tuple[float, list[tuple[int, float]]]:
+        """Log odds of the distance-weighted vote (the nearest neighbour has weight one, and
+        so has the prior), and the neighbours."""
+        toxic = every = 0.0
         near: list[tuple[int, float]] = []
         if len(terms):
-            rows, cos = self.index.nearest(terms, self.index.unit(terms, counts), but=but)
-            weight = cos * self.index.votes[rows]
-            t += float(weight @ self.index.labels[rows])
-            w += float(weight.sum())
-            near = [(self.ids[r], c) for r, c in zip(rows.tolist(), cos.tolist())]
-        p = (t + self.prior) / (w + 1)
+            rows, cos = self.index.nearest(terms, v, but=but)
+            if len(rows):
+                weight = cos / cos[0] * self.votes[rows]
+                toxic, every = float(weight @ self.labels[rows]), float(weight.sum())
+                near = [(self.ids[r], c) for r, c in zip(rows.tolist(), cos.tolist())]
+        p = (toxic + self.prior) / (every + 1)
         return float(np.log(p / (1 - p))), near
 
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[int, float]]]:
-        s, near = self.signal(terms, counts)
+    def score(self, text: str) -> tuple[float, list[tuple[int, float]]]:
+        s, near = self.signal(*self.vector(text))
         return float(1 / (1 + np.exp(-np.clip(self.slope * s + self.offset, -30, 30)))), near
 
 
@@ -185,175 +186,150 @@ def platt(signals: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple
     return (float(b[0]), float(b[1])) if b[0] > 0 else (1.0, 0.0)
 
 
-def finder(terms: dict[str, int]):
-    """A function from a whole text to its chosen features and their counts."""
-    whole = {t for t in terms if not t.startswith("^")}
-    stems = {t[1:]: t for t in terms if t.startswith("^")}
-    lengths = sorted({len(s) for s in stems})
-    hot: dict[str, tuple[int, ...]] = {}
-
-    def of(w: str) -> tuple[int, ...]:
-        out = [terms[w]] if w in whole else []
-        out += [terms[stems[w[:k]]] for k in lengths if len(w) > k and w[:k] in stems]
-        if len(hot) > 200_000:
-            hot.clear()
-        hot[w] = found = tuple(out)
-        return found
-
-    def find(text: str) -> tuple[list[int], list[int]]:
-        n: Counter = Counter()
-        for w in _WORD.findall(text.lower()):
-            got = hot.get(w)
-            for t in of(w) if got is None else got:
-                n[t] += 1
-        keys = sorted(n)
-        return keys, [n[k] for k in keys]
-
-    return find
-
-
-def _found(rows: DataFrame, terms: dict[str, int]) -> DataFrame:
-    """Each row's chosen features instead of its text: terms (array of int) and counts."""
-
-    @F.pandas_udf("terms array<int>, counts array<int>")
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        find = finder(terms)
-        for texts in batches:
-            yield pd.DataFrame([find(t) for t in texts], columns=["terms", "counts"])
-
-    return rows.select("*", found("text").alias("f")).drop("text").select("*", "f.*").drop("f")
-
-
 def held_out(column: str = "doc_id") -> Column:
     """Rows that no label is learnt from."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 3 == 1, F.lit(False))
 
 
-def _examples(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[list, dict, dict]:
-    """The bounded sample: toxic examples with their features, example texts' counts, class sizes.
+def _examples(docs: DataFrame, labels: DataFrame, limit: int, chars: int) -> tuple[DataFrame, dict[bool, int]]:
+    """The bounded sample (doc_id, toxic, text) and the classes' sizes.
 
-    Equal texts are one example (toxic if most of their labels are); the limit is on texts.
+    Equal texts are one example (toxic if most of their labels are); limits are on texts.
     """
     rows = dealt(docs, "doc_id", "text").where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", text_of().alias("text"))
     marks = dealt(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.avg(F.col("toxic").cast("double")).alias("toxic"))
     # Digests, not texts, are shuffled.
-    labelled = rows.select("doc_id", F.sha2("text", 256).alias("digest")).join(marks, "doc_id")
-    texts = labelled.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), (F.avg("toxic") > 0.5).alias("toxic"), F.count("*").alias("n"))
-    texts = stored(texts, "toxicity-labelled")
+    labelled = rows.select("doc_id", F.sha2("text", 256).alias("digest"), F.char_length("text").cast("long").alias("chars")).join(marks, "doc_id")
+    texts = labelled.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("chars").alias("chars"), (F.avg("toxic") > 0.5).alias("toxic"))
+    texts = stored(texts.withColumn("draw", F.xxhash64(F.lit("toxicity"), "digest")), "toxicity-labelled")
     sizes = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    draw = [F.xxhash64(F.lit("toxicity"), "digest"), "digest"]
-    picked = [texts.where(F.col("toxic") == c).orderBy(*draw).limit(limit).select("doc_id", "digest", "toxic") for c in (True, False)]
-    picked = picked[0].union(picked[1])
+    picked = None
+    for toxic, n in sizes.items():
+        # Only the hashes that can be among the least ones come to the task that sorts them:
+        # about limit rows of all tasks together, however many there are.
+        share = min(1.0, (limit + 8 * limit**0.5 + 64) / n)
+        near = texts.where((F.col("toxic") == toxic) & (F.col("draw") <= F.lit(int(-(2.0**63) + share * (2.0**64 - 2048)))))
+        few = near.orderBy("draw", "digest").limit(limit)
+        upto = Window.orderBy("draw", "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        few = few.withColumn("upto", F.sum("chars").over(upto)).where(F.col("upto") <= chars).select("doc_id", "digest", "toxic")
+        picked = few if picked is None else picked.union(few)
+    if picked is None:
+        return rows.select("doc_id", F.lit(True).alias("toxic"), "text").limit(0), sizes
     # At most 2 * limit rows of three short columns.
     few = rows.join(F.broadcast(picked), "doc_id").where(F.sha2("text", 256) == F.col("digest")).dropDuplicates(["digest"]).select("doc_id", "toxic", "text")
-    return stored(few, "toxicity-examples"), texts, sizes
+    few = stored(few, "toxicity-examples")
+    forget(texts)
+    return few, sizes
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES) -> tuple[Model | None, DataFrame]:
-    """The model, and every document's features (doc_id, terms, counts).
+def _document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, int]:
+    """In how many of all documents each term occurs, and the number of documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
-    Without a toxic training example there is no model.
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, total = shared.value, 0
+        n = np.zeros(len(known), np.int64)
+        for texts in batches:
+            for t in texts["text"]:
+                n[term_counts(t, known)[0]] += 1
+            total += len(texts)
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"term": np.append(at, -1), "n": np.append(n[at], total)})
+
+    # One row a term and task, then one a term: as many as the examples have.
+    found = dealt(docs, "text").select(text_of().alias("text")).mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    df = np.ones(max(1, len(terms)))
+    some = found["term"].to_numpy() >= 0
+    df[found["term"].to_numpy()[some]] = np.maximum(1, found["n"].to_numpy()[some])
+    return df, int(found["n"].to_numpy()[~some].sum())
+
+
+def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES, chars: int = MAX_CHARS) -> Model | None:
+    """The model; None without a toxic training example.
+
+    The examples, at most limit texts of each class and chars characters of them, are all
+    that comes to the driver.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    few, _, sizes = _examples(docs, labels, limit)
-    every = dealt(docs, "doc_id", "text").select("doc_id", text_of().alias("text"))
+    ship(docs.sparkSession)
+    few, sizes = _examples(docs, labels, limit, chars)
     if not sizes.get(True):
-        return None, every.select("doc_id", F.array().cast("array<int>").alias("terms"), F.array().cast("array<int>").alias("counts"))
-
-    @F.pandas_udf("array<string>")
-    def terms_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([list(features(t)) for t in texts])
-
-    listed = few.select("doc_id", "toxic", terms_of("text").alias("terms")).select("doc_id", "toxic", F.explode("terms").alias("term"))
-    per_term = listed.groupBy("term").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c"))
-    n_toxic, n_clean = min(limit, sizes[True]), min(limit, sizes.get(False, 0))
-    least = min(SUPPORT, max(1, n_toxic // 8))
-    likely = per_term.where((F.col("t") >= least) & (F.col("t") / n_toxic >= LIFT * (F.col("c") + 0.5) / (n_clean + 1)))
-    likely = stored(likely, "toxicity-terms")
-    clean_counts = {r["term"]: r["c"] for r in likely.select("term", "c").collect()}
-    by_doc = listed.where("toxic").join(likely.select("term"), "term").groupBy("doc_id").agg(F.collect_list("term").alias("terms"))
-    examples = [(r["doc_id"], r["terms"]) for r in by_doc.orderBy("doc_id").collect()]
-    names = chosen(examples, n_toxic, n_clean, clean_counts)
-    terms = {t: i for i, t in enumerate(names)}
-
-    # One pass over all whole texts; what is left of a text is a few numbers.
-    every = stored(_found(every, terms), "toxicity-features")
-    counts = every.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()
-    total = every.count()
-    df = np.ones(max(1, len(terms)))
-    for r in counts:
-        df[r["t"]] = r["n"]
-    vectors, marks, ids = [], [], []
-    for r in _found(few, terms).orderBy("doc_id").collect():
-        vectors.append((np.array(r["terms"], np.int64), np.array(r["counts"], float)))
-        marks.append(float(r["toxic"]))
-        ids.append(r["doc_id"])
-    labels_ = np.array(marks)
-    share = {True: sizes[True] / max(1, n_toxic), False: sizes.get(False, 0) / max(1, n_clean)}
-    votes = np.where(labels_ > 0.5, share[True], share[False])
-    index = Index(np.log(1 + total / df), labels_, votes)
-    unit = [(t, index.unit(t, c)) for t, c in vectors]
+        return None
+    rows = [(r["doc_id"], bool(r["toxic"]), words(r["text"])) for r in few.toLocalIterator()]
+    forget(few)
+    terms = {w: i for i, w in enumerate(sorted({w for _, _, c in rows for w in c}))}
+    df, total = _document_frequencies(docs, terms)
+    seen = np.zeros((2, len(df)))
+    for _, toxic, c in rows:
+        seen[int(toxic), [terms[w] for w in c]] += 1
+    marks = np.array([t for _, t, _ in rows], float)
+    n_toxic, n_clean = marks.sum(), len(marks) - marks.sum()
+    relevance = np.abs(np.log((seen[1] + 0.5) / (n_toxic + 1)) - np.log((seen[0] + 0.5) / (n_clean + 1)))
+    weights = np.log(1 + total / df) * relevance
+    # Blocks of similar examples: by their heaviest terms.  No label, no identifier.
+    vectors = []
+    blank = Index.of(weights, [])
+    for doc_id, toxic, c in rows:
+        t = np.array(sorted(terms[w] for w in c), np.int64)
+        back = {terms[w]: n for w, n in c.items()}
+        v = blank.unit(t, np.array([back[i] for i in t.tolist()], float))
+        heaviest = t[np.lexsort((t, -v))[:4]].tolist()
+        vectors.append((heaviest, tuple(t.tolist()), tuple(v.tolist()), doc_id, float(toxic), t, v))
+    vectors.sort(key=lambda x: x[:4])
+    labels_ = np.array([x[4] for x in vectors])
+    share = np.array([sizes.get(False, 0) / max(1, n_clean), sizes[True] / max(1, n_toxic)])
+    votes = share[labels_.astype(int)]
+    votes = votes / votes.mean()
     prior = sizes[True] / (sizes[True] + sizes.get(False, 0) + 1)
-    model = Model(terms, index.fill(unit), ids, prior)
-    if len(terms):
-        signals = np.array([model.signal(t, c, but=i)[0] for i, (t, c) in enumerate(vectors)])
-        model.slope, model.offset = platt(signals, labels_, votes)
-    return model, every
+    model = Model(terms, Index.of(weights, [x[5:] for x in vectors]), [x[3] for x in vectors], labels_, votes, prior)
+    signals = np.array([model.signal(x[5], x[6], but=i)[0] for i, x in enumerate(vectors)])
+    model.slope, model.offset = platt(signals, labels_, votes)
+    return model
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES, threshold: float = THRESHOLD) -> DataFrame:
     """Every whole text's score: doc_id, held_out, score, predicted, evidence.
 
     Labels are learnt only from rows whose crc32(doc_id as text) mod 3 is not 1; evidence
-    lists the nearest examples (doc_id, cosine).  Null and empty texts have no features and
-    score near the share of toxic examples without any; repeated rows and null ids pass
-    through; without toxic training rows every score is 0; an empty table gives no rows.
+    lists the nearest examples (doc_id, cosine).  Null and empty texts, and texts without a
+    term, score the calibrated share of toxic examples without any evidence; of equally near
+    examples those whose vectors sort first vote; repeated rows and null ids pass through;
+    without toxic training rows every score is 0; an empty table gives no rows.  No shuffle
+    of texts.
     """
-    model, every = fit(docs, labels, limit)
-
-    @F.pandas_udf("score double, evidence array<struct<doc_id: long, cosine: double>>")
-    def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        known: dict = {}
-        for terms, counts in batches:
-            out = []
-            for t, c in zip(terms, counts):
-                if model is None:
-                    out.append((0.0, []))
-                    continue
-                key = (tuple(t), tuple(c))
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    s, near = model.score(np.asarray(t, np.int64), np.asarray(c, float))
-                    known[key] = (s, [{"doc_id": int(i), "cosine": x} for i, x in near])
-                out.append(known[key])
-            yield pd.DataFrame(out, columns=["score", "evidence"])
-
-    out = every.select("doc_id", held_out().alias("held_out"), scored("terms", "counts").alias("s")).select("doc_id", "held_out", "s.score", "s.evidence")
+    model = fit(docs, labels, limit)
+    rows = dealt(docs, "doc_id", "text").select("doc_id", held_out().alias("held_out"), text_of().alias("text"))
+    kind = "evidence array<struct<doc_id: long, cosine: double>>"
+    if model is None:
+        return rows.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.array().cast("array<struct<doc_id: long, cosine: double>>").alias("evidence"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = shared.value.score
+        for batch in batches:
+            found = [score(t) for t in batch.column("text").to_pylist()]
+            ends = np.cumsum([0, *[len(near) for _, near in found]])
+            flat = [x for _, near in found for x in near]
+            pairs = pa.StructArray.from_arrays([pa.array([i for i, _ in flat], pa.int64()), pa.array([c for _, c in flat], pa.float64())], ["doc_id", "cosine"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("held_out"), pa.array([s for s, _ in found], pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
+                ["doc_id", "held_out", "score", "evidence"],
+            )
+
+    out = rows.mapInArrow(scored, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, {kind}")
     return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "evidence")
 
 
 def toxicity_filter(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, that score under threshold.  No shuffle of texts."""
-    model, _ = fit(docs, labels, limit)
+    model = fit(docs, labels, limit)
     if model is None:
         return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        find = finder(model.terms)
-        known: dict = {}
+        score = shared.value.score
         for texts in batches:
-            out = []
-            for text in texts:
-                terms, counts = find(text)
-                key = (tuple(terms), tuple(counts))
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[key] = model.score(np.array(terms, np.int64), np.array(counts, float))[0] < threshold
-                out.append(known[key])
-            yield pd.Series(out, dtype=bool)
+            yield pd.Series([score(t)[0] < threshold for t in texts], dtype=bool)
 
     return docs.where(clean(text_of()))

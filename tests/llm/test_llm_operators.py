@@ -423,22 +423,82 @@ def test_warc_reads_members_without_lengths(tmp_path):
 
 def test_block_max_search_is_exact():
     r = np.random.default_rng(4)
-    index = toxicity.Index(r.random(30) + 0.1, (r.random(500) < 0.3).astype(float), np.ones(500))
-    vectors = []
-    for _ in range(500):
-        t = np.sort(r.choice(30, r.integers(0, 6), replace=False))
-        vectors.append((t, index.unit(t, r.integers(1, 5, len(t)).astype(float))))
-    index.fill(vectors)
-    dense = np.zeros((500, 30))
-    for i, (t, v) in enumerate(vectors):
-        dense[i, t] = v
-    for t, v in vectors[:60]:
-        q = np.zeros(30)
-        q[t] = v
-        cos = dense @ q
-        best = [i for i in np.lexsort((np.arange(500), -cos))[: toxicity.NEIGHBOURS] if cos[i] > 0]
-        rows, got = index.nearest(t, v)
-        assert np.allclose(got, cos[best]) and len(rows) == len(best)
+    for size, terms in ((500, 30), (3000, 400), (1, 3), (64, 8)):
+        weights = r.random(terms) + 0.1
+        blank = toxicity.Index.of(weights, [])
+        vectors = []
+        for _ in range(size):
+            t = np.sort(r.choice(terms, r.integers(0, 3), replace=False))
+            if len(t) and r.random() < 0.5:
+                t = np.unique(np.append(t, 0))  # one common term
+            vectors.append((t, blank.unit(t, r.integers(1, 5, len(t)).astype(float))))
+        index = toxicity.Index.of(weights, vectors)
+        dense = np.zeros((size, terms))
+        for i, (t, v) in enumerate(vectors):
+            dense[i, t] = v
+        for i in r.integers(0, size, 60):
+            t, v = vectors[i]
+            q = np.zeros(terms)
+            q[t] = v
+            for but in (-1, int(i)):
+                cos = np.round(dense.astype(np.float32).astype(float) @ q, 5)
+                cos[but] = 0 if but >= 0 else cos[but]
+                best = np.sort(cos[cos > 0])[::-1][: toxicity.NEIGHBOURS]
+                rows, got = index.nearest(t, v, but=but)
+                assert len(rows) == len(best) == len(set(rows.tolist())) and but not in rows
+                assert np.allclose(got, best, atol=2e-5) and np.allclose(cos[rows], best, atol=2e-5)
+
+
+def brute_toxicity(rows, marks):
+    """Scores by dense cosines over all terms, from the definition."""
+    word = re.compile(r"[^\W_]+")
+    counts = [Counter(word.findall((x[1] or "").lower())) for x in rows]
+    held = [x[0] is not None and zlib.crc32(str(x[0]).encode()) % 3 == 1 for x in rows]
+    by_id = defaultdict(list)
+    for i, y in marks:
+        if i is not None and y is not None:
+            by_id[i].append(y)
+    by_text = defaultdict(list)
+    for x, h in zip(rows, held):
+        if x[0] is not None and not h and x[0] in by_id:
+            by_text[x[1] or ""].append(np.mean(by_id[x[0]]))
+    texts = sorted(by_text)
+    y = np.array([float(np.mean(by_text[t]) > 0.5) for t in texts])
+    terms = sorted({w for t in texts for w in word.findall(t.lower())})
+    at = {w: i for i, w in enumerate(terms)}
+    df = np.array([max(1, sum(w in c for c in counts)) for w in terms])
+    dense = np.zeros((len(texts), len(terms)))
+    for i, t in enumerate(texts):
+        for w, n in Counter(word.findall(t.lower())).items():
+            dense[i, at[w]] = 1 + math.log(n)
+    toxic, clean = (dense[y == 1] > 0).sum(0), (dense[y == 0] > 0).sum(0)
+    weight = np.log(1 + len(rows) / df) * np.abs(np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((clean + 0.5) / ((1 - y).sum() + 1)))
+
+    def unit(m):
+        m = m * weight
+        return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
+
+    examples = unit(dense)
+    prior = y.sum() / (len(y) + 1)
+
+    def signals(q, loo):
+        out = []
+        for i, cos in enumerate(q @ examples.T):
+            if loo:
+                cos[i] = 0
+            near = [j for j in np.argsort(-cos)[: toxicity.NEIGHBOURS] if cos[j] > 1e-9]
+            w = cos[near] / cos[near[0]] if near else np.empty(0)
+            p = (w @ y[near] + prior) / (w.sum() + 1) if near else prior
+            out.append(math.log(p / (1 - p)))
+        return np.array(out)
+
+    a, b = toxicity.platt(signals(examples.copy(), True), y, np.ones(len(y)))
+    asked = np.zeros((len(rows), len(terms)))
+    for i, c in enumerate(counts):
+        for w, n in c.items():
+            if w in at:
+                asked[i, at[w]] = 1 + math.log(n)
+    return 1 / (1 + np.exp(-(a * signals(unit(asked), False) + b)))
 
 
 def test_toxicity_on_held_out_rows(spark, make):
@@ -463,6 +523,12 @@ def test_toxicity_on_held_out_rows(spark, make):
     assert np.mean([x["predicted"] == truth[x["doc_id"]] for x in held]) > 0.97
     kept = {x["doc_id"] for x in rows_of(toxicity.toxicity_filter(make(rows), labels))}
     assert {9001, 9002} <= kept and None not in kept
+    plain_scores = brute_toxicity(rows, [*marks, (5, None)])
+    by_key = {(x["doc_id"], i): x for i, x in enumerate(sorted(got, key=lambda x: (x["doc_id"] is None, x["doc_id"] or 0)))}
+    want = sorted(zip([x[0] for x in rows], plain_scores), key=lambda x: (x[0] is None, x[0] or 0))
+    assert np.allclose([x["score"] for x in by_key.values()], [s for _, s in want], atol=1e-4)
+    assert all(len(x["evidence"]) == toxicity.NEIGHBOURS for x in got if x["doc_id"] in truth)
+    assert not any(e["doc_id"] is None or zlib.crc32(str(e["doc_id"]).encode()) % 3 == 1 for x in got for e in x["evidence"])
     none = toxicity.toxicity_scores(make(rows[:5]), labels.where("toxic = 0"))
     assert {x["score"] for x in rows_of(none)} == {0.0}
 
