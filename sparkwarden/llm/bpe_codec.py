@@ -37,7 +37,7 @@ PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{
 NOT_WHITE = re.compile(f"[^{WHITE}]+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Encoded stretches kept per Python worker beside other stages' memory: a bound, not on texts.
-KEPT_IDS = 250_000
+KEPT_IDS = 100_000
 NEVER = 1 << 60
 
 
@@ -91,7 +91,7 @@ class Codec:
             self.size[i] = len(key)
             self.automaton.add_word(key, (i, len(key)))
         self.automaton.make_automaton()
-        self._fits = lru_cache(maxsize=1 << 18)(self._compatible)
+        self._fits = lru_cache(maxsize=1 << 17)(self._compatible)
 
     def _compatible(self, a: int, b: int) -> bool:
         xs, ys, rank = self.right[a], self.left[b], self.table.ranks

@@ -21,17 +21,18 @@ from pyspark.sql import functions as F
 from .common import dealt, ship, text_of
 
 WORDS, BINS, BITS = 5, 256, 4
-#: Word hashes kept per Python worker: a bound on memory, not on texts.
-KEPT = 500_000
+#: Word hashes kept per Python worker, and the longest word kept: bounds on memory, not on texts.
+KEPT, KEPT_BYTES = 200_000, 64
 ROUNDS = 64
 
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
-        if len(self) >= KEPT:
-            self.clear()
-        self[word] = h
+        if len(word) <= KEPT_BYTES:
+            if len(self) >= KEPT:
+                self.clear()
+            self[word] = h
         return h
 
 

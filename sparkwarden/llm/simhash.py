@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.components import connected_components
-from .common import dealt, ship, stored, text_of
+from .common import dealt, forget, ship, stored, text_of
+from .fingerprint import shingle_hashes
 
 SEED = 42
 #: Fixed value: generator polynomial of the binary Golay code of length 23.
@@ -258,44 +259,83 @@ def _node(text: str) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(text.encode("utf-8", "replace").lower().split()))).astype(np.int64))
 
 
-def _shingle_set(text: str, words: int) -> np.ndarray:
-    found = text.encode("utf-8", "replace").lower().split()
-    k = min(words, len(found))
-    return np.unique(np.fromiter([xxhash.xxh3_64_intdigest(b" ".join(found[i : i + k])) for i in range(len(found) - k + 1 if k else 0)], np.uint64)).view(np.int64)
-
-
 def _least_shared(size: Column, likeness: float) -> Column:
     """The fewest elements that a set of this size shares with any set so much like it."""
     return F.ceil(F.lit(likeness) * size - 1e-6)
 
 
-def _with_company(rows: DataFrame, nodes: DataFrame, likeness: float) -> DataFrame:
-    """rows (node, sample), nodes (node, size) -> node: all that can have a near copy.
+#: Sampled shingles that a task compares before it sends on: a bound on memory, not on shingles.
+TOGETHER = 1_000_000
+#: Stands for the sets that a task has already found to share a shingle.
+SEVERAL = 0
+
+
+def _alike(token: np.ndarray) -> np.ndarray:
+    """Whether an equal element stands beside each element of a sorted array."""
+    same = token[1:] == token[:-1]
+    found = np.zeros(len(token), bool)
+    found[1:] |= same
+    found[:-1] |= same
+    return found
+
+
+def _with_company(nodes: DataFrame, likeness: float) -> DataFrame:
+    """nodes (node, size, sample) -> node: all that can have a near copy.
 
     A set lacks at most size - least shared of its shingles in its near copy, so of its
-    sampled ones all but so many occur in another set too.
+    sampled ones all but so many occur in another set too.  A task counts what its own sets
+    share at once and sends each shingle on once, so a shingle that very many sets have
+    comes to a task as often as there are tasks before it.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def counted(node: np.ndarray) -> pd.DataFrame:
+        which, count = np.unique(node, return_counts=True)
+        return pd.DataFrame({"token": 0, "node": which, "met": count})
+
+    def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows with met: shingles that a set shares within the task; without: shingles to compare."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def sent() -> Iterator[pd.DataFrame]:
+            token, node = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.argsort(token, kind="stable")
+            token, node = token[order], node[order]
+            found = _alike(token)
+            yield counted(node[found])
+            first = np.concatenate(([True], token[1:] != token[:-1]))
+            yield pd.DataFrame({"token": token[first], "node": np.where(found[first], SEVERAL, node[first]), "met": 0})
 
-    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for node, sample in zip(rows["node"].tolist(), rows["sample"]):
+                held.append((np.asarray(sample, np.int64), np.full(len(sample), node, np.int64)))
+                size += len(sample)
+                if size > TOGETHER:
+                    yield from sent()
+                    size = 0
+        if held:
+            yield from sent()
+
+    def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [(rows["token"].to_numpy(np.int64), rows["node"].to_numpy(np.int64)) for rows in batches if len(rows)]
         if not parts:
             return
         token, node = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(token, kind="stable")
-        token, node = token[order], node[order]
-        same = token[1:] == token[:-1]
-        found = np.zeros(len(token), bool)
-        found[1:] |= same
-        found[:-1] |= same
-        which, count = np.unique(node[found], return_counts=True)
-        yield pd.DataFrame({"node": which, "met": count})
+        node = node[order][_alike(token[order])]
+        yield counted(node[node != SEVERAL])
 
-    once = rows.dropDuplicates(["node"])
-    counts = once.select("node", F.explode("sample").alias("token")).repartition(n, "token").mapInPandas(met, "node long, met long").groupBy("node").agg(F.sum("met").alias("met"))
-    sampled = once.select("node", F.size("sample").alias("sampled"))
-    joined = nodes.select("node", "size").where("size > 0").join(sampled, "node").join(counts, "node", "left")
-    return joined.where(F.coalesce("met", F.lit(0)) >= F.col("sampled") - (F.col("size") - _least_shared(F.col("size"), likeness))).select("node")
+    kind = "token long, node long, met long"
+    own = stored(nodes.select("node", "sample").mapInPandas(within, kind), "near-sample")
+    others = own.where("met = 0").select("token", "node").repartition(n, "token").mapInPandas(across, kind)
+    counts = own.where("met > 0").select("node", "met").union(others.select("node", "met")).groupBy("node").agg(F.sum("met").alias("met"))
+    joined = nodes.select("node", "size", F.size("sample").alias("sampled")).where("size > 0").join(counts, "node", "left")
+    some = joined.where(F.coalesce("met", F.lit(0)) >= F.col("sampled") - (F.col("size") - _least_shared(F.col("size"), likeness))).select("node")
+    some = stored(some, "near-some")
+    forget(own)
+    return some
 
 
 def _prefixes(sets: DataFrame, likeness: float) -> DataFrame:
@@ -325,7 +365,9 @@ def _across(prefixes: DataFrame, groups: DataFrame, likeness: float) -> DataFram
     enough = 1 + F.least("la", "lb") >= F.lit(likeness / (1 + likeness)) * (F.col("na") + F.col("nb")) - 1e-6
     like = (F.col("na") >= likeness * F.col("nb") - 1e-6) & (F.col("nb") >= likeness * F.col("na") - 1e-6)
     met = a.join(b, "token").where((F.col("in_main") | (F.col("a") < F.col("b"))) & (F.col("ca") != F.col("cb")) & like & enough)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    out = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-candidates")
+    forget(rows)
+    return out
 
 
 def near_duplicate_filter(docs: DataFrame, words: int = FILTER_WORDS, likeness: float = LIKENESS) -> DataFrame:
@@ -346,51 +388,66 @@ def near_duplicate_filter(docs: DataFrame, words: int = FILTER_WORDS, likeness:
         for texts in batches:
             rows = []
             for t in texts:
-                s = _shingle_set(t, words)
-                rows.append((_node(t), len(s), s[s.view(np.uint64) < SAMPLE]))
+                s = np.unique(shingle_hashes(t, words))
+                rows.append((_node(t), len(s), s[s < SAMPLE].view(np.int64)))
             yield pd.DataFrame(rows, columns=["node", "size", "sample"])
 
     @F.pandas_udf("node long, fingerprint long, check long, s array<long>")
     def sets_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        signed = lambda x: np.uint64(x).astype(np.int64)
         for texts in batches:
-            rows = [(_node(t), np.uint64(word_simhash(t)).astype(np.int64), np.uint64(shingle_simhash(t, words)).astype(np.int64), _shingle_set(t, words)) for t in texts]
+            rows = []
+            for t in texts:
+                h = shingle_hashes(t, words)
+                rows.append((_node(t), signed(word_simhash(t)), signed(majority(h)), np.unique(h).view(np.int64)))
             yield pd.DataFrame(rows, columns=["node", "fingerprint", "check", "s"])
 
-    @F.pandas_udf("long")
-    def node_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([_node(t) for t in texts], dtype=np.int64)
-
-    rows = stored(dealt(docs, "doc_id", "text").select("doc_id", samples_of(text_of()).alias("p")).select("doc_id", "p.*"), "near-samples")
-    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.count("*").alias("n")), "near-nodes")
-    some = _with_company(rows.select("node", "sample"), nodes, likeness)
-    holders = nodes.join(some, "node").select(F.col("first").alias("holder"), F.col("node").alias("held"))
-    # A node's text is in the row of its least doc_id, or where all are null in any of its rows.
-    texts = dealt(docs, "doc_id", "text").select("doc_id", text_of().alias("text"), node_of(text_of()).alias("own"))
-    texts = texts.join(holders, texts["doc_id"].eqNullSafe(holders["holder"]) & (texts["own"] == holders["held"])).select("text", "own")
-    sets = texts.select(sets_of("text").alias("p")).select("p.*").dropDuplicates(["node"])
-    sets = stored(sets, "near-sets")
+    # A row is known by its id and its text's hash; the hash alone decides nothing.
+    known_text = F.xxhash64(text_of()).alias("tid")
+    rows = dealt(docs, "doc_id", "text").select("doc_id", known_text, samples_of(text_of()).alias("p")).select("doc_id", "tid", "p.*")
+    rows = stored(rows, "near-rows")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")).alias("head")
+    nodes = stored(rows.groupBy("node").agg(least, F.first("size").alias("size"), F.first("sample").alias("sample"), F.count("*").alias("n")), "near-nodes")
+    some = _with_company(nodes, likeness)
+    holders = nodes.join(some, "node").select("head.tid", F.col("node").alias("held"))
+    texts = dealt(docs, "text").select(text_of().alias("text"), known_text).join(holders, "tid").select("held", sets_of("text").alias("p"))
+    sets = stored(texts.where("p.node = held").select("p.*").dropDuplicates(["node"]), "near-sets")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        """The pairs that have the likeness.  Only the sets of a pair's two ends move."""
+        ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "a", "b"), F.struct(F.col("b").alias("node"), "a", "b"))).alias("e")).select("e.*")
+        both = sets.select("node", "s").join(_small(ends), "node").groupBy("a", "b")
+        both = both.agg(F.max(F.when(F.col("node") == F.col("a"), F.col("s"))).alias("sa"), F.max(F.when(F.col("node") == F.col("b"), F.col("s"))).alias("sb"))
         shared = F.size(F.array_intersect("sa", "sb"))
         return both.where(shared >= likeness * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
-    close = stored(checked(links(sets.select("node", "fingerprint", "check"), FILTER_BITS, CHECK_BITS).distinct()), "near-close")
-    far = _across(_prefixes(sets.select("node", "s"), likeness), connected_components(close), likeness)
-    near = close.union(checked(far))
-    groups = connected_components(near)
-    known = nodes.join(groups, "node", "left").select("node", "first", "n", F.coalesce("component", "node").alias("component"))
-    # Of a group the least id's row stays; the node tells rows of one id (or without one) apart.
-    heads = known.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", F.col("node").alias("head_node"))).alias("h"), F.sum("n").alias("rows"))
-    heads = heads.where("rows > 1").select("component", F.col("h.first").alias("head"), "h.head_node")
-    stays = F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("node") == F.col("head_node"))
-    losers = rows.join(known.join(heads, "component").select("node", "head", "head_node"), "node").where(~stays).select(F.col("doc_id").alias("lost"), F.col("node").alias("lost_node")).distinct()
-    losers = stored(losers, "near-lost")
-    name = "__node"
+    near = stored(links(sets.select("node", "fingerprint", "check"), FILTER_BITS, CHECK_BITS).distinct(), "near-candidates")
+    close = stored(checked(near), "near-close")
+    prefixes = _prefixes(sets.select("node", "s"), likeness)
+    far = _across(prefixes, connected_components(close), likeness)
+    groups = connected_components(close.union(checked(far)))
+    of = nodes.select("node", "head", "n").join(groups, "node", "left").select("node", "head", "n", F.coalesce("component", "node").alias("component"))
+    # Of a group the row of the least id stays; rows without an id come last.
+    heads = of.groupBy("component").agg(F.min("head").alias("head"), F.sum("n").alias("rows")).where("rows > 1")
+    stays = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("tid") == F.col("head.tid"))
+    losers = rows.select("doc_id", "tid", "node").join(of.select("node", "component").join(heads, "component").select("node", "head"), "node").where(~stays)
+    losers = stored(losers.select(F.col("doc_id").alias("lost"), F.col("tid").alias("lost_tid")).distinct(), "near-lost")
+    again = not rows.groupBy("doc_id", "tid").count().where("count > 1").isEmpty()
+    forget(rows, nodes, some, sets, near, close, prefixes, far)
+    name = "__tid"
     while name in docs.columns:
         name += "_"
-    kept = docs.withColumn(name, node_of(text_of()))
-    kept = kept.join(losers, kept["doc_id"].eqNullSafe(losers["lost"]) & (kept[name] == losers["lost_node"]), "left_anti")
-    if not rows.groupBy("doc_id", "node").count().where("count > 1").isEmpty():
+    kept = docs.withColumn(name, known_text)
+    kept = kept.join(losers, kept["doc_id"].eqNullSafe(losers["lost"]) & (kept[name] == losers["lost_tid"]), "left_anti")
+    if again:
         kept = kept.dropDuplicates(["doc_id", name])
     return kept.drop(name)
+
+
+#: Pairs that are sent to every task; more are dealt out by a shuffle of the sets.
+SENT_PAIRS = 200_000
+
+
+def _small(ends: DataFrame) -> DataFrame:
+    """Broadcast, if the (stored, thus countable) pairs are few."""
+    return F.broadcast(ends) if ends.count() <= 2 * SENT_PAIRS else ends

@@ -27,8 +27,9 @@ PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}
 WHITE = "\t-\r \x85\xa0  -     　"
 #: White space with the stretch that follows it.  No pretoken crosses the end of such a unit.
 UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Counts kept per Python worker: a bound on memory, not on texts (the table starts anew when full).
-KEPT = 1_000_000
+#: Results kept per Python worker and table, and the longest text that is kept: bounds on
+#: memory, not on texts (a full table starts anew).
+KEPT, KEPT_CHARS = 250_000, 64
 
 
 def merged_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
@@ -71,9 +72,10 @@ class _Kept(dict):
 
     def __missing__(self, key: str):
         value = self.compute(key)
-        if len(self) >= self.most:
-            self.clear()
-        self[key] = value
+        if len(key) <= KEPT_CHARS:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
         return value
 
 
