@@ -227,6 +227,8 @@ def test_license_places(make, corpus):
 
 def test_quality_figures_and_verdict(make, corpus):
     extra = [(400, "same three words " * 40), (401, "line one here\nline two here\nline one here\n\n\n" + "pad%d " * 3), (402, " ".join(f"w{i}###" for i in range(80))), (403, " ".join(f"word{i}" for i in range(80)))]
+    words_ = [f"word{i}" for i in range(80)]
+    extra += [(404, "\n".join(" - " + w for w in words_)), (405, "\n".join(w + " ..." for w in words_)), (406, " ".join(str(i) for i in range(1000, 1100))), (407, "\n".join(f"- {w} x{w} y{w}" for w in words_[:60]) + "\n" + "\n".join(words_[60:]))]
     got = sorted((str(tuple(r.values())) for r in rows_of(quality_rules.quality_metrics(make(corpus + extra)))))
     want = []
     for i, x, *_ in corpus + extra:
@@ -238,16 +240,36 @@ def test_quality_figures_and_verdict(make, corpus):
         dup, sym, chars = len(lines) - len(set(lines)), len(re.findall(r"[#*$%&|<>]", x)), sum(map(len, w))
         failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
         kept = not failed and not (100 * sym > 10 * len(w) or 100 * dup > 60 * len(lines) or chars < 2 * len(w) or chars > 20 * len(w))
+        bullets, dots = sum(bool(re.match(r"[ \t]*[-*•]", y)) for y in lines), sum(bool(re.search(r"(\.\.\.|…)[ \t\r]*$", y)) for y in lines)
+        kept = kept and not (100 * bullets > 90 * len(lines) or 100 * dots > 30 * len(lines) or 100 * sum(any(c.isalpha() for c in y) for y in w) < 60 * len(w))
         want.append(str((i, len(w), chars, sym, dup, len(covered), failed, kept)))
     assert got == sorted(want)
     kept = {r["doc_id"] for r in rows_of(quality_rules.quality_filter(make(corpus + extra)))}
-    assert 403 in kept and not kept & {400, 401, 402, 202, 203}
+    assert {403, 407} <= kept and not kept & {400, 401, 402, 202, 203, 404, 405, 406}
 
 
-def test_cascade_order_is_rejection_per_cost(make, corpus):
-    found = quality_rules.estimate(make(corpus))
-    rate = [e.rejected / max(e.cost, 1e-6) for e in found]
-    assert rate == sorted(rate, reverse=True) and {e.rule.name for e in found} == {r.name for r in quality_rules.RULES}
+def test_cascade_order_is_rejection_per_cost():
+    made = lambda name, cost, rejected: quality_rules.Estimate(quality_rules.Rule(name, (), None), cost, rejected)
+    given = [made("dear", 2.0, 0.5), made("cheap", 0.1, 0.1), made("idle", 0.01, 0.0), made("keen", 0.5, 0.9), made("lazy", 1.0, 0.0)]
+    assert [e.rule.name for e in quality_rules.ordered(given)] == ["keen", "cheap", "dear", "idle", "lazy"]
+
+
+def test_estimates_are_measured(make):
+    rows = [(i, "one two three") for i in range(30)] + [(100 + i, " ".join(f"w{i}x{j}" for j in range(400))) for i in range(70)]
+    found = {e.rule.name: e for e in quality_rules.estimate(make(rows))}
+    assert set(found) == {r.name for r in quality_rules.RULES}
+    assert found["short"].rejected == 0.3 and found["symbols"].rejected == 0
+    assert found["repeats"].cost > found["short"].cost
+
+
+def test_cascade_leaves_later_rules_alone(make):
+    from pyspark.sql import functions as F
+
+    never = quality_rules.Rule("never", ("n_words",), lambda n: F.raise_error(F.lit("a rejected text came to a later rule")).isNotNull())
+    rows = make([(1, "a b"), (2, None)]).select("text")
+    first = quality_rules.RULES[0]
+    out = rows.select(quality_rules.cascade([first, never], lambda r: r.of_text(F.coalesce("text", F.lit("")), quality_rules.words_of(F.coalesce("text", F.lit(""))))).alias("by"))
+    assert {x["by"] for x in out.collect()} == {"short"}
 
 
 def highest_quotients(votes, seats, most):
