@@ -2,13 +2,15 @@
 
 ``spark.read.format("warc").load(folder)`` plans partitions of whole files, takes
 predicates on record_type and on the other header columns, and parses a record's headers
-before its payload: where the predicates reject the record, the compressed rest is skipped
-unread.  ``df.write.format("warc").save(folder)`` writes one gzip member a record.  Its
-``sl`` extra field (WARC 1.0, annex on gzip) holds the lengths that make skipping possible;
-members without it, from other writers, are decoded to be passed over.
-
-Each task writes its own file and the commit lists the files that count, so that a task
-that ran twice leaves no record twice.
+before its payload: where the predicates reject the record, or the schema that was asked for
+has no payload, the compressed rest is skipped unread.  ``df.write.format("warc").save(folder)``
+writes one gzip member a record.  Its ``sl`` extra field (WARC 1.0, annex on gzip) holds the
+lengths that make skipping possible; members without it, from other writers, are decoded to
+be passed over.  Archives that are not compressed are read too.
+
+Each task writes its own file, and the commit adds a list of the files that count, so that a
+task that ran twice leaves no record twice.  A folder's records are those of all its lists;
+mode "overwrite" removes the lists and files that were there before.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from .common import dealt, scratch, ship
+from .common import dealt, scratch, ship, stored
 
 SCHEMA = "page_id long, record_type string, target_uri string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 HEADER_COLUMNS = ("page_id", "record_type", "target_uri", "payload_bytes", "payload_digest", "refers_to")
@@ -34,7 +36,8 @@ HEADER_COLUMNS = ("page_id", "record_type", "target_uri", "payload_bytes", "payl
 LEAST_SHARED = 100
 #: Compressed bytes that a reading partition takes together, and rows of an Arrow batch.
 SPLIT_BYTES, BATCH_ROWS = 16 << 20, 256
-MANIFEST = "_records.json"
+#: Files of a folder that list the archives of one write, and bytes read at once.
+MANIFEST, READ_BYTES = "_records-", 256 << 10
 LEVEL = 1
 DATE = "1970-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -66,7 +69,10 @@ def record(page_id: int | None, kind: str, uri: str, size: int, digest: str, ref
     body = z.compress(plain) + z.flush()
     tail = struct.pack("<II", zlib.crc32(plain), len(plain) & 0xFFFFFFFF)
     total = 10 + 2 + 12 + len(body) + len(tail)
-    extra = b"sl" + struct.pack("<HII", 8, total & 0xFFFFFFFF, len(plain) & 0xFFFFFFFF)
+    if total >> 32 or len(plain) >> 32:
+        # The field's lengths have 32 bits: a larger member goes without it.
+        return b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + body + tail
+    extra = b"sl" + struct.pack("<HII", 8, total, len(plain))
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra + body + tail
 
 
@@ -95,49 +101,104 @@ def header_row(h: dict[str, str]) -> dict:
     }
 
 
-def read_records(f, wanted) -> Iterator[tuple[dict, bytes]]:
-    """Header values and payload of the records that wanted(header values) accepts."""
-    at, size = 0, f.size()
-    while at < size:
-        f.seek(at)
-        first = f.read(64 << 10)
-        if first[:2] != b"\x1f\x8b":
-            raise ValueError(f"no gzip member at byte {at}")
-        skip, start = None, 10
-        if first[3] & 4:
-            (n,) = struct.unpack_from("<H", first, 10)
-            extra, start = first[12 : 12 + n], 12 + n
-            if extra[:2] == b"sl":
-                skip = struct.unpack_from("<I", extra, 4)[0]
-        z = zlib.decompressobj(31)
-        read = len(first)
-        plain = z.decompress(first, 16 << 10)
-        while b"\r\n\r\n" not in plain and not z.eof:
-            more = z.unconsumed_tail or f.read(64 << 10)
-            read += 0 if z.unconsumed_tail else len(more)
-            plain += z.decompress(more, 16 << 10)
+class _Window:
+    """A file read in large steps, of which records take what they need."""
+
+    def __init__(self, f):
+        self.f, self.size = f, f.size()
+        self.start, self.held = 0, b""
+
+    def at(self, place: int, n: int) -> bytes:
+        """n bytes from place on, fewer at the end of the file."""
+        if not self.start <= place <= place + n <= self.start + len(self.held) and place < self.size:
+            self.f.seek(place)
+            self.start, self.held = place, self.f.read(max(n, READ_BYTES))
+        return self.held[place - self.start : place - self.start + n]
+
+    def rest(self, place: int) -> bytes:
+        """What is at hand from place on, at least a byte unless the file ends there."""
+        self.at(place, 1)
+        return self.held[place - self.start :]
+
+
+class _Member:
+    """The plain bytes of one record's part of a file: a gzip member, or the bytes themselves."""
+
+    def __init__(self, window: _Window, at: int):
+        self.window, self.start, self.place = window, at, at
+        first = window.at(at, 24)
+        self.z = zlib.decompressobj(31) if first[:2] == b"\x1f\x8b" else None
+        if self.z is None and first[:5] != b"WARC/":
+            raise ValueError(f"no record at byte {at}")
+        self.length = None
+        if self.z is not None and len(first) == 24 and first[3] & 4 and first[12:14] == b"sl":
+            self.length = struct.unpack_from("<I", first, 16)[0]
+
+    def more(self, most: int) -> bytes:
+        """The next plain bytes, about as many as asked for; none at the member's end."""
+        out = b""
+        while not out and not (self.z is not None and self.z.eof):
+            if self.z is None:
+                out = self.window.rest(self.place)[:most]
+                self.place += len(out)
+                return out
+            packed = self.z.unconsumed_tail
+            if not packed:
+                packed = self.window.rest(self.place)
+                if not packed:
+                    raise ValueError("the archive ends within a record")
+                self.place += len(packed)
+            out = self.z.decompress(packed, most)
+        return out
+
+    def end(self) -> int:
+        """Where the next member starts, after all of this one has been read."""
+        while self.more(1 << 20):
+            pass
+        return self.place - len(self.z.unused_data)
+
+    def skipped(self) -> int:
+        """Where the next member starts; by the stored length, if a member does start there."""
+        if self.length:
+            stop = self.start + self.length
+            if stop == self.window.size or self.window.at(stop, 3) == b"\x1f\x8b\x08":
+                return stop
+        return self.end()
+
+
+def read_records(f, wanted, payloads: bool = True) -> Iterator[tuple[dict, bytes | None]]:
+    """Header values and payload (None without payloads) of the records that
+    wanted(header values) accepts."""
+    window, at = _Window(f), 0
+    while at < window.size:
+        member = _Member(window, at)
+        parts, plain = [], b""
+        while b"\r\n\r\n" not in plain:
+            found = member.more(4 << 10)
+            if not found:
+                break
+            plain += found
         head, _, rest = plain.partition(b"\r\n\r\n")
         headers = parse_headers(head)
+        length = _number(headers.get("content-length")) or 0
         row = header_row(headers)
         take = wanted(row)
-        if not take and skip:
-            at += skip
-            continue
-        parts = [rest]
-        while not z.eof:
-            more = z.unconsumed_tail
-            if not more:
-                more = f.read(1 << 20)
-                read += len(more)
-                if not more:
+        if take and payloads:
+            parts, held = [rest], len(rest)
+            while held < length:
+                found = member.more(min(1 << 20, length - held) if member.z is None else 1 << 20)
+                if not found:
                     raise ValueError("the archive ends within a record")
-            parts.append(z.decompress(more, 1 << 20))
-        at += read - len(z.unused_data)
-        if take:
-            block = b"".join(parts)[: int(headers.get("content-length", 0))]
-            if block.startswith(b"HTTP/"):
-                block = block.partition(b"\r\n\r\n")[2]
-            yield row, block
+                parts.append(found)
+                held += len(found)
+            block = b"".join(parts)[:length]
+            yield row, block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
+        elif take:
+            yield row, None
+        if member.z is None:
+            at += len(head) + 4 + length + 4  # two line ends close a record
+        else:
+            at = member.end() if take and payloads else member.skipped()
 
 
 @dataclass
@@ -154,23 +215,23 @@ class Written(WriterCommitMessage):
 class WarcReader(DataSourceReader):
     def __init__(self, path: str, schema):
         self.path, self.schema = path, schema
-        self.filters: list[tuple[str, tuple]] = []
+        #: A header column and the values that it may have; without values any but null.
+        self.filters: list[tuple[str, tuple | None]] = []
 
     def pushFilters(self, filters: list[Filter]):  # noqa: N802
         for f in filters:
-            column = f.attribute[0] if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 else None
+            column = f.attribute[0] if isinstance(f, (EqualTo, In, IsNotNull)) and len(f.attribute) == 1 else None
             if column in HEADER_COLUMNS:
-                self.filters.append((column, tuple(f.value) if isinstance(f, In) else (f.value,)))
+                self.filters.append((column, None if isinstance(f, IsNotNull) else tuple(f.value) if isinstance(f, In) else (f.value,)))
             else:
                 yield f
 
     def partitions(self) -> list[Files]:
         files, root = _open(self.path)
         listed = {i.base_name: i for i in files.get_file_info(fs.FileSelector(root)) if i.is_file}
-        if MANIFEST in listed:
-            with files.open_input_file(f"{root}/{MANIFEST}") as f:
-                names = json.loads(f.read())
-        else:
+        lists = sorted(n for n in listed if n.startswith(MANIFEST))
+        names = [n for x in lists for n in _listed(files, f"{root}/{x}")]
+        if not lists:  # another writer's folder
             names = sorted(n for n in listed if n.endswith((".warc.gz", ".warc")))
         out: list[Files] = []
         held: list[str] = []
@@ -188,14 +249,15 @@ class WarcReader(DataSourceReader):
 
         shape = to_arrow_schema(self.schema)
         files, root = _open(self.path)
-        wanted = lambda row: all(row[c] in values for c, values in self.filters)
+        wanted = lambda row: all(row[c] is not None if values is None else row[c] in values for c, values in self.filters)
+        payloads = "payload" in shape.names
         rows: list[dict] = []
         size = 0
         for name in partition.paths:
             with files.open_input_file(f"{root}/{name}") as f:
-                for row, payload in read_records(f, wanted):
-                    rows.append(row | {"payload": payload})
-                    size += len(payload)
+                for row, payload in read_records(f, wanted, payloads):
+                    rows.append({c: row.get(c) for c in shape.names} | ({"payload": payload} if payloads else {}))
+                    size += len(payload or b"")
                     if len(rows) >= BATCH_ROWS or size > 4 << 20:
                         yield pa.RecordBatch.from_pylist(rows, schema=shape)
                         rows, size = [], 0
@@ -203,9 +265,14 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema=shape)
 
 
+def _listed(files: fs.FileSystem, path: str) -> list[str]:
+    with files.open_input_file(path) as f:
+        return json.loads(f.read())
+
+
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files, root = _open(self.path)
@@ -224,8 +291,14 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         files, root = _open(self.path)
         files.create_dir(root, recursive=True)
-        with files.open_output_stream(f"{root}/{MANIFEST}") as f:
+        before = sorted(i.base_name for i in files.get_file_info(fs.FileSelector(root)) if i.is_file and i.base_name.startswith(MANIFEST)) if self.overwrite else []
+        with files.open_output_stream(f"{root}/{MANIFEST}{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps(sorted(m.name for m in messages if m and m.name)).encode())
+        for x in before:
+            names = _listed(files, f"{root}/{x}")
+            files.delete_file(f"{root}/{x}")
+            for n in names:
+                files.delete_file(f"{root}/{n}")
 
     def abort(self, messages: list[Written | None]) -> None:
         files, root = _open(self.path)
@@ -248,7 +321,7 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options["path"], schema)
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -268,9 +341,13 @@ def archive_rows(pages: DataFrame) -> DataFrame:
     """
     rows = dealt(pages, "page_id", "url", "html").select("page_id", F.coalesce("url", F.lit("")).alias("target_uri"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
-    shared = rows.where(F.col("payload_bytes") >= LEAST_SHARED).groupBy(F.col("payload_digest").alias("digest")).agg(F.min("page_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(shared, F.col("payload_digest") == F.col("digest"), "left")
-    again = F.col("least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("least"))
+    # Which pages are revisits is found on sizes and digests; no payload is sorted by its digest.
+    narrow = rows.where(F.col("payload_bytes") >= LEAST_SHARED).select(F.col("page_id").alias("again"), F.col("payload_digest").alias("same"))
+    shared = narrow.groupBy("same").agg(F.min("again").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    marks = narrow.join(shared, "same").where(F.col("least").isNotNull() & ~F.col("again").eqNullSafe(F.col("least"))).distinct()
+    marks = stored(marks, "warc-revisits")
+    rows = rows.join(marks, rows["page_id"].eqNullSafe(marks["again"]) & (rows["payload_digest"] == marks["same"]), "left")
+    again = F.col("least").isNotNull()
     return rows.select(
         "page_id",
         F.when(again, "revisit").otherwise("response").alias("record_type"),
@@ -282,36 +359,34 @@ def archive_rows(pages: DataFrame) -> DataFrame:
     )
 
 
-def write_warc(pages: DataFrame, path: str) -> None:
-    """One archive file a task under path."""
+def write_warc(pages: DataFrame, path: str, mode: str = "append") -> None:
+    """One archive file a task under path; mode append or overwrite."""
     register(pages.sparkSession)
-    archive_rows(pages).write.format("warc").mode("append").save(path)
+    archive_rows(pages).write.format("warc").mode(mode).save(path)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """The records under path, in the shape of SCHEMA; without payloads no payload is decoded."""
     register(spark)
-    return spark.read.format("warc").load(path)
+    shape = SCHEMA if payloads else SCHEMA.removesuffix(", payload binary")
+    return spark.read.format("warc").schema(shape).load(path)
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Write archives in the shared folder, read them back, and digest what was read:
     page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    A response's size and digest are those of the payload that was read; a revisit's are
-    the full payload's, from its headers.
+    Responses are read with their payloads, whose size and digest these are; of revisits the
+    headers alone, which hold those of the full payload.  Either reading pushes its record
+    type to the source.
     """
     spark = pages.sparkSession
     path = scratch(spark, "warc")
     write_warc(pages, path)
-    found = read_warc(spark, path)
-    whole = F.col("record_type") == "response"
-    return found.select(
-        "page_id",
-        F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(whole, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type",
-        "refers_to",
-    )
+    whole = read_warc(spark, path).where("record_type = 'response'")
+    whole = whole.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
+    again = read_warc(spark, path, payloads=False).where("record_type = 'revisit'")
+    return whole.union(again.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
 #: DuckDB SQL for archive_round_trip over the pages table.
