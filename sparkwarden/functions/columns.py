@@ -198,3 +198,91 @@ def file_category(path: Column, package: str, domains: tuple[str, ...]) -> Colum
     root = (F.size(parts) == 2) & second.isin("__init__.py", "__main__.py", "cli.py")
     inside = F.when(root, "package_root").when(second.isin(*domains), "domain").otherwise("misplaced")
     return F.when(top == package, inside).when(top == "tests", "domain").when(top == "tools", "tooling").otherwise("orphan")
+
+
+def absolute_import(name: Column, module: Column, package: Column) -> Column:
+    """An import as a full dotted name.  Leading dots lead from the importing module's package
+    (package: whether the module is one itself) upwards; null where they lead above the top."""
+    level = F.length(name) - F.length(F.ltrim(name, F.lit(".")))
+    rest = F.nullif(F.ltrim(name, F.lit(".")), F.lit(""))
+    parts = F.split(module, r"\.")
+    keep = F.size(parts) - level + F.when(package, 1).otherwise(0)
+    base = F.nullif(F.array_join(F.slice(parts, 1, F.greatest(keep, F.lit(0))), "."), F.lit(""))
+    return F.when(level == 0, name).when(keep >= 0, F.nullif(F.concat_ws(".", base, rest), F.lit("")))
+
+
+def legacy_id(canonical: Column) -> Column:
+    """canonical://kind/path[/name] -> kind:path[:name]; files have no name; null if it is no such id."""
+    kind, rest = F.regexp_extract(canonical, "^canonical://(file|function|class)/(.+)$", 1), F.regexp_extract(canonical, "^canonical://(file|function|class)/(.+)$", 2)
+    named = F.concat_ws(":", kind, F.regexp_replace(rest, "/[^/]*$", ""), F.regexp_extract(rest, "([^/]*)$", 1))
+    return F.when(kind == "file", F.concat_ws(":", kind, rest)).when((kind != "") & F.contains(rest, F.lit("/")), named)
+
+
+def canonical_of(node: Column) -> Column:
+    """A node id of either form as a trimmed canonical id; null for anything else."""
+    text = F.trim(F.coalesce(node, F.lit("")))
+    kind, path, name = (F.regexp_extract(text, "^(file|function|class):([^:]+)(?::(.+))?$", i) for i in (1, 2, 3))
+    made = canonical_id(kind, path, name)
+    whole = text.rlike("^canonical://(file|function|class)/.+$")
+    return F.when(whole, text).when((kind != "") & ((kind == "file") | (name != "")), made)
+
+
+def node_path(canonical: Column) -> Column:
+    """The file path of a canonical id; null for other text."""
+    kind, rest = F.regexp_extract(canonical, "^canonical://(file|function|class)/(.+)$", 1), F.regexp_extract(canonical, "^canonical://(file|function|class)/(.+)$", 2)
+    return F.when(kind == "file", rest).when((kind != "") & F.contains(rest, F.lit("/")), F.regexp_replace(rest, "/[^/]*$", ""))
+
+
+def flag(value: Column) -> Column:
+    """true, yes, y, on and 1 in any case are true, everything else is false."""
+    return F.coalesce(F.lower(F.trim(value.cast("string"))).isin("true", "yes", "y", "on", "1"), F.lit(False))
+
+
+def _finite(value: Column) -> Column:
+    x = F.trim(value.cast("string")).try_cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
+def number(value: Column, otherwise: float = 0.0) -> Column:
+    """A finite double of any text, else the default."""
+    return F.coalesce(_finite(value), F.lit(float(otherwise)))
+
+
+def whole_number(value: Column, otherwise: int = 0) -> Column:
+    """The integer part of a finite number of any text, else the default."""
+    return F.coalesce(_finite(value).cast("long"), F.lit(otherwise))
+
+
+def node_flag(names: tuple[str, ...], field: Column, metadata: Column, tags: Column, role: Column) -> Column:
+    """Whether a node is marked by a field of its own, one of the names in its metadata (a
+    map of strings), its tags or its role."""
+    wanted = any_of(names)
+    marked = F.exists(wanted, lambda n: flag(F.try_element_at(metadata, n)))
+    tagged = F.arrays_overlap(F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.lower(F.trim(t))), wanted)
+    return flag(field) | F.coalesce(marked, F.lit(False)) | F.coalesce(tagged, F.lit(False)) | F.coalesce(F.lower(F.trim(role)).isin(*names), F.lit(False))
+
+
+def sorted_json(pairs: Column) -> Column:
+    """A map of strings as JSON text with sorted keys, and so equal for equal maps."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(pairs))))
+
+
+def encoded_json(pairs: Column) -> Column:
+    """sorted_json in URL-safe base64 without padding."""
+    return F.rtrim(F.translate(F.base64(F.encode(sorted_json(pairs), "UTF-8")), "+/\r\n", "-_"), F.lit("="))
+
+
+def content_key(pairs: Column) -> Column:
+    """SHA-256 of sorted_json."""
+    return F.sha2(sorted_json(pairs), 256)
+
+
+def utc_stamp(ts: Column) -> Column:
+    """2024-01-31T23:59:59Z of a timestamp, in UTC."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def merged(first: Column, second: Column) -> Column:
+    """Two maps of strings as one; of a key in both the second one's value holds."""
+    mine = F.map_filter(first, lambda k, _: ~F.array_contains(F.map_keys(second), k))
+    return F.when(first.isNull(), second).when(second.isNull(), first).otherwise(F.map_concat(mine, second))

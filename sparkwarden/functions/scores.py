@@ -90,14 +90,16 @@ def trust(scores: Mapping[str, float], confidence: float, authority: float | Non
 
 def policy(m: Mapping[str, float], min_trust: float = 0.0, min_confidence: float = P.MIN_EXECUTION_CONFIDENCE) -> dict:
     """Hard and soft reasons; valid without hard reasons and without the two soft ones that count."""
+    ran, layered = bool(m.get("runtime", 0)), m.get("architecture_coverage", 0) >= 0.20
     hard = [
         reason
         for reason, holds in (
-            ("critical_structural_issue", m.get("critical_issues", 0) > 0),
+            ("no_valid_nodes", m.get("valid_nodes", 1) <= 0),
             ("missing_di_ratio_exceeded", m.get("missing_di_ratio", 0) > 0.50),
             ("orphan_node_ratio_exceeded", m.get("orphan_node_ratio", 0) > 0.40),
+            ("architecture_violations_exceeded", layered and m.get("violation_ratio", 0) > 0.60),
             ("coverage_below_floor", m.get("coverage", 0) < P.COVERAGE_FLOOR),
-            ("architecture_violations_exceeded", m.get("architecture_coverage", 0) >= 0.20 and m.get("violation_ratio", 0) > 0.60),
+            ("entrypoint_coverage_below_floor", ran and m.get("entrypoint_coverage", 1) < P.MIN_ENTRYPOINT_COVERAGE),
         )
         if holds
     ]
@@ -106,7 +108,11 @@ def policy(m: Mapping[str, float], min_trust: float = 0.0, min_confidence: float
         for reason, holds in (
             ("trust_below_minimum", m.get("trust", 0) < min_trust),
             ("execution_confidence_below_minimum", m.get("raw_confidence", 0) < min_confidence),
-            ("architecture_score_low", m.get("architecture_score", 1) < 0.60),
+            ("domain_coverage_below_minimum", ran and m.get("expected_domains", 0) > 0 and m.get("domain_coverage", 1) < P.MIN_DOMAIN_COVERAGE),
+            ("scenario_coverage_below_minimum", ran and m.get("scenario_coverage", 1) < P.MIN_SCENARIO_COVERAGE),
+            ("architecture_drift", bool(m.get("drifted", 0))),
+            ("cycles", m.get("cycles", 0) > 0),
+            ("architecture_score_low", layered and m.get("architecture_score", 1) < 0.60),
             ("semantic_collisions", m.get("semantic_score", 1) < 0.55 and m.get("collisions", 0) > 0),
             ("causal_score_low", bool(m.get("causal_enforced", 0)) and m.get("causal_score", 1) < 0.40),
         )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import profiles as P
 from ..functions.columns import clamp, log_share
+from .tables import stored
 
 
 def reference_counts(edges: DataFrame) -> DataFrame:
@@ -50,6 +51,8 @@ def heat(nodes: DataFrame, edges: DataFrame, trace: DataFrame, reachable: DataFr
     base = nodes.select("node_id").distinct().join(hits, "node_id", "left").join(refs, "node_id", "left").join(reach, "node_id", "left")
     base = base.na.fill(0, ["hits", "inbound", "outbound", "executable", "non_executable"]).na.fill(False, ["reached"])
     total = F.col("executable") + F.col("non_executable") + F.col("inbound")
+    # The table is used twice, for its maxima and for its rows, so it is written once.
+    base = stored(base, "heat")
     most = base.agg(F.max("hits").alias("most_hits"), F.max(total).alias("most_refs"))
     rows = base.crossJoin(F.broadcast(most))
     runtime, w = log_share(F.col("hits"), F.col("most_hits")), P.HEAT_WEIGHTS
@@ -82,6 +85,25 @@ def heat_distribution(heat_rows: DataFrame) -> DataFrame:
     return counts.select("hot", "warm", "cold", "dead", F.when(F.col("n") == 0, 0.0).otherwise(F.round(F.col("dead") / F.col("n"), 6)).alias("dead_ratio"))
 
 
+def dead_ratio_gate(distribution: DataFrame, passed: bool) -> DataFrame:
+    """heat_distribution's row with sane: false if the runtime signal has passed its gate and
+    yet more nodes are DEAD than MAX_DEAD_RATIO allows."""
+    return distribution.withColumn("sane", ~(F.lit(passed) & (F.col("dead_ratio") > P.MAX_DEAD_RATIO)))
+
+
+def warm_near_hot(heat_rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: WARM nodes, those that HOT nodes reach over the edges, their share, and DEAD
+    nodes that nevertheless have hits or incoming edges (conflicts)."""
+    from . import graph
+
+    c = F.col("classification")
+    seen = graph.reach(edges, heat_rows.where(c == "HOT").select("node_id"), heat_rows).select("node_id")
+    near = heat_rows.where(c == "WARM").join(seen, "node_id", "left_semi").agg(F.count("*").alias("near"))
+    counts = heat_rows.agg(F.count_if(c == "WARM").alias("warm"), F.count_if((c == "DEAD") & ((F.col("hits") > 0) | (F.col("inbound") > 0))).alias("conflicts"))
+    share = F.when(F.col("warm") == 0, 1.0).otherwise(F.round(F.col("near") / F.col("warm"), 6))
+    return counts.crossJoin(F.broadcast(near)).select("warm", "near", share.alias("share"), "conflicts")
+
+
 def dead_candidates(heat_rows: DataFrame, coverage: float) -> DataFrame:
     """DEAD nodes without inbound edges: probability by rule weights, confidence by coverage."""
     w = P.DEAD_WEIGHTS

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,29 +19,76 @@ def longest_prefix(names: DataFrame, index: DataFrame, separator: str = ".") ->
     return asked.join(modules, "module", "left").groupBy("id", "name").agg(F.max_by("path", F.when(F.col("path").isNotNull(), F.col("n"))).alias("path"))
 
 
-def unique_choice(n: str, functions: str, classes: str, any_id: str, function_id: str, class_id: str):
+def unique_choice(n: Column, functions: Column, classes: Column, any_id: Column, function_id: Column, class_id: Column) -> Column:
     """The only match, else the only function, else the only class, else null."""
-    return F.when(F.col(n) == 1, F.col(any_id)).when(F.col(functions) == 1, F.col(function_id)).when(F.col(classes) == 1, F.col(class_id))
+    return F.when(n == 1, any_id).when(functions == 1, function_id).when(classes == 1, class_id)
 
 
-def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """calls (call_id, file, name), symbols (name, kind, file, node_id), imports (file,
-    path) -> call_id, target.
+def import_context(imports: DataFrame) -> DataFrame:
+    """imports (file, module, alias, path) -> file, key, scope, path: under which names a file
+    can mean the imported path.
 
-    Candidates by name; then, in this order, the unique choice over all of them, in the
-    caller's file, among imported files.  One join and one aggregation per call.
+    The module's first, last and last but one word and the alias qualify a call (scope
+    prefix); its last word and the alias are also callable themselves (scope symbol).
     """
-    c = calls.alias("c").join(symbols.alias("s"), F.col("c.name") == F.col("s.name")).select("c.call_id", F.col("c.file").alias("at"), F.col("s.kind").alias("kind"), F.col("s.file").alias("file"), F.col("s.node_id").alias("node_id"))
-    i = imports.select(F.col("file").alias("at"), F.col("path").alias("file")).distinct().withColumn("imported", F.lit(True))
-    c = c.join(i, ["at", "file"], "left")
-    scopes = {"all": F.lit(True), "own": F.col("file") == F.col("at"), "imp": F.coalesce("imported", F.lit(False))}
-    aggs = []
-    for name, inside in scopes.items():
-        for kind, is_kind in (("n", F.lit(True)), ("f", F.col("kind") == "function"), ("c", F.col("kind") == "class")):
-            aggs += [F.count_if(inside & is_kind).alias(f"{name}_{kind}"), F.min(F.when(inside & is_kind, F.col("node_id"))).alias(f"{name}_{kind}_id")]
-    g = c.groupBy("call_id").agg(*aggs)
-    chosen = F.coalesce(*[unique_choice(f"{s}_n", f"{s}_f", f"{s}_c", f"{s}_n_id", f"{s}_f_id", f"{s}_c_id") for s in scopes])
-    return calls.select("call_id").join(g.select("call_id", chosen.alias("target")), "call_id", "left")
+    parts = F.filter(F.transform(F.split("module", r"\."), lambda x: F.trim(x)), lambda x: x != "")
+    entry = lambda key, scope: F.struct(key.alias("key"), F.lit(scope).alias("scope"))
+    alias = F.nullif(F.trim(F.coalesce("alias", F.lit(""))), F.lit(""))
+    keys = F.array(
+        entry(F.get(parts, F.lit(0)), "prefix"),
+        entry(F.get(parts, F.size(parts) - 1), "prefix"),
+        entry(F.get(parts, F.size(parts) - 2), "prefix"),
+        entry(alias, "prefix"),
+        entry(F.get(parts, F.size(parts) - 1), "symbol"),
+        entry(alias, "symbol"),
+    )
+    rows = imports.where("path is not null and path <> ''").select("file", "path", F.explode(keys).alias("k")).select("file", "k.key", "k.scope", "path")
+    return rows.where("key is not null").distinct()
+
+
+_COUNTS = ("n", "f", "c", "any_id", "f_id", "c_id")
+
+
+def _counted(rows: DataFrame, *group: str) -> DataFrame:
+    """Symbols a group: all, functions, classes, and the least id of each."""
+    function, klass = F.col("kind") == "function", F.col("kind") == "class"
+    return rows.groupBy(*group).agg(
+        F.count("*").alias("n"), F.count_if(function).alias("f"), F.count_if(klass).alias("c"),
+        F.min("node_id").alias("any_id"), F.min(F.when(function, F.col("node_id"))).alias("f_id"), F.min(F.when(klass, F.col("node_id"))).alias("c_id"),
+    )
+
+
+def _choice(scope: str) -> Column:
+    return unique_choice(*[F.col(f"{scope}_{x}") for x in _COUNTS])
+
+
+def resolve_calls(calls: DataFrame, symbols: DataFrame, context: DataFrame) -> DataFrame:
+    """calls (call_id, file, name, prefix: the callee's first word or null), symbols (name,
+    kind, file, node_id), context (see import_context) -> call_id, target.
+
+    In this order, the unique choice over all symbols of the name, those of the caller's
+    file, those in files that the prefix imports, those in files that the name itself
+    imports.  Symbols are counted by name, and by name and file, before they meet a call, so
+    a name that very many files define costs a call one row and not one a file; calls that
+    ask the same are asked once.
+    """
+    asked = calls.select("file", "name", "prefix").distinct()
+    named = lambda rows, scope: [F.col(x).alias(f"{scope}_{x}") for x in _COUNTS]
+    by_name = _counted(symbols, "name")
+    by_file = _counted(symbols, "name", "file")
+    out = asked.join(by_name.select("name", *named(by_name, "all")), "name", "left")
+    out = out.join(by_file.select("name", "file", *named(by_file, "own")), ["name", "file"], "left")
+    for scope, key in (("prefix", "prefix"), ("symbol", "name")):
+        paths = context.where(F.col("scope") == scope).select("file", F.col("key").alias(key), "path").distinct()
+        met = asked.select("file", "name", "prefix").join(paths, ["file", key]).join(by_file.withColumnRenamed("file", "path"), ["name", "path"])
+        sums = met.groupBy("file", "name", "prefix").agg(*[(F.sum if x in ("n", "f", "c") else F.min)(x).alias(f"{scope}_{x}") for x in _COUNTS])
+        sums = sums.select(F.col("file").alias("__file"), F.col("name").alias("__name"), F.col("prefix").alias("__prefix"), *[f"{scope}_{x}" for x in _COUNTS])
+        same = (F.col("file") == F.col("__file")) & (F.col("name") == F.col("__name")) & F.col("prefix").eqNullSafe(F.col("__prefix"))
+        out = out.join(sums, same, "left").drop("__file", "__name", "__prefix")
+    target = F.coalesce(*[_choice(s) for s in ("all", "own", "prefix", "symbol")])
+    found = out.select(F.col("file").alias("__file"), F.col("name").alias("__name"), F.col("prefix").alias("__prefix"), target.alias("target"))
+    same = (F.col("file") == F.col("__file")) & (F.col("name") == F.col("__name")) & F.col("prefix").eqNullSafe(F.col("__prefix"))
+    return calls.select("call_id", "file", "name", "prefix").join(found, same, "left").select("call_id", "target")
 
 
 def alias_lookup(*frames: DataFrame) -> DataFrame:
@@ -52,3 +99,18 @@ def alias_lookup(*frames: DataFrame) -> DataFrame:
         part = f.select("alias", "node_id", F.lit(i).alias("priority"))
         rows = part if rows is None else rows.union(part)
     return rows.groupBy("alias").agg(F.min_by("node_id", F.struct("priority", "node_id")).alias("node_id"))
+
+
+def last_alias(rows: DataFrame) -> DataFrame:
+    """rows (alias, node_id, place) -> alias, node_id: of repeated aliases the last place's."""
+    return rows.where("alias is not null and alias <> ''").groupBy("alias").agg(F.max_by("node_id", F.struct("place", "node_id")).alias("node_id"))
+
+
+def source_coverage(edges: DataFrame, final: DataFrame) -> DataFrame:
+    """edges (origin, source, target) against final (source, target) -> origin, edges,
+    covered, coverage; and for each origin how far its coverage lies from the farthest other."""
+    kept = final.select("source", "target").distinct().withColumn("kept", F.lit(True))
+    by = edges.select("origin", "source", "target").distinct().join(kept, ["source", "target"], "left").groupBy("origin").agg(F.count("*").alias("edges"), F.count("kept").alias("covered"))
+    by = by.withColumn("coverage", F.round(F.col("covered") / F.col("edges"), 6))
+    ends = by.agg(F.min("coverage").alias("least"), F.max("coverage").alias("most"))  # one row
+    return by.crossJoin(F.broadcast(ends)).select("origin", "edges", "covered", "coverage", F.round(F.greatest(F.col("coverage") - F.col("least"), F.col("most") - F.col("coverage")), 6).alias("divergence"))

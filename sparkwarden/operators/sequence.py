@@ -49,30 +49,37 @@ def first_distinct(trace: DataFrame, k: int = 10) -> DataFrame:
 
 
 def causal_score(trace: DataFrame) -> DataFrame:
-    """One row: role coverage, direct api-to-persistence steps, workflows and the score.
+    """One row: runs, role coverage, direct api-to-persistence steps, the score, and the issues
+    (codes in the order of profiles.CAUSAL_ISSUES).
 
-    An empty trace scores 1.
+    An empty trace scores 1 and has no issues.
     """
     roles = P.EXPECTED_ROLES
-    seen = trace.agg(*[F.max((F.col("role") == r).cast("int")).alias(r) for r in roles], F.countDistinct("run_id").alias("runs"))
+    seen = trace.agg(*[F.max((F.col("role") == r).cast("int")).alias(r) for r in roles], F.countDistinct("run_id").alias("runs"), F.count("*").alias("calls"))
     direct = transitions(trace).where("from_role = 'api' and to_role = 'persistence'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("direct"))
     one = seen.crossJoin(F.broadcast(direct))
-    have = sum((F.coalesce(F.col(r), F.lit(0)) for r in roles), F.lit(0))
+    has = {r: F.coalesce(r, F.lit(0)) > 0 for r in roles}
+    have = sum((h.cast("int") for h in has.values()), F.lit(0))
     coverage = have / len(roles)
+    ends = has["side_effect"] | has["persistence"]
+    decides = has["validation"] | has["orchestration"] | has["domain_decision"]
     penalty = (
         0.45 * (1 - coverage)
-        + F.when(F.coalesce("domain_decision", F.lit(0)) == 0, 0.20).otherwise(0.0)
-        + F.when(F.greatest(F.coalesce("side_effect", F.lit(0)), F.coalesce("persistence", F.lit(0))) == 0, 0.20).otherwise(0.0)
+        + F.when(~decides, 0.20).otherwise(0.0)
+        + F.when(~ends, 0.20).otherwise(0.0)
         + F.least(F.lit(0.15), 0.02 * F.col("direct"))
         + F.when(F.col("runs") == 0, 0.25).otherwise(0.0)
     )
     score = F.when(F.col("runs") == 0, 1.0).otherwise(F.round(F.greatest(F.lit(0.0), 1 - penalty), 3))
-    return one.select("runs", F.round(coverage, 3).alias("coverage"), F.col("direct").cast("long").alias("direct"), score.alias("score"))
+    ran = F.col("calls") > 0
+    holds = (ran & (F.col("runs") == 0), ran & ~has["api"], ran & ~decides, ran & ~ends, F.col("direct") > 0)
+    issues = F.array_compact(F.array(*[F.when(h, code) for code, h in zip(P.CAUSAL_ISSUES, holds)]))
+    return one.select("runs", F.round(coverage, 3).alias("coverage"), F.col("direct").cast("long").alias("direct"), score.alias("score"), issues.alias("issues"))
 
 
 def call_depths(trace: DataFrame) -> DataFrame:
     """Adds depth to call rows (run_id, seq, caller, node_id): one more than the caller's
-    last depth in the run, 1 for an unknown caller.
+    last depth in the run; 2 for a caller not seen before, 1 without a caller.
 
     An ordered fold: runs are streamed in order through each task, so a run of any length
     takes the memory of its distinct nodes only.
@@ -86,7 +93,7 @@ def call_depths(trace: DataFrame) -> DataFrame:
             for r, caller, node in zip(rows["run_id"], rows["caller"], rows["node_id"]):
                 if r != run:
                     run, depth = r, {}
-                d = depth.get(caller, 1) + 1 if caller in depth else 1 if not caller else 2
+                d = depth.get(caller, 1) + 1 if caller else 1
                 depth[node] = d
                 out.append(d)
             yield pd.DataFrame({"run_id": rows["run_id"], "seq": rows["seq"], "node_id": rows["node_id"], "depth": out})

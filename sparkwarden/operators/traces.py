@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import profiles as P
-from ..functions.columns import any_of, ratio
+from ..functions.columns import any_of, node_path, normalize_path, ratio
 
 
 def run_counters(trace: DataFrame) -> DataFrame:
@@ -42,30 +42,67 @@ def trace_summary(trace: DataFrame) -> DataFrame:
     return trace.agg(F.countDistinct("run_id").alias("runs"), F.count("*").alias("events"), F.count_if(F.col("event") == "call").alias("calls"), F.countDistinct(F.when(F.col("event") == "call", F.col("node_id"))).alias("nodes"), F.countDistinct(pair).alias("edges"))
 
 
+def runtime_facts(trace: DataFrame, nodes: DataFrame) -> DataFrame:
+    """trace (event, node_id, file, depth), nodes (node_id) -> one row: calls, imports, unique
+    (different called nodes of the graph), unmatched (calls of no node), local (calls in a
+    file), max_depth, hit_nodes."""
+    known = nodes.select(F.col("node_id").alias("known")).distinct()
+    calls = trace.where("event = 'call'").join(known, F.col("node_id") == F.col("known"), "left")
+    text = F.trim(F.coalesce("file", F.lit("")))
+    local = (text != "") & ~text.startswith("<")
+    one = calls.agg(
+        F.count("*").alias("calls"), F.countDistinct("known").alias("unique"), F.count_if(F.col("known").isNull()).alias("unmatched"),
+        F.count_if(local).alias("local"), F.coalesce(F.max("depth"), F.lit(0)).alias("depth"), F.countDistinct("known").alias("hit_nodes"),
+    )
+    return one.crossJoin(F.broadcast(trace.agg(F.count_if(F.col("event") == "import").alias("imports"))))
+
+
+def runtime_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Runtime nodes that are reached over runtime edges (source, target) from those without an
+    incoming one, or from all of them if every one has some.  nodes: node_id, besides the
+    edges' ends.  node_id, depth."""
+    from . import graph
+
+    links = edges.select("source", "target").where("source is not null and target is not null").distinct()
+    every = nodes.select("node_id").union(links.select("source")).union(links.select("target")).where("node_id is not null").distinct()
+    roots = every.join(links.select(F.col("target").alias("node_id")).distinct(), "node_id", "left_anti")
+    return graph.reach(links, every if roots.isEmpty() else roots, every)
+
+
+def entrypoint_evidence(entrypoints: DataFrame, seen: DataFrame) -> DataFrame:
+    """entrypoints (path), seen (node_id: canonical ids with hits or reached at runtime) ->
+    path, executed.  The path is read from the id, so this is an equi-join."""
+    paths = seen.select(node_path(F.col("node_id")).alias("path")).where("path is not null").distinct().withColumn("executed", F.lit(True))
+    asked = entrypoints.select(normalize_path(F.col("path")).alias("path")).where("path <> ''").distinct()
+    return asked.join(paths, "path", "left").select("path", F.coalesce("executed", F.lit(False)).alias("executed"))
+
+
 def runtime_gate(one: DataFrame) -> DataFrame:
-    """Adds issues (an ordered array) to a row of calls, imports, unique, depth, local,
-    nodes, hit_nodes, reached, static_edges, runtime_edges, shared_edges.
+    """Adds issues (an ordered array of codes) to a row of synthetic, calls, imports, unique,
+    unmatched, depth, local, nodes, hit_nodes, reached, static_edges, runtime_edges,
+    shared_edges, entrypoints, executed.
 
     Minima adapt to the graph: few nodes ask for few callees.
     """
-    m = P.RUNTIME_MINIMA
-    total = F.greatest(F.lit(1), F.col("nodes"))
+    m, c = P.RUNTIME_MINIMA, F.col
+    total = F.greatest(F.lit(1), c("nodes"))
     min_unique = F.least(F.lit(m["unique_callees"]), F.greatest(F.lit(3), F.ceil(0.03 * total)))
-    min_calls = F.least(F.lit(m["call_events"]), F.greatest(F.lit(10), F.col("unique")))
-    issues = F.array_compact(
-        F.array(
-            F.when((F.col("calls") <= 0) & (F.col("imports") > 0), "only_imports"),
-            F.when(F.col("calls") < min_calls, "few_calls"),
-            F.when(F.col("unique") < min_unique, "few_callees"),
-            F.when(F.col("depth") < m["call_depth"], "shallow_calls"),
-            F.when(F.col("local") < m["local_calls"], "no_local_calls"),
-            F.when((F.col("calls") > 0) & (F.col("hit_nodes") == 0), "no_hits_in_graph"),
-            F.when(ratio(F.col("hit_nodes"), total) < m["coverage"], "low_coverage"),
-            F.when(ratio(F.col("reached"), total) < m["reachable"], "low_reach"),
-            F.when((F.col("static_edges") > 0) & (F.col("runtime_edges") > 0) & (F.col("shared_edges") == 0), "no_overlap"),
-        )
+    min_calls = F.least(F.lit(m["call_events"]), F.greatest(F.lit(10), c("unique")))
+    holds = (
+        c("synthetic"),
+        (c("calls") <= 0) & (c("imports") > 0),
+        c("calls") < min_calls,
+        c("unique") < min_unique,
+        c("depth") < m["call_depth"],
+        c("local") < m["local_calls"],
+        (c("calls") > 0) & (c("hit_nodes") == 0),
+        ratio(c("hit_nodes"), total) < m["coverage"],
+        ratio(c("reached"), total) < m["reachable"],
+        (c("static_edges") > 0) & (c("runtime_edges") > 0) & (c("shared_edges") == 0),
+        (c("entrypoints") > 0) & (c("executed") == 0),
+        (c("unmatched") > 0) & (c("unique") == 0),
     )
-    return one.withColumn("issues", issues)
+    return one.withColumn("issues", F.array_compact(F.array(*[F.when(h, code) for code, h in zip(P.RUNTIME_ISSUES, holds)])))
 
 
 def entrypoint_domain(path: Column) -> Column:

@@ -7,10 +7,11 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evidence, graph, pairs
+from ..functions.columns import canonical_of, node_path, role
+from ..operators import evidence, traces
 from ..operators.tables import scratch, stored
 from ..sources import pyast, scan
-from . import build_graph, diagnose, verify
+from . import build_graph, diagnose, domains, verify
 
 STAGES = ("manifest", "static", "graph", "heat", "verification", "diagnostics")
 MODES = {"manifest-only": 1, "static-only": 2, "static-analysis": 3, "full-pipeline": 6}
@@ -24,11 +25,26 @@ def canonical(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(s, "source").join(t, "target").select(F.col("s").alias("source"), F.col("t").alias("target"), "type")
 
 
-def run_audit(spark: SparkSession, root: str, trace: DataFrame | None = None, mode: str = "full-pipeline", explicit: tuple[str, ...] = (), allow_call: bool = True, min_trust: float = 0.0) -> dict:
+def _trace(spark: SparkSession, trace: DataFrame | None, nodes: DataFrame) -> DataFrame:
+    """run_id, seq, event, node_id, source, target, file, depth with canonical ids; what a
+    trace leaves out is filled in: one run in the order of the rows, the node's own file, no depth."""
+    if trace is None:
+        return spark.createDataFrame([], "run_id string, seq long, event string, node_id string, source string, target string, file string, depth int")
+    have = set(trace.columns)
+    column = lambda c, otherwise: F.col(c) if c in have else otherwise
+    node = canonical_of(F.col("node_id"))
+    return trace.select(
+        column("run_id", F.lit("run_000")).cast("string").alias("run_id"), column("seq", F.monotonically_increasing_id()).cast("long").alias("seq"), "event", F.coalesce(node, "node_id").alias("node_id"),
+        *[canonical_of(column(c, F.lit(None).cast("string"))).alias(c) for c in ("source", "target")], column("file", node_path(node)).cast("string").alias("file"), column("depth", F.lit(0)).cast("int").alias("depth"),
+    )
+
+
+def run_audit(spark: SparkSession, root: str, trace: DataFrame | None = None, mode: str = "full-pipeline", explicit: tuple[str, ...] = (), allow_call: bool = True, min_trust: float = 0.0, synthetic: bool = False) -> dict:
     """Each stage's table is written in the shared folder; the contract is one dictionary.
 
-    trace: node_id, event and optionally source, target of runtime call edges; without one
-    the verdict rests on static evidence alone.
+    trace: node_id, event and optionally source, target of runtime call edges, run_id, seq,
+    file, depth; without one the verdict rests on static evidence alone.  synthetic: the trace
+    was made up, which the runtime gate reports.
     """
     last = MODES[mode]
     files = scan.scan_files(spark, root)
@@ -46,21 +62,31 @@ def run_audit(spark: SparkSession, root: str, trace: DataFrame | None = None, mo
     out["summary"]["graph"] = {r["type"]: r["n"] for r in edges.groupBy("type").agg(F.count("*").alias("n")).collect()} | {"nodes": nodes.count()}
     if last < 4:
         return out
-    calls = trace if trace is not None else spark.createDataFrame([], "node_id string, event string")
-    reached = graph.reach(edges.select("source", "target"), evidence.runtime_hits(calls), nodes)
-    heat = stored(evidence.cap_confidence(evidence.heat(nodes, edges, calls, reached)), "heat")
-    out["summary"]["heat"] = evidence.heat_distribution(heat).first().asDict()
-    hit = calls.where("event = 'call'")
-    n = max(1, nodes.count())
-    found = {"calls": hit.count(), "unique": hit.select("node_id").distinct().join(nodes, "node_id", "left_semi").count(), "reachable": reached.count() / n}
-    found["coverage"] = found["unique"] / n
-    if {"source", "target"} <= set(calls.columns):
-        found["overlap"] = pairs.reconcile(edges.where("type = 'CALL'"), hit.where("source is not null")).first()["overlap_ratio"]
-    starts = manifest.where(F.size("entrypoint_reasons") > 0).select(F.concat(F.lit("canonical://file/"), "path").alias("node_id"))
+    calls = stored(_trace(spark, trace, nodes), "trace")
+    flow = calls.where("event = 'call' and source is not null and target is not null").select("source", "target").distinct()
+    starts = manifest.where(F.size("entrypoint_reasons") > 0).select("path")
     named = canonical(edges, nodes).withColumn("confidence", F.lit(1.0))
+    known = nodes.select(F.col("canonical_id").alias("node_id"))
+    gate, reached, executed = domains.runtime_signal(calls, known, named.where("type = 'CALL'"), flow, starts, synthetic)
+    signal = gate.first().asDict()
+    ids = nodes.select("node_id", F.col("canonical_id").alias("c"))
+    of_nodes = lambda rows: rows.join(ids, rows["node_id"] == ids["c"]).drop(rows["node_id"]).drop("c")
+    heat = stored(evidence.cap_confidence(evidence.heat(nodes, edges, of_nodes(calls.select("node_id", "event")), of_nodes(reached))), "heat")
+    distribution = evidence.dead_ratio_gate(evidence.heat_distribution(heat), not signal["issues"]).first().asDict()
+    out["summary"] |= {"heat": distribution, "runtime": signal}
+    n = max(1, signal["nodes"])
+    entrypoint_domains = executed.withColumn("domain", traces.entrypoint_domain(F.col("path"))).where("domain <> 'other'")
+    spread = entrypoint_domains.agg(F.countDistinct("domain").alias("expected"), F.countDistinct(F.when(F.col("executed"), F.col("domain"))).alias("covered")).first()
+    found = {
+        "calls": signal["calls"], "unique": signal["unique"], "coverage": signal["hit_nodes"] / n, "reachable": signal["reached"] / n, "overlap": signal["shared_edges"] / max(1, signal["static_edges"]),
+        "entrypoints": signal["entrypoints"], "executed": signal["executed"], "expected_domains": spread["expected"], "covered_domains": spread["covered"],
+    }
     resolver = named.select("source", "target", F.when(F.col("type") == "CONFIG", "CONFIG").otherwise("AST").alias("origin"))
-    result = verify.run_verification(nodes.select(F.col("canonical_id").alias("node_id")), named, resolver, starts, found, min_trust, allow_call)
-    out |= {"trust": result["trust"], "system_valid": result["system_valid"], "verification": result, "diagnostics": diagnose.diagnose(spark, result, named)}
+    entry = starts.select(F.concat(F.lit("canonical://file/"), "path").alias("node_id"))
+    symbols = nodes.where("kind <> 'file'").select("name", F.col("path").alias("file"))
+    steps = calls.where("event = 'call'").select("run_id", "seq", role(F.col("node_id")).alias("role")) if signal["calls"] else None
+    result = verify.run_verification(known, named, resolver, entry, found, min_trust, allow_call, files=static.select(F.col("file_path").alias("path")), symbols=symbols, trace=steps)
+    out |= {"trust": result["trust"], "system_valid": result["system_valid"] and distribution["sane"], "verification": result, "diagnostics": diagnose.diagnose(spark, result, named)}
     return out
 
 

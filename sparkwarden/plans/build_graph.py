@@ -18,21 +18,35 @@ def graph_nodes(static: DataFrame) -> DataFrame:
     return rows.select(C.node_id(*key).alias("node_id"), *key, C.canonical_id(*key).alias("canonical_id"))
 
 
+def resolved_imports(static: DataFrame) -> DataFrame:
+    """file, module, alias, path: every import, relative ones from their module's package, and
+    the file of the longest known prefix of its name (null without one)."""
+    module = C.module_name(F.col("file_path"))
+    index = static.select(module.alias("module"), F.col("file_path").alias("path"))
+    package = F.col("file_path").rlike(r"(^|/)__init__\.py$")
+    rows = static.select("file_path", module.alias("own"), package.alias("package"), F.explode("imports").alias("i"))
+    rows = rows.select(F.col("file_path").alias("file"), C.absolute_import(F.col("i.module"), F.col("own"), F.col("package")).alias("module"), F.col("i.alias").alias("alias")).where("module is not null")
+    found = resolve.longest_prefix(rows.select(F.col("module").alias("id"), F.col("module").alias("name")).distinct(), index)
+    return rows.distinct().join(found.select(F.col("id").alias("module"), "path"), "module", "left").select("file", "module", "alias", "path")
+
+
 def import_edges(static: DataFrame) -> DataFrame:
     """File to the file of the longest known prefix of each imported name."""
-    index = static.select(C.module_name(F.col("file_path")).alias("module"), F.col("file_path").alias("path"))
-    names = static.select("file_path", F.explode("imports").alias("i")).select(F.col("file_path").alias("id"), F.col("i.module").alias("name")).distinct()
-    found = resolve.longest_prefix(names, index).where("path is not null and path <> id")
-    return found.select(C.node_id(F.lit("file"), F.col("id"), F.lit("")).alias("source"), C.node_id(F.lit("file"), F.col("path"), F.lit("")).alias("target"), F.lit("IMPORT").alias("type"), F.col("name").alias("evidence")).distinct()
+    found = resolved_imports(static).where("path is not null and path <> file")
+    return found.select(C.node_id(F.lit("file"), F.col("file"), F.lit("")).alias("source"), C.node_id(F.lit("file"), F.col("path"), F.lit("")).alias("target"), F.lit("IMPORT").alias("type"), F.col("module").alias("evidence")).distinct()
 
 
 def call_edges(static: DataFrame, nodes: DataFrame) -> DataFrame:
     """Caller to callee symbol; callers outside a known symbol are their file."""
     symbols = nodes.where("kind <> 'file'").select("name", "kind", F.col("path").alias("file"), "node_id")
-    calls = static.select("file_path", F.explode("calls").alias("c")).select("file_path", F.element_at(F.split("c.caller", r"\."), -1).alias("caller"), F.element_at(F.split("c.callee", r"\."), -1).alias("name"), F.col("c.callee").alias("evidence")).distinct()
+    words = F.split("c.callee", r"\.")
+    calls = static.select("file_path", F.explode("calls").alias("c")).select(
+        "file_path", F.element_at(F.split("c.caller", r"\."), -1).alias("caller"), F.element_at(words, -1).alias("name"),
+        F.when(F.size(words) > 1, F.get(words, F.lit(0))).alias("prefix"), F.col("c.callee").alias("evidence"),
+    ).distinct()
     calls = calls.withColumn("call_id", F.concat_ws("\x01", "file_path", "caller", "evidence"))
-    imports = import_edges(static).select(F.regexp_replace("source", "^file:", "").alias("file"), F.regexp_replace("target", "^file:", "").alias("path"))
-    targets = resolve.resolve_calls(calls.select("call_id", F.col("file_path").alias("file"), "name"), symbols, imports).where("target is not null")
+    context = resolve.import_context(resolved_imports(static))
+    targets = resolve.resolve_calls(calls.select("call_id", F.col("file_path").alias("file"), "name", "prefix"), symbols, context).where("target is not null")
     own = symbols.groupBy("file", "name").agg(F.max_by("node_id", F.col("kind") == "function").alias("source"))
     joined = calls.join(targets, "call_id").join(own.select(F.col("file").alias("file_path"), F.col("name").alias("caller"), "source"), ["file_path", "caller"], "left")
     source = F.coalesce("source", C.node_id(F.lit("file"), F.col("file_path"), F.lit("")))

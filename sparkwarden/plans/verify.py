@@ -6,33 +6,16 @@ is that row and a bounded sample of identifiers.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import profiles as P
 from ..functions import scores as S
-from ..functions.columns import valid_namespace
+from ..functions.columns import node_path, valid_namespace
 from ..operators import graph, pairs
 from ..operators.tables import stored
-
-
-@dataclass
-class Domain:
-    name: str
-    score: float
-    metrics: dict
-    issues: list[dict] = field(default_factory=list)
-    warnings: list[str] = field(default_factory=list)
-
-
-def _issue(domain: str, kind: str, severity: str, message: str, count: int, sample: list | None = None) -> dict:
-    return {"domain": domain, "type": kind, "severity": severity, "message": message, "count": int(count), "sample": (sample or [])[: P.SAMPLE_LIMIT["v2"]]}
-
-
-def _sample(rows: DataFrame, column: str) -> list:
-    return [r[0] for r in rows.select(column).distinct().orderBy(column).limit(P.SAMPLE_LIMIT["v2"]).collect()]
+from . import domains as D
+from .verdict import Domain, issue, sample
 
 
 def structural_integrity(nodes: DataFrame, edges: DataFrame, allow_call: bool = False) -> tuple[Domain, DataFrame]:
@@ -55,9 +38,9 @@ def structural_integrity(nodes: DataFrame, edges: DataFrame, allow_call: bool =
         ("UNRESOLVED_EDGE_REFERENCE", "HIGH", by.get("unresolved", 0)),
     )
     name = "structural_integrity"
-    issues = [_issue(name, k, s, k.replace("_", " ").lower(), c) for k, s, c in counts if c]
+    issues = [issue(name, k, s, k.replace("_", " ").lower(), c) for k, s, c in counts if c]
     ratios = S.div(bad, total), S.div(n["malformed"] + n["namespace"], n["n"])
-    return Domain(name, S.structural(*ratios), {"invalid_edge_ratio": S.r3(ratios[0]), "malformed_node_ratio": S.r3(ratios[1]), "valid_edges": by.get("valid", 0)}, issues), status
+    return Domain(name, S.structural(*ratios), {"invalid_edge_ratio": S.r3(ratios[0]), "malformed_node_ratio": S.r3(ratios[1]), "valid_edges": by.get("valid", 0), "valid_nodes": n["n"] - n["malformed"]}, issues), status
 
 
 def dependency_consistency(nodes: DataFrame, edges: DataFrame, resolver: DataFrame) -> Domain:
@@ -75,12 +58,12 @@ def dependency_consistency(nodes: DataFrame, edges: DataFrame, resolver: DataFra
     ratio = S.div(n_missing, n_ends)
     issues = []
     if n_missing:
-        issues.append(_issue(name, "MISSING_DI_NODES", "HIGH", "injected nodes are not in the graph", n_missing, _sample(missing, "node_id")))
+        issues.append(issue(name, "MISSING_DI_NODES", "HIGH", "injected nodes are not in the graph", n_missing, sample(missing, "node_id")))
     if divergence > 0:
         high = divergence > P.DIVERGENCE_LIMIT
-        issues.append(_issue(name, "AST_DI_DIVERGENCE_ESCALATED" if high else "AST_DI_DIVERGENCE_TRACKED", "HIGH" if high else "LOW", "parsed and injected pairs differ", ast_di["n_either"] - ast_di["n_both"]))
+        issues.append(issue(name, "AST_DI_DIVERGENCE_ESCALATED" if high else "AST_DI_DIVERGENCE_TRACKED", "HIGH" if high else "LOW", "parsed and injected pairs differ", ast_di["n_either"] - ast_di["n_both"]))
     if drifted > 0.35:
-        issues.append(_issue(name, "GRAPH_DI_DRIFT", "MEDIUM", "graph and resolver injections differ", round(drifted * max(1, drift["n_a"] + drift["n_b"]))))
+        issues.append(issue(name, "GRAPH_DI_DRIFT", "MEDIUM", "graph and resolver injections differ", round(drifted * max(1, drift["n_a"] + drift["n_b"]))))
     metrics = {"missing_di_ratio": S.r3(ratio), "ast_di_divergence": divergence, "ast_di_overlap": S.pair_overlap(ast_di["n_a"], ast_di["n_b"], ast_di["n_both"]), "graph_di_drift": drifted}
     return Domain(name, S.dependency(ratio, divergence, drifted), metrics, issues)
 
@@ -96,7 +79,7 @@ def topology_validation(nodes: DataFrame, links: DataFrame, entrypoints: DataFra
     n_cyclic = cyclic.count()
     lost, n_lost, di_lost, orphaned = None, 0, 0, 0
     if starts.isEmpty():
-        issues.append(_issue(name, "MISSING_ENTRYPOINTS", "HIGH", "no entrypoint is in the graph", 1))
+        issues.append(issue(name, "MISSING_ENTRYPOINTS", "HIGH", "no entrypoint is in the graph", 1))
     else:
         seen = graph.reach(links, starts, all_nodes)
         lost = stored(all_nodes.join(seen, "node_id", "left_anti"), "unreached")
@@ -106,22 +89,27 @@ def topology_validation(nodes: DataFrame, links: DataFrame, entrypoints: DataFra
         unexpected = kinds.where("kind = 'orphan_subgraph'").agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("members")).first()
         orphaned = unexpected["members"]
         if n_lost:
-            issues.append(_issue(name, "UNREACHABLE_NODES", "MEDIUM", "nodes no entrypoint reaches", n_lost, _sample(lost, "node_id")))
+            issues.append(issue(name, "UNREACHABLE_NODES", "MEDIUM", "nodes no entrypoint reaches", n_lost, sample(lost, "node_id")))
         if unexpected["n"]:
-            issues.append(_issue(name, "UNEXPECTED_ORPHAN_SUBGRAPH", "MEDIUM", "subgraphs without a reason to stand alone", unexpected["n"]))
+            issues.append(issue(name, "UNEXPECTED_ORPHAN_SUBGRAPH", "MEDIUM", "subgraphs without a reason to stand alone", unexpected["n"]))
     if n_cyclic and not cycles_allowed:
-        issues.append(_issue(name, "CYCLE_POLICY_VIOLATION", "MEDIUM", "nodes on or behind a cycle", n_cyclic, _sample(cyclic, "node_id")))
+        issues.append(issue(name, "CYCLE_POLICY_VIOLATION", "MEDIUM", "nodes on or behind a cycle", n_cyclic, sample(cyclic, "node_id")))
     ratios = [S.div(x, n) for x in (n_lost, di_lost, orphaned, 0 if cycles_allowed else n_cyclic)]
     metrics = dict(zip(("unreachable_ratio", "di_unreachable_ratio", "orphan_node_ratio", "cycle_ratio"), map(S.r3, ratios)))
     return Domain(name, S.topology(*ratios), metrics, issues)
 
 
-def run_verification(nodes: DataFrame, edges: DataFrame, resolver: DataFrame, entrypoints: DataFrame, evidence: dict | None = None, min_trust: float = 0.0, allow_call: bool = False) -> dict:
-    """The verdict: domains, trust, policy, failure ranks.
+def run_verification(
+    nodes: DataFrame, edges: DataFrame, resolver: DataFrame, entrypoints: DataFrame, evidence: dict | None = None, min_trust: float = 0.0, allow_call: bool = False,
+    paths: DataFrame | None = None, files: DataFrame | None = None, symbols: DataFrame | None = None, trace: DataFrame | None = None,
+) -> dict:
+    """The verdict: eight domains, trust, policy, failure ranks.
 
     nodes: node_id and optionally isolated (boolean); edges: source, target, type,
-    confidence; resolver: source, target, origin; entrypoints: node_id.  evidence: coverage,
-    overlap, calls, unique, reachable, scenario (numbers) of a runtime trace.
+    confidence; resolver: source, target, origin; entrypoints: node_id.  evidence: see
+    domains.execution_confidence.  paths: source_path, target_path of edges (default: those of
+    the valid edges' canonical ids); files: path, symbols: name, file and trace: run_id, seq,
+    role, of call events; without these semantics or causal flow are not judged and score 1.
     """
     structure, status = structural_integrity(nodes, edges, allow_call)
     links = status.where("status = 'valid'").select("source", "target")
@@ -131,15 +119,31 @@ def run_verification(nodes: DataFrame, edges: DataFrame, resolver: DataFrame, en
     topology = topology_validation(nodes, links, entrypoints, nodes.where(isolated).select("node_id"), di)
     warnings = [w for d in (structure, dependency, topology) for w in d.warnings]
     divergence = dependency.metrics["ast_di_divergence"]
-    semantics = Domain("semantic_observations", S.semantic(len(warnings), divergence), {"warnings": len(warnings)})
+    observations = Domain("semantic_observations", S.semantic(len(warnings), divergence), {"warnings": len(warnings)})
     e = evidence or {}
-    ran = e.get("calls", 0) > 0
-    conf = S.execution_confidence(e.get("coverage", 0.0), e.get("overlap", 0.0), S.call_frequency(e.get("calls", 0), e.get("unique", 0)), S.path_centrality(e.get("overlap", 0.0), e.get("reachable", 0.0)), e.get("scenario", 1.0)) if ran else {"raw": 1.0, "authority": 1.0, "adjusted": 1.0}
-    domains = [structure, dependency, topology, semantics, Domain("execution_confidence", conf["adjusted"], conf)]
-    scores = {d.name: d.score for d in domains}
-    trust = S.trust(scores, conf["adjusted"], conf["authority"] if ran else None, e.get("coverage", 0.0), divergence)
-    critical = sum(i["severity"] == "HIGH" and i["type"] in ("MALFORMED_NODE_ID", "MALFORMED_EDGE_SCHEMA") for i in structure.issues)
-    verdict = S.policy({"critical_issues": critical, "missing_di_ratio": dependency.metrics["missing_di_ratio"], "orphan_node_ratio": topology.metrics["orphan_node_ratio"], "coverage": e.get("coverage", 0.0), "trust": trust["trust_score"], "raw_confidence": conf["raw"]}, min_trust)
+    execution = D.execution_confidence(e)
+    ran = execution.metrics["runtime_signal_present"]
+    if paths is None:
+        paths = links.select(node_path(F.col("source")).alias("source_path"), node_path(F.col("target")).alias("target_path")).where("source_path is not null and target_path is not null")
+    intent = D.architectural_intent(paths)
+    missing = lambda name, what: Domain(name, 1.0, {"judged": False}, [], [f"{what}: not judged"])
+    semantics = D.semantic_consistency(files, symbols) if files is not None and symbols is not None else missing("semantic_consistency", "no symbols")
+    causal = D.causal_flow(trace) if trace is not None else missing("causal_flow", "no trace")
+    every = [structure, dependency, topology, observations, execution, intent, semantics, causal]
+    scores = {d.name: d.score for d in every}
+    trust = S.trust(scores, execution.score, execution.metrics["authority"] if ran else None, e.get("coverage", 0.0), divergence)
     drifted = divergence > P.DIVERGENCE_LIMIT
-    issues = sorted((i for d in domains for i in d.issues), key=lambda i: (P.DOMAIN_ORDER[i["domain"]], P.SEVERITY_RANK.get(i["severity"], 99), i["type"]))
-    return {"domains": {d.name: {"score": d.score, "metrics": d.metrics} for d in domains}, "issues": issues, "trust": trust, "policy": verdict, "failures": S.failure_impacts(scores, drifted), "trust_score": trust["trust_score"], "system_valid": verdict["system_valid"]}
+    m = {
+        "valid_nodes": structure.metrics["valid_nodes"], "missing_di_ratio": dependency.metrics["missing_di_ratio"], "orphan_node_ratio": topology.metrics["orphan_node_ratio"],
+        "coverage": e.get("coverage", 0.0), "trust": trust["trust_score"], "raw_confidence": execution.metrics["raw"], "runtime": ran, "drifted": drifted,
+        "entrypoint_coverage": execution.metrics["entrypoint_coverage"], "domain_coverage": execution.metrics["domain_coverage"], "scenario_coverage": execution.metrics["scenario_coverage"],
+        "expected_domains": execution.metrics["expected_domains"], "cycles": sum(i["type"] == "CYCLE_POLICY_VIOLATION" for i in topology.issues),
+        "architecture_coverage": intent.metrics["constraint_coverage_ratio"], "violation_ratio": intent.metrics["violation_ratio"], "architecture_score": intent.score,
+        "semantic_score": semantics.score, "collisions": semantics.metrics.get("abstraction_collision_count", 0), "causal_enforced": causal.metrics.get("analysis_enforced", False), "causal_score": causal.score,
+    }
+    verdict = S.policy(m, min_trust)
+    issues = sorted((i for d in every for i in d.issues), key=lambda i: (P.DOMAIN_ORDER[i["domain"]], P.SEVERITY_RANK.get(i["severity"], 99), i["type"]))
+    return {
+        "domains": {d.name: {"score": d.score, "metrics": d.metrics, "warnings": d.warnings} for d in every}, "issues": issues, "trust": trust, "policy": verdict,
+        "failures": S.failure_impacts(scores, drifted), "trust_score": trust["trust_score"], "system_valid": verdict["system_valid"],
+    }

@@ -6,6 +6,31 @@ HEAT_THRESHOLDS = {"HOT": 0.8, "WARM": 0.3, "COLD": 0.1}
 DEAD_WEIGHTS = {"hits": 0.6, "executable": 0.3, "non_executable": 0.1}
 MAX_DEAD_RATIO = 0.7
 MAX_CONFIDENCE_WITHOUT_HEAT = 0.45
+#: Codes of the runtime gate, in the order in which they are reported.
+RUNTIME_ISSUES = (
+    "synthetic_runtime_trace_not_allowed",
+    "runtime_trace_contains_only_import_or_bootstrap_events",
+    "runtime_call_events_below_threshold",
+    "runtime_unique_callee_nodes_below_threshold",
+    "runtime_call_depth_below_threshold",
+    "runtime_local_call_count_below_threshold",
+    "runtime_calls_exist_but_no_hits_mapped_to_graph_nodes",
+    "runtime_coverage_ratio_below_threshold",
+    "runtime_reachable_ratio_below_threshold",
+    "runtime_static_call_overlap_is_zero",
+    "manifest_entrypoints_not_observed_in_runtime",
+    "runtime_identity_mapping_failed",
+)
+#: Issues of causal flow with their severities, in the order in which they are reported.
+CAUSAL_ISSUES = {
+    "NO_WORKFLOW_RECONSTRUCTION": "HIGH",
+    "MISSING_API_BOUNDARY": "MEDIUM",
+    "MISSING_DOMAIN_DECISION_STAGE": "MEDIUM",
+    "MISSING_SIDE_EFFECT_OR_PERSISTENCE_STAGE": "MEDIUM",
+    "DIRECT_API_TO_PERSISTENCE_PATH": "LOW",
+}
+#: Violation ratios from which the architecture issue is HIGH, MEDIUM.
+VIOLATION_LEVELS = (("HIGH", 0.25), ("MEDIUM", 0.10))
 RUNTIME_MINIMA = {"call_events": 50, "unique_callees": 10, "call_depth": 3, "local_calls": 1, "coverage": 0.02, "reachable": 0.05}
 
 ALLOWED_EDGE_TYPES = {"v2": ("CONFIG", "DI", "DYNAMIC", "IMPORT"), "v1": ("CALL", "CALLS", "CONFIG", "DI", "DYNAMIC", "HEURISTIC", "IMPORT", "IMPORTS", "INSTANTIATE", "INSTANTIATES", "USES")}
@@ -96,6 +121,8 @@ DOMAIN_KEYWORDS = {
     "data": ("cache", "db", "repository", "sql", "storage", "store"),
 }
 MIN_SHARED_TOKENS, MIN_JACCARD = 4, 0.45
+#: Mean likeness from which a cluster overlaps highly, and from which one across contexts is a duplicated intent.
+HIGH_OVERLAP, DUPLICATE_INTENT = 0.70, 0.55
 
 CATEGORY_WEIGHTS = {
     "explicit_config": 220.0, "main_guard": 200.0, "manifest_entrypoint": 185.0, "web_router": 170.0,

@@ -125,6 +125,18 @@ def dead_candidates(spark, d):
     return evidence.dead_candidates(_heat(spark, d), 0.25)
 
 
+@query(f"WITH {HEAT_SQL}, x AS (SELECT count(*) FILTER (classification = 'HOT') AS hot, count(*) FILTER (classification = 'WARM') AS warm, count(*) FILTER (classification = 'COLD') AS cold, count(*) FILTER (classification = 'DEAD') AS dead, round((count(*) FILTER (classification = 'DEAD'))::DOUBLE / count(*), 6) AS dead_ratio FROM heat) SELECT *, dead_ratio <= 0.7 AS sane FROM x")
+def heat_sanity(spark, d):
+    return evidence.dead_ratio_gate(evidence.heat_distribution(_heat(spark, d)), True)
+
+
+@query(f"""WITH RECURSIVE {HEAT_SQL}, links AS (SELECT DISTINCT source, target FROM g), w(node_id) AS (SELECT node_id FROM heat WHERE classification = 'HOT' UNION SELECT target FROM w JOIN links ON source = node_id),
+near AS (SELECT count(*) FILTER (classification = 'WARM') AS warm, count(*) FILTER (classification = 'WARM' AND node_id IN (SELECT node_id FROM w)) AS near, count(*) FILTER (classification = 'DEAD' AND (hits > 0 OR inbound > 0)) AS conflicts FROM heat)
+SELECT warm, near.near, CASE WHEN warm = 0 THEN 1.0::DOUBLE ELSE round(near.near::DOUBLE / warm, 6) END AS share, conflicts FROM near""")
+def warm_near_hot(spark, d):
+    return evidence.warm_near_hot(_heat(spark, d), edges(spark, d))
+
+
 @query(f"WITH {HEAT_SQL}, w AS (SELECT count(*) FILTER (classification IN ('HOT', 'WARM')) AS warm FROM heat) SELECT node_id, classification, score, CASE WHEN warm = 0 THEN least(confidence, 0.45) ELSE confidence END AS confidence FROM heat, w")
 def capped_confidence(spark, d):
     return evidence.cap_confidence(_heat(spark, d)).select("node_id", "classification", "score", "confidence")
@@ -413,10 +425,11 @@ def first_k_distinct(spark, d):
 
 
 @query(f"""WITH {COMPRESSED_SQL}, x AS (SELECT role, lead(role) OVER (PARTITION BY run_id ORDER BY seq) AS nxt FROM c), q AS (SELECT count(DISTINCT run_id) AS runs, count(DISTINCT role) FILTER (role <> 'internal')::DOUBLE / 6 AS cov,
-  bool_or(role = 'domain_decision') AS dd, bool_or(role IN ('side_effect', 'persistence')) AS se FROM t), y AS (SELECT count(*) AS direct FROM x WHERE role = 'api' AND nxt = 'persistence')
-SELECT runs, round(cov, 3) AS coverage, direct, CASE WHEN runs = 0 THEN 1.0::DOUBLE ELSE round(greatest(0.0::DOUBLE, 1 - (0.45::DOUBLE * (1 - cov) + CASE WHEN NOT dd THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN NOT se THEN 0.2::DOUBLE ELSE 0 END + least(0.15::DOUBLE, 0.02::DOUBLE * direct))), 3) END AS score FROM q, y""")
+  bool_or(role IN ('validation', 'orchestration', 'domain_decision')) AS dd, bool_or(role = 'api') AS api, bool_or(role IN ('side_effect', 'persistence')) AS se FROM t), y AS (SELECT count(*) AS direct FROM x WHERE role = 'api' AND nxt = 'persistence')
+SELECT runs, round(cov, 3) AS coverage, direct, CASE WHEN runs = 0 THEN 1.0::DOUBLE ELSE round(greatest(0.0::DOUBLE, 1 - (0.45::DOUBLE * (1 - cov) + CASE WHEN NOT dd THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN NOT se THEN 0.2::DOUBLE ELSE 0 END + least(0.15::DOUBLE, 0.02::DOUBLE * direct))), 3) END AS score,
+  concat_ws(',', CASE WHEN NOT api THEN 'MISSING_API_BOUNDARY' END, CASE WHEN NOT dd THEN 'MISSING_DOMAIN_DECISION_STAGE' END, CASE WHEN NOT se THEN 'MISSING_SIDE_EFFECT_OR_PERSISTENCE_STAGE' END, CASE WHEN direct > 0 THEN 'DIRECT_API_TO_PERSISTENCE_PATH' END) AS issues FROM q, y""")
 def causal_score(spark, d):
-    return sequence.causal_score(trace(spark, d))
+    return sequence.causal_score(trace(spark, d)).withColumn("issues", F.array_join("issues", ","))
 
 
 @query(None)
@@ -440,19 +453,52 @@ def prefix_join(spark, d):
     return resolve.longest_prefix(names, index, " ")
 
 
-@query("""WITH s AS (SELECT p_size AS name, CASE WHEN p_partkey % 5 = 0 THEN 'class' ELSE 'function' END AS kind, p_brand AS file, p_partkey AS node_id FROM part),
-c AS (SELECT p_partkey AS call_id, p_brand AS at, (p_partkey * 7) % 60 AS name FROM part), i AS (SELECT DISTINCT p_brand AS at, p_brand[1:-2] || '1' AS file FROM part),
-j AS (SELECT c.call_id, s.kind, s.node_id, s.file = c.at AS own, i.file IS NOT NULL AS imp FROM c JOIN s ON c.name = s.name LEFT JOIN i ON i.at = c.at AND i.file = s.file),
-pick AS (SELECT call_id, 0 AS o, CASE WHEN count(*) = 1 THEN min(node_id) WHEN count(*) FILTER (kind = 'function') = 1 THEN min(node_id) FILTER (kind = 'function') WHEN count(*) FILTER (kind = 'class') = 1 THEN min(node_id) FILTER (kind = 'class') END AS x FROM j GROUP BY 1
- UNION ALL SELECT call_id, 1, CASE WHEN count(*) = 1 THEN min(node_id) WHEN count(*) FILTER (kind = 'function') = 1 THEN min(node_id) FILTER (kind = 'function') WHEN count(*) FILTER (kind = 'class') = 1 THEN min(node_id) FILTER (kind = 'class') END FROM j WHERE own GROUP BY 1
- UNION ALL SELECT call_id, 2, CASE WHEN count(*) = 1 THEN min(node_id) WHEN count(*) FILTER (kind = 'function') = 1 THEN min(node_id) FILTER (kind = 'function') WHEN count(*) FILTER (kind = 'class') = 1 THEN min(node_id) FILTER (kind = 'class') END FROM j WHERE imp GROUP BY 1)
+_PICK = "CASE WHEN count(*) = 1 THEN min(node_id) WHEN count(*) FILTER (kind = 'function') = 1 THEN min(node_id) FILTER (kind = 'function') WHEN count(*) FILTER (kind = 'class') = 1 THEN min(node_id) FILTER (kind = 'class') END"
+IMPORTS_SQL = """im AS (SELECT p_brand AS file, 'root.m' || (p_partkey % 6) || '.f' || (p_partkey % 60) AS module, CASE WHEN p_partkey % 11 = 0 THEN 'm' || (p_partkey % 3) ELSE '' END AS alias, left(p_brand, length(p_brand) - 1) || (p_partkey % 5 + 1) AS path FROM part),
+ctx AS (SELECT DISTINCT file, key, scope, path FROM (
+  SELECT file, path, split_part(module, '.', 1) AS key, 'prefix' AS scope FROM im UNION ALL SELECT file, path, split_part(module, '.', 2), 'prefix' FROM im UNION ALL SELECT file, path, split_part(module, '.', 3), 'prefix' FROM im
+  UNION ALL SELECT file, path, alias, 'prefix' FROM im WHERE alias <> '' UNION ALL SELECT file, path, split_part(module, '.', 3), 'symbol' FROM im UNION ALL SELECT file, path, alias, 'symbol' FROM im WHERE alias <> ''))"""
+
+
+def _imports(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    k = F.col("p_partkey")
+    module = F.concat(F.lit("root.m"), (k % 6).cast("string"), F.lit(".f"), (k % 60).cast("string"))
+    alias = F.when(k % 11 == 0, F.concat(F.lit("m"), (k % 3).cast("string"))).otherwise("")
+    return p.select(F.col("p_brand").alias("file"), module.alias("module"), alias.alias("alias"), F.concat(F.expr("substring(p_brand, 1, length(p_brand) - 1)"), (k % 5 + 1).cast("string")).alias("path"))
+
+
+@query(f"WITH {IMPORTS_SQL} SELECT * FROM ctx")
+def import_context(spark, d):
+    return resolve.import_context(_imports(spark, d))
+
+
+@query(f"""WITH {IMPORTS_SQL}, s AS (SELECT 'f' || (p_size * 7 + p_partkey % 7) AS name, CASE WHEN p_partkey % 5 = 0 THEN 'class' ELSE 'function' END AS kind, p_brand AS file, p_partkey AS node_id FROM part),
+c AS (SELECT p_partkey AS call_id, p_brand AS at, 'f' || ((p_partkey * 7) % 400) AS name, CASE WHEN p_partkey % 4 > 0 THEN 'm' || (p_partkey % 4) END AS prefix FROM part),
+pick AS (SELECT call_id, 0 AS o, {_PICK} AS x FROM c JOIN s USING (name) GROUP BY 1
+ UNION ALL SELECT call_id, 1, {_PICK} FROM c JOIN s ON c.name = s.name AND s.file = c.at GROUP BY 1
+ UNION ALL SELECT call_id, 2, {_PICK} FROM c JOIN s USING (name) JOIN ctx ON ctx.file = c.at AND ctx.scope = 'prefix' AND ctx.key = c.prefix AND ctx.path = s.file GROUP BY 1
+ UNION ALL SELECT call_id, 3, {_PICK} FROM c JOIN s USING (name) JOIN ctx ON ctx.file = c.at AND ctx.scope = 'symbol' AND ctx.key = c.name AND ctx.path = s.file GROUP BY 1)
 SELECT c.call_id, arg_min(x, o) FILTER (x IS NOT NULL) AS target FROM c LEFT JOIN pick USING (call_id) GROUP BY 1""")
 def candidate_resolution(spark, d):
     p = table(spark, d, "part")
-    symbols = p.select(F.col("p_size").cast("long").alias("name"), F.when(F.col("p_partkey") % 5 == 0, "class").otherwise("function").alias("kind"), F.col("p_brand").alias("file"), F.col("p_partkey").alias("node_id"))
-    calls = p.select(F.col("p_partkey").alias("call_id"), F.col("p_brand").alias("file"), ((F.col("p_partkey") * 7) % 60).alias("name"))
-    imports = p.select(F.col("p_brand").alias("file"), F.concat(F.expr("substring(p_brand, 1, length(p_brand) - 1)"), F.lit("1")).alias("path"))
-    return resolve.resolve_calls(calls, symbols, imports)
+    k = F.col("p_partkey")
+    text = lambda x: x.cast("string")
+    symbols = p.select(F.concat(F.lit("f"), text(F.col("p_size") * 7 + k % 7)).alias("name"), F.when(k % 5 == 0, "class").otherwise("function").alias("kind"), F.col("p_brand").alias("file"), k.alias("node_id"))
+    calls = p.select(k.alias("call_id"), F.col("p_brand").alias("file"), F.concat(F.lit("f"), text((k * 7) % 400)).alias("name"), F.when(k % 4 > 0, F.concat(F.lit("m"), text(k % 4))).alias("prefix"))
+    return resolve.resolve_calls(calls, symbols, resolve.import_context(_imports(spark, d)))
+
+
+@query("""WITH p AS (SELECT p_partkey, 'a.b.c' || (p_size % 3) AS module, p_size % 2 = 0 AS package, (['x.y', '.z', '..z', '...z.w', '....z', '.', 'q'])[p_partkey % 7 + 1] AS name FROM part),
+q AS (SELECT *, length(name) - length(ltrim(name, '.')) AS level, ltrim(name, '.') AS rest, string_split(module, '.') AS w FROM p),
+r AS (SELECT *, len(w) - level + package::INT AS keep FROM q)
+SELECT p_partkey, CASE WHEN level = 0 THEN name WHEN keep >= 0 THEN nullif(concat_ws('.', nullif(array_to_string(w[1:keep], '.'), ''), nullif(rest, '')), '') END AS module FROM r""")
+def relative_imports(spark, d):
+    p = table(spark, d, "part")
+    names = ("x.y", ".z", "..z", "...z.w", "....z", ".", "q")
+    name = F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("p_partkey") % 7 + 1).cast("int"))
+    module = F.concat(F.lit("a.b.c"), (F.col("p_size") % 3).cast("string"))
+    return p.select("p_partkey", C.absolute_import(name, module, F.col("p_size") % 2 == 0).alias("module"))
 
 
 @query("""WITH a AS (SELECT p_name AS alias, 0 AS o, p_partkey AS node_id FROM part UNION ALL SELECT p_type, 1, p_partkey FROM part UNION ALL SELECT p_brand, 2, p_partkey FROM part)
@@ -588,17 +634,47 @@ def flow_edges(spark, d):
     return traces.flow_edges(_calls(spark, d))
 
 
-@query("""WITH o AS (SELECT s_suppkey, s_suppkey % 60 AS calls, s_suppkey % 3 AS imports, s_suppkey % 12 AS u, s_suppkey % 5 AS depth, s_suppkey % 2 AS local, s_suppkey % 400 AS nodes, s_suppkey % 9 AS hit FROM supplier)
-SELECT s_suppkey, array_to_string(list_concat(CASE WHEN calls <= 0 AND imports > 0 THEN ['only_imports'] ELSE [] END, CASE WHEN calls < least(50, greatest(10, u)) THEN ['few_calls'] ELSE [] END, CASE WHEN u < least(10, greatest(3, ceil(0.03::DOUBLE * greatest(1, nodes)))) THEN ['few_callees'] ELSE [] END,
-  CASE WHEN depth < 3 THEN ['shallow_calls'] ELSE [] END, CASE WHEN local < 1 THEN ['no_local_calls'] ELSE [] END, CASE WHEN calls > 0 AND hit = 0 THEN ['no_hits_in_graph'] ELSE [] END, CASE WHEN hit::DOUBLE / greatest(1, nodes) < 0.02 THEN ['low_coverage'] ELSE [] END,
-  CASE WHEN (hit + 1)::DOUBLE / greatest(1, nodes) < 0.05 THEN ['low_reach'] ELSE [] END, CASE WHEN calls > 0 AND u > 0 AND hit = 0 THEN ['no_overlap'] ELSE [] END), ',') AS issues FROM o""")
+@query("""WITH o AS (SELECT s_suppkey, s_suppkey % 60 AS calls, s_suppkey % 3 AS imports, s_suppkey % 12 AS u, s_suppkey % 5 AS depth, s_suppkey % 2 AS local, s_suppkey % 400 AS nodes, s_suppkey % 9 AS hit, s_suppkey % 13 = 0 AS synthetic, s_suppkey % 4 AS ep, s_suppkey % 7 AS ex, s_suppkey % 6 AS un FROM supplier)
+SELECT s_suppkey, concat_ws(',', CASE WHEN synthetic THEN 'synthetic_runtime_trace_not_allowed' END, CASE WHEN calls <= 0 AND imports > 0 THEN 'runtime_trace_contains_only_import_or_bootstrap_events' END, CASE WHEN calls < least(50, greatest(10, u)) THEN 'runtime_call_events_below_threshold' END,
+  CASE WHEN u < least(10, greatest(3, ceil(0.03::DOUBLE * greatest(1, nodes)))) THEN 'runtime_unique_callee_nodes_below_threshold' END, CASE WHEN depth < 3 THEN 'runtime_call_depth_below_threshold' END, CASE WHEN local < 1 THEN 'runtime_local_call_count_below_threshold' END,
+  CASE WHEN calls > 0 AND hit = 0 THEN 'runtime_calls_exist_but_no_hits_mapped_to_graph_nodes' END, CASE WHEN hit::DOUBLE / greatest(1, nodes) < 0.02 THEN 'runtime_coverage_ratio_below_threshold' END, CASE WHEN (hit + 1)::DOUBLE / greatest(1, nodes) < 0.05 THEN 'runtime_reachable_ratio_below_threshold' END,
+  CASE WHEN calls > 0 AND u > 0 AND hit = 0 THEN 'runtime_static_call_overlap_is_zero' END, CASE WHEN ep > 0 AND ex = 0 THEN 'manifest_entrypoints_not_observed_in_runtime' END, CASE WHEN un > 0 AND u = 0 THEN 'runtime_identity_mapping_failed' END) AS issues FROM o""")
 def runtime_gate(spark, d):
     k = F.col("s_suppkey")
     row = table(spark, d, "supplier").select(k, (k % 60).alias("calls"), (k % 3).alias("imports"), (k % 12).alias("unique"), (k % 5).alias("depth"), (k % 2).alias("local"), (k % 400).alias("nodes"), (k % 9).alias("hit_nodes"))
     row = row.withColumns({"reached": F.col("hit_nodes") + 1, "static_edges": F.col("calls"), "runtime_edges": F.col("unique"), "shared_edges": F.col("hit_nodes")})
+    row = row.withColumns({"synthetic": k % 13 == 0, "entrypoints": k % 4, "executed": k % 7, "unmatched": k % 6})
     return traces.runtime_gate(row).select("s_suppkey", F.array_join("issues", ",").alias("issues"))
 
 
+@query(f"""WITH {NODES_SQL}, {TRACE_SQL}, x AS (SELECT t.*, n.node_id IS NOT NULL AS known FROM t LEFT JOIN n USING (node_id))
+SELECT count(*) FILTER (event = 'call') AS calls, count(DISTINCT node_id) FILTER (event = 'call' AND known) AS "unique", count(*) FILTER (event = 'call' AND NOT known) AS unmatched, count(*) FILTER (event = 'call' AND run_id % 3 > 0) AS local,
+  max(seq % 9) FILTER (event = 'call') AS depth, count(DISTINCT node_id) FILTER (event = 'call' AND known) AS hit_nodes, count(*) FILTER (event = 'import') AS imports FROM x""")
+def runtime_facts(spark, d):
+    t = trace(spark, d).select("event", "node_id", F.when(F.col("run_id") % 3 == 0, "<frozen>").otherwise("a.py").alias("file"), (F.col("seq") % 9).alias("depth"))
+    return traces.runtime_facts(t, nodes(spark, d))
+
+
+@query("""WITH RECURSIVE k AS (SELECT s_suppkey AS k FROM supplier), e AS (SELECT k AS source, k * 2 AS target FROM k WHERE k % 3 > 0 UNION ALL SELECT k, k // 3 FROM k WHERE k % 5 = 0),
+n AS (SELECT k AS x FROM k WHERE k % 2 = 0 UNION SELECT source FROM e UNION SELECT target FROM e), r AS (SELECT x FROM n WHERE x NOT IN (SELECT target FROM e)),
+w(node_id, depth) AS (SELECT x, 0 FROM r UNION SELECT target, depth + 1 FROM w JOIN (SELECT DISTINCT source, target FROM e) ON source = node_id WHERE depth < 60)
+SELECT node_id, min(depth) AS depth FROM w GROUP BY 1""")
+def runtime_reach(spark, d):
+    k = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))
+    e = k.where("k % 3 > 0").select(F.col("k").alias("source"), (F.col("k") * 2).alias("target")).union(k.where("k % 5 = 0").select("k", F.expr("k div 3")))
+    return traces.runtime_reachable(k.where("k % 2 = 0").select(F.col("k").alias("node_id")), e)
+
+
+@query("""WITH x AS (SELECT 'pkg/m' || (p_partkey % 50) || '.py' AS path FROM part WHERE p_size < 25), y AS (SELECT 'pkg/m' || (p_partkey % 60) || '.py' AS path FROM part WHERE p_size >= 25)
+SELECT DISTINCT y.path, y.path IN (SELECT path FROM x) AS executed FROM y""")
+def entrypoint_evidence(spark, d):
+    p = table(spark, d, "part")
+    path = lambda n: F.concat(F.lit("pkg/m"), (F.col("p_partkey") % n).cast("string"), F.lit(".py"))
+    kind = F.element_at(F.array(F.lit("file"), F.lit("function"), F.lit("class")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    seen = p.where("p_size < 25").select(C.canonical_id(kind, path(50), F.when(kind == "file", "").otherwise("run")).alias("node_id"))
+    return traces.entrypoint_evidence(p.where("p_size >= 25").select(F.concat(F.lit("./"), path(60)).alias("path")), seen)
+
+
 @query("""WITH p AS (SELECT page_id, string_split(replace(regexp_replace(lower(url), '[_.\\-\\\\]', '/', 'g'), ':', '/'), '/') AS w FROM pages)
 SELECT page_id, CASE WHEN list_has_any(w, ['api', 'rest', 'http', 'web']) THEN 'api' WHEN list_has_any(w, ['cli', 'command', 'commands', 'cmd']) THEN 'cli' WHEN list_has_any(w, ['job', 'jobs', 'worker', 'workers', 'scheduler', 'cron', 'background', 'queue', 'queues', 'task', 'tasks']) THEN 'background' ELSE 'other' END AS domain FROM p""")
 def entrypoint_domains(spark, d):

@@ -36,7 +36,9 @@ def _imported(node: ast.AST) -> list[tuple[str, str]]:
     if isinstance(node, ast.Import):
         return [(a.name, a.asname or "") for a in node.names]
     if isinstance(node, ast.ImportFrom):
-        return [(f"{node.module}.{a.name}" if node.module else a.name, a.asname or "") for a in node.names]
+        # Dots in front stand for a relative import; the importing module resolves them.
+        base = "." * (node.level or 0) + (f"{node.module}." if node.module else "")
+        return [(base + a.name, a.asname or "") for a in node.names]
     return []
 
 

@@ -169,10 +169,13 @@ def test_workflows(spark):
 
 
 def test_resolution(spark):
-    calls = spark.createDataFrame([(1, "a.py", "run"), (2, "a.py", "go"), (3, "c.py", "go"), (4, "a.py", "none"), (5, "b.py", "dup")], "call_id long, file string, name string")
+    calls = [(1, "a.py", "run", None), (2, "a.py", "go", None), (3, "c.py", "go", "b"), (4, "a.py", "none", None), (5, "b.py", "dup", None), (6, "c.py", "go", None), (7, "d.py", "go", None), (8, "d.py", "go", "bb"), (9, "d.py", "go", "zz")]
+    calls = spark.createDataFrame(calls, "call_id long, file string, name string, prefix string")
     symbols = spark.createDataFrame([("run", "function", "a.py", "n1"), ("go", "function", "a.py", "n2"), ("go", "function", "b.py", "n3"), ("dup", "class", "x.py", "n4"), ("dup", "function", "y.py", "n5")], "name string, kind string, file string, node_id string")
-    imports = spark.createDataFrame([("c.py", "b.py")], "file string, path string")
-    assert {r.call_id: r.target for r in resolve.resolve_calls(calls, symbols, imports).collect()} == {1: "n1", 2: "n2", 3: "n3", 4: None, 5: "n5"}
+    imports = [("c.py", "b", "", "b.py"), ("d.py", "pkg.go", "", "a.py"), ("d.py", "b", "bb", "b.py"), ("d.py", "lost", "", None)]
+    context = resolve.import_context(spark.createDataFrame(imports, "file string, module string, alias string, path string"))
+    got = {r.call_id: r.target for r in resolve.resolve_calls(calls, symbols, context).collect()}
+    assert got == {1: "n1", 2: "n2", 3: "n3", 4: None, 5: "n5", 6: None, 7: "n2", 8: "n3", 9: "n2"}
     names = spark.createDataFrame([(1, "a.b.c"), (2, "a.x"), (3, "z")], "id long, name string")
     index = spark.createDataFrame([("a", "a/__init__.py"), ("a.b", "a/b.py")], "module string, path string")
     assert {r.id: r.path for r in resolve.longest_prefix(names, index).collect()} == {1: "a/b.py", 2: "a/__init__.py", 3: None}

@@ -36,6 +36,77 @@ def test_trust_gates():
     assert S.policy({"coverage": 0.4, "raw_confidence": 1.0, "trust": 1.0})["system_valid"] is True
 
 
+def test_policy_reasons():
+    ok = {"coverage": 0.4, "raw_confidence": 1.0, "trust": 1.0, "runtime": True}
+    assert S.policy(ok) == {"hard": [], "soft": [], "system_valid": True}
+    bad = ok | {"entrypoint_coverage": 0.25, "domain_coverage": 0.3, "expected_domains": 3, "scenario_coverage": 0.5, "drifted": True, "cycles": 1, "architecture_coverage": 0.5, "violation_ratio": 0.7, "architecture_score": 0.1, "valid_nodes": 0}
+    got = S.policy(bad | {"semantic_score": 0.5, "collisions": 1, "causal_enforced": True, "causal_score": 0.3})
+    assert got["hard"] == ["no_valid_nodes", "architecture_violations_exceeded", "entrypoint_coverage_below_floor"]
+    assert got["soft"] == ["domain_coverage_below_minimum", "scenario_coverage_below_minimum", "architecture_drift", "cycles", "architecture_score_low", "semantic_collisions", "causal_score_low"]
+    assert S.policy(bad | {"runtime": False, "architecture_coverage": 0.1, "valid_nodes": 1})["hard"] == []
+
+
+def test_execution_domain():
+    from sparkwarden.plans import domains
+
+    none = domains.execution_confidence({})
+    assert none.score == 1.0 and none.warnings and not none.issues
+    gate = domains.execution_confidence({"calls": 150, "unique": 40, "coverage": 0.4, "overlap": 0.2, "reachable": 0.5, "entrypoints": 4, "executed": 1, "expected_domains": 3, "covered_domains": 1, "priorities": [220.0, 30.0], "scenario_warnings": ["a", "b"]})
+    assert [i["type"] for i in gate.issues] == ["ENTRYPOINT_COVERAGE_INCOMPLETE", "DOMAIN_COVERAGE_INCOMPLETE", "SCENARIO_COVERAGE_INCOMPLETE"]
+    assert [i["count"] for i in gate.issues] == [3, 2, 1] and len(gate.warnings) == 3
+    low = domains.execution_confidence({"calls": 279, "unique": 40, "coverage": 0.05122, "overlap": 0.001, "scenario": 1.0})
+    assert low.score == 0.02 and [i["type"] for i in low.issues] == ["LOW_EXECUTION_CONFIDENCE"]
+
+
+def test_intent_domain(spark):
+    from sparkwarden.plans import domains
+
+    paths = [("apps/api/service.py", "infra/db/store.py"), ("domain/core/rules.py", "infra/adapters/mail_adapter.py"), ("services/pay_service.py", "infra/adapters/pay_adapter.py"), ("shared/util.py", "shared/log.py"), ("domain/core/a.py", "domain/core/b.py")]
+    d = domains.architectural_intent(spark.createDataFrame(paths, "source_path string, target_path string"))
+    assert d.issues[0]["type"] == "ARCHITECTURE_CONSTRAINT_VIOLATION" and d.issues[0]["severity"] == "HIGH" and d.issues[0]["count"] == d.metrics["violation_count"] >= 3
+    assert "apps/api/service.py" in d.issues[0]["sample"] and d.score < 0.6 and not d.warnings
+    empty = domains.architectural_intent(spark.createDataFrame([], "source_path string, target_path string"))
+    assert not empty.issues and empty.warnings
+
+
+def test_semantic_domain(spark):
+    from sparkwarden.plans import domains
+
+    names = ("AuthSessionRouter", "AuthSessionService", "AuthSessionManager")
+    files = ["billing/auth/session_login.py", "portal/auth/session_login.py", "kernel/auth/session_login.py", "paint/colour.py"]
+    symbols = [(n, f) for n, f in zip(names, files)] + [(x, f) for f in files[:3] for x in ("LoginCheck", "PasswordHash")] + [("Brush", files[3])]
+    d = domains.semantic_consistency(spark.createDataFrame([(f,) for f in files], "path string"), spark.createDataFrame(symbols, "name string, file string"))
+    assert {i["type"] for i in d.issues} == {"DUPLICATE_INTENT_CLUSTERS", "FAKE_ABSTRACTION_COLLISION"}
+    assert d.metrics["cluster_count"] == d.metrics["cross_context_cluster_count"] == d.metrics["duplicate_intent_cluster_count"] == 1 and d.score < 1
+
+
+def test_causal_domain(spark):
+    from sparkwarden.plans import domains
+
+    roles = ["api", "validation", "orchestration", "domain_decision", "side_effect", "persistence"]
+    make = lambda rows: spark.createDataFrame(rows, "run_id string, seq long, role string")
+    full = domains.causal_flow(make([("r", i, x) for i, x in enumerate(roles)]))
+    assert full.score == 1.0 and not full.issues and full.metrics["workflow_count"] == 1
+    bare = domains.causal_flow(make([("r", 1, "api"), ("r", 2, "persistence"), ("s", 1, "internal")]))
+    assert [i["type"] for i in bare.issues] == ["MISSING_DOMAIN_DECISION_STAGE", "DIRECT_API_TO_PERSISTENCE_PATH"] and bare.issues[1]["severity"] == "LOW"
+    none = domains.causal_flow(make([]))
+    assert none.score == 1.0 and not none.issues and none.warnings
+
+
+def test_relative_imports_and_prefixed_calls(spark, tmp_path):
+    tree = {"pkg/__init__.py": "from .a import run\n", "pkg/a.py": "from . import b as bb\nfrom .sub.c import go\n\ndef run():\n    bb.go()\n    go()\n", "pkg/b.py": "def go():\n    pass\n", "pkg/sub/__init__.py": "", "pkg/sub/c.py": "from ..b import go as other\nfrom .... import nothing\n\ndef go():\n    other()\n"}
+    for p, text in tree.items():
+        f = tmp_path / p
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text(text)
+    files = scan.scan_files(spark, str(tmp_path))
+    nodes, edges = build_graph.build_graph(pyast.analyze(files), files)
+    got = {(r.source, r.target, r.type) for r in edges.collect()}
+    assert {(a, b) for a, b, t in got if t == "IMPORT"} == {("file:pkg/__init__.py", "file:pkg/a.py"), ("file:pkg/a.py", "file:pkg/b.py"), ("file:pkg/a.py", "file:pkg/sub/c.py"), ("file:pkg/sub/c.py", "file:pkg/b.py")}
+    # bb.go is the go of the file that bb imports, go itself that of the imported name.
+    assert {b for a, b, t in got if t == "CALL" and a == "function:pkg/a.py:run"} == {"function:pkg/b.py:go", "function:pkg/sub/c.py:go"}
+
+
 def test_divergence_profiles():
     assert S.pair_divergence(0, 0, 0, 0) == 0 and S.pair_overlap(0, 0, 0) == 1 and S.pair_overlap(0, 2, 0) == 0
     assert S.pair_divergence(2, 3, 1, 4) == 0.637 and S.pair_divergence(2, 3, 1, 4, "v1") == 0.5
@@ -147,6 +218,8 @@ def test_audit_of_a_tree(spark, tree):
     calls = spark.createDataFrame([("function:main.py:main", "call", "file:main.py", "function:main.py:main"), ("function:main.py:open_it", "call", "function:main.py:main", "function:main.py:open_it")], "node_id string, event string, source string, target string")
     out = audit.run_audit(spark, tree, calls)
     assert out["stages"] == list(audit.STAGES) and out["summary"]["graph"]["IMPORT"] == 1 and out["summary"]["heat"]["hot"] >= 1
+    assert set(out["verification"]["domains"]) == {"structural_integrity", "dependency_consistency", "topology_validation", "semantic_observations", "execution_confidence", "architectural_intent", "semantic_consistency", "causal_flow"}
+    assert "runtime_call_events_below_threshold" in out["summary"]["runtime"]["issues"] and out["summary"]["runtime"]["executed"] == 1 and out["summary"]["heat"]["sane"]
     assert out["diagnostics"]["status"] in ("PASS", "DEGRADED", "FAIL") and out["system_valid"] is False
     assert diagnose.differences({"a": [1, 2], "b": 1}, {"a": [1, 3], "c": 1}) == ["$.a[1]", "$.b", "$.c"]
     assert set(audit.run_audit(spark, tree, mode="static-only")["summary"]) == {"manifest", "static"}
