@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import profiles as P
-from ..functions.columns import is_test
+from ..functions.columns import is_excluded_seed, is_private, is_test, normalize_path
 
 
 def top_per_group(rows: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
@@ -64,6 +64,12 @@ def category_score(categories: Column) -> Column:
     return F.aggregate(categories, F.lit(0.0), lambda a, c: a + F.coalesce(weights[c], F.lit(0.0)))
 
 
+def path_bonus(path: Column) -> Column:
+    """Points for the folder that an entrypoint is in."""
+    clean = F.lower(normalize_path(path))
+    return sum((F.when(clean.startswith(folder), x).otherwise(0.0) for folder, x in P.PATH_BONUS.items()), F.lit(0.0))
+
+
 def stratified_top(rows: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
     """First the best row of every group, then the best of the rest, to k rows in all."""
     w = Window.partitionBy(group).orderBy(*order)
@@ -76,7 +82,7 @@ def entrypoints(discovered: DataFrame) -> DataFrame:
     g = discovered.distinct().groupBy("path").agg(F.array_sort(F.collect_set("category")).alias("categories"))
     weights = F.create_map(*[F.lit(x) for kv in P.CATEGORY_WEIGHTS.items() for x in kv])
     best = F.array_min(F.transform("categories", lambda c: F.struct((-F.coalesce(weights[c], F.lit(0.0))).alias("w"), c.alias("c"))))
-    return g.select("path", "categories", category_score(F.col("categories")).alias("score"), best["c"].alias("primary"))
+    return g.select("path", "categories", (category_score(F.col("categories")) + path_bonus(F.col("path"))).alias("score"), best["c"].alias("primary"))
 
 
 def seed_priority(rows: DataFrame) -> DataFrame:
@@ -96,6 +102,36 @@ def probe_priority(rows: DataFrame) -> DataFrame:
     return rows.withColumn("priority", F.round(p, 3))
 
 
+def seeds(rows: DataFrame, k: int = 40) -> DataFrame:
+    """rows (node_id, kind, path, name, inbound, outbound, hits, preferred) -> node_id, kind,
+    path, name, priority: the k best functions and classes that are public, have a path and
+    are not excluded (a top-k report)."""
+    fit = F.lower(F.trim("kind")).isin("function", "class") & (normalize_path(F.col("path")) != "") & (F.trim("name") != "")
+    fit = fit & ~is_excluded_seed(F.col("path")) & ~is_private(F.col("name"))
+    ranked = seed_priority(rows.where(fit)).orderBy(F.desc("priority"), "node_id").limit(k)
+    return ranked.select("node_id", "kind", "path", "name", "priority")
+
+
+def path_probes(rows: DataFrame, k: int = 8) -> DataFrame:
+    """rows (path, entrypoint, priority) -> path, entrypoint, priority, rank: each path's k best."""
+    return top_per_group(rows.select("path", "entrypoint", "priority"), ["path"], [F.desc("priority"), F.col("entrypoint")], k)
+
+
+def forced_probes(rows: DataFrame, k: int = 60) -> DataFrame:
+    """rows (entrypoint, kind: function, class or module, inbound, outbound, hits, priority) ->
+    entrypoint, kind, priority, rank: functions and classes that never ran and modules, all of
+    few edges; functions first, then classes, then by priority; each entrypoint once; k in all
+    (a top-k report)."""
+    degree, idle = F.col("inbound") + F.col("outbound"), F.col("hits") == 0
+    place = F.when(F.col("kind") == "function", 0).when(F.col("kind") == "class", 1).otherwise(2)
+    wanted = ((F.col("kind") == "function") & idle & (degree <= 2)) | ((F.col("kind") == "module") & (degree <= 2)) | ((F.col("kind") == "class") & idle & (degree <= 1))
+    rows = rows.where(wanted & (F.trim("entrypoint") != "")).withColumn("place", place)
+    # The first of an entrypoint's rows in the whole order is its least one.
+    once = rows.groupBy("entrypoint").agg(F.min(F.struct("place", (-F.col("priority")).alias("p"), "kind")).alias("m"))
+    few = once.select("entrypoint", "m.kind", (-F.col("m.p")).alias("priority"), F.col("m.place").alias("place")).orderBy("place", F.desc("priority"), "entrypoint").limit(k)
+    return few.select("entrypoint", "kind", "priority", F.row_number().over(Window.orderBy("place", F.desc("priority"), "entrypoint")).alias("rank"))
+
+
 def focused_entrypoints(rows: DataFrame, limit: int) -> DataFrame:
     """rows (path, category, score) -> path, category, score: the stratified choice.
 

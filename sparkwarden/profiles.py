@@ -63,6 +63,7 @@ DOMAIN_ORDER = {
     "causal_flow": 8,
 }
 MIN_EXECUTION_CONFIDENCE = 0.3
+MIN_AUTHORITY_TRUST = 0.55
 COVERAGE_FLOOR, COVERAGE_MULTIPLIER = 0.3, 0.5
 DIVERGENCE_LIMIT, DRIFT_PENALTY = 0.5, 0.2
 MIN_ENTRYPOINT_COVERAGE, MIN_SCENARIO_COVERAGE, MIN_DOMAIN_COVERAGE = 0.3, 0.55, 0.34
@@ -128,6 +129,8 @@ CATEGORY_WEIGHTS = {
     "explicit_config": 220.0, "main_guard": 200.0, "manifest_entrypoint": 185.0, "web_router": 170.0,
     "cli_definition": 160.0, "filename_heuristic": 100.0, "script_file": 90.0, "test_file": 30.0,
 }
+#: Points for an entrypoint below a folder, besides those of its categories.
+PATH_BONUS = {"apps/api/": 8.0, "scripts/": 4.0, "tests/": 1.0}
 ENTRYPOINT_FILES = ("__main__.py", "main.py", "app.py", "cli.py", "run.py")
 SKIP_DIRS = (".git", ".hg", ".idea", ".svn", ".tmp", ".venv", ".vscode", "__pycache__", "node_modules", "output", "state", "venv")
 SKIP_SUFFIXES = (".7z", ".avi", ".class", ".dll", ".dylib", ".exe", ".gif", ".gz", ".ico", ".jar", ".jpeg", ".jpg", ".mov", ".mp3", ".mp4", ".pdb", ".pdf", ".png", ".so", ".tar", ".webp", ".zip")

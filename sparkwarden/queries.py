@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from . import profiles as P
 from .functions import columns as C
 from .operators import evidence, graph, pairs, ranking, resolve, rules, sequence, similarity, traces
+from .plans import integrity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -594,12 +595,13 @@ def session_windows(spark, d):
     return e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("first_at")).select("user_id", "n", "first_at")
 
 
-@query("""WITH d AS (SELECT DISTINCT p_brand AS path, (['main_guard', 'script_file', 'test_file', 'web_router'])[p_size % 4 + 1] AS category FROM part), w(c, x) AS (VALUES ('main_guard', 200.0::DOUBLE), ('script_file', 90.0), ('test_file', 30.0), ('web_router', 170.0))
-SELECT path, string_agg(category, ',' ORDER BY category) AS categories, sum(x) AS score, arg_max(category, x) AS "primary" FROM d JOIN w ON category = c GROUP BY 1""")
+@query("""WITH d AS (SELECT DISTINCT (['apps/api/', 'scripts/', 'tests/', 'lib/'])[p_partkey % 4 + 1] || p_brand AS path, (['main_guard', 'script_file', 'test_file', 'web_router'])[p_size % 4 + 1] AS category FROM part), w(c, x) AS (VALUES ('main_guard', 200.0::DOUBLE), ('script_file', 90.0), ('test_file', 30.0), ('web_router', 170.0))
+SELECT path, string_agg(category, ',' ORDER BY category) AS categories, sum(x) + CASE WHEN path LIKE 'apps/api/%' THEN 8 WHEN path LIKE 'scripts/%' THEN 4 WHEN path LIKE 'tests/%' THEN 1 ELSE 0 END AS score, arg_max(category, x) AS "primary" FROM d JOIN w ON category = c GROUP BY 1""")
 def entrypoint_scores(spark, d):
     p = table(spark, d, "part")
     category = F.element_at(F.array(*[F.lit(x) for x in ("main_guard", "script_file", "test_file", "web_router")]), F.col("p_size") % 4 + 1)
-    return ranking.entrypoints(p.select(F.col("p_brand").alias("path"), category.alias("category"))).select("path", F.array_join("categories", ",").alias("categories"), "score", "primary")
+    folder = F.element_at(F.array(*[F.lit(x) for x in ("apps/api/", "scripts/", "tests/", "lib/")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return ranking.entrypoints(p.select(F.concat(folder, "p_brand").alias("path"), category.alias("category"))).select("path", F.array_join("categories", ",").alias("categories"), "score", "primary")
 
 
 @query(f"""WITH {EDGES_SQL}, {REFS_SQL} SELECT node_id, round(0.5::DOUBLE * inbound + 0.2::DOUBLE * outbound + 1.0, 3) AS seed, round(120.0::DOUBLE + 6.0 * (inbound + outbound) + 25.0::DOUBLE / (1 + inbound) + 12.0 * outbound + 2.0 + CASE WHEN inbound + outbound <= 1 THEN 10.0 ELSE 0.0 END, 3) AS probe FROM r""")
@@ -737,3 +739,145 @@ def path_predicates(spark, d):
     imports = F.array(F.element_at(F.array(*[F.lit(x) for x in ("fastapi.routing", "os", "click", "flask")]), F.col("p_size") % 4 + 1))
     rows = p.select("p_partkey", path.alias("path"), imports.alias("imports"))
     return rows.select("p_partkey", C.is_test(F.col("path")).alias("is_test"), C.is_excluded_seed(F.col("path")).alias("excluded"), C.is_web_router(F.col("imports")).alias("web"), C.is_cli_module(F.col("path"), F.col("imports")).alias("cli"), C.file_category(F.col("path"), "pkg", ("core",)).alias("category"))
+
+
+def _probe_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as graph nodes with degrees, hits and priorities."""
+    k = F.col("p_partkey")
+    kind = F.element_at(F.array(F.lit("function"), F.lit("class"), F.lit("module")), (k % 3 + 1).cast("int"))
+    return table(spark, d, "part").select(
+        F.concat(F.lit("n"), k.cast("string")).alias("node_id"), kind.alias("kind"), F.concat(F.lit("pkg/"), "p_brand", F.lit(".py")).alias("path"), F.concat(F.when(k % 13 == 0, "_").otherwise(""), F.lit("f"), (k % 500).cast("string")).alias("name"),
+        (F.col("p_size") % 4).cast("long").alias("inbound"), (k % 3).alias("outbound"), (k % 4).alias("hits"), (k % 5 == 0).alias("preferred"), F.concat("p_brand", F.lit(":"), (k % 500).cast("string")).alias("entrypoint"), F.round("p_retailprice", 2).alias("priority"),
+    )
+
+
+PROBES_SQL = """r AS (SELECT 'n' || p_partkey AS node_id, (['function', 'class', 'module'])[p_partkey % 3 + 1] AS kind, 'pkg/' || p_brand || '.py' AS path, CASE WHEN p_partkey % 13 = 0 THEN '_' ELSE '' END || 'f' || (p_partkey % 500) AS name,
+  (p_size % 4)::BIGINT AS inbound, p_partkey % 3 AS outbound, p_partkey % 4 AS hits, p_partkey % 5 = 0 AS preferred, p_brand || ':' || (p_partkey % 500) AS entrypoint, round(p_retailprice, 2) AS priority FROM part)"""
+
+
+@query(f"""WITH {PROBES_SQL} SELECT node_id, kind, path, name, round(0.5::DOUBLE * inbound + 0.2::DOUBLE * outbound + 2.0::DOUBLE * preferred::INT + 1.0::DOUBLE * (hits = 0)::INT + 0.25::DOUBLE * (kind = 'class')::INT, 3) AS priority
+FROM r WHERE kind IN ('function', 'class') AND name NOT LIKE '\\_%' ESCAPE '\\' ORDER BY priority DESC, node_id LIMIT 40""")
+def seed_choice(spark, d):
+    return ranking.seeds(_probe_rows(spark, d))
+
+
+@query(f"WITH {PROBES_SQL} SELECT path, entrypoint, priority, row_number() OVER (PARTITION BY path ORDER BY priority DESC, entrypoint)::INT AS rank FROM r QUALIFY rank <= 8")
+def path_probes(spark, d):
+    return ranking.path_probes(_probe_rows(spark, d))
+
+
+@query(f"""WITH {PROBES_SQL}, w AS (SELECT *, CASE kind WHEN 'function' THEN 0 WHEN 'class' THEN 1 ELSE 2 END AS o FROM r WHERE (kind = 'function' AND hits = 0 AND inbound + outbound <= 2) OR (kind = 'module' AND inbound + outbound <= 2) OR (kind = 'class' AND hits = 0 AND inbound + outbound <= 1)),
+x AS (SELECT *, row_number() OVER (PARTITION BY entrypoint ORDER BY o, priority DESC, kind) AS k FROM w), y AS (SELECT * FROM x WHERE k = 1 ORDER BY o, priority DESC, entrypoint LIMIT 60)
+SELECT entrypoint, kind, priority, row_number() OVER (ORDER BY o, priority DESC, entrypoint)::INT AS rank FROM y""")
+def forced_probes(spark, d):
+    return ranking.forced_probes(_probe_rows(spark, d))
+
+
+@query("""WITH a AS (SELECT p_brand AS alias, p_partkey AS node_id, p_size * 100000 + p_partkey AS place FROM part UNION ALL SELECT p_type, p_partkey, p_partkey FROM part)
+SELECT alias, arg_max(node_id, place) AS node_id FROM a GROUP BY 1""")
+def last_alias(spark, d):
+    p = table(spark, d, "part")
+    k = F.col("p_partkey")
+    return resolve.last_alias(p.select(F.col("p_brand").alias("alias"), k.alias("node_id"), (F.col("p_size") * 100000 + k).alias("place")).union(p.select("p_type", k, k)))
+
+
+@query("""WITH e AS (SELECT DISTINCT o_orderpriority AS origin, o_custkey AS source, o_orderkey % 50 AS target FROM orders), f AS (SELECT DISTINCT o_custkey AS source, o_orderkey % 50 AS target FROM orders WHERE o_orderstatus = 'O'),
+b AS (SELECT origin, count(*) AS edges, count(f.source) AS covered FROM e LEFT JOIN f USING (source, target) GROUP BY 1), c AS (SELECT *, round(covered::DOUBLE / edges, 6) AS coverage FROM b)
+SELECT origin, edges, covered, coverage, round(greatest(coverage - min(coverage) OVER (), max(coverage) OVER () - coverage), 6) AS divergence FROM c""")
+def source_coverage(spark, d):
+    o = table(spark, d, "orders")
+    e = o.select(F.col("o_orderpriority").alias("origin"), F.col("o_custkey").alias("source"), (F.col("o_orderkey") % 50).alias("target"))
+    return resolve.source_coverage(e, o.where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("source"), (F.col("o_orderkey") % 50).alias("target")))
+
+
+@query(f"WITH {RULES_SQL} SELECT sl AS layer, count(*) AS n FROM f GROUP BY 1")
+def layer_counts(spark, d):
+    return integrity.layer_counts(_path_edges(spark, d).select(F.col("source_path").alias("path")))
+
+
+@query("""WITH g AS (SELECT DISTINCT 'a/' || p_partkey || '.py' AS path FROM part WHERE p_partkey % 3 > 0), i AS (SELECT DISTINCT 'a/' || p_partkey || '.py' AS path FROM part WHERE p_partkey % 5 > 0)
+SELECT path, 'graph' AS side FROM g WHERE path NOT IN (SELECT path FROM i) UNION ALL SELECT path, 'inventory' FROM i WHERE path NOT IN (SELECT path FROM g)""")
+def inventory_gaps(spark, d):
+    p = table(spark, d, "part")
+    path = F.concat(F.lit("./a/"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path")
+    return integrity.inventory_gaps(p.where("p_partkey % 3 > 0").select(path), p.where("p_partkey % 5 > 0").select(path))
+
+
+def _gate_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    s = table(spark, d, "supplier")
+    k = F.col("s_suppkey")
+    chain = s.select(k.alias("source"), (F.floor(k / 4) * 4 + (k + 1) % 4).alias("target"), F.when(k % 10 == 0, "").otherwise("import").alias("type"), F.when(k % 6 == 0, "di").when(k % 6 == 1, None).otherwise("ast").alias("origin"), (k % 2).alias("confidence"))
+    rows = chain.union(s.where("s_suppkey % 3 = 0").select(k, (F.floor(k / 4) * 4 + (k + 1) % 4), F.lit("import"), F.lit("AST"), F.lit(1).cast("long")))
+    text = lambda c: F.col(c).cast("string").alias(c)
+    return s.select(k.cast("string").alias("node_id"), (F.floor(k / 3)).cast("string").alias("path")), rows.select(text("source"), text("target"), "type", "origin", "confidence")
+
+
+GATE_SQL = """n AS (SELECT s_suppkey AS k, s_suppkey // 3 AS path FROM supplier),
+e AS (SELECT s_suppkey AS source, s_suppkey // 4 * 4 + (s_suppkey + 1) % 4 AS target, CASE WHEN s_suppkey % 6 = 0 THEN 'DI' WHEN s_suppkey % 6 = 1 THEN '' ELSE 'AST' END AS origin FROM supplier
+  UNION ALL SELECT s_suppkey, s_suppkey // 4 * 4 + (s_suppkey + 1) % 4, 'AST' FROM supplier WHERE s_suppkey % 3 = 0)"""
+
+
+@query(f"""WITH {GATE_SQL}, u AS (SELECT count(*) AS unresolved FROM e WHERE source NOT IN (SELECT k FROM n) OR target NOT IN (SELECT k FROM n)),
+x AS (SELECT count(*) AS underived FROM (SELECT source, target, bool_or(origin = 'AST') AS a, bool_or(origin = 'DI') AS b FROM e GROUP BY 1, 2) WHERE b AND NOT a)
+SELECT unresolved, underived, CASE WHEN unresolved > 0 THEN 'UNRESOLVED_EDGE_REFERENCE' WHEN underived > 0 THEN 'DI_NOT_DERIVED_FROM_AST' ELSE '' END AS code FROM u, x""")
+def edge_gate(spark, d):
+    return integrity.edge_gate(*_gate_rows(spark, d))
+
+
+@query("""WITH c AS (SELECT min(s_suppkey::VARCHAR) AS component, count(*) AS size, bool_or(s_suppkey % 8 = 1) AS entered FROM supplier GROUP BY s_suppkey // 4) SELECT *, component = min(component) OVER () AS "primary" FROM c""")
+def graph_parts(spark, d):
+    n, e = _gate_rows(spark, d)
+    return integrity.components_of(n, e, n.where("node_id % 8 = 1").select("node_id"))
+
+
+@query("""WITH t AS (SELECT s_suppkey, (['yes', ' TRUE', 'no', 'On', '0', '1', '', 'nan', '12.75', '-inf', '1e3', 'x7'])[s_suppkey % 12 + 1] AS v FROM supplier),
+u AS (SELECT *, try_cast(trim(v) AS DOUBLE) AS x FROM t), w AS (SELECT *, CASE WHEN isfinite(x) THEN x END AS y FROM u)
+SELECT s_suppkey, lower(trim(v)) IN ('true', 'yes', 'y', 'on', '1') AS flag, coalesce(y, -1.0::DOUBLE) AS number, coalesce(trunc(y)::BIGINT, 7) AS whole FROM w""")
+def tolerant_casts(spark, d):
+    words = ("yes", " TRUE", "no", "On", "0", "1", "", "nan", "12.75", "-inf", "1e3", "x7")
+    v = F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("s_suppkey") % 12 + 1).cast("int"))
+    return table(spark, d, "supplier").select("s_suppkey", C.flag(v).alias("flag"), C.number(v, -1.0).alias("number"), C.whole_number(v, 7).alias("whole"))
+
+
+@query("""WITH j AS (SELECT s_suppkey, '{"a":"' || (s_suppkey % 7) || '","k' || (s_suppkey % 3) || '":"' || s_name || '"}' AS t FROM supplier)
+SELECT s_suppkey, t AS json, rtrim(replace(replace(to_base64(t::BLOB), '+', '-'), '/', '_'), '=') AS encoded, sha256(t) AS key FROM j""")
+def json_codec(spark, d):
+    k = F.col("s_suppkey")
+    m = F.create_map(F.concat(F.lit("k"), (k % 3).cast("string")), F.col("s_name"), F.lit("a"), (k % 7).cast("string"))
+    return table(spark, d, "supplier").select("s_suppkey", C.sorted_json(m).alias("json"), C.encoded_json(m).alias("encoded"), C.content_key(m).alias("key"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM events")
+def utc_stamps(spark, d):
+    return table(spark, d, "events").select("event_id", C.utc_stamp(F.col("ts")).alias("stamp"))
+
+
+@query("""WITH m AS (SELECT s_suppkey, s_suppkey % 3 AS x, s_suppkey % 4 AS y FROM supplier)
+SELECT s_suppkey, CASE WHEN x = y THEN 'k' || y || '=second' ELSE array_to_string(list_sort(['k' || x || '=first', 'k' || y || '=second']), ',') END AS merged FROM m""")
+def map_merge(spark, d):
+    k = F.col("s_suppkey")
+    one = lambda n, v: F.create_map(F.concat(F.lit("k"), (k % n).cast("string")), F.lit(v))
+    entries = F.transform(F.map_entries(C.merged(one(3, "first"), one(4, "second"))), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return table(spark, d, "supplier").select("s_suppkey", F.array_join(F.array_sort(entries), ",").alias("merged"))
+
+
+@query("""WITH p AS (SELECT p_partkey, (['file', 'function', 'class', 'service'])[p_partkey % 4 + 1] AS kind FROM part),
+q AS (SELECT p_partkey, kind, CASE WHEN kind IN ('file', 'service') THEN 'src/m' || p_partkey || '.py' ELSE 'src/m' || p_partkey || '.py/run' END AS tail FROM p)
+SELECT p_partkey, CASE WHEN kind = 'service' THEN NULL ELSE kind || ':' || CASE WHEN kind = 'file' THEN tail ELSE 'src/m' || p_partkey || '.py:run' END END AS legacy, CASE WHEN kind = 'service' THEN NULL ELSE 'canonical://' || kind || '/' || tail END AS back,
+  CASE WHEN kind = 'service' THEN NULL ELSE 'src/m' || p_partkey || '.py' END AS path FROM q""")
+def id_forms(spark, d):
+    k = F.col("p_partkey")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("file", "function", "class", "service")]), (k % 4 + 1).cast("int"))
+    named = F.when(kind.isin("file", "service"), "").otherwise("run")
+    file = F.concat(F.lit("src/m"), k.cast("string"), F.lit(".py"))
+    node, legacy = C.canonical_id(kind, file, named), F.concat_ws(":", kind, file, F.nullif(named, F.lit("")))
+    return table(spark, d, "part").select("p_partkey", C.legacy_id(node).alias("legacy"), C.canonical_of(legacy).alias("back"), C.node_path(node).alias("path"))
+
+
+@query("""SELECT s_suppkey, s_suppkey % 5 = 0 OR s_suppkey % 7 = 0 OR s_suppkey % 11 = 0 OR s_suppkey % 13 = 0 AS entrypoint FROM supplier""")
+def node_flags(spark, d):
+    k = F.col("s_suppkey")
+    meta = F.when(k % 7 == 0, F.create_map(F.lit("is_entrypoint"), F.lit("Yes"))).otherwise(F.create_map(F.lit("other"), F.lit("1")))
+    tags = F.when(k % 11 == 0, F.array(F.lit("x"), F.lit(" EntryPoint"))).otherwise(F.lit(None).cast("array<string>"))
+    field, role_ = F.when(k % 5 == 0, True), F.when(k % 13 == 0, "ENTRYPOINT")
+    return table(spark, d, "supplier").select("s_suppkey", C.node_flag(("entrypoint", "is_entrypoint"), field, meta, tags, role_).alias("entrypoint"))
