@@ -10,6 +10,7 @@ that agree by chance.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -154,7 +155,12 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     cuts, least = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 100 * n), F.min("doc_id")).first()
     cuts = sorted({c for c in cuts or [] if c > least})
     within = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(within, lambda c: c <= F.col("doc_id"))))
+    # The number of cuts up to the id: first every step-th cut is looked at, then a step of them.
+    step = max(1, math.isqrt(len(cuts)))
+    upto = lambda some: F.size(F.filter(some, lambda c: c <= F.col("doc_id")))
+    coarse = upto(F.array(*[F.lit(c).cast("long") for c in cuts[::step]])) if cuts else F.lit(0)
+    fine = F.when(coarse == 0, 0).otherwise((coarse - 1) * step + upto(F.slice(within, (coarse - 1) * step + 1, F.lit(step))))
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(fine)
     place = lambda b, role: F.struct(F.lit(b).cast("int").alias("bucket") if isinstance(b, int) else b.cast("int").alias("bucket"), F.lit(role).alias("role"))
     rows = rows.withColumn("own", bucket)
     places = F.array_compact(

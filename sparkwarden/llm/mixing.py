@@ -98,7 +98,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MA
     goal = targets(sizes, weights, repeats)
     whole = Window.partitionBy()
     goal = goal.withColumn("__all", F.lit(0)).withColumn("blocks", F.round(F.sum("target").over(whole) / block).cast("long"))
-    goal = goal.withColumn("most", F.floor(F.col("source_size") * repeats / block))
+    # The last block of a source or shard may be a part of one, so a small source has one too.
+    goal = goal.withColumn("most", F.ceil(F.col("source_size") * repeats / block))
     goal = sainte_lague(goal, ["__all"], ["source"], "target", "blocks", "most").withColumnRenamed("quota", "source_quota")
     goal = goal.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long")).select(F.col("source").alias("of"), "source_size", "target", "source_quota", "shards")
     goal = stored(goal, "mix-targets")
@@ -106,12 +107,12 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MA
     placed = rows.join(goal, rows.source.eqNullSafe(goal.of)).drop("of")
     placed = placed.withColumn("shard", F.pmod(F.xxhash64("draw"), F.col("shards")))
     parts = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
-    parts = parts.withColumn("most", F.floor(F.col("shard_size") * repeats / block))
+    parts = parts.withColumn("most", F.ceil(F.col("shard_size") * repeats / block))
     parts = sainte_lague(parts, ["source"], ["source", "shard"], "shard_size", "source_quota", "most").select(F.col("source").alias("of"), F.col("shard").alias("at"), "shard_size", "quota")
     ring = placed.join(parts, placed.source.eqNullSafe(parts.of) & (placed.shard == parts.at)).drop("of", "at")
     order = Window.partitionBy("source", "shard").orderBy("draw", F.asc_nulls_last("doc_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ring = ring.withColumn("stop", F.sum("size").over(order))
-    words = F.col("quota") * block
+    words = F.least(F.col("quota") * block, F.col("shard_size") * repeats)
     rest = words % F.greatest(F.col("shard_size"), F.lit(1))
     rounds = F.floor(words / F.greatest(F.col("shard_size"), F.lit(1)))
     taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("stop") - F.col("size"))))
@@ -129,9 +130,15 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     Only at a ring's cut does a row's share of words differ from a whole number.  Rows
     that are equal in doc_id, source and text share what they are taken.
     """
-    seed = how.get("seed", SEED)
+    seed, names = how.get("seed", SEED), {}
+    for name in ("id", "source", "draw", "copies", "own", "copy"):  # none of docs' own
+        names[name] = f"__{name}"
+        while names[name] in docs.columns:
+            names[name] += "_"
+    n = names
     plan = mixed(docs, **how).groupBy("doc_id", "source", "draw").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    plan = plan.where("size > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("draw").alias("__draw"), F.round(F.col("taken") / F.col("size")).cast("int").alias("__copies")).where("__copies > 0")
-    rows = docs.withColumn("__own", F.xxhash64(F.lit(seed), "doc_id", text_of()))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__own") == F.col("__draw"))
-    return rows.join(plan, same).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), "__copies")).alias("__copy")).drop("__copy")
+    copies = F.round(F.col("taken") / F.col("size")).cast("int")
+    plan = plan.where("size > 0").select(F.col("doc_id").alias(n["id"]), F.col("source").alias(n["source"]), F.col("draw").alias(n["draw"]), copies.alias(n["copies"])).where(F.col(n["copies"]) > 0)
+    rows = docs.withColumn(n["own"], F.xxhash64(F.lit(seed), "doc_id", text_of()))
+    same = F.col("doc_id").eqNullSafe(F.col(n["id"])) & F.col("source").eqNullSafe(F.col(n["source"])) & (F.col(n["own"]) == F.col(n["draw"]))
+    return rows.join(plan, same).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), n["copies"])).alias(n["copy"])).drop(n["copy"])

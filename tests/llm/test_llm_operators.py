@@ -354,6 +354,20 @@ def test_mix_targets_and_reruns(make, corpus):
     assert sum(want.values()) == pytest.approx(sum(sizes.values()))
 
 
+def test_mixed_documents_beside_any_columns(spark):
+    rows = [(i, f"w{i} " * 40, f"s{i % 3}", "a", "b", "c", "d") for i in range(90)] + [(1, None, None, "a", "b", "c", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __own string, __id string, __copies string, __draw string")
+    out = mixing.mixed_documents(docs, block=8)
+    assert out.columns == docs.columns and {(r["__own"], r["__id"], r["__copies"], r["__draw"]) for r in out.collect()} == {("a", "b", "c", "d")}
+
+
+def test_small_sources_take_part(make):
+    rows = [(i, "a b c d e f g h i j", "small") for i in range(2)] + [(100 + i, "x " * 500, "large") for i in range(4)]
+    plan = rows_of(mixing.mixed(make(rows)))
+    taken = sum(r["taken"] for r in plan if r["source"] == "small")
+    assert 0 < taken <= 60 and all(r["taken"] <= 3 * r["size"] for r in plan)
+
+
 def test_context_tree_predictions_sum_to_one():
     data = context_tree.spelled(b"the cat sat on the mat the cat".split())
     w = context_tree.windows(data)
