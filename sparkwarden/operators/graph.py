@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .tables import stored
+from .tables import forget, stored
 
 #: Rounds of longest_path, which cycles would keep going.
 MAX_ROUNDS = 1024
@@ -27,15 +27,19 @@ def reach(edges: DataFrame, starts: DataFrame, nodes: DataFrame | None = None) -
         seed = seed.join(nodes.select("node_id").distinct(), "node_id", "left_semi")
     links = stored(edges.select("source", "target").distinct(), "links")
     seen = stored(seed.withColumn("depth", F.lit(0)), "reach")
-    frontier = seen
+    frontier, parts = seen, [seen]
     for depth in count(1):
         found = frontier.join(links, frontier.node_id == links.source).select(F.col("target").alias("node_id")).distinct()
         frontier = stored(found.join(seen, "node_id", "left_anti").withColumn("depth", F.lit(depth)), "reach")
         if frontier.isEmpty():
             break
+        parts.append(frontier)
         seen = seen.union(frontier)
         if depth % 8 == 0:
             seen = stored(seen, "reach")
+            forget(*parts[:-1])
+            parts = [frontier, seen]
+    forget(links, frontier)
     return seen
 
 
@@ -46,14 +50,15 @@ def peel(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     links = stored(edges.select("source", "target").distinct(), "links")
     n = alive.count()
     while True:
-        links = links.join(alive, links.source == alive.node_id, "left_semi")
-        alive = stored(alive.join(links.select(F.col("target").alias("node_id")).distinct(), "node_id", "left_semi"), "peel")
-        left = alive.count()
+        inside = links.join(alive, links.source == alive.node_id, "left_semi")
+        still = stored(alive.join(inside.select(F.col("target").alias("node_id")).distinct(), "node_id", "left_semi"), "peel")
+        left = still.count()
         if left == n:
-            break
-        n = left
-        links = stored(links, "links")
-    return alive
+            forget(links, alive)
+            return still
+        n, fewer = left, stored(inside, "links")
+        forget(links, alive)
+        links, alive = fewer, still
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -114,13 +119,15 @@ def longest_path(nodes: DataFrame, edges: DataFrame, rounds: int = MAX_ROUNDS) -
     """node_id, depth: most edges of a path that ends there, by relaxation; on cycles the
     depth stops at the number of rounds."""
     links = stored(edges.select("source", "target").where("source <> target").distinct(), "links")
-    depth = stored(nodes.select("node_id").distinct().withColumn("depth", F.lit(0)), "depth")
-    total = 0
-    for _ in range(min(rounds, depth.count())):
-        pushed = depth.join(links, depth.node_id == links.source).select(F.col("target").alias("node_id"), (F.col("depth") + 1).alias("depth"))
-        depth = stored(depth.union(pushed.join(depth.select("node_id"), "node_id", "left_semi")).groupBy("node_id").agg(F.max("depth").alias("depth")), "depth")
-        now = depth.agg(F.sum("depth")).first()[0]
-        if now == total:
+    state = stored(nodes.select("node_id").distinct().select("node_id", F.lit(0).alias("depth"), F.lit(True).alias("moved")), "depth")
+    for _ in range(min(rounds, state.count())):
+        # Only nodes that moved in the round before have anything new to push.
+        pushed = state.where("moved").join(links, state.node_id == links.source).groupBy(F.col("target").alias("node_id")).agg((F.max("depth") + 1).alias("pushed"))
+        moved = F.coalesce(F.col("pushed") > F.col("depth"), F.lit(False))
+        after = stored(state.join(pushed, "node_id", "left").select("node_id", F.greatest("depth", "pushed").alias("depth"), moved.alias("moved")), "depth")
+        forget(state)
+        state = after
+        if state.where("moved").isEmpty():
             break
-        total = now
-    return depth
+    forget(links)
+    return state.select("node_id", "depth")

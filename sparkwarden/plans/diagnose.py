@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import profiles as P
 from ..functions import scores as S
 from ..operators import ranking
+from ..operators.tables import stored
 
 #: Sections of the report and the domain that each reads.
 SECTIONS = {
@@ -75,11 +76,31 @@ def regressions(before: dict, after: dict) -> list[str]:
     return [f"{k}_did_not_improve" for k in ("coverage", "overlap", "hot_and_warm") if after.get(k, 0) <= before.get(k, 0)]
 
 
-def differences(a, b, path: str = "$") -> list[str]:
-    """Paths at which two JSON values differ."""
-    if isinstance(a, dict) and isinstance(b, dict):
-        return [d for k in sorted({*a, *b}) for d in (differences(a[k], b[k], f"{path}.{k}") if k in a and k in b else [f"{path}.{k}"])]
-    if isinstance(a, list) and isinstance(b, list):
-        shared = [d for i, (x, y) in enumerate(zip(a, b)) for d in differences(x, y, f"{path}[{i}]")]
-        return shared + [f"{path}[{i}]" for i in range(min(len(a), len(b)), max(len(a), len(b)))]
-    return [] if a == b else [path]
+def json_leaves(documents: DataFrame) -> DataFrame:
+    """documents (id, json) -> id, path, value: every value of the documents that is neither an
+    object nor a list, and every empty one of these, at its path ($.a[0].b).
+
+    A round takes one level of all documents apart, so a document of any size is rows.
+    """
+    rest = stored(documents.select("id", F.lit("$").alias("path"), F.col("json").alias("value")).where("value is not null"), "json")
+    done = rest.select("id", "path", "value").limit(0)
+    while not rest.isEmpty():
+        kind = F.substring(F.ltrim("value"), 1, 1)
+        held = (kind == "{") | (kind == "[")
+        empty = F.regexp_replace("value", r"\s", "").isin("{}", "[]")
+        done = done.union(rest.where(~held | empty))
+        inner = rest.where(held & ~empty)
+        fields = inner.where(kind == "{").select("id", "path", F.explode(F.from_json("value", "map<string, variant>"))).select("id", F.concat("path", F.lit("."), "key").alias("path"), F.to_json("value").alias("value"))
+        items = inner.where(kind == "[").select("id", "path", F.posexplode(F.from_json("value", "array<variant>"))).select("id", F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]")).alias("path"), F.to_json("col").alias("value"))
+        rest = stored(fields.union(items).withColumn("value", F.coalesce("value", F.lit("null"))), "json")
+    return done
+
+
+def differences(a: DataFrame, b: DataFrame, masked: tuple[str, ...] = ()) -> DataFrame:
+    """Leaves (id, path, value) of documents of two sides -> id, path, left, right where they
+    differ; a value that one side lacks is null there.  Paths that end in a masked key are
+    left out."""
+    keep = lambda rows: rows.where(~F.regexp_extract("path", r"([^.\[\]]*)(\[[0-9]+\])*$", 1).isin(*masked)) if masked else rows
+    left, right = (keep(x).select("id", "path", F.col("value").alias(n)) for x, n in ((a, "left"), (b, "right")))
+    both = left.unionByName(right, allowMissingColumns=True).groupBy("id", "path").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    return both.where(~F.col("left").eqNullSafe(F.col("right")))

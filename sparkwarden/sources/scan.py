@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from .. import profiles as P
 from ..functions import columns as C
+from ..operators.tables import stored
+from ..schemas import STAGE_EVENTS
 from ..shipping import ship
 from .pyast import module_facts
 
@@ -20,41 +23,78 @@ def _filesystem(root: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(root if "://" in root else Path(root).absolute().as_uri())
 
 
-def list_files(root: str, skip_dirs: tuple[str, ...] = P.SKIP_DIRS, skip_suffixes: tuple[str, ...] = P.SKIP_SUFFIXES) -> list[tuple[str, int]]:
-    """Relative path and size of every file; skipped folders are never listed.
+#: Bytes of file contents that a task holds together.
+CONTENT_BYTES = 16 << 20
 
+
+def ignored(path: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Folders and suffixes of a file of ignore patterns, one a line.  A comment that speaks of
+    suffixes, or of directories, says what the lines after it are; folders come first."""
+    files, at = _filesystem(path)
+    with files.open_input_stream(at) as f:
+        lines = [x.strip() for x in f.read().decode("utf-8", "replace").splitlines()]
+    found: dict[str, list[str]] = {"directory": [], "suffix": []}
+    mode = "directory"
+    for line in lines:
+        if line.startswith("#"):
+            mode = next((m for m in ("suffix", "directory") if m in line.lower()), mode)
+        elif line:
+            found[mode].append(line.lower() if mode == "suffix" else line.strip("/"))
+    return tuple(sorted(set(found["directory"]))), tuple(sorted(set(found["suffix"])))
+
+
+def list_files(spark: SparkSession, root: str, skip_dirs: tuple[str, ...] = P.SKIP_DIRS, skip_suffixes: tuple[str, ...] = P.SKIP_SUFFIXES) -> DataFrame:
+    """path (relative to root) and size of every file; skipped folders are never listed.
+
+    Folders are listed by the executors, level by level, so no name passes the driver.
     Spark's own file sources leave out empty files and names that begin with an underscore,
     which source trees have.
     """
-    files, top = _filesystem(root)
-    todo, out = [top], []
-    while todo:
-        for f in files.get_file_info(fs.FileSelector(todo.pop())):
-            if f.type == fs.FileType.Directory:
-                if f.base_name not in skip_dirs:
-                    todo.append(f.path)
-            elif not f.base_name.lower().endswith(skip_suffixes):
-                out.append((f.path[len(top) :].lstrip("/"), f.size))
-    return sorted(out)
+    ship(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, top = _filesystem(root)
+        for rows in batches:
+            for folder in rows["path"]:
+                out = []
+                for f in files.get_file_info(fs.FileSelector(f"{top}/{folder}" if folder else top)):
+                    inside = f.type == fs.FileType.Directory
+                    if f.base_name not in skip_dirs if inside else not f.base_name.lower().endswith(skip_suffixes):
+                        out.append((f.path[len(top) :].lstrip("/"), 0 if inside else f.size, inside))
+                yield pd.DataFrame(out, columns=["path", "size", "folder"])
+
+    level = spark.createDataFrame([("",)], "path string")
+    found = spark.createDataFrame([], "path string, size long")
+    while True:
+        listed = stored(level.repartition(n, "path").mapInPandas(entries, "path string, size long, folder boolean"), "listing")
+        found = found.union(listed.where("not folder").select("path", "size"))
+        level = listed.where("folder").select("path")
+        if level.isEmpty():
+            return found
 
 
 def scan_files(spark: SparkSession, root: str, skip_dirs: tuple[str, ...] = P.SKIP_DIRS, skip_suffixes: tuple[str, ...] = P.SKIP_SUFFIXES) -> DataFrame:
     """path (relative to root), size, content of all files but those below skipped folders or
-    with a skipped suffix.  Names are listed on the driver, contents read by the executors."""
-    listed = spark.createDataFrame(list_files(root, skip_dirs, skip_suffixes), "path string, size long")
+    with a skipped suffix; listed and read by the executors."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, top = _filesystem(root)
+        held: list[tuple] = []
+        size = 0
+        made = lambda rows: pd.DataFrame(rows, columns=["path", "size", "content"])
         for rows in batches:
-            for at in range(0, len(rows), 64):
-                part = rows.iloc[at : at + 64]
-                contents = []
-                for p in part["path"]:
-                    with files.open_input_stream(f"{top}/{p}", compression=None) as f:
-                        contents.append(f.read())
-                yield part.assign(content=contents)
+            for path, n in zip(rows["path"], rows["size"].tolist()):
+                with files.open_input_stream(f"{top}/{path}", compression=None) as f:
+                    held.append((path, n, f.read()))
+                size += n
+                if size > CONTENT_BYTES:
+                    yield made(held)
+                    held, size = [], 0
+        if held:
+            yield made(held)
 
-    return listed.mapInPandas(read, "path string, size long, content binary")
+    return list_files(spark, root, skip_dirs, skip_suffixes).mapInPandas(read, "path string, size long, content binary")
 
 
 def build_manifest(files: DataFrame, explicit: tuple[str, ...] = ()) -> DataFrame:
@@ -67,14 +107,18 @@ def build_manifest(files: DataFrame, explicit: tuple[str, ...] = ()) -> DataFram
     return rows.select("path", "size", "sha256", "language", "module", "f.imports", "f.symbols", F.when(F.col("language") == "python", reasons).otherwise(F.array().cast("array<string>")).alias("entrypoint_reasons"), F.coalesce("f.ast_error", F.lit("")).alias("ast_error"))
 
 
-def manifest_summary(manifest: DataFrame) -> DataFrame:
-    """One row: files, Python files, bytes, entrypoints."""
-    return manifest.agg(
+def manifest_summary(manifest: DataFrame, most: int = 1000) -> DataFrame:
+    """One row: files, Python files, bytes, entrypoints (how many, and the first most of their
+    paths)."""
+    starts = manifest.where(F.size("entrypoint_reasons") > 0).select("path").distinct()
+    few = starts.orderBy("path").limit(most).agg(F.array_sort(F.collect_list("path")).alias("entrypoints"))
+    one = manifest.agg(
         F.count("*").alias("file_count"),
         F.count_if(F.col("language") == "python").alias("python_file_count"),
         F.coalesce(F.sum("size"), F.lit(0)).alias("total_bytes"),
-        F.array_sort(F.collect_set(F.when(F.size("entrypoint_reasons") > 0, F.col("path")))).alias("entrypoints"),
+        F.count_if(F.size("entrypoint_reasons") > 0).alias("entrypoint_count"),
     )
+    return one.crossJoin(F.broadcast(few))
 
 
 def language_counts(manifest: DataFrame) -> DataFrame:
@@ -100,3 +144,24 @@ def grep_lines(files: DataFrame, words: tuple[str, ...], per_file: int = 20) ->
     hits = lines.withColumn("word", F.explode(C.any_of(words))).where(F.contains(F.lower("text"), F.lower("word")))
     w = Window.partitionBy("path").orderBy("i", "word")
     return hits.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_file).select("path", (F.col("i") + 1).alias("line"), "text", "word")
+
+
+def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON document as a row of the schema; what stands below a key graph is taken as the
+    document itself; an empty file is a row of nulls."""
+    text = spark.read.option("wholetext", True).text(path)
+    whole = F.coalesce(F.nullif(F.trim(F.col("value")), F.lit("")), F.lit("{}"))
+    inner = F.get_json_object(whole, "$.graph")
+    body = F.when(inner.startswith("{"), inner).otherwise(whole)
+    return text.select(F.from_json(body, schema).alias("d")).select("d.*")
+
+
+def write_json_lines(rows: DataFrame, path: str, append: bool = False) -> None:
+    """Rows as JSON lines with sorted keys, in place of what is there or after it."""
+    rows.select(*sorted(rows.columns)).write.mode("append" if append else "overwrite").option("ignoreNullFields", False).json(path)
+
+
+def log_stage(spark: SparkSession, path: str, stage: str, status: str, **details: str) -> None:
+    """Adds an event to the log of a run's stages."""
+    row = (stage, status, json.dumps(details, sort_keys=True))
+    write_json_lines(spark.createDataFrame([row], STAGE_EVENTS).coalesce(1), path, append=True)

@@ -34,13 +34,17 @@ def run_sessions(trace: DataFrame, gap: str = "30 minutes", late: str = "10 minu
     return trace.withWatermark("ts", late).groupBy("run_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events")).select("run_id", "w.start", "w.end", "events")
 
 
-def call_depth(trace: DataFrame) -> DataFrame:
+def call_depth(trace: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
     """Call depth of each call row: a stack a run, kept as state between batches.
 
-    A call pushes its node; a return pops it only if it is on top.
+    A call pushes its node; a return pops it only if it is on top.  A run's state ends when
+    its stack is empty, or when nothing has come for the time given.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         stack = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values("seq")
         out = []
@@ -50,9 +54,13 @@ def call_depth(trace: DataFrame) -> DataFrame:
                 out.append((key[0], seq, node, len(stack)))
             elif event == "return" and stack and stack[-1] == node:
                 stack.pop()
-        state.update((stack,))
+        if stack:
+            state.update((stack,))
+            state.setTimeoutDuration(idle_ms)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["run_id", "seq", "node_id", "depth"])
 
     node = F.coalesce(F.nullif("callee_node_id", F.lit("")), F.nullif("node", F.lit("")))
     rows = trace.select("run_id", "seq", "event", node.alias("node_id"))
-    return rows.groupBy("run_id").applyInPandasWithState(step, "run_id string, seq long, node_id string, depth long", "stack array<string>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("run_id").applyInPandasWithState(step, "run_id string, seq long, node_id string, depth long", "stack array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -183,6 +183,44 @@ def test_json_lines_leaves_out_bad_rows(spark, tmp_path):
     assert sorted(r.stage for r in scan.read_json_lines(spark, str(f), "stage string, status string").collect()) == ["a", "b"]
 
 
+def test_documents_logs_and_ignored_names(spark, tmp_path):
+    (tmp_path / "g.json").write_text('{"graph": {"nodes": [{"id": "a"}], "edges": []}}')
+    (tmp_path / "h.json").write_text('{"nodes": [{"id": "b"}]}')
+    (tmp_path / "empty.json").write_text("")
+    ids = lambda f: [[n.id for n in r.nodes] if r.nodes else None for r in scan.read_document(spark, str(tmp_path / f), "nodes array<struct<id: string>>").collect()]
+    assert ids("g.json") == [["a"]] and ids("h.json") == [["b"]] and ids("empty.json") in ([], [None])
+    log = str(tmp_path / "log")
+    scan.log_stage(spark, log, "manifest", "ok", files="3")
+    scan.log_stage(spark, log, "graph", "failed", reason="x")
+    lines = [json.loads(x) for f in Path(log).glob("*.json") for x in f.read_text().splitlines()]
+    assert sorted(x["stage"] for x in lines) == ["graph", "manifest"] and all(list(x) == ["details", "stage", "status"] for x in lines)
+    (tmp_path / "names").write_text("# directory names\n.git/\nbuild\n# suffixes\n.PNG\n.gz\n")
+    assert scan.ignored(str(tmp_path / "names")) == ((".git", "build"), (".gz", ".png"))
+
+
+def test_integrity(spark):
+    from sparkwarden.plans import integrity
+
+    nodes = spark.createDataFrame([("a", "x.py"), ("b", "./x.py"), ("c", "y.py"), ("d", "z.py")], "node_id string, path string")
+    edges = spark.createDataFrame([("a", "b", "IMPORT", "AST", 1.0), (" b ", "gone", None, None, 0.0), ("c", "d", "di", None, None)], "source string, target string, type string, origin string, confidence double")
+    out = integrity.graph_integrity(nodes, edges)
+    assert {i["type"]: (i["count"], i["sample"]) for i in out["issues"]} == {"UNRESOLVED_EDGE_REFERENCE": (1, []), "DISCONNECTED_SUBGRAPHS": (1, ["c"]), "IDENTITY_COLLISION_NAMESPACE_FILEPATH": (1, ["x.py"])}
+    assert out["status"] == "INVALID" and out["metrics"] == {"orphan_nodes": 2, "disconnected_clusters": 1, "di_nodes_missing_edges": 1}
+    gate = integrity.edge_gate(nodes, edges).first()
+    assert (gate.unresolved, gate.underived, gate.code) == (1, 1, "UNRESOLVED_EDGE_REFERENCE")
+    fine = edges.where("target = 'b'")
+    assert integrity.edge_gate(nodes, fine).first().code == "" and integrity.edge_gate(nodes, edges.where("target = 'd'")).first().code == "DI_NOT_DERIVED_FROM_AST"
+    assert {(r.source, r.target, r.type, r.origin, r.confidence) for r in integrity.gated_edges(edges).collect()} == {("a", "b", "IMPORT", "AST", 1.0), ("b", "gone", "IMPORT", "AST", 1.0), ("c", "d", "DI", "AST", 1.0)}
+    starts = spark.createDataFrame([("a",)], "node_id string")
+    islands = integrity.island_anomalies(nodes, edges, starts)
+    assert islands["status"] == "FAIL" and [a["count"] for a in islands["anomalies"]] == [1, 1]
+    result = {"policy": {"hard": []}, "trust_score": 0.6, "issues": [], "failures": []}
+    assert integrity.authority(result, entrypoints=("a ", "a"))["authority_valid"] and not integrity.authority(result, 0.7, ("a",))["authority_valid"]
+    assert not integrity.authority(result | {"policy": {"hard": ["x"]}}, entrypoints=("a",))["authority_valid"]
+    with pytest.raises(ValueError):
+        integrity.authority(result)
+
+
 def test_streams(spark, tmp_path):
     rows = []
     for run in ("r1", "r2"):
@@ -221,5 +259,8 @@ def test_audit_of_a_tree(spark, tree):
     assert set(out["verification"]["domains"]) == {"structural_integrity", "dependency_consistency", "topology_validation", "semantic_observations", "execution_confidence", "architectural_intent", "semantic_consistency", "causal_flow"}
     assert "runtime_call_events_below_threshold" in out["summary"]["runtime"]["issues"] and out["summary"]["runtime"]["executed"] == 1 and out["summary"]["heat"]["sane"]
     assert out["diagnostics"]["status"] in ("PASS", "DEGRADED", "FAIL") and out["system_valid"] is False
-    assert diagnose.differences({"a": [1, 2], "b": 1}, {"a": [1, 3], "c": 1}) == ["$.a[1]", "$.b", "$.c"]
+    leaves = lambda x: diagnose.json_leaves(spark.createDataFrame([(1, json.dumps(x))], "id long, json string"))
+    a, b = leaves({"a": [1, 2, {"z": "t", "at": 1}], "b": 1, "d": {}, "e": [], "f": None}), leaves({"a": [1, 3, {"z": "t", "at": 2}], "c": 1, "d": {}, "e": [], "f": None})
+    assert {r.path: (r.left, r.right) for r in diagnose.differences(a, b, ("at",)).collect()} == {"$.a[1]": ("2", "3"), "$.b": ("1", None), "$.c": (None, "1")}
+    assert sorted((r.path, r.value) for r in a.collect()) == [("$.a[0]", "1"), ("$.a[1]", "2"), ("$.a[2].at", "1"), ("$.a[2].z", '"t"'), ("$.b", "1"), ("$.d", "{}"), ("$.e", "[]"), ("$.f", "null")]
     assert set(audit.run_audit(spark, tree, mode="static-only")["summary"]) == {"manifest", "static"}
