@@ -75,10 +75,10 @@ def architecture_score(edges: DataFrame) -> DataFrame:
 def layer_ranks(edges: DataFrame, ranks: DataFrame) -> DataFrame:
     """Edges whose source's layer ranks under their target's (an escalation).
 
-    ranks: layer, rank; a small fixed table.
+    ranks: layer, rank.
     """
     e = described(edges)
-    r = F.broadcast(ranks)
+    r = ranks.select("layer", "rank")
     both = e.join(r.select(F.col("layer").alias("source_layer"), F.col("rank").alias("sr")), "source_layer").join(r.select(F.col("layer").alias("target_layer"), F.col("rank").alias("tr")), "target_layer")
     return both.where("sr < tr").select("source_path", "target_path", "source_layer", "target_layer")
 
