@@ -251,7 +251,6 @@ def context_tree_scores(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> Data
     chars = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
     # A block is a hash of the row, so it is the same whenever a lost task runs again.
-    # A block is a hash of the row, so it is the same whenever a lost task runs again.
     rows = rows.select(F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(blocks)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text", learnt().alias("learnt"))
     packs = rows.mapInPandas(_packed, PACK)
 
