@@ -11,7 +11,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from .plans import audit, diagnose, verify
+from .plans import audit, diagnose, report, verify
 
 
 def main(args: list[str] | None = None) -> int:
@@ -36,13 +36,16 @@ def main(args: list[str] | None = None) -> int:
         if o.command == "audit":
             trace = spark.read.schema("node_id string, event string, source string, target string").json(o.trace) if o.trace else None
             out = audit.run_audit(spark, o.root, trace, o.mode, tuple(o.entrypoint), min_trust=o.min_trust)
+            if "verification" in out:
+                out["report"] = report.final_report(out)
         else:
             nodes, edges, resolver = (spark.read.parquet(x) for x in (o.nodes, o.edges, o.resolver))
             starts = spark.createDataFrame([(e,) for e in o.entrypoint], "node_id string")
             out = verify.run_verification(nodes, edges, resolver, starts, min_trust=o.min_trust)
             out["diagnostics"] = diagnose.diagnose(spark, out, edges)
     except Exception as e:
-        print(json.dumps({"error": type(e).__name__, "message": str(e)[:500]}))
+        # The failure as a document of its own: what was asked for, and where it ended.
+        print(json.dumps({"status": "FAILED", "command": o.command, "system_valid": False, "trust_score": 0.0, "error": type(e).__name__, "message": str(e)[:500]}, sort_keys=True))
         return 2
     print(json.dumps(out, sort_keys=True, default=str))
     return int(o.fail_on_invalid and not out.get("system_valid", False))

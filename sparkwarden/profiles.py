@@ -62,6 +62,8 @@ DOMAIN_ORDER = {
     "semantic_consistency": 7,
     "causal_flow": 8,
 }
+#: Least figures of a trace and a graph that mean something, and the greatest share of isolated nodes.
+MEANINGFUL = {"modules": 5, "local_modules": 3, "functions": 20, "local_functions": 3, "max_depth": 3, "reachable_nodes": 0.15, "isolated_nodes": 0.35, "confirmed_edges": 0.01}
 MIN_EXECUTION_CONFIDENCE = 0.3
 MIN_AUTHORITY_TRUST = 0.55
 COVERAGE_FLOOR, COVERAGE_MULTIPLIER = 0.3, 0.5

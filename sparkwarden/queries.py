@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from . import profiles as P
 from .functions import columns as C
 from .operators import evidence, graph, pairs, ranking, resolve, rules, sequence, similarity, traces
-from .plans import integrity
+from .plans import integrity, report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -881,3 +881,12 @@ def node_flags(spark, d):
     tags = F.when(k % 11 == 0, F.array(F.lit("x"), F.lit(" EntryPoint"))).otherwise(F.lit(None).cast("array<string>"))
     field, role_ = F.when(k % 5 == 0, True), F.when(k % 13 == 0, "ENTRYPOINT")
     return table(spark, d, "supplier").select("s_suppkey", C.node_flag(("entrypoint", "is_entrypoint"), field, meta, tags, role_).alias("entrypoint"))
+
+
+@query(f"""WITH {TRACE_SQL}, x AS (SELECT count(DISTINCT event_type) FILTER (event = 'call') AS modules, count(DISTINCT event_type) FILTER (event = 'call' AND event_type <> 'error') AS local_modules, count(DISTINCT node_id) FILTER (event = 'call') AS functions,
+  count(DISTINCT node_id) FILTER (event = 'call' AND event_type <> 'error') AS local_functions, coalesce(max(seq % 3) FILTER (event = 'call'), 0) AS max_depth, count(*) FILTER (event = 'call') AS calls, count(*) FILTER (event = 'import') AS imports FROM t)
+SELECT *, concat_ws(',', CASE WHEN modules < 5 THEN 'modules_below_5' END, CASE WHEN local_modules < 3 THEN 'local_modules_below_3' END, CASE WHEN functions < 20 THEN 'functions_below_20' END, CASE WHEN local_functions < 3 THEN 'local_functions_below_3' END,
+  CASE WHEN max_depth < 3 THEN 'max_depth_below_3' END, CASE WHEN calls <= imports THEN 'calls_not_above_imports' END) AS reasons FROM x""")
+def runtime_meaning(spark, d):
+    t = trace(spark, d).select("event", "node_id", F.col("event_type").alias("module"), (F.col("event_type") != "error").alias("local"), (F.col("seq") % 3).alias("depth"))
+    return report.runtime_meaning(t).withColumn("reasons", F.array_join("reasons", ","))

@@ -259,6 +259,12 @@ def test_audit_of_a_tree(spark, tree):
     assert set(out["verification"]["domains"]) == {"structural_integrity", "dependency_consistency", "topology_validation", "semantic_observations", "execution_confidence", "architectural_intent", "semantic_consistency", "causal_flow"}
     assert "runtime_call_events_below_threshold" in out["summary"]["runtime"]["issues"] and out["summary"]["runtime"]["executed"] == 1 and out["summary"]["heat"]["sane"]
     assert out["diagnostics"]["status"] in ("PASS", "DEGRADED", "FAIL") and out["system_valid"] is False
+    from sparkwarden.plans import report
+
+    final = report.final_report(out)
+    assert set(final["audits"]) == {"structural", "behavioral", "redundancy_overlap", "architectural_quality"} and all(0 <= a["score"] <= 1 and a["findings"] for a in final["audits"].values())
+    assert final["design_quality"]["authority"] == "multi_signal_intent_first" and len(final["answers"]) == 3 and final["summary"]["status"] == "FAILED"
+    assert report.contract_health(out, audit.STAGES)["passed"] and not report.contract_health({"stages": ["manifest"]}, audit.STAGES)["passed"]
     leaves = lambda x: diagnose.json_leaves(spark.createDataFrame([(1, json.dumps(x))], "id long, json string"))
     a, b = leaves({"a": [1, 2, {"z": "t", "at": 1}], "b": 1, "d": {}, "e": [], "f": None}), leaves({"a": [1, 3, {"z": "t", "at": 2}], "c": 1, "d": {}, "e": [], "f": None})
     assert {r.path: (r.left, r.right) for r in diagnose.differences(a, b, ("at",)).collect()} == {"$.a[1]": ("2", "3"), "$.b": ("1", None), "$.c": (None, "1")}
