@@ -290,6 +290,7 @@ def _with_company(nodes: DataFrame, likeness: float) -> DataFrame:
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def counted(node: np.ndarray) -> pd.DataFrame:
+        """A row a set: within a task a set is whole."""
         which, count = np.unique(node, return_counts=True)
         return pd.DataFrame({"token": 0, "node": which, "met": count})
 
@@ -319,13 +320,16 @@ def _with_company(nodes: DataFrame, likeness: float) -> DataFrame:
             yield from sent()
 
     def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row a shingle and set; the sets' other shingles are in other tasks."""
         parts = [(rows["token"].to_numpy(np.int64), rows["node"].to_numpy(np.int64)) for rows in batches if len(rows)]
         if not parts:
             return
         token, node = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(token, kind="stable")
         node = node[order][_alike(token[order])]
-        yield counted(node[node != SEVERAL])
+        node = node[node != SEVERAL]
+        for at in range(0, len(node), 100_000):
+            yield pd.DataFrame({"token": 0, "node": node[at : at + 100_000], "met": 1})
 
     kind = "token long, node long, met long"
     own = stored(nodes.select("node", "sample").mapInPandas(within, kind), "near-sample")
@@ -339,25 +343,59 @@ def _with_company(nodes: DataFrame, likeness: float) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, likeness: float) -> DataFrame:
-    """sets (node, s) -> node, size, token, after: of each set's shingles from rare to
+    """sets (node, s) -> node, size, token, after, alone: of each set's shingles from rare to
     frequent the first size - least shared + 1, without those that no other set has.  Two
-    sets of the likeness share one of them; after is the number of shingles behind it."""
+    sets of the likeness share one of them; after is the number of shingles behind it, alone
+    how many of the set's shingles no other set has."""
     listed = sets.select("node", F.size("s").alias("size"), F.explode("s").alias("token"))
     often = listed.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     met = listed.join(often, "token")
     own = Window.partitionBy("node")
-    placed = met.withColumn("place", F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "token")))
+    alone = F.col("size") - F.count("*").over(own)
+    placed = met.withColumn("alone", alone).withColumn("place", F.col("alone") + F.row_number().over(own.orderBy("n", "token")))
     kept = placed.where(F.col("place") <= F.col("size") - _least_shared(F.col("size"), likeness) + 1)
-    return stored(kept.select("node", "size", "token", (F.col("size") - F.col("place")).alias("after")), "near-prefixes")
+    return stored(kept.select("node", "size", "token", (F.col("size") - F.col("place")).alias("after"), "alone"), "near-prefixes")
 
 
-def _across(prefixes: DataFrame, groups: DataFrame, likeness: float) -> DataFrame:
-    """Every pair a, b of nodes in different groups (node, component) that share a prefix
-    shingle and can have the likeness.  A shingle's largest group meets only its others."""
-    rows = prefixes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = stored(rows, "near-members")
-    main = rows.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("groups"))
-    rows = rows.join(main.where("groups > 1").select("token", F.col("most.component").alias("main")), "token")
+def _relabelled(rows: DataFrame, labels: DataFrame, column: str) -> DataFrame:
+    """rows whose component in the column has the label (old -> new) that it was merged into."""
+    return rows.join(labels.withColumnRenamed("old", column), column, "left").withColumn(column, F.coalesce("new", column)).drop("new")
+
+
+def _merged(labels: DataFrame, pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """labels (old -> new), after pairs (a, b) of nodes have joined their components; of: node,
+    component.  Only the components that pairs join are gone through, not their members."""
+    end = lambda x: of.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")).distinct()
+    joined = pairs.join(end("a"), "a").join(end("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b")
+    more = connected_components(joined).select(F.col("node").alias("old"), F.col("component").alias("new"))
+    before = labels.join(more.select(F.col("old").alias("new"), F.col("new").alias("newer")), "new", "left").select("old", F.coalesce("newer", "new").alias("new"))
+    return stored(before.union(more.join(labels.select("old"), "old", "left_anti").select("old", "new")), "near-labels")
+
+
+def _mains(rows: DataFrame, turn: int) -> DataFrame:
+    """token, main, hub, hub_size, members, inside: of each shingle whose members are in several
+    components, the largest of them, how many members it has, and one that stands for it.
+
+    At first that is the member with the fewest shingles of its own, as an original has
+    beside its edited copies; in later turns another one each time.
+    """
+    rank = F.struct(F.col("alone") if turn == 0 else F.xxhash64(F.lit(turn), "node").alias("alone"), "node", "size")
+    parts = rows.groupBy("token", "component").agg(F.count("*").alias("k"), F.min(rank).alias("hub"))
+    mains = parts.groupBy("token").agg(F.max(F.struct("k", "component", "hub")).alias("m"), F.count("*").alias("groups"), F.sum("k").alias("members")).where("groups > 1")
+    return stored(mains.select("token", F.col("m.component").alias("main"), F.col("m.hub.node").alias("hub"), F.col("m.hub.size").alias("hub_size"), "members", F.col("m.k").alias("inside")), "near-mains")
+
+
+def _to_hubs(rows: DataFrame, mains: DataFrame, likeness: float) -> DataFrame:
+    """Pairs a, b of a shingle's members outside its main component with the main one's hub."""
+    like = (F.col("size") >= likeness * F.col("hub_size") - 1e-6) & (F.col("hub_size") >= likeness * F.col("size") - 1e-6)
+    met = rows.join(mains, "token").where((F.col("component") != F.col("main")) & like)
+    return stored(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "near-candidates")
+
+
+def _across(rows: DataFrame, mains: DataFrame, likeness: float) -> DataFrame:
+    """Every pair a, b of nodes in different components that share a prefix shingle and can
+    have the likeness.  A shingle's main component meets only the members of others."""
+    rows = rows.join(mains.select("token", "main"), "token")
     side = lambda x: [F.col("node").alias(x), F.col("size").alias(f"n{x}"), F.col("after").alias(f"l{x}"), F.col("component").alias(f"c{x}")]
     a = rows.where("component <> main").select("token", *side("a"))
     b = rows.select("token", (F.col("component") == F.col("main")).alias("in_main"), *side("b"))
@@ -365,9 +403,12 @@ def _across(prefixes: DataFrame, groups: DataFrame, likeness: float) -> DataFram
     enough = 1 + F.least("la", "lb") >= F.lit(likeness / (1 + likeness)) * (F.col("na") + F.col("nb")) - 1e-6
     like = (F.col("na") >= likeness * F.col("nb") - 1e-6) & (F.col("nb") >= likeness * F.col("na") - 1e-6)
     met = a.join(b, "token").where((F.col("in_main") | (F.col("a") < F.col("b"))) & (F.col("ca") != F.col("cb")) & like & enough)
-    out = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-candidates")
-    forget(rows)
-    return out
+    return stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-candidates")
+
+
+#: Turns in which members meet one of the main component each, and how many members outside
+#: it a shingle must have for that.
+HUB_TURNS, HEAVY = 6, 32
 
 
 def near_duplicate_filter(docs: DataFrame, words: int = FILTER_WORDS, likeness: float = LIKENESS) -> DataFrame:
@@ -424,8 +465,33 @@ def near_duplicate_filter(docs: DataFrame, words: int = FILTER_WORDS, likeness:
     near = stored(links(sets.select("node", "fingerprint", "check"), FILTER_BITS, CHECK_BITS).distinct(), "near-candidates")
     close = stored(checked(near), "near-close")
     prefixes = _prefixes(sets.select("node", "s"), likeness)
-    far = _across(prefixes, connected_components(close), likeness)
-    groups = connected_components(close.union(checked(far)))
+    # A large family first joins its main component through one member at a time; then every
+    # pair across the components that are left is looked at, so no link is lost.
+    first = stored(connected_components(close), "near-groups")
+    labels = stored(first.select(F.col("node").alias("old"), F.col("component").alias("new")), "near-labels")
+    members = stored(_relabelled(prefixes.withColumn("component", F.col("node")), labels, "component"), "near-members")
+    mains = _mains(members, 0)
+    heavy = stored(members.join(mains.where(F.col("members") - F.col("inside") > HEAVY).select("token"), "token", "left_semi"), "near-heavy")
+    for turn in range(HUB_TURNS):
+        hubs = _mains(heavy, turn)
+        candidates = _to_hubs(heavy, hubs, likeness)
+        found = stored(checked(candidates), "near-found")
+        forget(hubs, candidates)
+        if found.isEmpty():
+            forget(found)
+            break
+        merged = _merged(labels, found, heavy.select("node", "component"))
+        again = stored(_relabelled(heavy, merged, "component"), "near-heavy")
+        forget(labels, heavy, found)
+        labels, heavy = merged, again
+    forget(mains, heavy)
+    now = stored(_relabelled(members, labels, "component"), "near-members")
+    mains = _mains(now, 0)
+    far = _across(now, mains, likeness)
+    found = stored(checked(far), "near-found")
+    labels, before = _merged(labels, found, now.select("node", "component")), labels
+    forget(before, members, now, mains, far, found)
+    groups = labels.select(F.col("old").alias("node"), F.col("new").alias("component"))
     of = nodes.select("node", "head", "n").join(groups, "node", "left").select("node", "head", "n", F.coalesce("component", "node").alias("component"))
     # Of a group the row of the least id stays; rows without an id come last.
     heads = of.groupBy("component").agg(F.min("head").alias("head"), F.sum("n").alias("rows")).where("rows > 1")
@@ -433,7 +499,7 @@ def near_duplicate_filter(docs: DataFrame, words: int = FILTER_WORDS, likeness:
     losers = rows.select("doc_id", "tid", "node").join(of.select("node", "component").join(heads, "component").select("node", "head"), "node").where(~stays)
     losers = stored(losers.select(F.col("doc_id").alias("lost"), F.col("tid").alias("lost_tid")).distinct(), "near-lost")
     again = not rows.groupBy("doc_id", "tid").count().where("count > 1").isEmpty()
-    forget(rows, nodes, some, sets, near, close, prefixes, far)
+    forget(rows, nodes, some, sets, near, close, first, prefixes, labels)
     name = "__tid"
     while name in docs.columns:
         name += "_"

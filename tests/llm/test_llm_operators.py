@@ -630,6 +630,22 @@ def test_toxicity_on_held_out_rows(spark, make):
     assert {x["score"] for x in rows_of(none)} == {0.0}
 
 
+def test_very_long_texts(spark, make):
+    r = np.random.default_rng(12)
+    long = " ".join(f"w{x}" for x in r.integers(0, 20_000, 60_000)) + " licensed under the mit license"
+    rows = [(1, long), (2, long + " tail"), (3, "short text"), (4, "x" * 300_000)]
+    n = len(long.split())
+    counts = {x["doc_id"]: x["n_tokens"] for x in rows_of(token_count.token_counts(make(rows), BYTE_FILE))}
+    t = Tokenizer.from_file(BYTE_FILE)
+    assert counts == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in rows}
+    labels = {x["doc_id"]: (x["n_words"], x["labels"]) for x in rows_of(license_scan.license_scan(make(rows)))}
+    assert labels == {1: (n, "mit"), 2: (n + 1, "mit"), 3: (2, ""), 4: (1, "")}
+    assert {x["doc_id"]: x["n_words"] for x in rows_of(quality_rules.quality_metrics(make(rows)))} == {1: n, 2: n + 1, 3: 2, 4: 1}
+    assert sorted(x["doc_id"] for x in rows_of(simhash.near_duplicate_filter(make(rows)))) == [1, 3, 4]
+    near = {x["doc_id"]: x["near_next"] for x in rows_of(fingerprint.edited_likeness(make(rows)))}
+    assert near[1] > 0.95 and near[2] < 0.1
+
+
 def test_empty_tables(spark, make):
     e = make([])
     labels = spark.createDataFrame([], "doc_id long, toxic int")
