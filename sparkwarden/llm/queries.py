@@ -10,16 +10,20 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe_codec import bpe_round_trip
 from .context_tree import context_tree_scores
 from .fingerprint import edited_likeness
+from .hard_negatives import HARD_NEGATIVES_SQL, hard_negatives, shifted, usable_vectors
 from .license_scan import license_scan
 from .mixing import mix
 from .quality_rules import QUALITY_SQL, quality_metrics
 from .simhash import near_duplicates
 from .token_count import token_counts
 from .toxicity import toxicity_scores
+from .turn_repair import conversation_repair
+from .url_filter import url_filter
 from .warc import WARC_SQL, archive_round_trip
 
 
@@ -76,6 +80,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", shifted(F.col("label"), F.col("vec_id")))
+    return hard_negatives(usable_vectors(rows))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_context_tree": op1_context_tree,
     "op2_fingerprints": op2_fingerprints,
@@ -87,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
+    "op11_turn_repair": op11_turn_repair,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_url_filter": op13_url_filter,
 }
 
-ORACLES: dict[str, str] = {"op5_quality_rules": QUALITY_SQL, "op9_warc": WARC_SQL}
+ORACLES: dict[str, str] = {"op5_quality_rules": QUALITY_SQL, "op9_warc": WARC_SQL, "op12_hard_negatives": HARD_NEGATIVES_SQL}
