@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import profiles as P
@@ -76,31 +76,41 @@ def regressions(before: dict, after: dict) -> list[str]:
     return [f"{k}_did_not_improve" for k in ("coverage", "overlap", "hot_and_warm") if after.get(k, 0) <= before.get(k, 0)]
 
 
-def json_leaves(documents: DataFrame) -> DataFrame:
-    """documents (id, json) -> id, path, value: every value of the documents that is neither an
-    object nor a list, and every empty one of these, at its path ($.a[0].b).
+def _step(key: Column) -> Column:
+    """A key as a step of a normalized path: quoted, so that no two keys look alike."""
+    return F.concat(F.lit("['"), F.replace(F.replace(key, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("']"))
 
-    A round takes one level of all documents apart, so a document of any size is rows.
+
+def json_leaves(documents: DataFrame, whole_lists: bool = False) -> DataFrame:
+    """documents (id, json) -> id, path, key, value: every value of the documents that is neither
+    an object nor a list, and every empty one of these, at its normalized path ($['a'][0]['b']);
+    key is the nearest object key above it.  With whole_lists a list is one value.
+
+    A round takes one level of all documents apart, so a document of any size is rows.  A key
+    that an object repeats counts as it stands last.
     """
-    rest = stored(documents.select("id", F.lit("$").alias("path"), F.col("json").alias("value")).where("value is not null"), "json")
-    done = rest.select("id", "path", "value").limit(0)
+    rest = stored(documents.select("id", F.lit("$").alias("path"), F.lit("").alias("key"), F.col("json").alias("value")).where("value is not null"), "json")
+    done = rest.limit(0)
     while not rest.isEmpty():
         kind = F.substring(F.ltrim("value"), 1, 1)
-        held = (kind == "{") | (kind == "[")
+        held = (kind == "{") | (F.lit(not whole_lists) & (kind == "["))
         empty = F.regexp_replace("value", r"\s", "").isin("{}", "[]")
         done = done.union(rest.where(~held | empty))
         inner = rest.where(held & ~empty)
-        fields = inner.where(kind == "{").select("id", "path", F.explode(F.from_json("value", "map<string, variant>"))).select("id", F.concat("path", F.lit("."), "key").alias("path"), F.to_json("value").alias("value"))
-        items = inner.where(kind == "[").select("id", "path", F.posexplode(F.from_json("value", "array<variant>"))).select("id", F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]")).alias("path"), F.to_json("col").alias("value"))
+        entries = F.map_entries(F.from_json("value", "map<string, variant>"))
+        fields = inner.where(kind == "{").select("id", "path", F.posexplode(entries).alias("pos", "e"))
+        fields = fields.groupBy("id", F.concat("path", _step(F.col("e.key"))).alias("path")).agg(F.max_by("e.key", "pos").alias("key"), F.max_by(F.to_json("e.value"), "pos").alias("value"))
+        items = inner.where(kind == "[").select("id", "path", "key", F.posexplode(F.from_json("value", "array<variant>"))).select("id", F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]")).alias("path"), "key", F.to_json("col").alias("value"))
+        # A null of a document is the text null: a value, not the lack of one.
         rest = stored(fields.union(items).withColumn("value", F.coalesce("value", F.lit("null"))), "json")
     return done
 
 
 def differences(a: DataFrame, b: DataFrame, masked: tuple[str, ...] = ()) -> DataFrame:
-    """Leaves (id, path, value) of documents of two sides -> id, path, left, right where they
-    differ; a value that one side lacks is null there.  Paths that end in a masked key are
-    left out."""
-    keep = lambda rows: rows.where(~F.regexp_extract("path", r"([^.\[\]]*)(\[[0-9]+\])*$", 1).isin(*masked)) if masked else rows
+    """Leaves (id, path, key, value) of documents of two sides -> id, path, left, right where
+    they differ; a value that one side lacks is null there.  Leaves below a masked key as the
+    nearest one are left out."""
+    keep = lambda rows: rows.where(~F.col("key").isin(*masked)) if masked else rows
     left, right = (keep(x).select("id", "path", F.col("value").alias(n)) for x, n in ((a, "left"), (b, "right")))
     both = left.unionByName(right, allowMissingColumns=True).groupBy("id", "path").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     return both.where(~F.col("left").eqNullSafe(F.col("right")))

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from . import profiles as P
 from .functions import columns as C
 from .operators import evidence, graph, pairs, ranking, resolve, rules, sequence, similarity, traces
-from .plans import integrity, report
+from .plans import diagnose, integrity, report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -367,8 +367,8 @@ def jaccard_pairs(spark, d):
 @query(f"""WITH {SETS_SQL}, m AS (SELECT id, min(id) OVER (PARTITION BY s) AS rep, count(*) OVER (PARTITION BY s) AS same FROM z),
 l AS (SELECT rep, count(*) AS links FROM (SELECT a AS rep FROM pr UNION ALL SELECT b FROM pr) GROUP BY 1) SELECT id, rep, same, coalesce(links, 0) AS links FROM m LEFT JOIN l USING (rep)""")
 def jaccard_members(spark, d):
-    sets = _document_tokens(spark, d)
-    return similarity.set_members(sets, similarity.similar_pairs(sets))
+    pairs_, members = similarity.similar_sets(_document_tokens(spark, d))
+    return similarity.set_members(members, pairs_)
 
 
 @query(None)
@@ -385,13 +385,46 @@ def cluster_terms(spark, d):
 
 KINDS = ("adapter", "manager", "service", "router")
 
+#: Symbol names of parts: the kind of abstraction at the end but one, twice, or amid other words.
+SYMBOLS_SQL = """sy AS (SELECT p_partkey, p_size AS file, CASE p_partkey % 3 WHEN 0 THEN w1 || w2 || kind || 'Factory' WHEN 1 THEN kind || w1 || kind || w2
+  ELSE lower(w1 || '_' || kind || '_' || w2 || '_' || w1 || '_' || p_type || '_extra') END AS name
+  FROM (SELECT *, upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] AS w1, upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] AS w2,
+    (['Adapter', 'Manager', 'Service', 'Router'])[p_partkey // 3 % 4 + 1] AS kind FROM part))"""
 
-@query("""WITH s AS (SELECT lower(p_brand) AS b, (['adapter', 'manager', 'service', 'router'])[p_partkey % 4 + 1] AS kind, p_size AS file FROM part)
-SELECT regexp_replace(b, '[^a-z0-9]', '', 'g') AS concept, count(DISTINCT kind) AS kinds, count(DISTINCT file) AS files FROM s GROUP BY 1 HAVING count(DISTINCT kind) >= 3 AND count(DISTINCT file) >= 2""")
+
+@query(f"""WITH {SYMBOLS_SQL}, tk AS {_tokens_sql('sy', 'p_partkey, file', 'name')},
+kd AS (SELECT p_partkey, arg_max(token, i) AS kind FROM tk WHERE token IN ({', '.join(repr(x) for x in P.ABSTRACTION_SUFFIXES)}) GROUP BY 1),
+c AS (SELECT p_partkey, file, kind, token, min(i) AS i FROM tk JOIN kd USING (p_partkey) WHERE token <> kind GROUP BY ALL),
+k AS (SELECT p_partkey, file, kind, string_agg(token, '_' ORDER BY i) AS concept FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY i) AS r FROM c) WHERE r <= 3 GROUP BY ALL)
+SELECT concept, count(DISTINCT kind) AS kinds, count(DISTINCT file) AS files FROM k GROUP BY 1 HAVING count(DISTINCT kind) >= 3 AND count(DISTINCT file) >= 2""")
 def collisions(spark, d):
     p = table(spark, d, "part")
-    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return similarity.collisions(p.select(F.concat_ws("_", F.regexp_replace(F.lower("p_brand"), "[^a-z0-9]", ""), kind).alias("name"), F.col("p_size").alias("file")))
+    k = F.col("p_partkey")
+    word = lambda i: F.initcap(F.split_part("p_name", F.lit(" "), F.lit(i)))
+    kind = F.element_at(F.array(*[F.lit(x.capitalize()) for x in KINDS]), (F.floor(k / 3) % 4 + 1).cast("int"))
+    mixed = F.lower(F.concat_ws("_", word(1), kind, word(2), word(1), "p_type", F.lit("extra")))
+    name = F.when(k % 3 == 0, F.concat(word(1), word(2), kind, F.lit("Factory"))).when(k % 3 == 1, F.concat(kind, word(1), kind, word(2))).otherwise(mixed)
+    return similarity.collisions(p.select(name.alias("name"), F.col("p_size").alias("file")))
+
+
+@query("""WITH s AS (SELECT p_partkey AS id, p_size AS a, p_size + (p_partkey % 5 = 0)::INT AS b, p_size % 7 AS c, p_size % 7 + (p_partkey % 4 = 0)::INT AS d, p_partkey % 3 AS e, p_partkey % 2 AS f, p_brand AS g FROM part)
+SELECT id, '$[''a.b'']' AS path, a::VARCHAR AS "left", b::VARCHAR AS "right" FROM s WHERE a <> b
+UNION ALL SELECT id, '$[''a''][''b'']', c::VARCHAR, d::VARCHAR FROM s WHERE c <> d
+UNION ALL SELECT id, '$[''it\\''s''][1][''k'']', e::VARCHAR, f::VARCHAR FROM s WHERE e <> f
+UNION ALL SELECT id, '$[''it\\''s''][2]', NULL, '"' || g || '"' FROM s WHERE f = 1""".replace("\\\\", "\\"))
+def json_differences(spark, d):
+    p = table(spark, d, "part")
+    k = F.col("p_partkey")
+    bump = lambda n: F.when(k % n == 0, 1).otherwise(0)
+
+    def document(ab: Column, b: Column, tail: Column) -> DataFrame:
+        values = F.format_string("{\"a.b\": %d, \"a\": {\"b\": %d}, \"it's\": [null, %s], \"at\": %d}", ab, b, tail, F.floor(F.rand(1) * 1000).cast("int"))
+        return diagnose.json_leaves(p.select(k.alias("id"), values.alias("json")))
+
+    item = lambda n: F.format_string('{"k": %d}', k % n)
+    more = F.when(k % 2 == 1, F.concat(item(2), F.lit(', "'), F.col("p_brand"), F.lit('"'))).otherwise(item(2))
+    left = document(F.col("p_size").cast("int"), (F.col("p_size") % 7).cast("int"), item(3))
+    return diagnose.differences(left, document((F.col("p_size") + bump(5)).cast("int"), (F.col("p_size") % 7 + bump(4)).cast("int"), more), ("at",))
 
 
 COMPRESSED_SQL = f"""{TRACE_SQL}, c AS (SELECT * FROM (SELECT *, lag(role) OVER (PARTITION BY run_id ORDER BY seq) AS before FROM t) WHERE before IS NULL OR before <> role),

@@ -125,14 +125,18 @@ def language_counts(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("language").agg(F.count("*").alias("n"))
 
 
+def is_json_object(text: Column) -> Column:
+    """Whether a text is one JSON object and nothing else; of repeated keys the last counts."""
+    alone = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string, string>>", {"allowSingleQuotes": "false"})
+    return F.coalesce((F.size(alone) == 1) & F.get(alone, F.lit(0)).isNotNull(), F.lit(False))
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Well-formed object lines only: blank, malformed and other lines are left out."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    given = [c for c in rows.columns if c != "_corrupt_record"]
-    some: Column = F.lit(False)
-    for c in given:
-        some = some | F.col(c).isNotNull()
-    return rows.where(F.col("_corrupt_record").isNull() & some).select(*given)
+    """The lines that are JSON objects, as rows of the schema: what an object lacks, or holds in
+    another kind, is null there, and an object without any of the columns is a row of nulls.
+    Blank and malformed lines and lists are left out."""
+    rows = spark.read.text(path).where(is_json_object(F.col("value")))
+    return rows.select(F.from_json("value", schema).alias("d")).select("d.*")
 
 
 def grep_lines(files: DataFrame, words: tuple[str, ...], per_file: int = 20) -> DataFrame:

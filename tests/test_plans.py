@@ -267,6 +267,6 @@ def test_audit_of_a_tree(spark, tree):
     assert report.contract_health(out, audit.STAGES)["passed"] and not report.contract_health({"stages": ["manifest"]}, audit.STAGES)["passed"]
     leaves = lambda x: diagnose.json_leaves(spark.createDataFrame([(1, json.dumps(x))], "id long, json string"))
     a, b = leaves({"a": [1, 2, {"z": "t", "at": 1}], "b": 1, "d": {}, "e": [], "f": None}), leaves({"a": [1, 3, {"z": "t", "at": 2}], "c": 1, "d": {}, "e": [], "f": None})
-    assert {r.path: (r.left, r.right) for r in diagnose.differences(a, b, ("at",)).collect()} == {"$.a[1]": ("2", "3"), "$.b": ("1", None), "$.c": (None, "1")}
-    assert sorted((r.path, r.value) for r in a.collect()) == [("$.a[0]", "1"), ("$.a[1]", "2"), ("$.a[2].at", "1"), ("$.a[2].z", '"t"'), ("$.b", "1"), ("$.d", "{}"), ("$.e", "[]"), ("$.f", "null")]
+    assert {r.path: (r.left, r.right) for r in diagnose.differences(a, b, ("at",)).collect()} == {"$['a'][1]": ("2", "3"), "$['b']": ("1", None), "$['c']": (None, "1")}
+    assert sorted((r.path, r.value) for r in a.collect()) == [("$['a'][0]", "1"), ("$['a'][1]", "2"), ("$['a'][2]['at']", "1"), ("$['a'][2]['z']", '"t"'), ("$['b']", "1"), ("$['d']", "{}"), ("$['e']", "[]"), ("$['f']", "null")]
     assert set(audit.run_audit(spark, tree, mode="static-only")["summary"]) == {"manifest", "static"}
