@@ -227,6 +227,40 @@ def canonical_of(node: Column) -> Column:
     return F.when(whole, text).when((kind != "") & ((kind == "file") | (name != "")), made)
 
 
+def normalized_id(node: Column) -> Column:
+    """A node id of either form, normalised, and why it is none: struct (id, reason).
+
+    canonical://kind/path[/name] and kind:path[:name] keep their form; kinds are file, function
+    and class in any case, paths are normalised, and function and class need a name, which
+    stands behind the last separator.  id is empty where reason is not: blank, no_kind (neither
+    form), unknown_kind, no_path, no_name.
+    """
+    text = F.trim(F.coalesce(node.cast("string"), F.lit("")))
+    canonical = text.startswith("canonical://")
+    rest = F.when(canonical, F.substring(text, 13, F.length(text))).otherwise(text)
+    separator = F.when(canonical, "/").otherwise(":")
+    at = F.call_function("instr", rest, separator)
+    kind = F.lower(F.trim(F.substring(rest, 1, F.greatest(at - 1, F.lit(0)))))
+    payload = F.trim(F.substring(rest, at + 1, F.length(rest)))
+    # The name stands behind the last separator, and may be missing.
+    last = F.when(canonical, F.substring_index(payload, "/", -1)).otherwise(F.substring_index(payload, ":", -1))
+    name = F.trim(last)
+    named = F.call_function("instr", payload, separator) > 0
+    path = normalize_path(F.when(kind == "file", payload).when(named, F.substring(payload, 1, F.length(payload) - F.length(last) - 1)))
+    needs_name = kind.isin("function", "class")
+    reason = (
+        F.when(text == "", "blank")
+        .when(at == 0, "no_kind")
+        .when(~kind.isin("file", "function", "class"), "unknown_kind")
+        .when(needs_name & (~named | (name == "")), "no_name")
+        .when(path == "", "no_path")
+        .otherwise("")
+    )
+    parts = [kind, path, F.when(needs_name, name)]
+    made = F.when(canonical, F.concat(F.lit("canonical://"), F.concat_ws("/", *parts))).otherwise(F.concat_ws(":", *parts))
+    return F.struct(F.when(reason == "", made).otherwise("").alias("id"), reason.alias("reason"))
+
+
 def node_path(canonical: Column) -> Column:
     """The file path of a canonical id; null for other text."""
     kind, rest = F.regexp_extract(canonical, "^canonical://(file|function|class)/(.+)$", 1), F.regexp_extract(canonical, "^canonical://(file|function|class)/(.+)$", 2)

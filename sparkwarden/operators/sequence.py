@@ -101,3 +101,35 @@ def call_depths(trace: DataFrame) -> DataFrame:
     n = int(trace.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = trace.select(F.col("run_id").cast("string").alias("run_id"), "seq", "caller", "node_id").repartition(n, "run_id").sortWithinPartitions("run_id", "seq")
     return ordered.mapInPandas(fold, schema)
+
+
+def step(stack: list, event: str, node) -> int | None:
+    """One event on a stack of calls: a call is pushed and has the depth that it gives, a return
+    pops its node only if that is on top."""
+    if event == "call":
+        stack.append(node)
+        return len(stack)
+    if event == "return" and stack and stack[-1] == node:
+        stack.pop()
+    return None
+
+
+def call_stacks(trace: DataFrame) -> DataFrame:
+    """run_id, seq, node_id, depth of the call rows of a trace (run_id, seq, event, node_id), by
+    a stack a run.  Runs are streamed in order through each task, with one stack in memory."""
+    kinds = {c: trace.schema[c].dataType.simpleString() for c in ("run_id", "seq", "node_id")}
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, stack = None, []
+        for rows in batches:
+            depth = []
+            for r, event, node in zip(rows["run_id"], rows["event"], rows["node_id"]):
+                if r != run:
+                    run, stack = r, []
+                depth.append(step(stack, event, node))
+            kept = rows[["run_id", "seq", "node_id"]].assign(depth=pd.array(depth, "Int64"))
+            yield kept[kept["depth"].notna()]
+
+    n = int(trace.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = trace.where("run_id is not null").select("run_id", "seq", "event", "node_id").repartition(n, "run_id").sortWithinPartitions("run_id", "seq")
+    return ordered.mapInPandas(fold, f"{', '.join(f'{c} {k}' for c, k in kinds.items())}, depth long")

@@ -8,7 +8,7 @@ import uuid
 import weakref
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Shuffle files of a finished write are of no more use: its rows are read from the table.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -63,6 +63,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame, name: str, **figures: Column) -> tuple[DataFrame, dict]:
+    """stored(df, name), and aggregates over its rows that the write itself takes along."""
+    seen = Observation()
+    out = stored(df.observe(seen, *[c.alias(k) for k, c in figures.items()]), name)
+    return out, seen.get
+
+
 def forget(*tables: DataFrame | None) -> None:
     """Deletes tables that stored() gave out and that nothing reads any more; frames of
     other origin, and None, are left alone."""

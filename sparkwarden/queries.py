@@ -241,6 +241,13 @@ def scc_groups(spark, d):
     return graph.strong_components(n, e)
 
 
+@query("""WITH RECURSIVE p AS (SELECT p_partkey AS k FROM part), e AS (SELECT k AS source, k // 2 AS target FROM p WHERE k > 1 UNION SELECT k // 4, k FROM p WHERE k % 64 = 1 AND k > 1 AND k // 4 > 0),
+w(path, last) AS (SELECT [source, target], target FROM e WHERE source < target UNION ALL SELECT list_append(path, target), target FROM w JOIN e ON last = source WHERE len(path) < 8 AND target > path[1] AND NOT list_contains(path, target))
+SELECT array_to_string(path, ',') AS cycle, len(path)::INT AS size FROM w JOIN e ON last = source AND target = path[1]""")
+def graph_cycles(spark, d):
+    return graph.cycles(_part_graph(spark, d)[1]).select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ",").alias("cycle"), "size")
+
+
 ISLAND_SQL = """l AS (SELECT DISTINCT s_nationkey AS x, s_suppkey AS k FROM supplier), ls AS (SELECT s_suppkey AS k, s_suppkey // 4 AS c FROM supplier)"""
 
 
@@ -466,14 +473,27 @@ def causal_score(spark, d):
     return sequence.causal_score(trace(spark, d)).withColumn("issues", F.array_join("issues", ","))
 
 
-@query(None)
+@query("""WITH RECURSIVE t AS (SELECT user_id AS run_id, row_number() OVER w AS seq, event_type AS node_id, CASE WHEN event_id % 4 > 0 THEN lag(event_type, 1 + event_id % 3) OVER w END AS caller FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+p AS (SELECT x.run_id, x.seq, any_value(x.node_id) AS node_id, any_value(x.caller) AS caller, max(y.seq) AS parent FROM t x LEFT JOIN t y ON x.run_id = y.run_id AND y.node_id = x.caller AND y.seq < x.seq GROUP BY x.run_id, x.seq),
+d AS (SELECT run_id, seq, node_id, CASE WHEN caller IS NULL THEN 1 ELSE 2 END AS depth FROM p WHERE parent IS NULL UNION ALL SELECT p.run_id, p.seq, p.node_id, d.depth + 1 FROM p JOIN d ON p.run_id = d.run_id AND p.parent = d.seq)
+SELECT run_id::VARCHAR AS run_id, seq, node_id, depth::BIGINT AS depth FROM d""")
 def depth_fold(spark, d):
-    t = table(spark, d, "events")
-    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    t = t.select(F.col("user_id").alias("run_id"), seq.cast("long").alias("seq"), F.col("event_type").alias("node_id"), F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("caller"))
+    w, k = Window.partitionBy("user_id").orderBy("ts", "event_id"), F.col("event_id")
+    before = F.when(k % 3 == 0, F.lag("event_type", 1).over(w)).when(k % 3 == 1, F.lag("event_type", 2).over(w)).otherwise(F.lag("event_type", 3).over(w))
+    t = table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.row_number().over(w).cast("long").alias("seq"), F.col("event_type").alias("node_id"), F.when(k % 4 > 0, before).alias("caller"))
     return sequence.call_depths(t)
 
 
+@query("""WITH RECURSIVE t AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type AS node, CASE WHEN event_id % 3 = 0 THEN 'return' ELSE 'call' END AS e FROM events),
+s AS (SELECT run_id, seq, CASE WHEN e = 'call' THEN [node] ELSE [] END AS stack, node, e FROM t WHERE seq = 1
+  UNION ALL SELECT t.run_id, t.seq, CASE WHEN t.e = 'call' THEN list_append(stack, t.node) WHEN len(stack) > 0 AND stack[-1] = t.node THEN stack[:-2] ELSE stack END, t.node, t.e FROM s JOIN t ON t.run_id = s.run_id AND t.seq = s.seq + 1)
+SELECT run_id, seq, node AS node_id, len(stack)::BIGINT AS depth FROM s WHERE e = 'call'""")
+def call_stack(spark, d):
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    event = F.when(F.col("event_id") % 3 == 0, "return").otherwise("call")
+    return sequence.call_stacks(table(spark, d, "events").select(F.col("user_id").alias("run_id"), seq.cast("long").alias("seq"), event.alias("event"), F.col("event_type").alias("node_id")))
+
+
 @query("""WITH q AS (SELECT page_id AS id, replace(regexp_replace(regexp_replace(url, '^https?://', ''), '[?].*$', ''), '/', ' ') AS name FROM pages)
 SELECT id, name, split_part(name, ' ', 1) || CASE WHEN split_part(name, ' ', 2) <> '' THEN ' ' || split_part(name, ' ', 2) ELSE '' END AS path FROM q""")
 def prefix_join(spark, d):
@@ -907,6 +927,64 @@ def id_forms(spark, d):
     return table(spark, d, "part").select("p_partkey", C.legacy_id(node).alias("legacy"), C.canonical_of(legacy).alias("back"), C.node_path(node).alias("path"))
 
 
+RAW_IDS = (
+    "file:./src/m{k}.py", " Function : a\\b{k}.py : run ", "class:x{k}.py", "canonical://FILE/./././m{k}.py", "canonical://function/a/b{k}.py/run", "canonical://class/only{k}", "canonical://file", "canonical://service/x{k}",
+    "plain{k}", "", "function:a:b{k}.py:f", "file:", "canonical://file/ ", "function::f{k}", "canonical://function/./ /f{k}", "CLASS:./y{k}.py:C/D", "class: z{k}.py :",
+)
+
+
+_RAW_IDS = ", ".join(f"'{x}'" for x in RAW_IDS)
+
+
+@query(f"""WITH r AS (SELECT p_partkey, CASE WHEN p_partkey % 18 = 17 THEN NULL ELSE replace(([{_RAW_IDS}])[p_partkey % 18 + 1], '{{k}}', p_partkey::VARCHAR) END AS raw FROM part),
+t AS (SELECT *, trim(coalesce(raw, '')) AS x, starts_with(trim(coalesce(raw, '')), 'canonical://') AS c FROM r), u AS (SELECT *, CASE WHEN c THEN x[13:] ELSE x END AS rest, CASE WHEN c THEN '/' ELSE ':' END AS sep FROM t),
+v AS (SELECT *, instr(rest, sep) AS pos, lower(trim(string_split(rest, sep)[1])) AS kind, trim(rest[instr(rest, sep) + 1:]) AS payload FROM u),
+w AS (SELECT *, CASE WHEN kind = 'file' THEN payload WHEN instr(payload, sep) = 0 THEN '' ELSE payload[:length(payload) - length(string_split(payload, sep)[-1]) - 1] END AS p, CASE WHEN instr(payload, sep) > 0 THEN trim(string_split(payload, sep)[-1]) ELSE '' END AS name FROM v),
+y AS (SELECT *, regexp_replace(replace(trim(p), '\\', '/'), '^(\\./)+', '') AS path FROM w),
+z AS (SELECT *, CASE WHEN x = '' THEN 'blank' WHEN pos = 0 THEN 'no_kind' WHEN kind NOT IN ('file', 'function', 'class') THEN 'unknown_kind' WHEN kind <> 'file' AND name = '' THEN 'no_name' WHEN path = '' THEN 'no_path' ELSE '' END AS reason FROM y)
+SELECT p_partkey, CASE WHEN reason = '' THEN CASE WHEN c THEN 'canonical://' ELSE '' END || kind || sep || path || CASE WHEN kind = 'file' THEN '' ELSE sep || name END ELSE '' END AS id, reason FROM z""")
+def normalized_ids(spark, d):
+    k = F.col("p_partkey")
+    raw = F.replace(F.try_element_at(F.array(*[F.lit(x) for x in RAW_IDS]), (k % 18 + 1).cast("int")), F.lit("{k}"), k.cast("string"))
+    return table(spark, d, "part").select("p_partkey", C.normalized_id(raw).alias("n")).select("p_partkey", "n.id", "n.reason")
+
+
+ISSUE_DOMAINS = (*diagnose.CAUSE_KINDS, "other")
+ISSUE_TYPES = ("UNREACHABLE_NODES", "MISSING_DI_NODES", "DUPLICATE_NODE_ID", "GRAPH_DI_DRIFT", "SOMETHING_ELSE")
+
+
+def _choices_sql(column: str, choices: dict, otherwise: str) -> str:
+    value = lambda v: repr(v) if isinstance(v, str) else repr(" > ".join(v))
+    return f"CASE {column} {' '.join(f'WHEN {k!r} THEN {value(v)}' for k, v in choices.items() if k)} ELSE {otherwise} END"
+
+
+@query(f"""WITH {EDGES_SQL}, i AS (SELECT event_id AS idx, ({list(ISSUE_DOMAINS)!r})[event_id % 8 + 1] AS domain, ({list(ISSUE_TYPES)!r})[event_id % 5 + 1] AS type, (['HIGH', 'MEDIUM', 'LOW', 'INFO'])[event_id // 8 % 4 + 1] AS severity,
+  'Message  of ' || (event_id % 2) AS message, event_id % 9 AS c, CASE WHEN event_id % 3 = 0 THEN 'customer:' || user_id END AS node FROM events),
+k AS (SELECT *, lower(trim(regexp_replace(message, '\\s+', ' ', 'g'))) AS key, CASE severity WHEN 'HIGH' THEN 1.0 WHEN 'MEDIUM' THEN 0.7 WHEN 'LOW' THEN 0.4 ELSE 0.2 END::DOUBLE AS sw FROM i),
+dg AS (SELECT node, count(*) AS degree FROM (SELECT source AS node FROM g UNION ALL SELECT target FROM g) GROUP BY 1), top AS (SELECT max(degree) AS top FROM dg), most AS (SELECT greatest(1, max(c)) AS most FROM i),
+im AS (SELECT domain, count(*)::DOUBLE / (SELECT count(*) FROM i) AS impact FROM i GROUP BY 1),
+n AS (SELECT domain, type, key, node, row_number() OVER (PARTITION BY domain, type, key ORDER BY min(idx), node) AS r FROM k WHERE node IS NOT NULL GROUP BY domain, type, key, node QUALIFY r <= 25),
+s AS (SELECT domain, type, key, count(*) AS seen, string_agg(node, ',' ORDER BY r) AS nodes, round(avg(coalesce(degree, 0)::DOUBLE / top), 3) AS mean FROM n LEFT JOIN dg USING (node), top GROUP BY ALL),
+f AS (SELECT domain, type, key, arg_min(message, idx) AS message, max(sw) AS sw, sum(c)::BIGINT AS count FROM k GROUP BY ALL),
+x AS (SELECT f.*, coalesce(seen, 0) AS seen, coalesce(nodes, '') AS nodes, round(least(1.0::DOUBLE, sw + impact * 0.25::DOUBLE) * 0.5::DOUBLE + coalesce(mean, 0.3::DOUBLE) * 0.3::DOUBLE
+  + round(least(1.0::DOUBLE, greatest(1, count)::DOUBLE / most), 3) * 0.2::DOUBLE, 3) AS severity FROM f LEFT JOIN s USING (domain, type, key) LEFT JOIN im USING (domain), most),
+y AS (SELECT *, round(least(1.0::DOUBLE, severity * 0.65::DOUBLE + 0.35::DOUBLE * least(1.0::DOUBLE, least(5, seen) * 0.1::DOUBLE + least(20, count) / 40.0::DOUBLE)), 3) AS confidence FROM x),
+z AS (SELECT *, row_number() OVER (ORDER BY severity DESC, confidence DESC, domain, type, message)::INT AS rank FROM y)
+SELECT rank, printf('rc-%02d-%s', rank, lower(type)) AS id, {_choices_sql('domain', diagnose.CAUSE_KINDS, "'SEMANTIC'")} AS kind, domain, type, severity, confidence, count, nodes,
+  CASE WHEN type IN ('MISSING_DI_NODES', 'GRAPH_DI_DRIFT') THEN {' > '.join(diagnose.PROPAGATION['dependency_consistency'])!r} ELSE {_choices_sql('domain', diagnose.PROPAGATION, repr(' > '.join(diagnose.PROPAGATION[''])))} END AS path,
+  {_choices_sql('type', {k: v for k, v in diagnose.ACTIONS.items() if k in ISSUE_TYPES}, 'NULL')} AS action FROM z""")
+def diagnostic_causes(spark, d):
+    e, k = table(spark, d, "events"), F.col("event_id")
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(x) for x in values]), (at + 1).cast("int"))
+    issues = e.select(
+        k.alias("idx"), pick(ISSUE_DOMAINS, k % 8).alias("domain"), pick(ISSUE_TYPES, k % 5).alias("type"), pick(list(P.SEVERITY_RANK), F.floor(k / 8) % 4).alias("severity"),
+        F.concat(F.lit("Message  of "), (k % 2).cast("string")).alias("message"), (k % 9).alias("count"), F.when(k % 3 == 0, _id("customer", "user_id")).alias("node"),
+    )
+    totals = issues.groupBy("domain").agg(F.count("*").alias("n"))
+    impacts = totals.crossJoin(F.broadcast(totals.agg(F.sum("n").alias("all")))).select("domain", (F.col("n") / F.col("all")).alias("impact"))
+    return diagnose.causes(issues, edges(spark, d), impacts).withColumns({"nodes": F.array_join("nodes", ","), "path": F.array_join("path", " > ")}).drop("message")
+
+
 @query("""SELECT s_suppkey, s_suppkey % 5 = 0 OR s_suppkey % 7 = 0 OR s_suppkey % 11 = 0 OR s_suppkey % 13 = 0 AS entrypoint FROM supplier""")
 def node_flags(spark, d):
     k = F.col("s_suppkey")

@@ -44,7 +44,8 @@ def ignored(path: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
 
 
 def list_files(spark: SparkSession, root: str, skip_dirs: tuple[str, ...] = P.SKIP_DIRS, skip_suffixes: tuple[str, ...] = P.SKIP_SUFFIXES) -> DataFrame:
-    """path (relative to root) and size of every file; skipped folders are never listed.
+    """path (relative to root), size and modified (nanoseconds; 0 where the file system keeps
+    no time) of every file; skipped folders are never listed.
 
     Folders are listed by the executors, level by level, so no name passes the driver.
     Spark's own file sources leave out empty files and names that begin with an underscore,
@@ -61,14 +62,14 @@ def list_files(spark: SparkSession, root: str, skip_dirs: tuple[str, ...] = P.SK
                 for f in files.get_file_info(fs.FileSelector(f"{top}/{folder}" if folder else top)):
                     inside = f.type == fs.FileType.Directory
                     if f.base_name not in skip_dirs if inside else not f.base_name.lower().endswith(skip_suffixes):
-                        out.append((f.path[len(top) :].lstrip("/"), 0 if inside else f.size, inside))
-                yield pd.DataFrame(out, columns=["path", "size", "folder"])
+                        out.append((f.path[len(top) :].lstrip("/"), 0 if inside else f.size, f.mtime_ns or 0, inside))
+                yield pd.DataFrame(out, columns=["path", "size", "modified", "folder"])
 
     level = spark.createDataFrame([("",)], "path string")
-    found = spark.createDataFrame([], "path string, size long")
+    found = spark.createDataFrame([], "path string, size long, modified long")
     while True:
-        listed = stored(level.repartition(n, "path").mapInPandas(entries, "path string, size long, folder boolean"), "listing")
-        found = found.union(listed.where("not folder").select("path", "size"))
+        listed = stored(level.repartition(n, "path").mapInPandas(entries, "path string, size long, modified long, folder boolean"), "listing")
+        found = found.union(listed.where("not folder").select("path", "size", "modified"))
         level = listed.where("folder").select("path")
         if level.isEmpty():
             return found
@@ -77,6 +78,11 @@ def list_files(spark: SparkSession, root: str, skip_dirs: tuple[str, ...] = P.SK
 def scan_files(spark: SparkSession, root: str, skip_dirs: tuple[str, ...] = P.SKIP_DIRS, skip_suffixes: tuple[str, ...] = P.SKIP_SUFFIXES) -> DataFrame:
     """path (relative to root), size, content of all files but those below skipped folders or
     with a skipped suffix; listed and read by the executors."""
+    return read_files(list_files(spark, root, skip_dirs, skip_suffixes), root)
+
+
+def read_files(listed: DataFrame, root: str) -> DataFrame:
+    """path, size, content of listed files; a task holds CONTENT_BYTES of contents together."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, top = _filesystem(root)
@@ -94,7 +100,7 @@ def scan_files(spark: SparkSession, root: str, skip_dirs: tuple[str, ...] = P.SK
         if held:
             yield made(held)
 
-    return list_files(spark, root, skip_dirs, skip_suffixes).mapInPandas(read, "path string, size long, content binary")
+    return listed.mapInPandas(read, "path string, size long, content binary")
 
 
 def build_manifest(files: DataFrame, explicit: tuple[str, ...] = ()) -> DataFrame:
@@ -160,6 +166,27 @@ def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return text.select(F.from_json(body, schema).alias("d")).select("d.*")
 
 
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """nodes (node_id, isolated) and edges (source, target, type, confidence) of a JSON document
+    (see read_document; ends may be called from and to), or of Parquet folders nodes and edges."""
+    if not path.endswith(".json"):
+        return spark.read.parquet(f"{path.rstrip('/')}/nodes"), spark.read.parquet(f"{path.rstrip('/')}/edges")
+    edge = "`from`: string, `to`: string, source: string, target: string, type: string, confidence: double"
+    doc = stored(read_document(spark, path, f"nodes array<struct<id: string, node_id: string, isolated: boolean>>, edges array<struct<{edge}>>"), "document")
+    nodes = doc.select(F.explode("nodes").alias("n")).select(F.coalesce("n.node_id", "n.id").alias("node_id"), F.coalesce("n.isolated", F.lit(False)).alias("isolated"))
+    ends = doc.select(F.explode("edges").alias("e")).select("e.*")
+    return nodes, ends.select(F.coalesce("source", "from").alias("source"), F.coalesce("target", "to").alias("target"), "type", F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
+
+
+def read_resolver(spark: SparkSession, path: str) -> DataFrame:
+    """source, target, origin of resolver edges: a JSON document with a list edges, or Parquet."""
+    if not path.endswith(".json"):
+        return spark.read.parquet(path)
+    edge = "`from`: string, `to`: string, source: string, target: string, origin: string, type: string"
+    ends = read_document(spark, path, f"edges array<struct<{edge}>>").select(F.explode("edges").alias("e")).select("e.*")
+    return ends.select(F.coalesce("source", "from").alias("source"), F.coalesce("target", "to").alias("target"), F.coalesce("origin", "type").alias("origin"))
+
+
 def write_json_lines(rows: DataFrame, path: str, append: bool = False) -> None:
     """Rows as JSON lines with sorted keys, in place of what is there or after it."""
     rows.select(*sorted(rows.columns)).write.mode("append" if append else "overwrite").option("ignoreNullFields", False).json(path)

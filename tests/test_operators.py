@@ -245,3 +245,76 @@ def test_equal_sets_stay_in_the_result(spark):
     assert {(r.a, r.b) for r in traces.shared_names(symbols).collect()} == {("a", "c")}
     got = {tuple(r) for r in traces.shared_name_members(symbols).collect()}
     assert got == {("a", "a", 2, 1), ("b", "a", 2, 1), ("c", "c", 1, 1), ("d", "d", 2, 0), ("e", "d", 2, 0), ("f", "f", 1, 0)}
+
+
+def deep_graph(seed):
+    """Chains, trees, rings with tails, ladders, self-loops and parallel ways."""
+    r = random.Random(seed)
+    edges = [(i, i + 1) for i in range(30)] + [(40 + i, 40 + (i + 1) % 12) for i in range(12)] + [(45, 60), (60, 61), (61, 62), (70, 70), (70, 71), (71, 72)]
+    edges += [(80, 81), (80, 82), (81, 83), (82, 83), (83, 84), (84, 85), (84, 86), (85, 87), (86, 87), (87, 88), (0, 80)]
+    edges += [(100 + max(0, i - r.randint(0, 2)), 101 + i) for i in range(40)] + [(100 + max(0, i - 1), 101 + i) for i in range(0, 40, 3)]
+    edges += [(r.randrange(140), r.randrange(140)) for _ in range(r.choice([0, 6]))]
+    return list(range(142)), sorted(set(edges))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 6])
+def test_contraction_changes_no_depth(spark, monkeypatch, seed):
+    monkeypatch.setattr(graph, "PLAIN_ROUNDS", 1 + seed % 2)
+    nodes, edges = deep_graph(seed)
+    n, e = frames(spark, nodes, edges)
+    depth, frontier = {0: 0, 101: 0}, [0, 101]
+    for x in frontier:
+        for a, b in edges:
+            if a == x and b not in depth:
+                depth[b] = depth[a] + 1
+                frontier.append(b)
+    assert {r.node_id: r.depth for r in graph.reach(e, n.where("node_id in (0, 101)")).collect()} == depth
+    alive = set(nodes)
+    while (left := {b for a, b in edges if a in alive and b in alive}) != alive:
+        alive &= left
+    assert {r.node_id for r in graph.peel(n, e).collect()} == alive
+    strict = [(a, b) for a, b in edges if a != b]
+    endless = set(nodes)
+    while (left := {b for a, b in strict if a in endless and b in endless}) != endless:
+        endless &= left
+    longest = dict.fromkeys(nodes, 0)
+    for _ in nodes:
+        for a, b in strict:
+            if b not in endless:
+                longest[b] = max(longest[b], longest[a] + 1)
+    assert {r.node_id: r.depth for r in graph.longest_path(n, e).collect()} == longest | dict.fromkeys(endless, len(nodes))
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(graph, "counted", lambda df, name, _real=graph.counted, **f: rounds.append(name) or _real(df, name, **f))
+    size = 100_000
+    e = spark.range(size).select(F.col("id").alias("source"), (F.col("id") + 1).alias("target"))
+    got = graph.reach(e, spark.createDataFrame([(0,)], "node_id long"))
+    assert got.agg(F.count("*"), F.count_if("node_id = depth")).first() == (size + 1, size + 1)
+    assert rounds.count("followers") <= 19 and len(rounds) <= 30
+
+
+def simple_cycles(edges, longest):
+    out = set()
+
+    def go(path):
+        for a, b in edges:
+            if a == path[-1]:
+                if b == path[0]:
+                    out.add(tuple(path))
+                elif b > path[0] and b not in path and len(path) < longest:
+                    go([*path, b])
+
+    for x in {a for a, _ in edges}:
+        go([x])
+    return out
+
+
+@pytest.mark.parametrize("seed, longest", [(1, 8), (2, 3)])
+def test_cycles_in_canonical_rotation(spark, seed, longest):
+    r = random.Random(seed)
+    edges = sorted({(r.randrange(14), r.randrange(14)) for _ in range(30)})
+    e = frames(spark, list(range(14)), edges)[1]
+    got = [(tuple(x.cycle), x.size) for x in graph.cycles(e, longest).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(c, len(c)) for c in simple_cycles(edges, longest)}

@@ -238,7 +238,6 @@ def test_streams(spark, tmp_path):
         return spark.table(name).collect()
 
     assert {r.node_id: r.hits for r in run(trace.node_hits(stream), "complete", "hits")} == {"a": 2, "b": 2, "c": 2, "d": 2}
-    assert sorted((r.run_id, r.node_id, r.depth) for r in run(trace.call_depth(stream), "append", "depth")) == [(x, n, d) for x in ("r1", "r2") for n, d in (("a", 1), ("b", 2), ("c", 2), ("d", 3))]
     assert sum(r.calls for r in run(trace.windowed_hits(stream, late="0 seconds"), "complete", "windows")) == 8
 
 
