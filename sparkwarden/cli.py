@@ -2,7 +2,8 @@
 
 audit: stages over a source tree, resumed in --artifacts.  classify, diagnose, authority and
 judge: one stage over the artifacts of an earlier run.  verify (or validate) and analyze (with
-diagnostics): a graph and its resolver edges, as Parquet or as JSON documents.
+diagnostics): a graph and its resolver edges, as Parquet or as JSON documents; legacy: the same
+by the older profile.  compare: the contracts of two audits (--output of audit).
 
 Exit codes: 0, 1 (--fail-on-invalid and not valid; authority: not valid), 2 (an error).
 """
@@ -15,7 +16,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import audit, diagnose, integrity, report, verify
+from .plans import audit, diagnose, integrity, legacy, report, verify
 from .plans.catalog import StageFailed
 from .sources import scan
 
@@ -35,7 +36,7 @@ def _parser() -> argparse.ArgumentParser:
         x.add_argument("artifacts")
     for x in (a, stored[0]):
         x.add_argument("--trace", help=f"JSON lines: {TRACE}")
-    graphs = [sub.add_parser(name, help="a graph and its resolver edges") for name in ("verify", "validate", "analyze")]
+    graphs = [sub.add_parser(name, help="a graph and its resolver edges") for name in ("verify", "validate", "analyze", "legacy")]
     for x in graphs:
         x.add_argument("graph", help="JSON document, or a folder with nodes and edges as Parquet")
         x.add_argument("resolver", help="JSON document, or Parquet of source, target, origin")
@@ -44,7 +45,10 @@ def _parser() -> argparse.ArgumentParser:
         x.add_argument("--symbols", help="Parquet of name, file")
         x.add_argument("--steps", help="Parquet of run_id, seq, role")
         x.add_argument("--include-validation", action="store_true")
-    for x in (a, *stored, *graphs):
+    c = sub.add_parser("compare", help="contracts of two audits")
+    c.add_argument("before")
+    c.add_argument("after")
+    for x in (a, c, *stored, *graphs):
         x.add_argument("--entrypoint", action="append", default=[])
         x.add_argument("--min-trust", type=float)
         x.add_argument("--fail-on-invalid", action="store_true")
@@ -69,6 +73,12 @@ def _run(spark: SparkSession, o: argparse.Namespace) -> dict:
         return audit.from_artifacts(spark, o.artifacts, "authority", min_trust=integrity.P.MIN_AUTHORITY_TRUST if o.min_trust is None else least, entrypoints=tuple(o.entrypoint))
     if o.command in ("classify", "diagnose", "judge"):
         return audit.from_artifacts(spark, o.artifacts, o.command, trace, least)
+    if o.command == "compare":
+        return diagnose.compared(*[json.loads(spark.read.option("wholetext", True).text(x).first()[0]) for x in (o.before, o.after)])
+    if o.command == "legacy":
+        nodes, edges = scan.read_graph(spark, o.graph)
+        starts = spark.createDataFrame([(e,) for e in o.entrypoint], "node_id string")
+        return legacy.verify_v1(nodes, edges, scan.read_resolver(spark, o.resolver), starts)
     result, edges = _verified(spark, o)
     if o.command != "analyze":
         return result

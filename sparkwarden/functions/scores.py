@@ -139,13 +139,6 @@ def health_confidence(health: Sequence[float]) -> float:
     return r3(c01(0.45 + 0.4 * (sum(health) / len(health) if health else 0.0)))
 
 
-def legacy_trust(penalties: Mapping[str, float]) -> float:
-    """1 less the penalties, each stopped at its cap."""
-    # Caps of the older profile's penalties, in their order.
-    caps = {"unresolved": 0.25, "invalid_type": 0.10, "divergence": 0.30, "missing_di": 0.20, "unreachable": 0.25, "islands": 0.25, "cycles": 0.10, "warnings": 0.10}
-    return r3(c01(1 - sum(min(cap, penalties.get(k, 0.0)) for k, cap in caps.items())))
-
-
 def all_or_nothing(scores: Sequence[float]) -> float:
     """The mean, or 0 if any input fails."""
     return r3(sum(scores) / len(scores)) if scores and all(s > 0 for s in scores) else 0.0

@@ -10,9 +10,10 @@ def longest_prefix(names: DataFrame, index: DataFrame, separator: str = ".") ->
     """names (id, name) and index (module, path) -> id, name, path of the longest module
     that is the name or a dotted prefix of it (null without one).
 
-    Prefixes are exploded to an equi-join; of repeated modules the greatest path counts.
+    Prefixes are exploded to an equi-join; of repeated modules the last row counts, by the
+    index's column seq or, without one, by path.
     """
-    modules = index.groupBy("module").agg(F.max("path").alias("path"))
+    modules = index.groupBy("module").agg(F.max_by("path", F.struct(*[c for c in ("seq", "path") if c in index.columns])).alias("path"))
     parts = F.split("name", f"\\{separator}")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("n"), F.array_join(F.slice(parts, 1, i), separator).alias("module")))
     asked = names.select("id", "name", F.explode(prefixes).alias("p")).select("id", "name", "p.n", "p.module")

@@ -88,3 +88,27 @@ def top_violations(found: DataFrame, k: int) -> DataFrame:
     c = found.groupBy("rule_id", "source_owner", "target_owner").agg(F.count("*").alias("n"))
     w = Window.partitionBy("rule_id").orderBy(F.desc("n"), "source_owner", "target_owner")
     return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def redundant_domains(clusters: DataFrame, collisions: DataFrame) -> DataFrame:
+    """clusters (cluster, path: files that serve one intent), collisions (concept, file) -> type,
+    source, key, path: a row a file, so that a concept of any number of files is no long row."""
+    kind = F.lit("redundant_domain").alias("type")
+    a = clusters.where("trim(path) <> ''").select(kind, F.lit("duplicate_intent").alias("source"), F.col("cluster").cast("string").alias("key"), F.trim("path").alias("path"))
+    b = collisions.where("trim(file) <> ''").select(kind, F.lit("abstraction_collision").alias("source"), F.col("concept").alias("key"), F.trim("file").alias("path"))
+    return a.union(b).distinct()
+
+
+#: Issues of behaviour that break the layers.
+BEHAVIOUR_ISSUES = ("DIRECT_API_TO_PERSISTENCE_PATH", "DIRECT_STATE_CHANGE_BYPASSES_ORCHESTRATOR")
+
+
+def behaviour_violations(direct: DataFrame, issues: DataFrame) -> DataFrame:
+    """direct (one row: direct, how many calls go from the API to what is stored), issues (type,
+    message) -> type, source, issue_type, message, count; each once."""
+    kind = F.lit("layer_violation").alias("type")
+    a = direct.where("direct > 0").select(kind, F.lit("causal_flow").alias("source"), F.lit("").alias("issue_type"), F.lit("calls from the API boundary straight to what is stored").alias("message"), F.col("direct").cast("long").alias("count"))
+    code = F.upper(F.trim("type"))
+    text = F.coalesce(F.nullif(F.trim("message"), F.lit("")), F.lit("behaviour bypasses orchestration"))
+    b = issues.where(code.isin(*BEHAVIOUR_ISSUES)).groupBy(code.alias("issue_type"), text.alias("message")).agg(F.count("*").alias("count"))
+    return a.union(b.select(kind, F.lit("causal_flow_issue").alias("source"), "issue_type", "message", "count"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import profiles as P
+from ..functions.columns import role
 
 
 def compressed(trace: DataFrame) -> DataFrame:
@@ -22,17 +23,41 @@ def compressed(trace: DataFrame) -> DataFrame:
     return trace.withColumn("before", F.lag("role").over(w)).where("before is null or before <> role").drop("before")
 
 
+#: How roles are called in a narrative.
+ROLE_NAMES = {
+    "api": "API boundary",
+    "validation": "validation",
+    "orchestration": "orchestration",
+    "domain_decision": "domain decision",
+    "side_effect": "side effect",
+    "persistence": "persistence",
+    "internal": "internal computation",
+}
+
+
 def workflows(trace: DataFrame) -> DataFrame:
-    """run_id, steps, signature ("a -> b -> c") of every run's compressed roles."""
+    """run_id, steps, signature ("a -> b -> c") of every run's compressed roles, and the same
+    as a narrative."""
     c = compressed(trace).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("seq", "role"))).alias("s"))
-    return c.select("run_id", F.size("s").cast("long").alias("steps"), F.array_join(F.transform("s", lambda x: x["role"]), " -> ").alias("signature"))
+    named = F.create_map(*[F.lit(x) for kv in ROLE_NAMES.items() for x in kv])
+    said = lambda x: F.coalesce(F.try_element_at(named, x["role"]), x["role"])
+    return c.select("run_id", F.size("s").cast("long").alias("steps"), F.array_join(F.transform("s", lambda x: x["role"]), " -> ").alias("signature"), F.array_join(F.transform("s", said), " -> ").alias("narrative"))
+
+
+def flow_roles(flow: DataFrame) -> DataFrame:
+    """flow (source, target, type: node ids) -> from_role, to_role, n: runtime calls, or edges
+    without a type, between the roles that the ids name."""
+    kind = F.upper(F.trim(F.coalesce("type", F.lit(""))))
+    rows = flow.where((kind == "") | (kind == "RUNTIME_CALL")).select(role(F.col("source")).alias("from_role"), role(F.col("target")).alias("to_role"))
+    return rows.groupBy("from_role", "to_role").agg(F.count("*").alias("n"))
 
 
-def transitions(trace: DataFrame) -> DataFrame:
-    """from_role, to_role, n over adjacent compressed steps."""
+def transitions(trace: DataFrame, flow: DataFrame | None = None) -> DataFrame:
+    """from_role, to_role, n over adjacent compressed steps, and over flow_roles of a flow."""
     w = Window.partitionBy("run_id").orderBy("seq")
     t = compressed(trace).withColumn("to_role", F.lead("role").over(w)).where("to_role is not null")
-    return t.groupBy(F.col("role").alias("from_role"), "to_role").agg(F.count("*").alias("n"))
+    steps = t.groupBy(F.col("role").alias("from_role"), "to_role").agg(F.count("*").alias("n"))
+    return steps if flow is None else steps.unionByName(flow_roles(flow)).groupBy("from_role", "to_role").agg(F.sum("n").alias("n"))
 
 
 def templates(trace: DataFrame, k: int = 12) -> DataFrame:

@@ -42,6 +42,54 @@ def trace_summary(trace: DataFrame) -> DataFrame:
     return trace.agg(F.countDistinct("run_id").alias("runs"), F.count("*").alias("events"), F.count_if(F.col("event") == "call").alias("calls"), F.countDistinct(F.when(F.col("event") == "call", F.col("node_id"))).alias("nodes"), F.countDistinct(pair).alias("edges"))
 
 
+def module_hits(trace: DataFrame) -> DataFrame:
+    """module, hits: calls of each module (trace: event, module)."""
+    return trace.where("event = 'call' and module <> ''").groupBy("module").agg(F.count("*").alias("hits"))
+
+
+#: Where a run came from.
+ORIGINS = ("seed", "continuation", "import_followup", "forced_probe")
+
+
+def run_summary(trace: DataFrame, runs: DataFrame, nodes: DataFrame, before: DataFrame, target: float = 0.0) -> DataFrame:
+    """One row over all runs of a plan.
+
+    trace: run_id, event, node_id; runs: run_id (each once), origin (see ORIGINS), executed,
+    timed_out, exit_code; nodes: node_id of the graph; before: node_id hit by earlier traces;
+    target: the share of nodes that the plan wanted to hit.  Counts of executed runs by label
+    and origin, of planned ones by origin (scheduled), of events by kind; failed runs are those
+    that crashed or timed out without an event; warnings (an array of codes).
+    """
+    event = F.col("event")
+    by = trace.groupBy("run_id").agg(F.count("*").alias("events"), *[F.count_if(event == e).alias(f"{e}s") for e in ("call", "import", "line")])
+    ran = runs.where("executed").join(by, "run_id", "left").na.fill(0, ["events", "calls", "imports", "lines"])
+    labelled = ran.withColumn("label", run_label(F.col("timed_out"), F.col("exit_code"), F.col("calls"), F.col("imports"), F.col("events")))
+    of = lambda name: F.count_if(F.col("label") == name)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    one = labelled.agg(
+        F.count("*").alias("runs"), total("calls").alias("call_events"), total("imports").alias("import_events"), total("lines").alias("line_events"), F.count_if("timed_out").alias("timeouts"),
+        of("CALL_ACTIVITY").alias("call_activity_runs"), of("IMPORT_ONLY").alias("import_only_runs"), F.count_if((F.col("calls") == 0) & (F.col("imports") > 0)).alias("import_heavy_runs"),
+        of("NO_OP").alias("no_op_runs"), of("NO_CALL_ACTIVITY").alias("no_call_activity_runs"), of("CRASHED").alias("crashed_runs"), of("PARTIAL_SUCCESS").alias("partial_success_runs"),
+        (of("CRASHED") + of("TIMEOUT")).alias("failed_runs"), *[F.count_if(F.col("origin") == o).alias(f"{o}_runs") for o in ORIGINS],
+    )
+    planned = runs.agg(*[F.count_if(F.col("origin") == o).alias(f"{o}_scheduled") for o in ORIGINS[1:]])
+    hit = trace.where((event == "call") & (F.col("node_id") != "")).select("node_id").distinct()
+    old = before.select("node_id").distinct().withColumn("old", F.lit(True))
+    covered = hit.join(old, "node_id", "left").agg(F.count("*").alias("hit_nodes"), F.count_if(F.col("old").isNull()).alias("new_nodes"))
+    sizes = nodes.agg(F.countDistinct("node_id").alias("nodes")).crossJoin(F.broadcast(old.agg(F.count("*").alias("hit_before"))))
+    for part in (planned, covered, sizes):
+        one = one.crossJoin(F.broadcast(part))
+    share, earlier = ratio(F.col("hit_nodes"), F.col("nodes")), ratio(F.col("hit_before"), F.col("nodes"))
+    some = F.col("runs") > 0
+    warnings = F.array_compact(
+        F.array(
+            F.when(~some, "no_runs"), F.when(some & (share <= earlier), "coverage_not_above_baseline"), F.when(some & (F.col("failed_runs") > 0), "failed_runs"), F.when(some & (F.col("call_activity_runs") == 0), "no_call_activity"),
+            F.when(F.col("import_heavy_runs") > F.col("call_activity_runs"), "imports_dominate"), F.when(F.col("partial_success_runs") > 0, "partial_traces_kept"), F.when(some & F.lit(0 < target) & (share < target), "coverage_target_missed"),
+        )
+    )
+    return one.select("*", (F.col("runs") - F.col("failed_runs")).alias("successful_runs"), F.round(share, 6).alias("coverage"), F.round(earlier, 6).alias("baseline_coverage"), F.round(share - earlier, 6).alias("coverage_delta"), warnings.alias("warnings"))
+
+
 def runtime_facts(trace: DataFrame, nodes: DataFrame) -> DataFrame:
     """trace (event, node_id, file, depth), nodes (node_id) -> one row: calls, imports, unique
     (different called nodes of the graph), unmatched (calls of no node), local (calls in a
@@ -153,6 +201,34 @@ def directory_coverage(files: DataFrame, k: int = 20) -> DataFrame:
     return counts.join(few, "folder")
 
 
+def shared_basenames(files: DataFrame, left_out: tuple[str, ...] = ("__init__", "__main__")) -> DataFrame:
+    """files (path) -> stem, path, files: Python files whose name without folder and suffix
+    others have too, and how many have it."""
+    stem = F.regexp_replace(F.substring_index(normalize_path(F.col("path")), "/", -1), r"(.)\.[^.]*$", "$1")
+    rows = files.select(stem.alias("stem"), "path").where(~F.col("stem").isin(*left_out)).distinct()
+    return rows.join(rows.groupBy("stem").agg(F.count("*").alias("files")).where("files > 1"), "stem").select("stem", "path", "files")
+
+
+def graph_sanity(nodes: DataFrame, edges: DataFrame, entrypoints: DataFrame, limits: dict | None = None) -> DataFrame:
+    """One row: nodes, edges between them, entrypoints among them, reachable and isolated nodes
+    with their shares, and reasons (an array) against limits (reachable_nodes, isolated_nodes)."""
+    from . import graph
+
+    t = P.MEANINGFUL | (limits or {})
+    known = nodes.select("node_id").where("node_id <> ''").distinct()
+    ends = lambda c: known.select(F.col("node_id").alias(c))
+    links = edges.select("source", "target").distinct().join(ends("source"), "source", "left_semi").join(ends("target"), "target", "left_semi")
+    starts = entrypoints.select("node_id").distinct().join(known, "node_id", "left_semi")
+    linked = links.select(F.explode(F.array("source", "target")).alias("node_id")).distinct()
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    one = count(known, "nodes")
+    for rows, name in ((links, "edges"), (starts, "entrypoints"), (graph.reach(links, starts, known), "reachable"), (known.join(linked, "node_id", "left_anti"), "isolated")):
+        one = one.crossJoin(F.broadcast(count(rows, name)))
+    reachable, isolated = ratio(F.col("reachable"), F.col("nodes")), ratio(F.col("isolated"), F.col("nodes"))
+    reasons = F.array_compact(F.array(F.when(F.col("entrypoints") == 0, "no_entrypoint"), F.when(reachable < t["reachable_nodes"], "reachable_nodes_below_minimum"), F.when(isolated > t["isolated_nodes"], "isolated_nodes_above_maximum")))
+    return one.select("*", F.round(reachable, 6).alias("reachable_ratio"), F.round(isolated, 6).alias("isolated_ratio"), reasons.alias("reasons"))
+
+
 def _public_names(symbols: DataFrame) -> DataFrame:
     return symbols.where(~F.col("name").startswith("_")).groupBy(F.col("file").alias("id")).agg(F.collect_set("name").alias("tokens"))
 

@@ -7,11 +7,11 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import canonical_of, node_path, role
+from ..functions.columns import canonical_of, module_name, node_path, role
 from ..operators import evidence, traces
 from ..operators.tables import scratch, stored
 from ..sources import pyast, scan
-from . import build_graph, diagnose, domains, integrity, verify
+from . import build_graph, diagnose, domains, integrity, report, verify
 from .catalog import Catalog, digest, table_digest
 
 STAGES = ("manifest", "static", "graph", "heat", "verification", "diagnostics")
@@ -64,7 +64,17 @@ def classify(nodes: DataFrame, edges: DataFrame, manifest: DataFrame, calls: Dat
         "calls": signal["calls"], "unique": signal["unique"], "coverage": signal["hit_nodes"] / n, "reachable": signal["reached"] / n, "overlap": signal["shared_edges"] / max(1, signal["static_edges"]),
         "entrypoints": signal["entrypoints"], "executed": signal["executed"], "expected_domains": spread["expected"], "covered_domains": spread["covered"],
     }
-    return {"heat": heat}, lambda t: {"heat": evidence.dead_ratio_gate(evidence.heat_distribution(t["heat"]), not signal["issues"]).first().asDict(), "runtime": signal, "evidence": found}
+
+    def summary(tables: dict[str, DataFrame]) -> dict:
+        spread_ = evidence.dead_ratio_gate(evidence.heat_distribution(tables["heat"]), not signal["issues"]).first().asDict()
+        sanity = traces.graph_sanity(nodes, edges, starts.select(F.concat(F.lit("file:"), "path").alias("node_id"))).first().asDict()
+        local = F.col("file").isNotNull() & ~F.col("file").startswith("<")
+        meaning = report.runtime_meaning(calls.select("event", "node_id", module_name(F.col("file")).alias("module"), local.alias("local"), "depth"))
+        shared = calls.sparkSession.createDataFrame([(signal["static_edges"], signal["shared_edges"])], "static_edges long, shared_edges long")
+        truth = report.truth_layer(meaning, shared, sanity["nodes"], sanity["reachable"], sanity["isolated"], evidence.warm_near_hot(tables["heat"], edges)).first().asDict()
+        return {"heat": spread_, "runtime": signal, "evidence": found, "sanity": sanity, "truth": truth}
+
+    return {"heat": heat}, summary
 
 
 def judge(nodes: DataFrame, edges: DataFrame, manifest: DataFrame, static: DataFrame, calls: DataFrame, heat: dict, min_trust: float, allow_call: bool) -> dict:
@@ -124,7 +134,7 @@ def run_audit(
         return frames | {"trace": calls}, summary
 
     _, heat = store.stage("heat", at, heat_tables)
-    out["summary"] |= {"heat": heat["heat"], "runtime": heat["runtime"]}
+    out["summary"] |= {k: heat[k] for k in ("heat", "runtime", "sanity", "truth")}
     at = digest("verification", at, min_trust, allow_call)
     _, result = store.stage("verification", at, lambda: ({}, judge(nodes, edges, manifest, static, calls, heat, min_trust, allow_call)))
     at = digest("diagnostics", at)

@@ -185,11 +185,24 @@ def diagnose(spark: SparkSession, result: dict, edges: DataFrame, most: int = 50
     }
 
 
+def run_figures(contract: dict) -> dict[str, float]:
+    """What two audits are compared by: coverage, overlap, and hot and warm nodes."""
+    runtime, heat = contract["summary"]["runtime"], contract["summary"]["heat"]
+    return {"coverage": S.div(runtime["hit_nodes"], runtime["nodes"]), "overlap": S.div(runtime["shared_edges"], runtime["static_edges"]), "hot_and_warm": heat["hot"] + heat["warm"]}
+
+
 def regressions(before: dict, after: dict) -> list[str]:
-    """Which of coverage, overlap and share of warm nodes did not improve."""
+    """Which of coverage, overlap and number of hot and warm nodes did not improve."""
     return [f"{k}_did_not_improve" for k in ("coverage", "overlap", "hot_and_warm") if after.get(k, 0) <= before.get(k, 0)]
 
 
+def compared(before: dict, after: dict) -> dict:
+    """Two contracts: their figures, what did not improve, and a score that is 0 unless all did."""
+    a, b = run_figures(before), run_figures(after)
+    worse = regressions(a, b)
+    return {"before": a, "after": b, "regressions": worse, "score": S.all_or_nothing([0.0 if f"{k}_did_not_improve" in worse else 1.0 for k in a])}
+
+
 def _step(key: Column) -> Column:
     """A key as a step of a normalized path: quoted, so that no two keys look alike."""
     return F.concat(F.lit("['"), F.replace(F.replace(key, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("']"))

@@ -15,7 +15,8 @@ from pyspark.sql.window import Window
 from . import profiles as P
 from .functions import columns as C
 from .operators import evidence, graph, pairs, ranking, resolve, rules, sequence, similarity, traces
-from .plans import diagnose, integrity, report
+from .plans import diagnose, integrity, legacy, report
+from .sources import scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,6 +60,11 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
     return pairs.node_universe(*[table(spark, d, t).select(_id(k, c).alias("node_id")) for k, (t, c) in keys.items()])
 
 
+def _clerks(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes that no edge has: one a customer with an order."""
+    return table(spark, d, "orders").select(_id("clerk", "o_custkey").alias("node_id")).distinct()
+
+
 def trace(spark: SparkSession, d: str) -> DataFrame:
     """run_id, seq, role, node_id, event."""
     ev = table(spark, d, "events")
@@ -160,9 +166,9 @@ def overcoupled_nodes(spark, d):
     return evidence.overcoupled(edges(spark, d))
 
 
-@query(f"WITH {EDGES_SQL}, {NODES_SQL} SELECT node_id FROM n WHERE node_id NOT IN (SELECT source FROM g UNION SELECT target FROM g)")
+@query(f"WITH {EDGES_SQL}, {NODES_SQL}, m AS (SELECT * FROM n UNION SELECT 'clerk:' || o_custkey FROM orders) SELECT node_id FROM m WHERE node_id NOT IN (SELECT source FROM g UNION SELECT target FROM g)")
 def orphan_nodes(spark, d):
-    return evidence.orphans(nodes(spark, d), edges(spark, d))
+    return evidence.orphans(pairs.node_universe(nodes(spark, d), _clerks(spark, d)), edges(spark, d))
 
 
 @query(f"WITH {NODES_SQL}, {TRACE_SQL} SELECT node_id FROM n UNION SELECT node_id FROM t")
@@ -272,13 +278,13 @@ def longest_path_depth(spark, d):
     return graph.longest_path(nodes(spark, d), edges(spark, d))
 
 
-def _path_edges(spark: SparkSession, d: str) -> DataFrame:
+def _path_edges(spark: SparkSession, d: str, *more: Column) -> DataFrame:
     """Paths made of part types, as edges between them: every lineitem's part to the next key's part."""
     p = table(spark, d, "part")
     names = ["src/api/routes", "src/domain/core", "src/infra/adapters", "src/orchestration", "apps/web/services", "shared/utils", "lib/db", "src/contracts", "tests"]
     path = lambda k: F.concat(F.element_at(F.array(*[F.lit(x) for x in names]), (k % len(names) + 1).cast("int")), F.lit("/"), F.element_at(F.array(*[F.lit(x) for x in ("service.py", "adapter.py", "store.py", "main.py")]), (F.floor(k / 9) % 4 + 1).cast("int")))
     k = F.col("p_partkey")
-    return p.select(path(k).alias("source_path"), path(k * 7 + 3).alias("target_path"))
+    return p.select(path(k).alias("source_path"), path(k * 7 + 3).alias("target_path"), *more)
 
 
 _NAMES = "['src/api/routes', 'src/domain/core', 'src/infra/adapters', 'src/orchestration', 'apps/web/services', 'shared/utils', 'lib/db', 'src/contracts', 'tests']"
@@ -438,7 +444,13 @@ COMPRESSED_SQL = f"""{TRACE_SQL}, c AS (SELECT * FROM (SELECT *, lag(role) OVER
 w AS (SELECT run_id, count(*) AS steps, string_agg(role, ' -> ' ORDER BY seq) AS signature FROM c GROUP BY 1)"""
 
 
-@query(f"WITH {COMPRESSED_SQL} SELECT * FROM w")
+_SAID = "signature"
+for _k, _v in sequence.ROLE_NAMES.items():
+    if _k != _v:
+        _SAID = f"replace({_SAID}, '{_k}', '{_v}')"
+
+
+@query(f"WITH {COMPRESSED_SQL} SELECT *, {_SAID} AS narrative FROM w")
 def workflow_sequences(spark, d):
     return sequence.workflows(trace(spark, d))
 
@@ -454,7 +466,7 @@ def workflow_templates(spark, d):
 
 
 @query("""WITH c AS (SELECT conv_id, turn, role FROM conversations), x AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM c)
-SELECT conv_id AS run_id, count(*) AS steps, string_agg(role, ' -> ' ORDER BY turn, role) AS signature FROM x WHERE before IS NULL OR before <> role GROUP BY 1""")
+SELECT conv_id AS run_id, count(*) AS steps, string_agg(role, ' -> ' ORDER BY turn, role) AS signature, string_agg(role, ' -> ' ORDER BY turn, role) AS narrative FROM x WHERE before IS NULL OR before <> role GROUP BY 1""")
 def conversation_flows(spark, d):
     return sequence.workflows(table(spark, d, "conversations").select(F.col("conv_id").alias("run_id"), F.col("turn").alias("seq"), "role"))
 
@@ -600,14 +612,34 @@ def root_cause_rank(spark, d):
     return ranking.root_causes(rows)
 
 
-@query("""SELECT count(*) AS file_count, sum(strlen(text))::BIGINT AS total_bytes, count(*) FILTER (lang = 'en') AS en_count, string_agg(DISTINCT lang, ',' ORDER BY lang) AS languages FROM documents""")
+FILES_SQL = "f AS (SELECT (['scripts/d', 'pkg/d', 'notes/d'])[doc_id % 3 + 1] || doc_id || (['.py', '.py', '.txt', '.MD', ''])[doc_id % 5 + 1] AS path, coalesce(text, '') AS text FROM documents)"
+
+
+def _document_files(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as files (path, size, content) of a tree."""
+    t = table(spark, d, "documents")
+    k = F.col("doc_id")
+    pick = lambda values: F.element_at(F.array(*[F.lit(x) for x in values]), (k % len(values) + 1).cast("int"))
+    path = F.concat(pick(("scripts/d", "pkg/d", "notes/d")), k.cast("string"), pick((".py", ".py", ".txt", ".MD", "")))
+    text = F.coalesce("text", F.lit(""))
+    return t.select(path.alias("path"), F.octet_length(text).cast("long").alias("size"), text.cast("binary").alias("content"))
+
+
+@query(f"""WITH {FILES_SQL} SELECT count(*) AS file_count, count(*) FILTER (path LIKE '%.py') AS python_file_count, sum(strlen(text))::BIGINT AS total_bytes, count(*) FILTER (path LIKE 'scripts/%.py') AS entrypoint_count,
+  array_to_string(list_sort(list(path) FILTER (path LIKE 'scripts/%.py'))[1:20], ',') AS entrypoints FROM f""")
 def manifest_summary(spark, d):
-    return table(spark, d, "documents").agg(F.count("*").alias("file_count"), F.sum(F.octet_length("text")).alias("total_bytes"), F.count_if(F.col("lang") == "en").alias("en_count"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("languages"))
+    return scan.manifest_summary(scan.build_manifest(_document_files(spark, d)), 20).withColumn("entrypoints", F.array_join("entrypoints", ","))
 
 
-@query("SELECT doc_id, sha256(text) AS sha256, strlen(text)::BIGINT AS size FROM documents")
+@query(f"""WITH {FILES_SQL} SELECT path, sha256(text) AS sha256, strlen(text)::BIGINT AS size, CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.txt' THEN 'txt' WHEN path LIKE '%.MD' THEN 'md' ELSE 'unknown' END AS language,
+  replace(replace(path, '.py', ''), '/', '.') AS module FROM f""")
 def content_sha256(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("size"))
+    return scan.build_manifest(_document_files(spark, d)).select("path", "sha256", "size", "language", "module")
+
+
+@query(f"WITH {FILES_SQL} SELECT CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.txt' THEN 'txt' WHEN path LIKE '%.MD' THEN 'md' ELSE 'unknown' END AS language, count(*) AS n FROM f GROUP BY 1")
+def language_counts(spark, d):
+    return scan.language_counts(scan.build_manifest(_document_files(spark, d)))
 
 
 @query("""WITH p AS (SELECT p_partkey, (['scripts/tool.py', 'pkg/main.py', 'app.py', './a/b/cli.py', 'lib/x.py'])[p_partkey % 5 + 1] AS path, p_size > 40 AS e, p_size % 7 = 0 AS g, p_size % 11 = 0 AS m FROM part)
@@ -684,6 +716,137 @@ def trace_summary(spark, d):
     return traces.trace_summary(_calls(spark, d))
 
 
+@query(f"WITH {CALLS_SQL} SELECT node_id AS module, count(*) AS hits FROM k WHERE event = 'call' GROUP BY 1")
+def module_hits(spark, d):
+    return traces.module_hits(_calls(spark, d).withColumn("module", F.col("node_id")))
+
+
+@query(f"""WITH {CALLS_SQL}, r AS (SELECT c_custkey AS run_id, (['seed', 'continuation', 'import_followup', 'forced_probe', 'seed'])[c_custkey % 5 + 1] AS origin, c_custkey % 3 < 2 AS executed, c_custkey % 11 = 0 AS timed_out, (c_custkey % 7 = 0)::INT AS exit_code FROM customer),
+b AS (SELECT run_id, count(*) AS events, count(*) FILTER (event = 'call') AS calls, count(*) FILTER (event = 'import') AS imports FROM k GROUP BY 1),
+j AS (SELECT r.*, coalesce(events, 0) AS events, coalesce(calls, 0) AS calls, coalesce(imports, 0) AS imports FROM r LEFT JOIN b USING (run_id) WHERE executed),
+l AS (SELECT *, CASE WHEN timed_out AND events > 0 THEN 'PARTIAL_SUCCESS' WHEN timed_out THEN 'TIMEOUT' WHEN exit_code <> 0 THEN 'CRASHED' WHEN calls > 0 THEN 'CALL_ACTIVITY' WHEN imports > 0 THEN 'IMPORT_ONLY' WHEN events = 0 THEN 'NO_OP' ELSE 'NO_CALL_ACTIVITY' END AS label FROM j),
+h AS (SELECT DISTINCT node_id FROM k WHERE event = 'call'), o AS (SELECT DISTINCT event_type AS node_id FROM events WHERE event_id % 2000 = 0), m AS (SELECT count(*) AS nodes FROM (SELECT event_type FROM events UNION SELECT p_brand FROM part)),
+c AS (SELECT (SELECT count(*) FROM h) AS hit_nodes, (SELECT count(*) FROM h WHERE node_id NOT IN (SELECT node_id FROM o)) AS new_nodes, (SELECT count(*) FROM o) AS hit_before),
+a AS (SELECT count(*) AS runs, sum(calls)::BIGINT AS call_events, sum(imports)::BIGINT AS import_events, 0::BIGINT AS line_events, count(*) FILTER (timed_out) AS timeouts, count(*) FILTER (label = 'CALL_ACTIVITY') AS call_activity_runs, count(*) FILTER (label = 'IMPORT_ONLY') AS import_only_runs,
+  count(*) FILTER (calls = 0 AND imports > 0) AS import_heavy_runs, count(*) FILTER (label = 'NO_OP') AS no_op_runs, count(*) FILTER (label = 'NO_CALL_ACTIVITY') AS no_call_activity_runs, count(*) FILTER (label = 'CRASHED') AS crashed_runs, count(*) FILTER (label = 'PARTIAL_SUCCESS') AS partial_success_runs,
+  count(*) FILTER (label IN ('CRASHED', 'TIMEOUT')) AS failed_runs, count(*) FILTER (origin = 'seed') AS seed_runs, count(*) FILTER (origin = 'continuation') AS continuation_runs, count(*) FILTER (origin = 'import_followup') AS import_followup_runs, count(*) FILTER (origin = 'forced_probe') AS forced_probe_runs FROM l),
+s AS (SELECT count(*) FILTER (origin = 'continuation') AS continuation_scheduled, count(*) FILTER (origin = 'import_followup') AS import_followup_scheduled, count(*) FILTER (origin = 'forced_probe') AS forced_probe_scheduled FROM r)
+SELECT a.*, s.*, c.*, m.*, runs - failed_runs AS successful_runs, round(hit_nodes::DOUBLE / nodes, 6) AS coverage, round(hit_before::DOUBLE / nodes, 6) AS baseline_coverage, round(hit_nodes::DOUBLE / nodes - hit_before::DOUBLE / nodes, 6) AS coverage_delta,
+  concat_ws(',', CASE WHEN hit_nodes <= hit_before THEN 'coverage_not_above_baseline' END, CASE WHEN failed_runs > 0 THEN 'failed_runs' END, CASE WHEN call_activity_runs = 0 THEN 'no_call_activity' END, CASE WHEN import_heavy_runs > call_activity_runs THEN 'imports_dominate' END,
+    CASE WHEN partial_success_runs > 0 THEN 'partial_traces_kept' END, CASE WHEN hit_nodes::DOUBLE / nodes < 0.25 THEN 'coverage_target_missed' END) AS warnings FROM a, s, c, m""")
+def runtime_summary(spark, d):
+    k = F.col("c_custkey")
+    origin = F.element_at(F.array(*[F.lit(x) for x in (*traces.ORIGINS, "seed")]), (k % 5 + 1).cast("int"))
+    runs = table(spark, d, "customer").select(k.alias("run_id"), origin.alias("origin"), (k % 3 < 2).alias("executed"), (k % 11 == 0).alias("timed_out"), F.when(k % 7 == 0, 1).otherwise(0).alias("exit_code"))
+    e = table(spark, d, "events")
+    known = e.select(F.col("event_type").alias("node_id")).union(table(spark, d, "part").select("p_brand"))
+    before = e.where("event_id % 2000 = 0").select(F.col("event_type").alias("node_id"))
+    return traces.run_summary(_calls(spark, d), runs, known, before, 0.25).withColumn("warnings", F.array_join("warnings", ","))
+
+
+def _role_sql(x: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(lower({x}), '{'|'.join(words)}') THEN '{name}'" for name, words in P.ROLE_WORDS.items()) + " ELSE 'internal' END"
+
+
+FLOW_SQL = f"""fl AS (SELECT {_path_sql('p_partkey')} AS source, {_path_sql('p_partkey * 7 + 3')} AS target, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'runtime_call ' WHEN 2 THEN 'IMPORT' END AS type FROM part)"""
+
+
+@query(f"""WITH {COMPRESSED_SQL}, {FLOW_SQL}, x AS (SELECT role AS from_role, lead(role) OVER (PARTITION BY run_id ORDER BY seq) AS to_role FROM c),
+u AS (SELECT from_role, to_role FROM x WHERE to_role IS NOT NULL UNION ALL SELECT {_role_sql('source')}, {_role_sql('target')} FROM fl WHERE trim(coalesce(type, '')) = '' OR upper(trim(type)) = 'RUNTIME_CALL')
+SELECT from_role, to_role, count(*) AS n FROM u GROUP BY ALL""")
+def flow_transitions(spark, d):
+    k = F.col("p_partkey")
+    kind = F.when(k % 4 == 0, "").when(k % 4 == 1, "runtime_call ").when(k % 4 == 2, "IMPORT")
+    flow = _path_edges(spark, d, kind.alias("type")).select(F.col("source_path").alias("source"), F.col("target_path").alias("target"), "type")
+    return sequence.transitions(trace(spark, d), flow)
+
+
+@query("""WITH f AS (SELECT DISTINCT 'src/' || p_brand || '/' || replace(p_name, ' ', '_') || (['.py', '.tar.gz', ''])[p_partkey % 3 + 1] AS path FROM part UNION SELECT 'pkg/' || s_suppkey || '/__init__.py' FROM supplier),
+s AS (SELECT path, regexp_replace(string_split(path, '/')[-1], '(.)[.][^.]*$', '\\1') AS stem FROM f), c AS (SELECT stem, count(*) AS files FROM s WHERE stem <> '__init__' GROUP BY 1 HAVING count(*) > 1)
+SELECT stem, path, files FROM s JOIN c USING (stem)""")
+def shared_basenames(spark, d):
+    p = table(spark, d, "part")
+    tail = F.element_at(F.array(F.lit(".py"), F.lit(".tar.gz"), F.lit("")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    files = p.select(F.concat(F.lit("src/"), "p_brand", F.lit("/"), F.translate("p_name", " ", "_"), tail).alias("path"))
+    return traces.shared_basenames(files.union(table(spark, d, "supplier").select(F.concat(F.lit("pkg/"), F.col("s_suppkey").cast("string"), F.lit("/__init__.py")))))
+
+
+@query(f"""WITH RECURSIVE {EDGES_SQL}, {NODES_SQL}, m AS (SELECT node_id FROM n UNION SELECT 'clerk:' || o_custkey FROM orders), links AS (SELECT DISTINCT source, target FROM g WHERE source IN (SELECT node_id FROM m) AND target IN (SELECT node_id FROM m)),
+st AS (SELECT 'order:' || o_orderkey AS node_id FROM orders WHERE o_orderkey % 100 = 0), w(node_id) AS (SELECT node_id FROM st UNION SELECT target FROM w JOIN links ON source = node_id),
+c AS (SELECT (SELECT count(*) FROM m) AS nodes, (SELECT count(*) FROM links) AS edges, (SELECT count(*) FROM st) AS entrypoints, (SELECT count(*) FROM w) AS reachable, (SELECT count(*) FROM m WHERE node_id NOT IN (SELECT source FROM links UNION SELECT target FROM links)) AS isolated)
+SELECT *, round(reachable::DOUBLE / nodes, 6) AS reachable_ratio, round(isolated::DOUBLE / nodes, 6) AS isolated_ratio, concat_ws(',', CASE WHEN reachable::DOUBLE / nodes < 0.15 THEN 'reachable_nodes_below_minimum' END, CASE WHEN isolated::DOUBLE / nodes > 0.35 THEN 'isolated_nodes_above_maximum' END) AS reasons FROM c""")
+def graph_sanity(spark, d):
+    starts = table(spark, d, "orders").where("o_orderkey % 100 = 0").select(_id("order", "o_orderkey").alias("node_id"))
+    return traces.graph_sanity(pairs.node_universe(nodes(spark, d), _clerks(spark, d)), edges(spark, d), starts).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query("""SELECT DISTINCT 'redundant_domain' AS type, 'duplicate_intent' AS source, p_brand AS key, 'src/' || p_name AS path FROM part WHERE p_size > 25
+UNION SELECT DISTINCT 'redundant_domain', 'abstraction_collision', p_type, 'src/' || p_name FROM part WHERE p_size <= 25""")
+def redundant_domains(spark, d):
+    p = table(spark, d, "part").select("*", F.concat(F.lit(" src/"), "p_name").alias("path"))
+    return rules.redundant_domains(p.where("p_size > 25").select(F.col("p_brand").alias("cluster"), "path"), p.where("p_size <= 25").select(F.col("p_type").alias("concept"), F.col("path").alias("file")))
+
+
+@query(f"""WITH {COMPRESSED_SQL}, x AS (SELECT role, lead(role) OVER (PARTITION BY run_id ORDER BY seq) AS nxt FROM c), i AS (SELECT (['direct_api_to_persistence_path ', 'DIRECT_STATE_CHANGE_BYPASSES_ORCHESTRATOR', 'MISSING_API_BOUNDARY'])[event_id % 3 + 1] AS type, CASE WHEN event_id % 4 > 0 THEN event_type END AS message FROM events)
+SELECT * FROM (SELECT 'layer_violation' AS type, 'causal_flow' AS source, '' AS issue_type, 'calls from the API boundary straight to what is stored' AS message, count(*) AS count FROM x WHERE role = 'api' AND nxt = 'persistence') WHERE count > 0
+UNION ALL SELECT 'layer_violation', 'causal_flow_issue', upper(trim(type)), coalesce(message, 'behaviour bypasses orchestration'), count(*) FROM i WHERE upper(trim(type)) LIKE 'DIRECT%' GROUP BY ALL""")
+def behaviour_violations(spark, d):
+    k = F.col("event_id")
+    code = F.element_at(F.array(F.lit("direct_api_to_persistence_path "), F.lit("DIRECT_STATE_CHANGE_BYPASSES_ORCHESTRATOR"), F.lit("MISSING_API_BOUNDARY")), (k % 3 + 1).cast("int"))
+    issues = table(spark, d, "events").select(code.alias("type"), F.when(k % 4 > 0, F.col("event_type")).alias("message"))
+    return rules.behaviour_violations(sequence.causal_score(trace(spark, d)), issues)
+
+
+@query(f"""WITH {RULES_SQL} SELECT source_path, target_path, sl AS source_layer, tl AS target_layer, count(*) AS n FROM f
+JOIN (VALUES ('api', 0), ('orchestration', 1), ('domain', 2), ('infra', 3)) a(sl, sr) USING (sl) JOIN (VALUES ('api', 0), ('orchestration', 1), ('domain', 2), ('infra', 3)) b(tl, tr) USING (tl) WHERE sr < tr GROUP BY ALL""")
+def layer_escalations(spark, d):
+    ranks = spark.createDataFrame([(x, i) for i, x in enumerate(("api", "orchestration", "domain", "infra"))], "layer string, rank int")
+    return rules.layer_ranks(_path_edges(spark, d), ranks).groupBy("source_path", "target_path", "source_layer", "target_layer").agg(F.count("*").alias("n"))
+
+
+def _legacy_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """nodes with blank and repeated ids, edges of all statuses with origins, resolver edges."""
+    s, o, c = table(spark, d, "supplier"), table(spark, d, "orders"), table(spark, d, "customer")
+    extra = s.select(F.when(F.col("s_suppkey") % 10 == 0, " ").otherwise(F.concat(F.lit("region:"), (F.col("s_suppkey") % 7).cast("string"))).alias("node_id"))
+    k = F.col("o_orderkey")
+    odd = o.select(_id("order", "o_orderkey").alias("source"), F.concat(F.lit("clerk:"), (k % 7).cast("string")).alias("target"), F.when(k % 5 == 0, "").when(k % 5 == 1, "odd").otherwise(" di").alias("type"))
+    origin = F.when(F.col("type") == "IMPORT", "ast").when(F.col("type") == "CONFIG", "CONFIG")
+    resolver = o.where("o_orderkey % 3 < 2").select(_id("order", "o_orderkey").alias("source"), _id("customer", "o_custkey").alias("target"), F.lit("AST ").alias("origin"))
+    clerk = F.when(k % 50 == 1, F.concat(F.lit("clerk:"), (k % 9).cast("string"))).otherwise(_id("customer", "o_custkey"))
+    resolver = resolver.union(o.where("o_orderkey % 3 > 0").select(_id("order", "o_orderkey"), clerk, F.lit("di")))
+    one = lambda rows, n: rows.select(_id("customer", "c_custkey"), _id("nation", "c_nationkey"), F.lit(n))
+    resolver = resolver.union(one(c, "CONFIG")).union(one(c.where("c_custkey % 2 = 0"), "HEURISTIC")).union(one(c, "OTHER"))
+    return nodes(spark, d).union(extra), edges(spark, d).union(odd).withColumn("origin", origin), resolver
+
+
+LEGACY_SQL = f"""{EDGES_SQL}, {NODES_SQL}, nn AS (SELECT node_id FROM n UNION ALL SELECT CASE WHEN s_suppkey % 10 = 0 THEN '' ELSE 'region:' || (s_suppkey % 7) END FROM supplier),
+ee AS (SELECT source, target, upper(trim(type)) AS type, CASE type WHEN 'IMPORT' THEN 'AST' WHEN 'CONFIG' THEN 'CONFIG' ELSE '' END AS origin FROM (SELECT * FROM g UNION ALL SELECT 'order:' || o_orderkey, 'clerk:' || (o_orderkey % 7), CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'odd' ELSE ' di' END FROM orders)),
+ju AS (SELECT *, CASE WHEN type = '' THEN 'malformed' WHEN type NOT IN ({', '.join(repr(x) for x in P.ALLOWED_EDGE_TYPES['v1'])}) THEN 'invalid_type' WHEN source NOT IN (SELECT node_id FROM nn) OR target NOT IN (SELECT node_id FROM nn) THEN 'unresolved' ELSE 'valid' END AS status FROM ee),
+re AS (SELECT 'order:' || o_orderkey AS source, 'customer:' || o_custkey AS target, 'AST' AS origin FROM orders WHERE o_orderkey % 3 < 2
+  UNION ALL SELECT 'order:' || o_orderkey, CASE WHEN o_orderkey % 50 = 1 THEN 'clerk:' || (o_orderkey % 9) ELSE 'customer:' || o_custkey END, 'DI' FROM orders WHERE o_orderkey % 3 > 0
+  UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'CONFIG' FROM customer UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'HEURISTIC' FROM customer WHERE c_custkey % 2 = 0)"""
+
+
+@query(f"""WITH {LEGACY_SQL}, b AS (SELECT node_id, count(*) AS k FROM nn GROUP BY 1)
+SELECT * FROM (SELECT sum(k)::BIGINT AS nodes, count(*) FILTER (node_id <> '') AS valid_nodes, coalesce(sum(k) FILTER (node_id = ''), 0)::BIGINT AS malformed, coalesce(sum(k - 1) FILTER (node_id <> ''), 0)::BIGINT AS duplicates, count(*) FILTER (node_id <> '') AS bad_namespace FROM b),
+(SELECT count(*) AS edges, count(*) FILTER (status = 'valid') AS valid_edges, count(*) FILTER (status = 'malformed') AS malformed_edges, count(*) FILTER (status = 'unresolved') AS unresolved_edges, count(*) FILTER (status = 'invalid_type') AS invalid_type_edges FROM ju)""")
+def legacy_structure(spark, d):
+    n, e, _ = _legacy_tables(spark, d)
+    return legacy.node_figures(n).crossJoin(F.broadcast(legacy.edge_figures(legacy.judged_edges(n, e))))
+
+
+@query(f"""WITH {LEGACY_SQL}, v AS (SELECT DISTINCT source, target, type, origin FROM ju WHERE status = 'valid'),
+a AS (SELECT DISTINCT source, target FROM re WHERE origin = 'AST'), b AS (SELECT DISTINCT source, target FROM re WHERE origin = 'DI'), x AS (SELECT DISTINCT source, target FROM re WHERE origin = 'CONFIG'), y AS (SELECT DISTINCT source, target FROM re WHERE origin = 'HEURISTIC'),
+z AS (SELECT (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb, (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS nab, (SELECT count(*) FROM x) AS nx, (SELECT count(*) FROM y) AS ny, (SELECT count(*) FROM (SELECT * FROM x INTERSECT SELECT * FROM y)) AS nxy),
+ends AS (SELECT source AS node_id FROM b UNION SELECT target FROM b)
+SELECT (SELECT count(*) FROM re) AS resolver_edges, {', '.join(f"(SELECT count(*) FROM re WHERE origin = '{o}') AS {o.lower()}_edges, (SELECT count(*) FILTER (origin = '{o}') + count(*) FILTER (type = '{o}') FROM v) AS {o.lower()}_represented" for o in legacy.SOURCES)},
+  round((na + nb - 2 * nab)::DOUBLE / (na + nb - nab) * least(1.0::DOUBLE, na::DOUBLE / nb), 3) AS divergence, nb - nab AS inferred, na + nb - 2 * nab AS apart, round(nxy::DOUBLE / least(nx, ny), 3) AS alignment,
+  (SELECT count(*) FROM ends) AS di_nodes, (SELECT count(*) FROM ends WHERE node_id NOT IN (SELECT node_id FROM nn)) AS missing_di FROM z""")
+def legacy_dependency(spark, d):
+    n, e, r = _legacy_tables(spark, d)
+    return legacy.dependency_figures(n, legacy.judged_edges(n, e), r)
+
+
 @query(f"WITH {CALLS_SQL} SELECT DISTINCT caller AS source, node_id AS target FROM k WHERE event = 'call' AND caller <> ''")
 def flow_edges(spark, d):
     return traces.flow_edges(_calls(spark, d))

@@ -167,24 +167,27 @@ def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """nodes (node_id, isolated) and edges (source, target, type, confidence) of a JSON document
-    (see read_document; ends may be called from and to), or of Parquet folders nodes and edges."""
+    """nodes (node_id, isolated) and edges (source, target, type, confidence, origin) of a JSON
+    document (see read_document; ends called source and target, or from and to, then source is
+    the origin), or of Parquet folders nodes and edges."""
     if not path.endswith(".json"):
         return spark.read.parquet(f"{path.rstrip('/')}/nodes"), spark.read.parquet(f"{path.rstrip('/')}/edges")
-    edge = "`from`: string, `to`: string, source: string, target: string, type: string, confidence: double"
+    edge = "`from`: string, `to`: string, source: string, target: string, type: string, origin: string, confidence: double"
     doc = stored(read_document(spark, path, f"nodes array<struct<id: string, node_id: string, isolated: boolean>>, edges array<struct<{edge}>>"), "document")
     nodes = doc.select(F.explode("nodes").alias("n")).select(F.coalesce("n.node_id", "n.id").alias("node_id"), F.coalesce("n.isolated", F.lit(False)).alias("isolated"))
     ends = doc.select(F.explode("edges").alias("e")).select("e.*")
-    return nodes, ends.select(F.coalesce("source", "from").alias("source"), F.coalesce("target", "to").alias("target"), "type", F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
+    return nodes, ends.select(F.coalesce("from", "source").alias("source"), F.coalesce("to", "target").alias("target"), "type", F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.coalesce("origin", F.when(F.col("from").isNotNull(), F.col("source"))).alias("origin"))
 
 
 def read_resolver(spark: SparkSession, path: str) -> DataFrame:
-    """source, target, origin of resolver edges: a JSON document with a list edges, or Parquet."""
+    """source, target, origin of resolver edges: a JSON document with a list edges (ends as in
+    read_graph), or Parquet."""
     if not path.endswith(".json"):
         return spark.read.parquet(path)
     edge = "`from`: string, `to`: string, source: string, target: string, origin: string, type: string"
     ends = read_document(spark, path, f"edges array<struct<{edge}>>").select(F.explode("edges").alias("e")).select("e.*")
-    return ends.select(F.coalesce("source", "from").alias("source"), F.coalesce("target", "to").alias("target"), F.coalesce("origin", "type").alias("origin"))
+    origin = F.coalesce("origin", F.when(F.col("from").isNotNull(), F.col("source")), "type")
+    return ends.select(F.coalesce("from", "source").alias("source"), F.coalesce("to", "target").alias("target"), origin.alias("origin"))
 
 
 def write_json_lines(rows: DataFrame, path: str, append: bool = False) -> None:
