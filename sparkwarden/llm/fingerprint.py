@@ -147,31 +147,45 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     Ranges of ids are cut at ids that occur, so the first row of each range is known
     and is copied into the range before; the first row of all is copied into the
     last one.  Returns bucket, role (0: a row of the range, 1: the row after it),
-    doc_id, text, sorted within partitions; one shuffle.  Null ids come last, ties by text.
+    doc_id, text, sorted within partitions; one shuffle.  Rows of equal ids are in the
+    order of their texts.  Null ids come last, in the order of their texts' hashes, which
+    are cut into ranges too, so that any number of them is spread.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = dealt(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    cuts, least = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 100 * n), F.min("doc_id")).first()
+    missing = F.col("doc_id").isNull()
+    cuts, least, nulls = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 100 * n), F.min("doc_id"), F.count_if(missing)).first()
     cuts = sorted({c for c in cuts or [] if c > least})
     within = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
     # The number of cuts up to the id: first every step-th cut is looked at, then a step of them.
     step = max(1, math.isqrt(len(cuts)))
     upto = lambda some: F.size(F.filter(some, lambda c: c <= F.col("doc_id")))
     coarse = upto(F.array(*[F.lit(c).cast("long") for c in cuts[::step]])) if cuts else F.lit(0)
-    fine = F.when(coarse == 0, 0).otherwise((coarse - 1) * step + upto(F.slice(within, (coarse - 1) * step + 1, F.lit(step))))
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(fine)
-    place = lambda b, role: F.struct(F.lit(b).cast("int").alias("bucket") if isinstance(b, int) else b.cast("int").alias("bucket"), F.lit(role).alias("role"))
-    rows = rows.withColumn("own", bucket)
+    of_id = F.when(coarse == 0, 0).otherwise((coarse - 1) * step + upto(F.slice(within, (coarse - 1) * step + 1, F.lit(step))))
+    hashed = F.when(missing, F.xxhash64("text"))
+    of_hash = F.floor((hashed / 2.0**64 + 0.5) * n).cast("int")
+    # The least hash of each range of hashes that has rows: at most n.
+    firsts = dict(rows.where(missing).groupBy(of_hash).agg(F.min(hashed)).collect()) if nulls else {}
+    ranges = sorted(firsts)
+    base = len(cuts) + 1 if least is not None else 0
+    last = base + len(ranges) - 1
+    number = F.array_position(F.array(*[F.lit(r) for r in ranges]), of_hash).cast("int") - 1 if ranges else F.lit(0)
+    leads = (F.element_at(F.array(*[F.lit(firsts[r]).cast("long") for r in ranges]), number + 1) == hashed) if ranges else F.lit(False)
+    rows = rows.withColumns({"hashed": hashed, "own": F.when(missing, base + number).otherwise(of_id)})
+    first_of_range = F.when(missing, leads).otherwise((F.col("own") > 0) & (F.get(within, F.col("own") - 1) == F.col("doc_id")))
+    first_of_all = F.col("doc_id").eqNullSafe(F.lit(least)) & F.lit(least is not None)
+    place = lambda b, role: F.struct(b.cast("int").alias("bucket"), F.lit(role).alias("role"))
+    # What comes first of all follows the last; without an id that is the first range of hashes.
     places = F.array_compact(
         F.array(
             place(F.col("own"), 0),
-            F.when(F.array_contains(within, F.col("doc_id")), place(F.col("own") - 1, 1)),
-            F.when(F.col("doc_id").eqNullSafe(F.lit(least)), place(len(cuts), 1)),
+            F.when(first_of_range, place(F.when(F.col("own") == 0, last).otherwise(F.col("own") - 1), 1)),
+            F.when(first_of_all, place(F.lit(last), 1)),
         )
     )
-    rows = rows.select(F.explode(places).alias("at"), "doc_id", "text").select("at.*", "doc_id", "text")
-    return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "role", F.asc_nulls_last("doc_id"), "text")
+    rows = rows.select(F.explode(places).alias("at"), "doc_id", "text", "hashed").select("at.*", "doc_id", "text", "hashed")
+    return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "role", F.asc_nulls_last("doc_id"), "hashed", "text").drop("hashed")
 
 
 def edited_likeness(docs: DataFrame, words: int = WORDS, bins: int = BINS, bits: int = BITS) -> DataFrame:
@@ -181,7 +195,8 @@ def edited_likeness(docs: DataFrame, words: int = WORDS, bins: int = BINS, bits:
     as many (or all) of the next document in ascending doc_id (after the last: the
     first).  Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next.  Null texts are empty; a single document is its own next;
-    repeated ids follow each other, ordered by text; an empty table gives no rows.
+    repeated ids follow each other, ordered by text; null ids come last, ordered by the hashes
+    of their texts; ids are whole numbers, or texts of them; an empty table gives no rows.
     """
     ship(docs.sparkSession)
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

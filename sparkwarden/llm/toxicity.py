@@ -140,7 +140,7 @@ class Model:
 
     terms: dict[str, int]
     index: Index
-    ids: list[int]
+    ids: list
     labels: np.ndarray
     votes: np.ndarray  # how many labelled texts an example stands for, about one on average
     prior: float
@@ -298,9 +298,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLE
     """
     model = fit(docs, labels, limit)
     rows = dealt(docs, "doc_id", "text").select("doc_id", held_out().alias("held_out"), text_of().alias("text"))
-    kind = "evidence array<struct<doc_id: long, cosine: double>>"
+    named = rows.schema["doc_id"].dataType.simpleString()
+    evidence = f"array<struct<doc_id: {named}, cosine: double>>"
     if model is None:
-        return rows.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.array().cast("array<struct<doc_id: long, cosine: double>>").alias("evidence"))
+        return rows.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.array().cast(evidence).alias("evidence"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,13 +310,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLE
             found = [score(t) for t in batch.column("text").to_pylist()]
             ends = np.cumsum([0, *[len(near) for _, near in found]])
             flat = [x for _, near in found for x in near]
-            pairs = pa.StructArray.from_arrays([pa.array([i for i, _ in flat], pa.int64()), pa.array([c for _, c in flat], pa.float64())], ["doc_id", "cosine"])
+            pairs = pa.StructArray.from_arrays([pa.array([i for i, _ in flat], batch.schema.field("doc_id").type), pa.array([c for _, c in flat], pa.float64())], ["doc_id", "cosine"])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array([s for s, _ in found], pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
                 ["doc_id", "held_out", "score", "evidence"],
             )
 
-    out = rows.mapInArrow(scored, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, {kind}")
+    out = rows.mapInArrow(scored, f"doc_id {named}, held_out boolean, score double, evidence {evidence}")
     return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "evidence")
 
 

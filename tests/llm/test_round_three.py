@@ -9,7 +9,9 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pytest
+import xxhash
 
+from sparkwarden.llm import fingerprint, toxicity
 from sparkwarden.llm import hard_negatives as H
 from sparkwarden.llm import turn_repair as T
 from sparkwarden.llm import url_filter as U
@@ -307,3 +309,76 @@ def test_threshold_is_the_best_cut():
         assert loss(cut) == pytest.approx(min(loss(t) for t in np.append(s, s.min() - 1)))
     assert U.calibrated(np.array([1.0]), np.array([True])) == math.inf
     assert urlsplit(ODD_URLS[8]).hostname == brute_rule(ODD_URLS[8])[0]
+
+
+# ---- fingerprints and toxicity -------------------------------------------------------------
+
+
+def plain_fingerprint(text):
+    """One-permutation MinHash in plain Python: least hash a bin, empty bins from drawn ones."""
+    mask = (1 << 64) - 1
+    found = (text or "").encode().lower().split()
+    if not found:
+        return None
+    k = min(5, len(found))
+    best = {}
+    for i in range(len(found) - k + 1):
+        h = xxhash.xxh64_intdigest(found[i])
+        for w in found[i + 1 : i + k]:
+            h = (h * 0x9E3779B97F4A7C15 + xxhash.xxh64_intdigest(w)) & mask
+        h ^= h >> 32
+        for _ in range(2):
+            h = h * 0xD6E8FEB86659FD93 & mask
+            h ^= h >> 32
+        best[h >> 56] = min(best.get(h >> 56, mask), h)
+    draw, rounds = np.random.default_rng(20240229), []
+    out = []
+    for b in range(256):
+        at, r = b, 0
+        while at not in best:
+            if r == len(rounds):
+                rounds += list(draw.integers(0, 256, (64, 256)))
+            at, r = int(rounds[r][b]), r + 1
+        out.append(best[at] & 15)
+    return out
+
+
+def plain_likeness(a, b):
+    if a is None or b is None:
+        return float(a is None and b is None)
+    return max(0.0, (sum(x == y for x, y in zip(a, b)) / 256 - 1 / 16) / (15 / 16))
+
+
+def plain_edited(rows):
+    """The whole result of op2's contract; null ids in the order of their texts' hashes."""
+    signed = lambda t: (x := xxhash.xxh64_intdigest(t.encode(), 42)) - (x >> 63 << 64)
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, r[0] or 0, signed(r[1]) if r[0] is None else 0, r[1].encode()))
+    packed = lambda v: "" if v is None else "".join(f"{x:x}" for x in v)
+    out = []
+    for (i, t), (_, nxt) in zip(rows, rows[1:] + rows[:1]):
+        edited = t[: len(t) - len(t) // 4] + nxt[: len(t) // 4]
+        a, b, c = map(plain_fingerprint, (t, edited, nxt))
+        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), packed(a), packed(b), round(plain_likeness(a, b), 9), round(plain_likeness(a, c), 9)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("case", ["mixed", "all null", "one", "one null", "none"])
+def test_fingerprints_against_plain_minhash(spark, case):
+    r = random.Random(9)
+    text = lambda n: " ".join(r.choice(["alpha", "Beta", "ÉCLAIR", "über", "x#y", "the", "12"]) + str(r.randrange(4)) for _ in range(n))
+    some = [(i, text(r.choice([0, 1, 3, 40, 400]))) for i in range(90)] + [(3, text(9)), (200, None), (201, "")]
+    nulls = [(None, text(r.choice([0, 2, 20]))) for _ in range(60)] + [(None, "again and again")] * 3
+    rows = {"mixed": some + nulls, "all null": nulls, "one": [(7, "a b c d")], "one null": [(None, "a b c d")], "none": []}[case]
+    got = fingerprint.edited_likeness(spark.createDataFrame([(*x, "u", 3) for x in rows], "doc_id long, text string, role string, bucket int")).collect()
+    names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint")
+    assert sorted(((*[x[n] for n in names], round(x["near_edited"], 9), round(x["near_next"], 9)) for x in got), key=repr) == plain_edited(rows)
+
+
+def test_toxicity_with_ids_of_text(spark):
+    r = random.Random(2)
+    rows = [(f"d{i}", " ".join(r.choice(["one", "two", "three", "four"]) for _ in range(12)) + (" grolt" if i % 4 == 0 else "")) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = spark.createDataFrame([(i, int("grolt" in t), "x") for i, t in rows], "doc_id string, toxic int, text string")
+    got = toxicity.toxicity_scores(docs, labels).collect()
+    assert len(got) == 120 and {e["doc_id"] for x in got for e in x["evidence"]} <= {i for i, _ in rows}
+    assert sum(x["predicted"] == ("grolt" in dict(rows)[x["doc_id"]]) for x in got) > 110
