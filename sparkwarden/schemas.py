@@ -1,11 +1,4 @@
-"""Schemas of the artifact tables, as DDL."""
+"""Schemas of traces and of the log of stages, as DDL."""
 
-MANIFEST = "path string, size long, sha256 string, language string, module string, imports array<string>, symbols array<struct<kind: string, name: string, lineno: int>>, entrypoint_reasons array<string>, ast_error string"
-STATIC = (
-    "file_path string, module string, functions array<struct<name: string, qualname: string, lineno: int>>, classes array<struct<name: string, qualname: string, lineno: int>>, "
-    "imports array<struct<module: string, alias: string, lineno: int>>, calls array<struct<caller: string, callee: string, lineno: int>>, config_references array<string>, ast_reference_count int, ast_error string"
-)
-NODES = "node_id string, kind string, path string, name string, canonical_id string"
-EDGES = "source string, target string, type string, evidence string"
 TRACE = "run_id string, seq long, entrypoint string, event string, timestamp string, module string, file string, function string, line int, depth int, caller string, node string, caller_node_id string, callee_node_id string"
 STAGE_EVENTS = "stage string, status string, details string"
