@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from . import profiles as P
 from .functions import columns as C
 from .operators import evidence, graph, pairs, ranking, resolve, rules, sequence, similarity, traces
-from .plans import diagnose, integrity, legacy, report
+from .plans import diagnose, integrity, legacy, report, verify
 from .sources import scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -384,7 +384,9 @@ def jaccard_members(spark, d):
     return similarity.set_members(members, pairs_)
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {SETS_SQL}, m AS (SELECT id, min(id) OVER (PARTITION BY s) AS rep FROM z), l AS (SELECT a AS x, b AS y FROM pr UNION ALL SELECT b, a FROM pr),
+w(x, y) AS (SELECT x, y FROM l UNION SELECT w.x, l.y FROM w JOIN l ON w.y = l.x), c AS (SELECT x AS rep, least(x, min(y)) AS cluster FROM w GROUP BY 1)
+SELECT doc_id AS id, coalesce(c.cluster, m.rep, doc_id) AS cluster FROM documents LEFT JOIN m ON m.id = doc_id LEFT JOIN c ON c.rep = m.rep""")
 def clusters(spark, d):
     return similarity.clusters(_document_tokens(spark, d))
 
@@ -847,6 +849,42 @@ def legacy_dependency(spark, d):
     return legacy.dependency_figures(n, legacy.judged_edges(n, e), r)
 
 
+def _domain_row(spark: SparkSession, found, *metrics: str) -> DataFrame:
+    """A domain of the verdict as one row: its score, the metrics, and its issues with counts."""
+    issues = ",".join(f"{i['type']}:{i['count']}" for i in sorted(found.issues, key=lambda i: i["type"]))
+    return spark.createDataFrame([(float(found.score), *[float(found.metrics[m]) for m in metrics], issues)], f"score double, {', '.join(f'{m} double' for m in metrics)}, issues string")
+
+
+def _counted_sql(*counts: str) -> str:
+    """TYPE:count of the counts (named after their types) that are not zero."""
+    return "concat_ws(','," + ", ".join(f"CASE WHEN {c} > 0 THEN '{c}:' || {c} END" for c in sorted(counts)) + ")"
+
+
+@query(f"""WITH {LEGACY_SQL}, e AS (SELECT DISTINCT source, target, type FROM ju), k AS (SELECT *, CASE WHEN type = '' THEN 'm' WHEN type NOT IN ('CONFIG', 'DI', 'DYNAMIC', 'IMPORT') THEN 'i' WHEN source NOT IN (SELECT node_id FROM nn) OR target NOT IN (SELECT node_id FROM nn) THEN 'u' ELSE 'v' END AS st FROM e),
+q AS (SELECT count(*) FILTER (st = 'm') AS MALFORMED_EDGE_SCHEMA, count(*) FILTER (st = 'i') AS INVALID_EDGE_TYPE, count(*) FILTER (st = 'u') AS UNRESOLVED_EDGE_REFERENCE, count(*) FILTER (st = 'v') AS v, count(*) AS t FROM k),
+b AS (SELECT count(*) AS n, count(*) FILTER (node_id = '') AS MALFORMED_NODE_ID, count(*) FILTER (c > 1) AS DUPLICATE_NODE_ID, count(*) FILTER (node_id <> '') AS INVALID_NODE_NAMESPACE FROM (SELECT node_id, count(*) AS c FROM nn GROUP BY 1)),
+r AS (SELECT *, (t - v)::DOUBLE / t AS r0, (MALFORMED_NODE_ID + INVALID_NODE_NAMESPACE)::DOUBLE / n AS r1 FROM q, b)
+SELECT round(1 - least(1.0::DOUBLE, 0.8::DOUBLE * r0 + 0.2::DOUBLE * r1), 3) AS score, round(r0, 3) AS invalid_edge_ratio, round(r1, 3) AS malformed_node_ratio, v::DOUBLE AS valid_edges, (n - MALFORMED_NODE_ID)::DOUBLE AS valid_nodes,
+  {_counted_sql('MALFORMED_EDGE_SCHEMA', 'INVALID_EDGE_TYPE', 'UNRESOLVED_EDGE_REFERENCE', 'MALFORMED_NODE_ID', 'DUPLICATE_NODE_ID', 'INVALID_NODE_NAMESPACE')} AS issues FROM r""")
+def structural_domain(spark, d):
+    n, e, _ = _legacy_tables(spark, d)
+    found, _ = verify.structural_integrity(n, e.withColumn("confidence", F.lit(1.0)))
+    return _domain_row(spark, found, "invalid_edge_ratio", "malformed_node_ratio", "valid_edges", "valid_nodes")
+
+
+@query(f"""WITH {LEGACY_SQL}, gd AS (SELECT DISTINCT source, target FROM ee WHERE type = 'DI'), a AS (SELECT DISTINCT source, target FROM re WHERE origin = 'AST'), b AS (SELECT DISTINCT source, target FROM re WHERE origin = 'DI'),
+z AS (SELECT (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb, (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS nab, (SELECT count(*) FROM gd) AS ng, (SELECT count(*) FROM (SELECT * FROM gd INTERSECT SELECT * FROM b)) AS ngb),
+ends AS (SELECT source AS node_id FROM b UNION SELECT target FROM b), m AS (SELECT count(*) AS ends, count(*) FILTER (node_id NOT IN (SELECT node_id FROM nn)) AS missing FROM ends),
+y AS (SELECT *, na + nb - nab AS u, ng + nb - ngb AS ug FROM z, m),
+x AS (SELECT *, missing::DOUBLE / ends AS ratio, round((u - nab)::DOUBLE / u * (0.7::DOUBLE + 0.3::DOUBLE * least(na, nb) / u), 3) AS dv, round((ug - ngb)::DOUBLE / ug * (0.7::DOUBLE + 0.3::DOUBLE * least(ng, nb) / ug), 3) AS dr FROM y)
+SELECT round(1 - least(1.0::DOUBLE, 0.65::DOUBLE * ratio + 0.2::DOUBLE * dv + 0.15::DOUBLE * dr), 3) AS score, round(ratio, 3) AS missing_di_ratio, dv AS ast_di_divergence, round(nab::DOUBLE / least(na, nb), 3) AS ast_di_overlap, dr AS graph_di_drift,
+  concat_ws(',', CASE WHEN dv > 0 THEN CASE WHEN dv > 0.5 THEN 'AST_DI_DIVERGENCE_ESCALATED:' ELSE 'AST_DI_DIVERGENCE_TRACKED:' END || (u - nab) END, CASE WHEN dr > 0.35 THEN 'GRAPH_DI_DRIFT:' || round_even(dr * greatest(1, ng + nb), 0)::BIGINT END, CASE WHEN missing > 0 THEN 'MISSING_DI_NODES:' || missing END) AS issues FROM x""")
+def dependency_domain(spark, d):
+    n, e, r = _legacy_tables(spark, d)
+    found = verify.dependency_consistency(n, e.withColumn("type", F.upper(F.trim("type"))), r)
+    return _domain_row(spark, found, "missing_di_ratio", "ast_di_divergence", "ast_di_overlap", "graph_di_drift")
+
+
 @query(f"WITH {CALLS_SQL} SELECT DISTINCT caller AS source, node_id AS target FROM k WHERE event = 'call' AND caller <> ''")
 def flow_edges(spark, d):
     return traces.flow_edges(_calls(spark, d))
