@@ -8,14 +8,17 @@ from collections import defaultdict
 from urllib.parse import urlsplit
 
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
-from sparkwarden.llm import fingerprint, toxicity
+from sparkwarden.llm import bpe_codec, context_tree, fingerprint, mixing, toxicity
 from sparkwarden.llm import hard_negatives as H
 from sparkwarden.llm import turn_repair as T
 from sparkwarden.llm import url_filter as U
 
+WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -382,3 +385,36 @@ def test_toxicity_with_ids_of_text(spark):
     got = toxicity.toxicity_scores(docs, labels).collect()
     assert len(got) == 120 and {e["doc_id"] for x in got for e in x["evidence"]} <= {i for i, _ in rows}
     assert sum(x["predicted"] == ("grolt" in dict(rows)[x["doc_id"]]) for x in got) > 110
+
+
+# ---- long texts, ties, clashing names ------------------------------------------------------
+
+
+def test_very_long_texts_of_the_other_operators(spark):
+    r = np.random.default_rng(4)
+    long = " ".join(f"w{x}" for x in r.integers(0, 3000, 60_000))
+    rows = [(1, long, "a"), (2, long + " w1 tail", "b"), (3, "x" * 200_000, "b"), (4, "short text", None)]
+    docs = spark.createDataFrame([(*x, "clash", 5.0) for x in rows], "doc_id long, text string, source string, toxic string, score double")
+    tokenizer = Tokenizer.from_file(WORD_FILE)
+    got = {x["doc_id"]: (x["n_tokens"], x["ids_sha256"]) for x in bpe_codec.bpe_round_trip(docs, WORD_FILE).collect()}
+    for i, text, _ in rows:
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert got[i] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+    labels = spark.createDataFrame([(1, 0, "a", 1.0, True), (2, 1, "b", 2.0, False)], "doc_id long, toxic int, text string, score double, held_out boolean")
+    scores = {x["doc_id"]: x["score"] for x in toxicity.toxicity_scores(docs, labels).collect()}
+    assert set(scores) == {1, 2, 3, 4} and all(0 <= s <= 1 for s in scores.values())
+    sizes = {x["doc_id"]: (x["size"], x["taken"]) for x in mixing.mix(docs).collect()}
+    assert {i: s for i, (s, _) in sizes.items()} == {1: 60_000, 2: 60_002, 3: 1, 4: 2} and all(t <= 3 * s for s, t in sizes.values())
+    scored = {x["doc_id"]: x for x in context_tree.context_tree_scores(docs).collect()}
+    for i, text, _ in rows:
+        x = scored[i]
+        assert x["n_tokens"] == len(text.split()) + 1 and x["n_bytes"] == len(" ".join(text.split())) + 1 and math.isfinite(x["score"]) and x["score"] < 0
+
+
+def test_equally_near_examples_vote_alike_however_rows_are_dealt(spark):
+    """Many examples at the same cosine: reruns over other partitions give the same scores."""
+    rows = [(i, f"same words here v{i % 50}" if i < 200 else "same words grolt") for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i >= 200 or i % 9 == 0)) for i in range(240)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = ({x["doc_id"]: (round(x["score"], 12), [e["doc_id"] for e in x["evidence"]]) for x in toxicity.toxicity_scores(d, labels).collect()} for d in (docs.coalesce(1), docs.repartition(7)))
+    assert a == b and len(a) == 240
