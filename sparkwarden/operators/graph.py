@@ -129,17 +129,23 @@ def peel(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def _peeled(alive: DataFrame, links: DataFrame, sure: DataFrame | None, rounds: int) -> DataFrame:
     """alive without what a removal round after another takes; links from sure nodes, which are
     not among alive, hold their targets in any case."""
-    n = alive.count()
-    for _ in range(rounds):
+    n = large = alive.count()
+    for k in range(rounds):
         holders = alive if sure is None else alive.union(sure)
-        inside = stored(links.join(holders, links.source == holders.node_id, "left_semi").join(alive.select(F.col("node_id").alias("target")), "target", "left_semi"), "links")
-        still, seen = counted(alive.join(inside.select(F.col("target").alias("node_id")).distinct(), "node_id", "left_semi"), "peel", n=F.count(F.lit(1)))
-        forget(links, alive)
-        alive, links = still, inside
+        held = links.join(holders, links.source == holders.node_id, "left_semi").select(F.col("target").alias("node_id")).distinct()
+        still, seen = counted(alive.join(held, "node_id", "left_semi"), "peel", n=F.count(F.lit(1)))
+        forget(alive)
+        alive = still
         if seen["n"] == n:
             forget(links)
             return alive
         n = seen["n"]
+        # Links go with their ends, but not every round.
+        if n * 2 < large or k == rounds - 1:
+            holders = alive if sure is None else alive.union(sure)
+            inside = stored(links.join(holders, links.source == holders.node_id, "left_semi").join(alive.select(F.col("node_id").alias("target")), "target", "left_semi"), "links")
+            forget(links)
+            links, large = inside, n
     followers, lost, rest, taken = contracted(links, None, F.min)
     if taken * 10 < n:
         return _peeled(alive, links, sure, 2 * rounds)
