@@ -318,3 +318,30 @@ def test_cycles_in_canonical_rotation(spark, seed, longest):
     e = frames(spark, list(range(14)), edges)[1]
     got = [(tuple(x.cycle), x.size) for x in graph.cycles(e, longest).collect()]
     assert len(got) == len(set(got)) and set(got) == {(c, len(c)) for c in simple_cycles(edges, longest)}
+
+
+def test_similar_pairs_leave_tasks_only_when_similar(spark, monkeypatch):
+    """Sets of few frequent tokens, in chunks that are cut small: every similar pair once, as by
+    brute force, and no exchange of the plan carries candidates."""
+    import itertools
+    import random
+
+    from sparkwarden.operators import similarity
+
+    monkeypatch.setattr(similarity, "CHUNK_SETS", 60)
+    draw = random.Random(7)
+    sets = {i: frozenset(draw.sample([f"t{k}" for k in range(30)], draw.randint(3, 14))) for i in range(400)}
+    given = spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "id long, tokens array<string>")
+    got = similarity.similar_pairs(given, 0.5, 4)
+    least: dict = {}
+    for i in sorted(sets):
+        least.setdefault(sets[i], i)
+    want = set()
+    for (x, a), (y, b) in itertools.combinations([(x, i) for x, i in least.items() if len(x) >= 4], 2):
+        if len(x & y) >= 4 and len(x & y) / len(x | y) >= 0.5:
+            want.add((min(a, b), max(a, b), len(x & y), len(x & y) / len(x | y)))
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(want) > 20 and set(rows) == want
+    # One exchange, of the sets: before, a second one carried the met pairs.
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+    assert similarity.similar_pairs(given.limit(0)).count() == 0
