@@ -345,3 +345,25 @@ def test_similar_pairs_leave_tasks_only_when_similar(spark, monkeypatch):
     # One exchange, of the sets: before, a second one carried the met pairs.
     assert got._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
     assert similarity.similar_pairs(given.limit(0)).count() == 0
+
+
+def test_shared_names_of_few_common_names(spark):
+    """Many files with half of twenty names each: links as by brute force, and the counts take
+    the pairs as they are found, without an exchange that carries them or a join of their names."""
+    import random
+    from itertools import combinations
+
+    draw = random.Random(3)
+    names = {i: frozenset(draw.sample(range(20), draw.randint(5, 12))) for i in range(300)}
+    got = traces.shared_name_members(spark.createDataFrame([(i, f"n{k}") for i, x in names.items() for k in x], "file long, name string"))
+    least = {}
+    for i, x in names.items():
+        least.setdefault(x, i)
+    links = dict.fromkeys(least, 0)
+    for x, y in combinations(least, 2):
+        if len(x & y) >= 5 and len(x & y) / len(x | y) >= 0.6:
+            links[x] += 1
+            links[y] += 1
+    assert {(r.id, r.rep, r.links) for r in got.collect()} == {(i, least[x], links[x]) for i, x in names.items()} and any(links.values())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan and plan.count("MapInArrow") == 1
