@@ -100,8 +100,11 @@ def reach(edges: DataFrame, starts: DataFrame, nodes: DataFrame | None = None) -
     seed = starts.select("node_id").distinct()
     if nodes is not None:
         seed = seed.join(nodes.select("node_id").distinct(), "node_id", "left_semi")
-    links = stored(_links(edges), "links")
     seen = stored(seed.withColumn("depth", F.lit(0)), "reach")
+    # Links from nodes that no start is and nothing leads to are never taken.
+    raw = edges.select("source", "target")
+    taken = seen.select(F.col("node_id").alias("source")).union(raw.select("target")).distinct()
+    links = stored(raw.join(taken, "source", "left_semi").distinct(), "links")
     frontier = seen
     for depth in range(1, PLAIN_ROUNDS + 1):
         found = frontier.join(links, frontier.node_id == links.source).select(F.col("target").alias("node_id")).distinct()
@@ -215,17 +218,31 @@ def longest_path(nodes: DataFrame, edges: DataFrame, rounds: int = MAX_ROUNDS) -
     Relaxation, at first level by level; what then still moves is contracted as in reach.
     """
     n, seen = counted(nodes.select("node_id").distinct(), "nodes", n=F.count(F.lit(1)))
-    links = stored(_links(edges).where("source <> target").withColumn("w", F.lit(1)), "links")
-    state = stored(n.select("node_id", F.lit(0).alias("depth"), F.lit(True).alias("moved")), "depth")
-    for _ in range(PLAIN_ROUNDS):
-        pushed = state.where("moved").join(links, state.node_id == links.source).groupBy(F.col("target").alias("node_id")).agg((F.max("depth") + 1).alias("pushed"))
-        moved = F.coalesce(F.col("pushed") > F.col("depth"), F.lit(False))
-        after, figures = counted(state.join(pushed, "node_id", "left").select("node_id", F.greatest("depth", "pushed").alias("depth"), moved.alias("moved")), "depth", moved=F.count_if("moved"))
-        forget(state)
-        state = after
-        if not figures["moved"]:
-            forget(links)
-            return state.select("node_id", "depth")
+    raw = edges.select("source", "target").where("source <> target")
+    # Without links from elsewhere, which is the rule, no join has to look for them.
+    strange, figures = counted(raw.select(F.col("source").alias("node_id")).distinct().join(n, "node_id", "left_anti"), "strange", n=F.count(F.lit(1)))
+    if figures["n"]:
+        raw = raw.join(strange.withColumnRenamed("node_id", "source"), "source", "left_anti")
+    # Who ends a path of k + 1 links ends one of k too: of the links only those from such nodes
+    # are kept, and a node's depth is the number of rounds that it was in.
+    moved, figures = counted(raw.select(F.col("target").alias("node_id")).distinct().join(n, "node_id", "left_semi"), "moved", n=F.count(F.lit(1)))
+    rounds_of, left = [moved], raw
+    for _ in range(PLAIN_ROUNDS - 1):
+        if not figures["n"]:
+            break
+        after = stored(left.join(rounds_of[-1].withColumnRenamed("node_id", "source"), "source", "left_semi").select("source", "target").distinct(), "links")
+        forget(left)
+        left = after
+        moved, figures = counted(left.select(F.col("target").alias("node_id")).distinct().join(n, "node_id", "left_semi"), "moved", n=F.count(F.lit(1)))
+        rounds_of.append(moved)
+    if not figures["n"]:
+        forget(left, strange)
+        every = n
+        for m in rounds_of:
+            every = every.unionByName(m)
+        return every.groupBy("node_id").agg((F.count("*") - 1).cast("int").alias("depth"))
+    forget(left, *rounds_of)
+    links = stored(_links(raw).withColumn("w", F.lit(1)), "links")
     endless = peel(n, links)
     plain = stored(n.join(endless, "node_id", "left_anti"), "nodes")
     acyclic = links.join(plain.select(F.col("node_id").alias("target")), "target", "left_semi").join(plain.select(F.col("node_id").alias("source")), "source", "left_semi")

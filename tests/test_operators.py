@@ -367,3 +367,27 @@ def test_shared_names_of_few_common_names(spark):
     assert {(r.id, r.rep, r.links) for r in got.collect()} == {(i, least[x], links[x]) for i, x in names.items()} and any(links.values())
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "array_intersect" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_deep_graph_loops_keep_few_links(spark, monkeypatch):
+    """Most links come from nodes that nothing leads to: they are read, but no round stores them
+    (or the depths of all nodes) again."""
+    written = []
+
+    def counting(df, name, **figures):
+        out, seen = counted(df, name, **figures)
+        written.append(out.count())
+        return out, seen
+
+    counted, stored = graph.counted, graph.stored
+    monkeypatch.setattr(graph, "counted", counting)
+    monkeypatch.setattr(graph, "stored", lambda df, name: (written.append((out := stored(df, name)).count()), out)[1])
+    links = [(100 + i, i % 3) for i in range(300)] + [(0, 3), (1, 3), (3, 4), (900, 4)]
+    e = spark.createDataFrame(links, "source long, target long")
+    n = spark.createDataFrame([(i,) for i in [*range(5), *range(100, 400)]], "node_id long")
+    got = {r.node_id: r.depth for r in graph.longest_path(n, e).collect()}
+    assert got == dict.fromkeys(range(100, 400), 0) | {0: 1, 1: 1, 2: 1, 3: 2, 4: 3}
+    assert sum(written) < 400
+    written.clear()
+    got = {r.node_id: r.depth for r in graph.reach(e, n.where("node_id = 100"), n).collect()}
+    assert got == {100: 0, 0: 1, 3: 2, 4: 3} and sum(written) < 50
