@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import profiles as P
 from ..functions.columns import any_of, node_path, normalize_path, ratio
+from .tables import counted, stored
 
 
 def run_counters(trace: DataFrame) -> DataFrame:
@@ -215,14 +216,20 @@ def graph_sanity(nodes: DataFrame, edges: DataFrame, entrypoints: DataFrame, lim
     from . import graph
 
     t = P.MEANINGFUL | (limits or {})
-    known = nodes.select("node_id").where("node_id <> ''").distinct()
-    ends = lambda c: known.select(F.col("node_id").alias(c))
-    links = edges.select("source", "target").distinct().join(ends("source"), "source", "left_semi").join(ends("target"), "target", "left_semi")
+    known = stored(nodes.select("node_id").where("node_id <> ''").distinct(), "known")
+    ends = lambda rows: rows.select(F.explode(F.array("source", "target")).alias("node_id")).distinct()
+    raw = edges.select("source", "target").where("source is not null and target is not null")
+    # Links to elsewhere are looked for by the few ends, and joined away only if there are some.
+    strange, seen = counted(ends(raw).join(known, "node_id", "left_anti"), "strange", n=F.count(F.lit(1)))
+    if seen["n"]:
+        for c in ("source", "target"):
+            raw = raw.join(strange.withColumnRenamed("node_id", c), c, "left_anti")
+    links = raw.distinct()
     starts = entrypoints.select("node_id").distinct().join(known, "node_id", "left_semi")
-    linked = links.select(F.explode(F.array("source", "target")).alias("node_id")).distinct()
+    linked = ends(raw)
     count = lambda df, name: df.agg(F.count("*").alias(name))
     one = count(known, "nodes")
-    for rows, name in ((links, "edges"), (starts, "entrypoints"), (graph.reach(links, starts, known), "reachable"), (known.join(linked, "node_id", "left_anti"), "isolated")):
+    for rows, name in ((links, "edges"), (starts, "entrypoints"), (graph.reach(raw, starts, known), "reachable"), (known.join(linked, "node_id", "left_anti"), "isolated")):
         one = one.crossJoin(F.broadcast(count(rows, name)))
     reachable, isolated = ratio(F.col("reachable"), F.col("nodes")), ratio(F.col("isolated"), F.col("nodes"))
     reasons = F.array_compact(F.array(F.when(F.col("entrypoints") == 0, "no_entrypoint"), F.when(reachable < t["reachable_nodes"], "reachable_nodes_below_minimum"), F.when(isolated > t["isolated_nodes"], "isolated_nodes_above_maximum")))
