@@ -228,11 +228,13 @@ def _document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[np.nd
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, total = shared.value, 0
-        n = np.zeros(len(known), np.int64)
+        n = np.zeros(len(known) + 1, np.int64)  # the last: all that are no terms
         for texts in batches:
             for t in texts["text"]:
-                n[term_counts(t, known)[0]] += 1
+                found = set(_WORD.findall(t.lower()))
+                n[np.fromiter(map(known.get, found, repeat(-1)), np.int64, len(found))] += 1
             total += len(texts)
+        n = n[:-1]
         at = np.flatnonzero(n)
         yield pd.DataFrame({"term": np.append(at, -1), "n": np.append(n[at], total)})
 
