@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import profiles as P
 from ..functions.columns import clamp, namespace, ratio
+from .tables import counted
+
+#: Ids that are sent to every task instead of dealing out what they are joined to.
+FEW = 100_000
 
 
 def pair_counts(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,17 +53,34 @@ def reconcile(static: DataFrame, runtime: DataFrame) -> DataFrame:
     )
 
 
+def with_unknown_ends(known: DataFrame, ends: DataFrame, edges: DataFrame) -> DataFrame:
+    """edges with unknown: whether an end is none of known (node_id).  ends (source, target): rows
+    with all the ends of edges.
+
+    The different ends without a node are found first and are few as a rule: then no join deals
+    out the edges.
+    """
+    ids = ends.select(F.explode(F.array("source", "target")).alias("node_id")).distinct()
+    strange, seen = counted(ids.join(known.select("node_id").distinct(), "node_id", "left_anti"), "unknown-ends", n=F.count(F.lit(1)))
+    if not seen["n"]:
+        return edges.withColumn("unknown", F.lit(False))
+    few = F.broadcast if seen["n"] <= FEW else lambda df: df
+    for c in ("source", "target"):
+        edges = edges.join(few(strange.select(F.col("node_id").alias(c), F.lit(True).alias(f"unknown_{c}"))), c, "left")
+    unknown = F.col("unknown_source").isNotNull() | F.col("unknown_target").isNotNull()
+    return edges.withColumn("unknown", unknown).drop("unknown_source", "unknown_target")
+
+
 def edge_status(nodes: DataFrame, edges: DataFrame, allowed: tuple[str, ...] = P.ALLOWED_EDGE_TYPES["v2"]) -> DataFrame:
     """Distinct edges (source, target, type, confidence) with the first fault that holds:
     malformed, invalid_type, unresolved or valid; cross_namespace for valid ones."""
-    known = nodes.select(F.trim("node_id").alias("known")).distinct()
-    e = edges.select(F.trim(F.coalesce("source", F.lit(""))).alias("source"), F.trim(F.coalesce("target", F.lit(""))).alias("target"), F.upper(F.trim(F.coalesce("type", F.lit("")))).alias("type"), "confidence").distinct()
-    e = e.join(known.withColumnRenamed("known", "s"), F.col("source") == F.col("s"), "left").join(known.withColumnRenamed("known", "t"), F.col("target") == F.col("t"), "left")
+    e = edges.select(F.trim(F.coalesce("source", F.lit(""))).alias("source"), F.trim(F.coalesce("target", F.lit(""))).alias("target"), F.upper(F.trim(F.coalesce("type", F.lit("")))).alias("type"), "confidence")
+    e = with_unknown_ends(nodes.select(F.trim("node_id").alias("node_id")), e, e.distinct())
     status = (
         F.when((F.col("source") == "") | (F.col("target") == "") | (F.col("type") == ""), "malformed")
         .when(~F.col("type").isin(*allowed), "invalid_type")
         .when(F.col("confidence").isNull(), "malformed")
-        .when(F.col("s").isNull() | F.col("t").isNull(), "unresolved")
+        .when(F.col("unknown"), "unresolved")
         .otherwise("valid")
     )
     crosses = (status == "valid") & (namespace(F.col("source")) != namespace(F.col("target")))

@@ -48,11 +48,9 @@ def node_figures(nodes: DataFrame) -> DataFrame:
 def judged_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """edges (source, target, type, origin) -> the same, in canonical writing, with status:
     malformed, invalid_type, unresolved or valid.  Repeated rows stay."""
-    known = known_ids(nodes)
-    side = lambda c: known.select(F.col("node_id").alias(c), F.lit(True).alias(f"known_{c}"))
     e = edges.select(_trimmed("source").alias("source"), _trimmed("target").alias("target"), F.upper(_trimmed("type")).alias("type"), F.upper(_trimmed("origin")).alias("origin"))
-    e = e.join(side("source"), "source", "left").join(side("target"), "target", "left")
-    status = F.when((F.col("source") == "") | (F.col("target") == "") | (F.col("type") == ""), "malformed").when(~F.col("type").isin(*P.ALLOWED_EDGE_TYPES["v1"]), "invalid_type").when(F.col("known_source").isNull() | F.col("known_target").isNull(), "unresolved").otherwise("valid")
+    e = pairs.with_unknown_ends(known_ids(nodes), e, e)
+    status = F.when((F.col("source") == "") | (F.col("target") == "") | (F.col("type") == ""), "malformed").when(~F.col("type").isin(*P.ALLOWED_EDGE_TYPES["v1"]), "invalid_type").when(F.col("unknown"), "unresolved").otherwise("valid")
     return e.select("source", "target", "type", "origin", status.alias("status"))
 
 

@@ -391,3 +391,14 @@ def test_deep_graph_loops_keep_few_links(spark, monkeypatch):
     written.clear()
     got = {r.node_id: r.depth for r in graph.reach(e, n.where("node_id = 100"), n).collect()}
     assert got == {100: 0, 0: 1, 3: 2, 4: 3} and sum(written) < 50
+
+
+def test_edges_are_not_dealt_out_for_their_ends(spark):
+    """Edges of which few ends are unknown are judged without a join that shuffles them."""
+    n = spark.createDataFrame([("a",), (" b ",), (None,)], "node_id string")
+    e = spark.createDataFrame([("a", "b", "import", 1.0), ("a", "x", "import", 1.0), ("y", "b", "di", 1.0), (None, "b", "di", 1.0), ("b", " a", "import", None)], "source string, target string, type string, confidence double")
+    got = pairs.edge_status(n, e)
+    assert {(r.source, r.target, r.status) for r in got.collect()} == {("a", "b", "valid"), ("a", "x", "unresolved"), ("y", "b", "unresolved"), ("", "b", "malformed"), ("b", "a", "malformed")}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == plan.count("strategy=broadcast") == 2
+    assert {r.status for r in pairs.edge_status(n, e.limit(1)).collect()} == {"valid"}
