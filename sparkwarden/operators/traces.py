@@ -251,7 +251,6 @@ def shared_names(symbols: DataFrame, min_shared: int = 5, min_jaccard: float = 0
 def shared_name_members(symbols: DataFrame, min_shared: int = 5, min_jaccard: float = 0.6) -> DataFrame:
     """symbols (file, name) -> id, rep, same, links: every file, those with the same public
     names, and how many pairs of shared_names it is in."""
-    from .similarity import set_members, similar_sets
+    from .similarity import linked_members
 
-    pairs, members = similar_sets(_public_names(symbols), min_jaccard, min_shared)
-    return set_members(members, pairs)
+    return linked_members(_public_names(symbols), min_jaccard, min_shared)
