@@ -50,3 +50,13 @@ def test_small_vocabularies_are_compared_as_bits(spark):
         batch = pa.RecordBatch.from_arrays([pa.array(range(700)), pa.array([len(x) for x in ids], pa.int32()), pa.array(ids, pa.list_(pa.int32()))], ["rep", "size", "ids"])
         held = similarity._Held([batch])
         assert held.dense and sum(len(a) for a, _, _ in held.like(batch, 0.5, 5, 0)) == len(_alike(names, 0.5))
+
+
+def test_names_are_taken_apart_once(spark):
+    """The words of a name are in the plan of collisions once, and not within a condition on every
+    word; the same name in the same file goes through it once."""
+    rows = [("OrderRouter", "a"), ("orderService", "b"), ("Order_Manager", "b"), ("Order", "c"), ("Service", "c"), (None, "d")] * 3
+    got = similarity.collisions(spark.createDataFrame(rows, "name string, file string"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+    assert [tuple(r) for r in got.collect()] == [("order", 3, 2)]
