@@ -55,7 +55,7 @@ def reconcile(static: DataFrame, runtime: DataFrame) -> DataFrame:
 
 def with_unknown_ends(known: DataFrame, ends: DataFrame, edges: DataFrame) -> DataFrame:
     """edges with unknown: whether an end is none of known (node_id).  ends (source, target): rows
-    with all the ends of edges.
+    with all the ends of edges that this matters for.
 
     The different ends without a node are found first and are few as a rule: then no join deals
     out the edges.
@@ -75,14 +75,14 @@ def edge_status(nodes: DataFrame, edges: DataFrame, allowed: tuple[str, ...] = P
     """Distinct edges (source, target, type, confidence) with the first fault that holds:
     malformed, invalid_type, unresolved or valid; cross_namespace for valid ones."""
     e = edges.select(F.trim(F.coalesce("source", F.lit(""))).alias("source"), F.trim(F.coalesce("target", F.lit(""))).alias("target"), F.upper(F.trim(F.coalesce("type", F.lit("")))).alias("type"), "confidence")
-    e = with_unknown_ends(nodes.select(F.trim("node_id").alias("node_id")), e, e.distinct())
-    status = (
+    fault = (
         F.when((F.col("source") == "") | (F.col("target") == "") | (F.col("type") == ""), "malformed")
         .when(~F.col("type").isin(*allowed), "invalid_type")
         .when(F.col("confidence").isNull(), "malformed")
-        .when(F.col("unknown"), "unresolved")
-        .otherwise("valid")
-    )
+    )
+    # The ends of edges with another fault are never looked up.
+    e = with_unknown_ends(nodes.select(F.trim("node_id").alias("node_id")), e.where(fault.isNull()), e.distinct())
+    status = fault.when(F.col("unknown"), "unresolved").otherwise("valid")
     crosses = (status == "valid") & (namespace(F.col("source")) != namespace(F.col("target")))
     return e.select("source", "target", "type", status.alias("status"), crosses.alias("cross_namespace"))
 

@@ -49,9 +49,9 @@ def judged_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """edges (source, target, type, origin) -> the same, in canonical writing, with status:
     malformed, invalid_type, unresolved or valid.  Repeated rows stay."""
     e = edges.select(_trimmed("source").alias("source"), _trimmed("target").alias("target"), F.upper(_trimmed("type")).alias("type"), F.upper(_trimmed("origin")).alias("origin"))
-    e = pairs.with_unknown_ends(known_ids(nodes), e, e)
-    status = F.when((F.col("source") == "") | (F.col("target") == "") | (F.col("type") == ""), "malformed").when(~F.col("type").isin(*P.ALLOWED_EDGE_TYPES["v1"]), "invalid_type").when(F.col("unknown"), "unresolved").otherwise("valid")
-    return e.select("source", "target", "type", "origin", status.alias("status"))
+    fault = F.when((F.col("source") == "") | (F.col("target") == "") | (F.col("type") == ""), "malformed").when(~F.col("type").isin(*P.ALLOWED_EDGE_TYPES["v1"]), "invalid_type")
+    e = pairs.with_unknown_ends(known_ids(nodes), e.where(fault.isNull()), e)
+    return e.select("source", "target", "type", "origin", fault.when(F.col("unknown"), "unresolved").otherwise("valid").alias("status"))
 
 
 def edge_figures(judged: DataFrame) -> DataFrame:

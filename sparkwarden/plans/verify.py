@@ -18,10 +18,12 @@ from . import domains as D
 from .verdict import Domain, issue, sample
 
 
-def structural_integrity(nodes: DataFrame, edges: DataFrame, allow_call: bool = False) -> tuple[Domain, DataFrame]:
-    """Also returns the status of every distinct edge."""
+def structural_integrity(nodes: DataFrame, edges: DataFrame, allow_call: bool = False, keep: bool = True) -> tuple[Domain, DataFrame]:
+    """Also returns the status of every distinct edge; it is stored if it is to be read again
+    (keep)."""
     allowed = P.ALLOWED_EDGE_TYPES["v2"] + (("CALL",) if allow_call else ())
-    status = stored(pairs.edge_status(nodes, edges, allowed), "edge-status")
+    status = pairs.edge_status(nodes, edges, allowed)
+    status = stored(status, "edge-status") if keep else status
     by = {r["status"]: r["n"] for r in status.groupBy("status").agg(F.count("*").alias("n")).collect()}
     n = nodes.groupBy("node_id").agg(F.count("*").alias("k")).agg(
         F.count_if(F.trim(F.coalesce("node_id", F.lit(""))) == "").alias("malformed"), F.count_if((F.col("k") > 1) & (F.col("node_id") != "")).alias("repeated"),
