@@ -246,6 +246,11 @@ def _document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[np.nd
     return df, int(found["n"].to_numpy()[~some].sum())
 
 
+def in_order(t: np.ndarray, v: np.ndarray) -> tuple[bytes, bytes]:
+    """Bytes that sort as the tuples of terms and of weights (neither is negative) would."""
+    return t.astype(">u8").tobytes(), v.astype(">f8").tobytes()
+
+
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES, chars: int = MAX_CHARS) -> Model | None:
     """The model; None without a toxic training example.
 
@@ -256,26 +261,35 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES, chars: in
     few, sizes = _examples(docs, labels, limit, chars)
     if not sizes.get(True):
         return None
-    rows = [(r["doc_id"], bool(r["toxic"]), words(r["text"])) for r in few.toLocalIterator()]
+    # The examples are read twice: their words are held as arrays, not as a table of each text.
+    found: set[str] = set()
+    for r in few.toLocalIterator():
+        found.update(words(r["text"]))
+    terms = {w: i for i, w in enumerate(sorted(found))}
+    del found
+    rows = []
+    for r in few.toLocalIterator():
+        c = words(r["text"])
+        t = np.fromiter((terms[w] for w in c), np.int64, len(c))
+        by = np.argsort(t)
+        rows.append((r["doc_id"], bool(r["toxic"]), t[by], np.fromiter(c.values(), float, len(c))[by]))
     forget(few)
-    terms = {w: i for i, w in enumerate(sorted({w for _, _, c in rows for w in c}))}
     df, total = _document_frequencies(docs, terms)
     seen = np.zeros((2, len(df)))
-    for _, toxic, c in rows:
-        seen[int(toxic), [terms[w] for w in c]] += 1
-    marks = np.array([t for _, t, _ in rows], float)
+    for _, toxic, t, _ in rows:
+        seen[int(toxic), t] += 1
+    marks = np.array([x[1] for x in rows], float)
     n_toxic, n_clean = marks.sum(), len(marks) - marks.sum()
     relevance = np.abs(np.log((seen[1] + 0.5) / (n_toxic + 1)) - np.log((seen[0] + 0.5) / (n_clean + 1)))
     weights = np.log(1 + total / df) * relevance
     # Blocks of similar examples: by their heaviest terms.  No label, no identifier.
     vectors = []
     blank = Index.of(weights, [])
-    for doc_id, toxic, c in rows:
-        t = np.array(sorted(terms[w] for w in c), np.int64)
-        back = {terms[w]: n for w, n in c.items()}
-        v = blank.unit(t, np.array([back[i] for i in t.tolist()], float))
+    for doc_id, toxic, t, n in rows:
+        v = blank.unit(t, n)
         heaviest = t[np.lexsort((t, -v))[:4]].tolist()
-        vectors.append((heaviest, tuple(t.tolist()), tuple(v.tolist()), doc_id, float(toxic), t, v))
+        vectors.append((heaviest, *in_order(t, v), doc_id, float(toxic), t, v))
+    del rows
     vectors.sort(key=lambda x: x[:4])
     labels_ = np.array([x[4] for x in vectors])
     share = np.array([sizes.get(False, 0) / max(1, n_clean), sizes[True] / max(1, n_toxic)])

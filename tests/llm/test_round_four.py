@@ -5,6 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from sparkwarden.llm import toxicity as T
 from sparkwarden.llm import url_filter as U
 
 
@@ -33,3 +34,11 @@ def test_cut_over_bins_is_that_over_scores():
         bins = [np.array([(y[s == x] == v).sum() for x in low], float) for v in (True, False)]
         assert U.best_cut(low, low, *bins) == U.calibrated(s, y)
     assert U.best_cut(np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0)) == math.inf
+
+
+def test_vectors_sort_by_bytes_as_by_tuples():
+    r = np.random.default_rng(8)
+    rows = [(np.sort(r.choice(300, n, replace=False)), r.integers(0, 4, n) / 4) for n in r.integers(0, 4, 300)]
+    rows += [(t, v[::-1]) for t, v in rows]
+    by = lambda key: [(t.tolist(), v.tolist()) for t, v in sorted(rows, key=key)]
+    assert by(lambda x: T.in_order(*x)) == by(lambda x: (tuple(x[0].tolist()), tuple(x[1].tolist())))
