@@ -60,6 +60,12 @@ def edge_figures(judged: DataFrame) -> DataFrame:
     return judged.agg(F.count("*").alias("edges"), of("valid").alias("valid_edges"), of("malformed").alias("malformed_edges"), of("unresolved").alias("unresolved_edges"), of("invalid_type").alias("invalid_type_edges"))
 
 
+def standing(edges: DataFrame) -> DataFrame:
+    """Those of edges (type, origin) that can stand for resolver edges: no other is counted there,
+    so none has to be judged or dealt out for it."""
+    return edges.where(F.upper(_trimmed("origin")).isin(*SOURCES) | F.upper(_trimmed("type")).isin(*SOURCES))
+
+
 def dependency_figures(nodes: DataFrame, judged: DataFrame, resolver: DataFrame) -> DataFrame:
     """One row over resolver edges (source, target, origin) and judged edges: for each source,
     how many resolver edges it has and how many valid edges stand for them (by origin and by
@@ -67,7 +73,7 @@ def dependency_figures(nodes: DataFrame, judged: DataFrame, resolver: DataFrame)
     rows = stored(resolver.select(_trimmed("source").alias("source"), _trimmed("target").alias("target"), F.upper(_trimmed("origin")).alias("origin")).where(F.col("origin").isin(*SOURCES) & (F.col("source") != "") & (F.col("target") != "")), "resolver")
     name = str.lower
     totals = rows.agg(F.count("*").alias("resolver_edges"), *[F.count_if(F.col("origin") == s).alias(f"{name(s)}_edges") for s in SOURCES])
-    valid = judged.where("status = 'valid'").select("source", "target", "type", "origin").distinct()
+    valid = standing(judged.where("status = 'valid'")).select("source", "target", "type", "origin").distinct()
     stand = valid.agg(*[(F.count_if(F.col("origin") == s) + F.count_if(F.col("type") == s)).alias(f"{name(s)}_represented") for s in SOURCES])
     of = lambda s: rows.where(F.col("origin") == s).select("source", "target")
     keys = ["source", "target"]
