@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import profiles as P
 from ..functions.columns import any_of, node_path, normalize_path, ratio
+from .pairs import FEW
 from .tables import counted, stored
 
+#: Calls of a source, from which on they are made distinct before they come together.
+MANY_CALLS = 100_000
+
 
 def run_counters(trace: DataFrame) -> DataFrame:
     """trace (run_id, event, node_id, depth) -> run_id, events, calls, imports, nodes, max_depth.
@@ -167,13 +172,27 @@ def entrypoint_domain(path: Column) -> Column:
 
 
 def neighbours(edges: DataFrame, k: int = 8) -> DataFrame:
-    """source, target, rank: each node's call targets of most outgoing calls (a top-k)."""
-    from .ranking import top_per_group
+    """source, target, rank: each node's call targets of most outgoing calls (a top-k).
 
-    calls = edges.where("type = 'CALL'").select("source", "target").distinct()
-    out = calls.groupBy("source").agg(F.count("*").alias("out")).withColumnRenamed("source", "target")
-    ranked = calls.join(out, "target", "left").withColumn("out", F.coalesce("out", F.lit(0)))
-    return top_per_group(ranked, ["source"], [F.desc("out"), F.col("target")], k).select("source", "target", "rank")
+    Equal calls have one rank, so every task cuts its rows to k ranks a source before any is
+    dealt out; only the calls of a source with very many are first made distinct.  Outgoing
+    calls count for targets that call something themselves; where none does, there is no join.
+    """
+    calls = edges.where("type = 'CALL'").select("source", "target")
+    made, seen = counted(calls.groupBy("source").agg(F.count("*").alias("n")), "callers", large=F.count_if(F.col("n") > MANY_CALLS))
+    if seen["large"]:
+        large = F.broadcast(made.where(F.col("n") > MANY_CALLS).select("source"))
+        calls = calls.join(large, "source", "left_anti").unionByName(calls.join(large, "source", "left_semi").distinct())
+    order = [F.col("target")]
+    called = calls.select(F.col("target").alias("source")).distinct()
+    busy, seen = counted(called.join(made, "source", "left_semi"), "callers", n=F.count(F.lit(1)))
+    if seen["n"]:
+        few = F.broadcast if seen["n"] <= FEW else lambda df: df
+        out = calls.join(few(busy), "source", "left_semi").distinct().groupBy("source").agg(F.count("*").alias("out")).withColumnRenamed("source", "target")
+        calls = calls.join(few(out), "target", "left").withColumn("out", F.coalesce("out", F.lit(0)))
+        order = [F.desc("out"), *order]
+    rank = F.dense_rank().over(Window.partitionBy("source").orderBy(*order))
+    return calls.withColumn("rank", rank).where(F.col("rank") <= k).select("source", "target", "rank").distinct()
 
 
 def identity_collisions(nodes: DataFrame) -> DataFrame:
