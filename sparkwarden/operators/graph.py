@@ -17,6 +17,8 @@ from .tables import counted, forget, stored
 MAX_ROUNDS = 1024
 #: Levels that a loop takes one by one before it contracts what is left.
 PLAIN_ROUNDS = 8
+#: Ways from the starts of cycles that a round looks at: for each link, and in any case.
+WAYS_PER_LINK, FEW_WAYS = 4, 1_000_000
 
 
 def _links(edges: DataFrame) -> DataFrame:
@@ -260,40 +262,78 @@ def cycles(edges: DataFrame, longest: int = 8) -> DataFrame:
     that each stands once, in its canonical rotation), size.
 
     A path starts at the least node of its cycle and grows by a link a round; it only goes on
-    to greater nodes of its strongly connected component that are not on it and that lead back
-    to the start in the links it has left.  A self-loop is a cycle of one node.  A graph can
-    have very many cycles of a length; all of them are rows.
+    to greater nodes that are not on it and that lead back to the start in the links it has
+    left.  Where the ways from the starts are not many more than the links, they are looked at
+    alone, in at most ``longest`` rounds; else only those within strong components.  A self-loop
+    is a cycle of one node.  A graph can have very many cycles of a length; all of them are rows.
     """
     links = stored(_links(edges).where("source is not null and target is not null"), "links")
-    ends = stored(links.select(F.explode(F.array("source", "target")).alias("node_id")).distinct(), "nodes")
-    groups = stored(strong_components(ends, links), "scc")
-    of = lambda c: groups.select(F.col("node_id").alias(c), F.col("component").alias(f"c{c}"))
-    inner = stored(links.where("source <> target").join(of("source"), "source").join(of("target"), "target").where("csource = ctarget").select("source", "target"), "links")
     one = lambda c: F.array(c).alias("cycle")
     found = links.where("source = target").select(one("source"))
-    back = _ways_back(inner, longest)
-    paths = inner.where("source < target").select(F.array("source", "target").alias("path"))
+    inner, keys = _ways_out(links.where("source <> target"), longest), ["start", "source"]
+    if inner is not None:
+        back = _ways_back(inner.where("target = start").select("start", "source"), inner, keys, longest)
+    else:
+        inner, keys = _inner_links(links), ["source"]
+        back = _ways_back(inner.where("source > target").select(F.col("target").alias("start"), "source"), inner, keys, longest)
+    # Only on to where a way back of the links that are left is known.
+    near = lambda left: back.where(F.col("hops") <= left).select("start", F.col("source").alias("target"))
+    first = links.where("source < target").select(F.col("source").alias("start"), "target").join(near(longest - 1), ["start", "target"], "left_semi")
+    paths = first.select(F.array("start", "target").alias("path"))
     for size in range(2, longest + 1):
         at = paths.select("path", F.element_at("path", 1).alias("start"), F.element_at("path", -1).alias("source"))
-        grown = at.join(inner, "source").where("target = start or (target > start and not array_contains(path, target))")
-        # Only on to where a way back of the links that are left is known.
-        near = back.where(F.col("hops") <= longest - size).select("start", F.col("source").alias("target"))
-        onward = grown.where("target <> start").join(near, ["start", "target"], "left_semi")
+        grown = at.join(inner, keys).where("target = start or (target > start and not array_contains(path, target))")
+        onward = grown.where("target <> start").join(near(longest - size), ["start", "target"], "left_semi")
         state, seen = counted(grown.where("target = start").select("path", F.lit(None).cast(grown.schema["target"].dataType).alias("target")).union(onward.select("path", "target")), "paths", open=F.count("target"))
         found = found.union(state.where("target is null").select(F.col("path").alias("cycle")))
         if not seen["open"]:
             break
         paths = state.where("target is not null").select(F.concat("path", F.array("target")).alias("path"))
-    forget(ends)
     return found.select("cycle", F.size("cycle").alias("size"))
 
 
-def _ways_back(links: DataFrame, longest: int) -> DataFrame:
-    """start, source, hops: the fewest links from source to a start through nodes greater than it."""
-    known = stored(links.where("source > target").select(F.col("target").alias("start"), "source", F.lit(1).alias("hops")), "back")
+def _inner_links(links: DataFrame) -> DataFrame:
+    """The links between different nodes of a strong component."""
+    ends = stored(links.select(F.explode(F.array("source", "target")).alias("node_id")).distinct(), "nodes")
+    groups = stored(strong_components(ends, links), "scc")
+    forget(ends)
+    of = lambda c: groups.select(F.col("node_id").alias(c), F.col("component").alias(f"c{c}"))
+    return stored(links.where("source <> target").join(of("source"), "source").join(of("target"), "target").where("csource = ctarget").select("source", "target"), "links")
+
+
+def _ways_out(links: DataFrame, longest: int) -> DataFrame | None:
+    """start, source, target: the links, on from its greater neighbours, that a start can take
+    through nodes greater than it, and those back to it; a source is at most longest - 1 links
+    away.  None where a round would look at very many more than there are links: how many is
+    known before it begins.
+    """
+    fan = links.groupBy("source").agg(F.count("*").alias("fan")).withColumnRenamed("source", "target")
+    onward, seen = counted(links.join(fan, "target").select("source", "target", "fan"), "links", n=F.count(F.lit(1)))
+    most = max(FEW_WAYS, WAYS_PER_LINK * seen["n"])
+    fresh, seen = counted(onward.where("source < target").select(F.col("source").alias("start"), F.col("target").alias("source"), "fan"), "out", ahead=F.sum("fan"))
+    known = fresh
+    for _ in range(2, longest):
+        if not seen["ahead"] or seen["ahead"] > most:
+            break
+        step = fresh.select("start", "source").join(onward, "source").where("target > start").select("start", F.col("target").alias("source"), "fan").distinct()
+        fresh, seen = counted(step.join(known, ["start", "source"], "left_anti"), "out", ahead=F.sum("fan"))
+        known = known.unionByName(fresh)
+    if (seen["ahead"] or 0) > most:
+        return None
+    known = known.select("start", "source")
+    taken = known.join(links, "source").where("target >= start")
+    kept = known.select("start", F.col("source").alias("target")).union(known.select("start", F.col("start").alias("target")).distinct())
+    return stored(taken.join(kept, ["start", "target"], "left_semi").select("start", "source", "target"), "ways")
+
+
+def _ways_back(last: DataFrame, links: DataFrame, keys: list[str], longest: int) -> DataFrame:
+    """start, source, hops: the fewest links from source to a start through nodes greater than
+    it.  last (start, source): links to a start; links: source, target, and start if among keys."""
+    known = stored(last.withColumn("hops", F.lit(1)), "back")
     fresh = known
+    ends = ["target" if k == "source" else k for k in keys]
     for hops in range(2, longest):
-        step = fresh.select("start", F.col("source").alias("target")).join(links, "target").where("source > start").select("start", "source").distinct()
+        step = fresh.select("start", F.col("source").alias("target")).join(links, ends).where("source > start").select("start", "source").distinct()
         fresh, seen = counted(step.join(known, ["start", "source"], "left_anti").withColumn("hops", F.lit(hops)), "back", n=F.count(F.lit(1)))
         if not seen["n"]:
             break

@@ -4,7 +4,7 @@ import collections
 import random
 
 from sparkwarden import queries
-from sparkwarden.operators import pairs, tables, traces
+from sparkwarden.operators import graph, pairs, tables, traces
 
 
 def test_edges_that_stand_for_nothing_are_not_judged(spark, monkeypatch):
@@ -49,3 +49,24 @@ def test_calls_are_cut_before_they_are_dealt_out(spark, monkeypatch):
             if calls is flat and many > 40:
                 plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
                 assert "Join" not in plan and plan.count("Exchange") == 1 and plan.count("WindowGroupLimit") == 2
+
+
+def test_cycles_take_few_rounds(spark, monkeypatch):
+    """Chains of cycles of three in a tree, as in the query: no component is looked for."""
+    monkeypatch.setattr(graph, "strong_components", None)
+    e = {(k, k // 2) for k in range(2, 600)} | {(k // 4, k) for k in range(65, 600, 64)}
+    got = [tuple(r.cycle) for r in graph.cycles(spark.createDataFrame(sorted(e), "source long, target long")).collect()]
+    assert sorted(got) == [(16 * j, 64 * j + 1, 32 * j) for j in range(1, 10)]
+
+
+def test_cycles_of_graphs_with_many_ways(spark, monkeypatch):
+    """Where the ways are too many, strong components are looked for first: the same cycles."""
+    draw = random.Random(8)
+    e = spark.createDataFrame(sorted({(draw.randint(0, 11), draw.randint(0, 11)) for _ in range(40)}), "source long, target long")
+    rows = lambda longest: sorted(tuple(r.cycle) for r in graph.cycles(e, longest).collect())
+    plain = rows(5)
+    asked, found = [], graph.strong_components
+    monkeypatch.setattr(graph, "strong_components", lambda *a: (asked.append(1), found(*a))[1])
+    monkeypatch.setattr(graph, "FEW_WAYS", 0)
+    monkeypatch.setattr(graph, "WAYS_PER_LINK", 1)
+    assert rows(5) == plain and len(set(plain)) == len(plain) > 20 and asked
